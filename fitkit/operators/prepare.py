@@ -51,6 +51,13 @@ def fit_max_abs(df: DataFrame, d: int, *, label: str = "y", features: str = "x")
             *[F.max(F.abs(F.get(F.col(features), F.lit(j)))).alias(f"m{j}") for j in range(d)],
         ).first()
         return ScaleStats(float(row["y_mean"]), np.array([row[f"m{j}"] for j in range(d)]))
+    return fit_max_abs_batched(df, d, label=label, features=features)
+
+
+def fit_max_abs_batched(
+    df: DataFrame, d: int, *, label: str = "y", features: str = "x"
+) -> ScaleStats:
+    """The fit for wide features: per-batch maxima in numpy, merged by Spark."""
 
     def partial(batch):
         x = column_matrix(batch.column(1), d)

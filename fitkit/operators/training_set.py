@@ -147,7 +147,8 @@ class TrainingSet:
 
     @staticmethod
     def _count_tasks(df: DataFrame) -> int:
-        return df.agg(F.max(F.spark_partition_id()).alias("p")).first()["p"] + 1
+        tasks = df.select(F.spark_partition_id().alias("p"))
+        return (tasks.agg(F.max("p")).first()[0] or 0) + 1
 
     @cached_property
     def slots(self) -> list[tuple[int, int, int, int]]:
