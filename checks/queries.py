@@ -178,20 +178,21 @@ def shard_assign(spark, sf_dir):
 def _shard_blocks(spark, ts):
     def kernel(batches):
         for b in iter_shards(batches, 2):
-            values = [b.shard, len(b.y), b.ids[0], b.ids[-1]]
+            values = [b.shard, len(b.y), b.ids[0], b.ids[-1]]  # shard is the slot label
             sums = [b.x[0, 0], b.y.sum(), b.y @ b.x[:, 0], b.y @ b.x[:, 1]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(v)], pa.int64()) for v in values]
                 + [pa.array([float(v)], pa.float64()) for v in sums],
-                ["shard", "s", "first_id", "last_id", "first_x0", "sum_y", "sum_yx0", "sum_yx1"],
+                ["label", "s", "first_id", "last_id", "first_x0", "sum_y", "sum_yx0", "sum_yx1"],
             )
 
     out = ts.gathered.mapInArrow(
         kernel,
-        "shard BIGINT, s BIGINT, first_id BIGINT, last_id BIGINT, first_x0 DOUBLE, sum_y DOUBLE, "
+        "label BIGINT, s BIGINT, first_id BIGINT, last_id BIGINT, first_x0 DOUBLE, sum_y DOUBLE, "
         "sum_yx0 DOUBLE, sum_yx1 DOUBLE",
-    ).select(
-        "shard", "s", "first_id", "last_id", *[r(c, c) for c in ("first_x0", "sum_y", "sum_yx0", "sum_yx1")]
+    ).join(ts.slot_table().select("shard", F.explode("labels").alias("label")), "label")
+    out = out.select(
+        big("shard"), "s", "first_id", "last_id", *[r(c, c) for c in ("first_x0", "sum_y", "sum_yx0", "sum_yx1")]
     )
     return rows(spark, out.collect(), out.schema.simpleString()[7:-1])
 
@@ -287,14 +288,14 @@ def rff_bandwidth(spark, sf_dir):
 
 
 def rff_bandwidth_capped(spark, sf_dir):
-    return _bandwidth(bandwidth_sampled(fx.event2(spark, sf_dir), 2))
+    return _bandwidth(bandwidth_sampled(fx.event2(spark, sf_dir)))
 
 
 # ---- sums --------------------------------------------------------------------------
 
 
 def _profile(spark, ts):
-    p = ts.profile
+    p = ts.prepare(LOGISTIC).profile
     return rows(
         spark,
         [(p.n, p.d, ts.m, p.odd_labels, p.positive_labels)],

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNROLL_LIMIT = 64
+# Widest array whose elements are written out as separate terms.  Beyond it the
+# generated code outgrows the JVM's method limit and repeats work per element.
+UNROLL_LIMIT = 16
 
 
 def literal_vector(values: Sequence[float]) -> Column:
@@ -23,11 +27,37 @@ def weighted_sum(columns: Sequence[Column], weights: Sequence[float]) -> Column:
 
 
 def dot(x: Column, weights: Sequence[float]) -> Column:
-    """``<x, weights>``: flat arithmetic when narrow, a fold over the array when wide."""
-    if len(weights) <= UNROLL_LIMIT:
-        return weighted_sum([F.get(x, F.lit(j)) for j in range(len(weights))], weights)
-    products = F.zip_with(x, literal_vector(weights), lambda a, b: a * b)
-    return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+    """``<x, weights>``: flat arithmetic when narrow, one BLAS product per Arrow batch when wide."""
+    d = len(weights)
+    if d <= UNROLL_LIMIT:
+        return weighted_sum([F.get(x, F.lit(j)) for j in range(d)], weights)
+    w = np.asarray(weights, dtype=np.float64)
+
+    @F.arrow_udf("double")
+    def product(column: pa.Array) -> pa.Array:
+        return pa.array(column_matrix(column, d) @ w)
+
+    return product(x.cast("array<double>"))
+
+
+def column_matrix(column: pa.Array, d: int) -> np.ndarray:
+    """An Arrow list column as an ``(s, d)`` matrix; rows of another width are an error."""
+    if column.null_count:
+        raise ValueError("a feature array is null")
+    widths = np.diff(column.offsets.to_numpy(zero_copy_only=False))
+    if len(widths) and not (widths == d).all():
+        raise ValueError(f"feature arrays differ in width: expected {d}, found {sorted(set(widths))[:5]}")
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("a feature value is null")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
+
+
+def matrix_column(values: np.ndarray) -> pa.Array:
+    """An ``(s, d)`` matrix as an Arrow list column."""
+    s, d = values.shape
+    offsets = pa.array(np.arange(s + 1) * d, pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(values).ravel()))
 
 
 def softplus(z: Column) -> Column:

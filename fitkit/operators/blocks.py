@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fitkit.functions.vectors import column_matrix
+
 BLOCK_SCHEMA = "shard INT, s INT, odd INT, pos INT, ids BINARY, y BINARY, x BINARY"
 PARTIAL_SCHEMA = "part INT, v BINARY"
 MERGE_ABOVE = 5_000_000  # doubles sent to the driver before a merge level is added
@@ -30,19 +32,6 @@ class Block(NamedTuple):
     x: np.ndarray
 
 
-def column_matrix(column: pa.Array, d: int) -> np.ndarray:
-    """An Arrow list column as an ``(s, d)`` matrix; rows of another width are an error."""
-    if column.null_count:
-        raise ValueError("a feature array is null")
-    widths = np.diff(column.offsets.to_numpy(zero_copy_only=False))
-    if len(widths) and not (widths == d).all():
-        raise ValueError(f"feature arrays differ in width: expected {d}, found {sorted(set(widths))[:5]}")
-    flat = column.flatten()
-    if flat.null_count:
-        raise ValueError("a feature value is null")
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
-
-
 def _block_batch(shard: int, ids, y, x) -> pa.RecordBatch:
     ids, y, x = (np.concatenate(a) if len(a) > 1 else a[0] for a in (ids, y, x))
     odd = int((np.abs(y) != 1.0).sum())
@@ -121,27 +110,50 @@ def iter_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Block
             )
 
 
-def iter_shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Block]:
-    """Whole shards, one at a time, from blocks that arrive grouped by shard.
+def join_blocks(parts: list[Block]) -> Block:
+    """One block from the blocks of a shard, rows ordered by id.
 
-    Rows come out ordered by id, so seeded solvers do not depend on arrival order.
+    The order makes seeded solvers independent of arrival order.  Blocks that are
+    in order already, and single blocks, are not copied again.
     """
-
-    def joined(parts: list[Block]) -> Block:
-        ids = np.concatenate([p.ids for p in parts])
+    if len(parts) == 1:
+        ids, y, x = parts[0][1:]
+    else:
+        ids, y, x = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+    if (ids[1:] < ids[:-1]).any():
         order = np.argsort(ids, kind="stable")
-        y = np.concatenate([p.y for p in parts])[order]
-        x = np.concatenate([p.x for p in parts])[order]
-        return Block(parts[0].shard, ids[order], y, x)
+        ids, y, x = ids[order], y[order], x[order]
+    return Block(parts[0].shard, ids, y, x)
+
+
+def iter_shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Block]:
+    """Whole shards, one at a time, from blocks that arrive grouped by shard."""
+    for parts in _grouped(iter_blocks(batches, width)):
+        yield join_blocks(parts)
 
+
+def _grouped(blocks: Iterator[Block]) -> Iterator[list[Block]]:
     parts: list[Block] = []
-    for block in iter_blocks(batches, width):
+    for block in blocks:
         if parts and parts[0].shard != block.shard:
-            yield joined(parts)
+            yield parts
             parts = []
         parts.append(block)
     if parts:
-        yield joined(parts)
+        yield parts
+
+
+def order_blocks(packed: DataFrame, d: int, block_bytes: int) -> DataFrame:
+    """Sort each partition by shard and rewrite each shard's blocks in id order."""
+    rows = max(1, block_bytes // (8 * d))
+
+    def kernel(batches):
+        for shard in iter_shards(batches, d):
+            for i in range(0, len(shard.y), rows):
+                part = slice(i, i + rows)
+                yield _block_batch(shard.shard, [shard.ids[part]], [shard.y[part]], [shard.x[part]])
+
+    return packed.sortWithinPartitions("shard").mapInArrow(kernel, BLOCK_SCHEMA)
 
 
 def partial_batch(v: np.ndarray) -> pa.RecordBatch:
@@ -188,22 +200,15 @@ def fold_partials(partials: DataFrame, combine, length: int, n_tasks: int | None
     return total
 
 
-def fold_rows(df: DataFrame, partial, combines, lengths) -> list[np.ndarray]:
-    """Fold per-batch vectors ``partial(batch) -> tuple`` over a whole DataFrame."""
-    cuts = np.cumsum(lengths)[:-1]
-
-    def combine(a, b):
-        pairs = zip(combines, np.split(a, cuts), np.split(b, cuts))
-        return np.concatenate([c(p, q) for c, p, q in pairs])
+def fold_rows(df: DataFrame, partial, combine, length: int) -> np.ndarray:
+    """Fold one vector per Arrow batch, ``partial(batch)``, over a whole DataFrame."""
 
     def kernel(batches):
-        vectors = (np.concatenate(partial(b)) for b in batches if b.num_rows)
-        total = _fold(vectors, combine)
+        total = _fold((partial(b) for b in batches if b.num_rows), combine)
         if total is not None:
             yield partial_batch(total)
 
-    folded = fold_partials(df.mapInArrow(kernel, PARTIAL_SCHEMA), combine, sum(lengths), None)
-    return np.split(folded, cuts)
+    return fold_partials(df.mapInArrow(kernel, PARTIAL_SCHEMA), combine, length, None)
 
 
 def sum_over_blocks(

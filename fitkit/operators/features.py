@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fitkit.functions.noise import hash_gaussian_value, hash_uniform_value
-from fitkit.functions.vectors import dot
-from fitkit.operators.blocks import column_matrix
+from fitkit.functions.vectors import UNROLL_LIMIT, column_matrix, literal_vector, matrix_column
+from fitkit.operators.blocks import fold_rows
 
 # Seeds of the projection and of the phases (fixed values).
 PROJECTION_SEED = 1234
@@ -66,36 +66,33 @@ class RandomFourier:
 
 def random_fourier(df: DataFrame, m: RandomFourier, *, features: str = "x") -> DataFrame:
     """Replace ``features`` by its random Fourier map, one BLAS product per Arrow batch."""
-    where = df.columns.index(features)
-    schema = T.StructType(
-        [
-            T.StructField(f.name, T.ArrayType(T.DoubleType())) if f.name == features else f
-            for f in df.schema.fields
-        ]
-    )
 
-    def kernel(batches):
+    @F.arrow_udf("array<double>")
+    def mapped(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         apply = m.bind()
-        for batch in batches:
-            mapped = apply(column_matrix(batch.column(where), m.width))
-            offsets = pa.array(np.arange(len(mapped) + 1) * m.size, pa.int32())
-            columns = list(batch.columns)
-            columns[where] = pa.ListArray.from_arrays(offsets, pa.array(mapped.ravel()))
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        for column in columns:
+            yield matrix_column(apply(column_matrix(column, m.width)))
 
-    cast = df.withColumn(features, F.col(features).cast("array<double>"))
-    return cast.mapInArrow(kernel, schema)
+    return df.withColumn(features, mapped(F.col(features).cast("array<double>")))
 
 
 def random_fourier_native(df: DataFrame, m: RandomFourier, *, features: str = "x") -> DataFrame:
-    """The same map as one expression per feature, for small ``size * width``."""
+    """The same map inside the JVM, by array functions over a constant projection."""
     z, v = m.table()
     scale = math.sqrt(2.0 / m.size)
-    x = F.col(features)
-    mapped = [
-        F.lit(scale) * F.cos(dot(x, row) + F.lit(float(phase))) for row, phase in zip(z, v)
-    ]
-    return df.withColumn(features, F.array(*mapped))
+    projection = F.array(
+        *[
+            F.struct(literal_vector(row).alias("z"), F.lit(float(phase)).alias("v"))
+            for row, phase in zip(z, v)
+        ]
+    )
+
+    def feature(row):
+        products = F.zip_with(F.col(features), row["z"], lambda a, b: a * b)
+        score = F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
+        return F.lit(scale) * F.cos(score + row["v"])
+
+    return df.withColumn(features, F.transform(projection, feature))
 
 
 def bandwidth(df: DataFrame, d: int, *, features: str = "x") -> DataFrame:
@@ -103,16 +100,36 @@ def bandwidth(df: DataFrame, d: int, *, features: str = "x") -> DataFrame:
 
     ``mean |xi - xj|^2`` over all ordered pairs, self pairs included, is twice the
     summed population variance of the features; ``sigma`` is its square root.
+    Wide data is summed per Arrow batch with the pairwise mean and deviation merge.
     """
-    spread = [F.var_pop(F.get(F.col(features), F.lit(j)).cast("double")) for j in range(d)]
-    total = sum(spread[1:], spread[0])
-    return df.agg(F.count("*").alias("n"), (F.lit(2.0) * total).alias("mean_sq_dist")).withColumn(
-        "sigma", F.sqrt("mean_sq_dist")
+    if d <= UNROLL_LIMIT:
+        spread = [F.var_pop(F.get(F.col(features), F.lit(j)).cast("double")) for j in range(d)]
+        row = df.agg(
+            F.count("*").alias("n"), (F.lit(2.0) * sum(spread[1:], spread[0])).alias("mean_sq_dist")
+        )
+        return row.withColumn("sigma", F.sqrt("mean_sq_dist"))
+
+    def partial(batch):
+        x = column_matrix(batch.column(0), d)
+        mean = x.mean(axis=0)
+        return np.concatenate([[float(len(x))], mean, [((x - mean) ** 2).sum()]])
+
+    def combine(a, b):
+        n = a[0] + b[0]
+        gap = b[1:-1] - a[1:-1]
+        deviation = a[-1] + b[-1] + float(gap @ gap) * a[0] * b[0] / n
+        return np.concatenate([[n], a[1:-1] + gap * (b[0] / n), [deviation]])
+
+    source = df.select(F.col(features).cast("array<double>"))
+    total = fold_rows(source, partial, combine, d + 2)
+    value = 2.0 * float(total[-1]) / float(total[0])
+    return df.sparkSession.createDataFrame(
+        [(int(total[0]), value, math.sqrt(value))], "n BIGINT, mean_sq_dist DOUBLE, sigma DOUBLE"
     )
 
 
 def bandwidth_sampled(
-    df: DataFrame, d: int, *, key: str = "id", per_shard: int = 500, features: str = "x"
+    df: DataFrame, *, key: str = "id", per_shard: int = 500, features: str = "x"
 ) -> DataFrame:
     """The same from the first ``per_shard`` rows by key of each shard, shard means averaged.
 
@@ -122,10 +139,9 @@ def bandwidth_sampled(
     """
     first = Window.partitionBy("shard").orderBy(key)
     picked = df.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_shard)
-    spread = [F.var_pop(F.get(F.col(features), F.lit(j)).cast("double")) for j in range(d)]
-    per = picked.groupBy("shard").agg(
-        F.count("*").alias("s"), (F.lit(2.0) * sum(spread[1:], spread[0])).alias("v")
-    )
+    long = picked.select("shard", F.posexplode(features).alias("j", "v"))
+    spread = long.groupBy("shard", "j").agg(F.count("*").alias("s"), F.var_pop("v").alias("v"))
+    per = spread.groupBy("shard").agg(F.max("s").alias("s"), (F.sum("v") * 2.0).alias("v"))
     return per.agg(F.sum("s").alias("n"), F.avg("v").alias("mean_sq_dist")).withColumn(
         "sigma", F.sqrt("mean_sq_dist")
     )

@@ -10,10 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitkit.functions.noise import hash_gaussian, hash_uint32
-from fitkit.functions.vectors import literal_vector
-from fitkit.operators.blocks import column_matrix, fold_rows
-
-UNROLLED_STATS = 128
+from fitkit.functions.vectors import UNROLL_LIMIT, column_matrix, literal_vector
+from fitkit.operators.blocks import fold_rows
 
 
 def recode_affine(df: DataFrame, shift: float, scale: float, *, label: str = "y") -> DataFrame:
@@ -45,7 +43,7 @@ class ScaleStats:
 
 def fit_max_abs(df: DataFrame, d: int, *, label: str = "y", features: str = "x") -> ScaleStats:
     """One aggregation pass; narrow data stays in the JVM, wide data goes by Arrow batch."""
-    if d <= UNROLLED_STATS:
+    if d <= UNROLL_LIMIT:
         row = df.agg(
             F.avg(label).alias("y_mean"),
             *[F.max(F.abs(F.get(F.col(features), F.lit(j)))).alias(f"m{j}") for j in range(d)],
@@ -62,15 +60,14 @@ def fit_max_abs_batched(
     def partial(batch):
         x = column_matrix(batch.column(1), d)
         y = batch.column(0).to_numpy(zero_copy_only=False)
-        return np.abs(x).max(axis=0), np.array([y.sum(), float(len(y))])
+        return np.concatenate([np.abs(x).max(axis=0), [y.sum(), float(len(y))]])
 
-    peaks, total = fold_rows(
-        df.select(F.col(label).cast("double"), features),
-        partial,
-        (np.maximum, np.add),
-        (d, 2),
-    )
-    return ScaleStats(float(total[0] / total[1]), peaks)
+    def combine(a, b):
+        return np.concatenate([np.maximum(a[:d], b[:d]), a[d:] + b[d:]])
+
+    source = df.select(F.col(label).cast("double"), F.col(features).cast("array<double>"))
+    total = fold_rows(source, partial, combine, d + 2)
+    return ScaleStats(float(total[d] / total[d + 1]), total[:d])
 
 
 def apply_max_abs(

@@ -1,11 +1,13 @@
 """A prepared training table and the sums every trainer is built from.
 
-Two physical forms, chosen by feature width:
+Two physical forms, chosen by feature width and loss:
 
-* narrow (``d <= native_limit``): features are unrolled into scalar columns and
-  cached; each sum is one ``agg`` that whole-stage codegen runs in the JVM, with
-  map-side partial aggregation, so a hot shard is never moved or collected.
-* wide: rows are packed into blocks and each sum is one Arrow kernel pass.
+* native (squared loss, ``d <= native_limit``): features are unrolled into scalar
+  columns and cached; each sum is one ``agg`` that whole-stage codegen runs in the
+  JVM, with map-side partial aggregation, so a hot shard is never moved or collected.
+* blocks: rows are packed into blocks and each sum is one Arrow kernel pass.  Also
+  the faster form for narrow logistic data, whose cost is ``exp`` and ``log``:
+  numpy evaluates those several times faster than the JVM's strict math.
 
 A third form, whole shards gathered into tasks, is built only for solvers that
 need all rows of a shard at once.
@@ -25,10 +27,11 @@ from pyspark.sql import functions as F
 
 from fitkit.functions.vectors import weighted_sum
 from fitkit.operators import shards
-from fitkit.operators.blocks import Block, pack_blocks, sum_over_blocks
-from fitkit.operators.losses import Loss, Penalty
+from fitkit.operators.blocks import Block, order_blocks, pack_blocks, sum_over_blocks
+from fitkit.operators.losses import SQUARED, Loss, Penalty
 from fitkit.session import arrow_rows
 
+SPREAD_ABOVE = 20_000  # rows below which an uneven layout does not matter
 MAX_STATE_BYTES = 1 << 30  # one weight vector shipped to tasks
 
 
@@ -69,6 +72,7 @@ class TrainingSet:
         *,
         d: int | None = None,
         native_limit: int = 8,
+        engine: str = "auto",
         block_bytes: int = 16 << 20,
         shard_bytes: int = 256 << 20,
         gram_limit: int = 2048,
@@ -87,7 +91,12 @@ class TrainingSet:
         self.d = self.source_width if feature_map is None else feature_map.size
         if 8 * self.d > MAX_STATE_BYTES:
             raise ValueError(f"a weight vector of {self.d} doubles is too large to ship to tasks")
-        self.native = feature_map is None and self.d <= native_limit
+        if engine not in ("auto", "native", "blocks"):
+            raise ValueError(f"unknown engine {engine!r}")
+        if engine == "native" and feature_map is not None:
+            raise ValueError("a feature map needs the block form")
+        self.engine = engine
+        self.narrow = feature_map is None and self.d <= native_limit
         self.block_bytes = block_bytes
         self.shard_bytes = shard_bytes
         self.gram_limit = gram_limit
@@ -103,7 +112,17 @@ class TrainingSet:
         for df in self._held:
             df.unpersist()
         self._held.clear()
-        for name in ("flat", "blocks", "pure_blocks", "gathered", "profile", "slots", "m"):
+        for name in (
+            "flat",
+            "blocks",
+            "pure_blocks",
+            "gathered",
+            "joinable",
+            "profile",
+            "slots",
+            "labels",
+            "m",
+        ):
             self.__dict__.pop(name, None)
 
     def hold(self, df: DataFrame) -> DataFrame:
@@ -115,41 +134,73 @@ class TrainingSet:
         df.unpersist()
         self._held = [held for held in self._held if held is not df]
 
+    def is_native(self, loss: Loss) -> bool:
+        """Whether sums of this loss run as JVM aggregations."""
+        if self.engine == "auto":
+            return self.narrow and not loss.labels_are_signs
+        return self.engine == "native"
+
+    def prepare(self, loss: Loss) -> TrainingSet:
+        """Build and cache the form this loss uses, unless one is cached already."""
+        if self.is_native(loss):
+            self.flat
+        else:
+            self._held_blocks()
+        return self
+
     # ---- physical forms -------------------------------------------------
 
     @cached_property
     def flat(self) -> DataFrame:
         """Scalar columns ``shard, y, x0..`` plus the array width, cached."""
         xs = [F.get(F.col("x"), F.lit(j)).alias(f"x{j}") for j in range(self.d)]
-        return self.hold(self.rows.select("shard", "y", F.size("x").alias("width"), *xs))
+        columns = ["shard", "y", F.size("x").alias("width"), *xs]
+        return self._hold_even(lambda rows: rows.select(*columns), F.lit(1))[0]
 
     @cached_property
     def blocks(self) -> DataFrame:
         """Blocks cut where the rows already are: no shuffle, shards mixed."""
         with self.batches():
-            rows = self.rows.withColumn("shard", F.lit(0))
-            out = self.hold(self._pack(rows))
-            self._block_tasks = self._count_tasks(out)
+            out, self._block_tasks = self._hold_even(
+                lambda rows: self._pack(rows.withColumn("shard", F.lit(0))), F.col("s")
+            )
         return out
 
     @cached_property
     def pure_blocks(self) -> DataFrame:
         """Blocks that hold one shard each, still cut where the rows are."""
         with self.batches():
-            out = self.hold(self._pack(self.rows))
-            self._pure_tasks = self._count_tasks(out)
+            out, self._pure_tasks = self._hold_even(self._pack, F.col("s"))
         return out
 
+    def _hold_even(self, build, rows_in: Column) -> tuple[DataFrame, int]:
+        """Cache ``build(rows)``; if its partitions leave the cluster idle, spread rows first.
+
+        An iterative fit passes over the cache many times, so one unsplittable file
+        or a few fat partitions would set the pace of every pass.  With more
+        partitions than cores, the normal case for large inputs, nothing is moved.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        out = self.hold(build(self.rows))
+        sizes = out.select(F.spark_partition_id().alias("p"), rows_in.alias("r"))
+        row = (
+            sizes.groupBy("p")
+            .agg(F.sum("r").alias("r"))
+            .agg(F.max("r").alias("largest"), F.sum("r").alias("n"), F.max("p").alias("last"))
+            .first()
+        )
+        if not row["n"]:
+            return out, 1
+        if row["n"] >= SPREAD_ABOVE and row["largest"] > 2 * math.ceil(row["n"] / cores):
+            self.release(out)
+            return self.hold(build(self.rows.repartition(cores))), cores
+        return out, row["last"] + 1
+
     def _pack(self, rows: DataFrame) -> DataFrame:
         return pack_blocks(
             rows, self.source_width, block_bytes=self.block_bytes, feature_map=self.feature_map
         )
 
-    @staticmethod
-    def _count_tasks(df: DataFrame) -> int:
-        tasks = df.select(F.spark_partition_id().alias("p"))
-        return (tasks.agg(F.max("p")).first()[0] or 0) + 1
-
     @cached_property
     def slots(self) -> list[tuple[int, int, int, int]]:
         """``(shard, first slot, pieces, rows)`` per shard; more than one piece if oversized.
@@ -172,7 +223,7 @@ class TrainingSet:
     @cached_property
     def m(self) -> int:
         """Number of shards in the table."""
-        if "slots" in self.__dict__ or not self.native:
+        if "slots" in self.__dict__ or "flat" not in self.__dict__:
             return len(self.slots)
         return self.flat.agg(F.count_distinct("shard")).first()[0]
 
@@ -184,24 +235,57 @@ class TrainingSet:
     def has_oversized_shard(self) -> bool:
         return any(pieces > 1 for _, _, pieces, _ in self.slots)
 
+    @cached_property
+    def labels(self) -> list[int]:
+        """One integer per slot such that hash partitioning puts one slot in each task.
+
+        Plain shard numbers collide under hash partitioning and leave some tasks
+        with several shards and others with none, which sets the pace of every
+        iteration.  Labels are free to choose, so they are picked by the partition
+        Spark's own hash assigns them.  The partitioning stays an ordinary hash
+        partitioning on ``shard``, which joins on that column reuse.
+        """
+        m = self.n_slots
+        reach = int(m * (math.log(m) + 10)) + 1
+        while True:
+            home = F.pmod(F.hash(F.col("id").cast("int")), F.lit(m)).alias("p")
+            found = self.spark.range(reach).groupBy(home).agg(F.min("id").alias("label"))
+            by_home = {r["p"]: r["label"] for r in found.collect()}
+            if len(by_home) == m:
+                return [by_home[p] for p in range(m)]
+            reach *= 2
+
+    def slot_table(self) -> DataFrame:
+        """``(shard, rows, labels ARRAY<INT>)``: the labels of the pieces of each shard."""
+        values = [(s, n, self.labels[f : f + p]) for s, f, p, n in self.slots]
+        return self.spark.createDataFrame(values, "shard INT, rows BIGINT, labels ARRAY<INT>")
+
     @cached_property
     def gathered(self) -> DataFrame:
-        """All blocks of a shard in one task, consecutive, cached; ``shard`` is the slot.
+        """All blocks of a shard in one task, consecutive, ordered by id, cached.
 
-        Hash partitioned and sorted by shard, which a later join on ``shard`` reuses.
+        ``shard`` holds the slot label here.  Rows are packed into blocks before the
+        shuffle, and blocks are ordered once, after it.
         """
-        table = self.spark.createDataFrame(
-            [(s, f, p) for s, f, p, _ in self.slots], "shard INT, first INT, pieces INT"
-        )
-        slot = F.col("first") + F.pmod(F.xxhash64("id"), F.col("pieces"))
-        rows = self.rows.join(table, "shard").withColumn("shard", slot.cast("int"))
+        return self._gather(lambda packed: order_blocks(packed, self.d, self.block_bytes))
+
+    @cached_property
+    def joinable(self) -> DataFrame:
+        """The same, hash partitioned and sorted by ``shard`` in Spark's eyes.
+
+        A join on ``shard`` then moves only the other side.  Blocks of a shard are
+        not in id order; the reader orders them.
+        """
+        return self._gather(lambda packed: packed.sortWithinPartitions("shard"))
+
+    def _gather(self, arrange) -> DataFrame:
+        piece = F.pmod(F.xxhash64("id"), F.size("labels"))
+        label = F.get("labels", piece.cast("int"))
+        rows = self.rows.join(self.slot_table(), "shard").withColumn("shard", label)
         with self.batches():
-            packed = self._pack(rows)
-            out = self.hold(
-                packed.repartition(self.n_slots, "shard").sortWithinPartitions("shard")
-            )
+            out = self.hold(arrange(self._pack(rows).repartition(self.n_slots, "shard")))
             largest = out.groupBy("shard").agg(F.sum("s").alias("s")).agg(F.max("s")).first()[0]
-        if 8 * self.d * largest > 2 * self.shard_bytes and self.has_oversized_shard:
+        if self.has_oversized_shard and 8 * self.d * largest > 2 * self.shard_bytes:
             raise ValueError(
                 f"a shard keeps {largest} rows after splitting by id; give rows unique ids"
             )
@@ -217,8 +301,9 @@ class TrainingSet:
 
     def _held_blocks(self) -> tuple[DataFrame, int]:
         """The block form already cached, whichever it is, so data is cached once."""
-        if "gathered" in self.__dict__:
-            return self.gathered, self.n_slots
+        for name in ("gathered", "joinable"):
+            if name in self.__dict__:
+                return getattr(self, name), self.n_slots
         if "pure_blocks" in self.__dict__:
             return self.pure_blocks, self._pure_tasks
         return self.blocks, self._block_tasks
@@ -228,7 +313,7 @@ class TrainingSet:
     @cached_property
     def profile(self) -> Profile:
         """Counts, widths, shards and the label domain, checked globally in one job."""
-        if self.native:
+        if "flat" in self.__dict__:
             odd = F.sum(F.when(F.abs("y") == 1.0, 0).otherwise(1))
             per_shard = self.flat.groupBy("shard").agg(
                 F.count("*").alias("n"),
@@ -266,6 +351,7 @@ class TrainingSet:
 
     def check_labels(self, loss: Loss) -> None:
         """Sign labels are required over the whole table; a one-class shard is legal."""
+        self.prepare(loss)
         if not loss.labels_are_signs:
             return
         p = self.profile
@@ -300,7 +386,7 @@ class TrainingSet:
     ) -> list[Evaluation]:
         """The same at several points, still in one pass."""
         d, y = self.d, F.col("y")
-        if self.native:
+        if self.is_native(loss):
             scored, terms = self.flat, []
             for i, w in enumerate(points):
                 scored = scored.withColumn(f"t{i}", self._score(w))
@@ -326,7 +412,7 @@ class TrainingSet:
 
     def mean_error(self, w: np.ndarray, loss: Loss) -> float:
         """Share of mistakes (or mean squared residual) at ``w``, without the gradient."""
-        if self.native:
+        if self.is_native(loss):
             error = loss.mistake_col(self._score(w), F.col("y"))
             return float(self._native_sum(self.flat, [error])[0] / self.n)
         total = self._block_sum(1, lambda b: np.array([loss.mistake(b.x @ w, b.y).sum()]))
@@ -358,7 +444,7 @@ class TrainingSet:
         next iteration has its gradient without another pass.
         """
         d, k, y = self.d, len(etas), F.col("y")
-        if self.native:
+        if self.is_native(loss):
             t, q = F.col("t"), F.col("q")
             scored = self.flat.withColumn("t", self._score(w)).withColumn("q", self._score(p))
             at = [t - F.lit(float(e)) * q for e in etas]
@@ -394,13 +480,13 @@ class TrainingSet:
 
     def moments(self) -> np.ndarray:
         """``X y`` (a plain sum)."""
-        if self.native:
+        if self.is_native(SQUARED):
             return self._native_sum(self.flat, [x * F.col("y") for x in self._xs()])
         return self._block_sum(self.d, lambda b: b.y @ b.x)
 
     def gram_apply(self, p: np.ndarray) -> np.ndarray:
         """``X (X' p)`` (a plain sum)."""
-        if self.native:
+        if self.is_native(SQUARED):
             scored = self.flat.withColumn("t", self._score(p))
             return self._native_sum(scored, [x * F.col("t") for x in self._xs()])
         return self._block_sum(self.d, lambda b: (b.x @ p) @ b.x)
@@ -412,12 +498,10 @@ class TrainingSet:
         the squared loss at ``w = 0`` they hold the Gram matrix, ``-X y`` and half
         the squared label norm.
         """
-        if self.native:
+        if self.is_native(loss):
             return shards.native_stats(self.flat, self.d, self._score(w), loss)
         if self.d > self.gram_limit:
             raise ValueError(f"a {self.d} x {self.d} matrix per shard is over the limit")
         if "gathered" in self.__dict__:
-            with self.block_batches():
-                return shards.gathered_stats(self.gathered, self.d, w, loss)
-        with self.block_batches():
-            return shards.merged_stats(self.pure_blocks, self.d, self._pure_tasks, w, loss)
+            return shards.gathered_stats(self.gathered, self.d, w, loss)
+        return shards.merged_stats(self.pure_blocks, self.d, self._pure_tasks, w, loss)

@@ -16,11 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitkit.operators.blocks import PARTIAL_SCHEMA, Block, fold_partials, iter_blocks, partial_batch
+from fitkit.operators.blocks import (
+    PARTIAL_SCHEMA,
+    Block,
+    fold_partials,
+    iter_blocks,
+    join_blocks,
+    partial_batch,
+)
 from fitkit.operators.losses import SQUARED, Loss, Penalty
 from fitkit.operators.shards import conjugate_gradient, iter_stats, solve_matrix, split_stats, svrg
 from fitkit.operators.training_set import TrainingSet
-from fitkit.plans.local import starting_point, uses_statistics
+from fitkit.plans.local import squared_stats, starting_point
 from fitkit.plans.loop import FitResult, History
 from fitkit.plans.steps import StopRule
 from fitkit.session import checkpoint_dir
@@ -53,19 +60,13 @@ def _shards_with_state(batches: Iterator[pa.RecordBatch], d: int):
         duals = _vectors(batch.column(names.index("a")))
         for i, block in enumerate(iter_blocks(iter([batch]), d)):
             if held and held[0].shard != block.shard:
-                yield _merge(held), *state
+                yield join_blocks(held), *state
                 held = []
             if not held:
                 state = (ws[i].copy(), duals[i].copy())
             held.append(block)
     if held:
-        yield _merge(held), *state
-
-
-def _merge(parts: list[Block]) -> Block:
-    ids, y, x = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-    order = np.argsort(ids, kind="stable")
-    return Block(parts[0].shard, ids[order], y[order], x[order])
+        yield join_blocks(held), *state
 
 
 def fit_admm(
@@ -95,11 +96,11 @@ def fit_admm(
     d, penalty = ts.d, Penalty(l2=l2)
     rho = DEFAULT_RHO * l2 if rho is None else rho
     stop = stop or StopRule(grad_tol=1e-22 if loss.labels_are_signs else 1e-18)
-    by_stats = loss is SQUARED and (ts.d <= ts.gram_limit or uses_statistics(ts))
+    by_stats = loss is SQUARED and ts.d <= ts.gram_limit
     if by_stats:
-        data, m = ts.hold(ts.shard_stats(np.zeros(d), SQUARED)), ts.m
+        data, m = squared_stats(ts), ts.m
     else:
-        data, m = ts.gathered, ts.n_slots
+        data, m = ts.joinable, ts.n_slots
     ts.check_labels(loss)
     n = ts.n
 

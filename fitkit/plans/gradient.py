@@ -113,7 +113,7 @@ def fit_cg(
     The objective, error and gradient of every iterate follow from the residual
     recurrence, so the history needs no passes of its own.
     """
-    penalty, n = Penalty(l2=l2), ts.n
+    penalty, n = Penalty(l2=l2), ts.prepare(SQUARED).n
     loop.setdefault("stop", StopRule(grad_tol=1e-18 / n**2))
     w0 = starting_point(ts, start, SQUARED, l2, inner=inner, rate=1.0, seed=0)
     direction: list[np.ndarray] = []

@@ -67,12 +67,15 @@ class QuadraticTotals:
 
 def squared_stats(ts: TrainingSet) -> DataFrame:
     """Gram matrix and moments per shard, held for the length of a fit."""
-    return ts.hold(ts.shard_stats(np.zeros(ts.d), SQUARED))
+    stats = ts.hold(ts.shard_stats(np.zeros(ts.d), SQUARED))
+    with ts.block_batches():
+        stats.count()
+    return stats
 
 
-def uses_statistics(ts: TrainingSet) -> bool:
+def uses_statistics(ts: TrainingSet, loss: Loss) -> bool:
     """Whether shard matrices are aggregated instead of gathering shard rows."""
-    return ts.native or (ts.d <= ts.gram_limit and ts.has_oversized_shard)
+    return ts.is_native(loss) or (ts.d <= ts.gram_limit and ts.has_oversized_shard)
 
 
 def sum_of_answers(
@@ -90,14 +93,15 @@ def sum_of_answers(
     ``from_rows(block)`` gets its rows.
     """
     d, n = ts.d, ts.n
-    if stats is None and uses_statistics(ts):
+    if stats is None and uses_statistics(ts, loss):
         stats = ts.shard_stats(w, loss)
     if stats is not None:
 
         def term(_, s, v):
             return s * from_matrix(split_stats(v, d)[0] / s, s)
 
-        return sum_over_stats(stats, d, _tasks(d), term) / n
+        with ts.block_batches():
+            return sum_over_stats(stats, d, _tasks(d), term) / n
     with_rows = ts.gathered
     with ts.block_batches():
         total = sum_over_shards(
@@ -122,15 +126,15 @@ def average_models(
     """
     d, zero = ts.d, np.zeros(ts.d)
     if loss is SQUARED:
-        if uses_statistics(ts):
-            n = ts.n
+        if uses_statistics(ts, loss):
 
             def from_stats(_, s, v):
                 gram, slope, _, _ = split_stats(v, d)
                 return s * solve_matrix(gram / s + l2 * np.eye(d), -slope / s, inner)
 
             stats = ts.shard_stats(zero, SQUARED)
-            return sum_over_stats(stats, d, _tasks(d), from_stats) / n
+            with ts.block_batches():
+                return sum_over_stats(stats, d, _tasks(d), from_stats) / ts.n
 
         def from_rows(b: Block) -> np.ndarray:
             s = len(b.y)

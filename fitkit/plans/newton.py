@@ -60,7 +60,7 @@ def fit_newton(
     if loss is SQUARED and _ridge_in_matrix_form(ts, max_iter, inner, hessian):
         stats = squared_stats(ts)
         source = QuadraticTotals(ts, stats)
-    elif not uses_statistics(ts):
+    elif not uses_statistics(ts, loss):
         ts.gathered  # built before the first evaluation, so one cached copy serves both
     ts.check_labels(loss)
     etas = step_table(loss)
@@ -105,7 +105,7 @@ def fit_newton(
 
 
 def _ridge_in_matrix_form(ts: TrainingSet, max_iter: int, inner: int, hessian: str) -> bool:
-    if ts.native:
+    if ts.is_native(SQUARED):
         return hessian != "free"
     if ts.d > ts.gram_limit or hessian == "free":
         return ts.d <= ts.gram_limit and ts.has_oversized_shard
@@ -134,7 +134,7 @@ def fit_prox_newton(
     loss = LOGISTIC
     d, gram_limit, penalty = ts.d, ts.gram_limit, Penalty(l1=l1, l2=l2)
     etas = step_table(loss)
-    if not uses_statistics(ts):
+    if not uses_statistics(ts, loss):
         ts.gathered
     ts.check_labels(loss)
 

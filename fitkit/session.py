@@ -43,9 +43,7 @@ def arrow_rows(spark: SparkSession, bytes_per_row: int, budget: int = 64 << 20):
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = spark.conf.get(key)
-    fitting = max(1, min(10_000, budget // max(1, bytes_per_row)))
-    limit = int(old)
-    spark.conf.set(key, str(fitting if limit <= 0 else min(fitting, limit)))
+    spark.conf.set(key, str(max(1, min(10_000, budget // max(1, bytes_per_row)))))
     try:
         yield
     finally:
