@@ -261,7 +261,8 @@ def lbfgs(data: str, loss, l2: float) -> str:
         return f"""
   SELECT eta FROM l{t} WHERE k = coalesce((SELECT min(k) FROM l{t}, e{t}, p{t}
     WHERE l{t}.f <= e{t}.f - 0.1 * eta * (p0*g0 + p1*g1)
-      AND l{t}.slope <= 0.9 * (p0*g0 + p1*g1)), {last})"""
+      AND l{t}.slope <= 0.9 * (p0*g0 + p1*g1)), (SELECT min(k) FROM l{t}, e{t}, p{t}
+    WHERE l{t}.f <= e{t}.f - 0.1 * eta * (p0*g0 + p1*g1)), {last})"""
 
     pair = """
   SELECT b.g0, b.g1, b.w0 - a.w0 AS s0, b.w1 - a.w1 AS s1, b.g0 - a.g0 AS y0, b.g1 - a.g1 AS y1

@@ -531,7 +531,7 @@ def queries() -> dict[str, Query]:
         ),
         "admm_logistic": on_set(fx.event2, _admm_logistic),
         "dane_logistic": on_set(fx.event2, _dane),
-        "model_average_ridge": on_set(fx.ridge2, _average(SQUARED, L2, 6)),
+        "model_average_ridge": on_set(fx.ridge2, _average(SQUARED, L2, 7)),
         "model_average_logistic": on_set(
             fx.event2, _average(LOGISTIC, 0.1, 5, inner=20, rate=2.0)
         ),

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fitkit.functions.vectors import scores
 from fitkit.operators.blocks import (
     PARTIAL_SCHEMA,
     Block,
@@ -60,7 +61,7 @@ def native_stats(flat: DataFrame, d: int, score: Column, loss: Loss) -> DataFram
 
 
 def block_stats(b: Block, w: np.ndarray, loss: Loss) -> np.ndarray:
-    t = b.x @ w
+    t = scores(b.x, w)
     h = (b.x * loss.curvature(t, b.y)[:, None]).T @ b.x
     tail = [loss.value(t, b.y).sum(), loss.mistake(t, b.y).sum()]
     return np.concatenate([h.ravel(), loss.slope(t, b.y) @ b.x, tail])

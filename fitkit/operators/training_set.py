@@ -25,7 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitkit.functions.vectors import weighted_sum
+from fitkit.functions.vectors import scores, weighted_sum
 from fitkit.operators import shards
 from fitkit.operators.blocks import Block, order_blocks, pack_blocks, sum_over_blocks
 from fitkit.operators.losses import SQUARED, Loss, Penalty
@@ -401,7 +401,7 @@ class TrainingSet:
             def term(b: Block) -> np.ndarray:
                 out = []
                 for w in points:
-                    t = b.x @ w
+                    t = scores(b.x, w)
                     out.append(loss.slope(t, b.y) @ b.x)
                     out.append([loss.value(t, b.y).sum(), loss.mistake(t, b.y).sum()])
                 return np.concatenate(out)
@@ -415,7 +415,7 @@ class TrainingSet:
         if self.is_native(loss):
             error = loss.mistake_col(self._score(w), F.col("y"))
             return float(self._native_sum(self.flat, [error])[0] / self.n)
-        total = self._block_sum(1, lambda b: np.array([loss.mistake(b.x @ w, b.y).sum()]))
+        total = self._block_sum(1, lambda b: np.array([loss.mistake(scores(b.x, w), b.y).sum()]))
         return float(total[0] / self.n)
 
     def as_evaluation(self, sums: np.ndarray, w: np.ndarray, penalty: Penalty) -> Evaluation:
@@ -457,7 +457,7 @@ class TrainingSet:
         else:
 
             def term(b: Block) -> np.ndarray:
-                t, q = b.x @ w, b.x @ p
+                t, q = scores(b.x, w), scores(b.x, p)
                 ats = [t - e * q for e in etas]
                 values = [loss.value(a, b.y).sum() for a in ats]
                 first = loss.slope(ats[0], b.y)
@@ -489,7 +489,7 @@ class TrainingSet:
         if self.is_native(SQUARED):
             scored = self.flat.withColumn("t", self._score(p))
             return self._native_sum(scored, [x * F.col("t") for x in self._xs()])
-        return self._block_sum(self.d, lambda b: (b.x @ p) @ b.x)
+        return self._block_sum(self.d, lambda b: scores(b.x, p) @ b.x)
 
     def shard_stats(self, w: np.ndarray, loss: Loss) -> DataFrame:
         """Per shard: ``(shard, s, stats)``, stats = curvature matrix, slope, loss, error.

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fitkit.functions.vectors import scores
 from fitkit.operators.blocks import (
     PARTIAL_SCHEMA,
     Block,
@@ -117,7 +118,7 @@ def fit_admm(
             return new, np.concatenate([gu + slope, [0.5 * sse, sse]])
         b = shard_data
         s, weight = len(b.y), m * len(b.y) / n
-        at_u = b.x @ u
+        at_u = scores(b.x, u)
         sums = np.concatenate(
             [
                 loss.slope(at_u, b.y) @ b.x,

@@ -36,9 +36,17 @@ def wolfe(
     c1: float = 0.1,
     c2: float = 0.9,
 ) -> int:
-    """Largest step with sufficient decrease and ``<p, g_new> <= c2 <p, g>``, else the last."""
-    good = np.flatnonzero((objectives <= current - c1 * etas * slope) & (slopes <= c2 * slope))
-    return int(good[0]) if len(good) else len(etas) - 1
+    """Largest step with sufficient decrease and ``<p, g_new> <= c2 <p, g>``.
+
+    If none passes both tests, the largest with sufficient decrease: where even the
+    full step is short, as the first one often is, the table has nothing longer.
+    Failing that too, the last.
+    """
+    decrease = objectives <= current - c1 * etas * slope
+    for good in (np.flatnonzero(decrease & (slopes <= c2 * slope)), np.flatnonzero(decrease)):
+        if len(good):
+            return int(good[0])
+    return len(etas) - 1
 
 
 @dataclass(frozen=True)
