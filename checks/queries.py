@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from fitkit.operators import prepare, score
-from fitkit.operators.blocks import iter_shards
+from fitkit.operators.blocks import Shape, iter_shards
 from fitkit.operators.features import (
     RandomFourier,
     bandwidth,
@@ -177,7 +177,7 @@ def shard_assign(spark, sf_dir):
 
 def _shard_blocks(spark, ts):
     def kernel(batches):
-        for b in iter_shards(batches, 2):
+        for b in iter_shards(batches, Shape(2)):
             values = [b.shard, len(b.y), b.ids[0], b.ids[-1]]  # shard is the slot label
             sums = [b.x[0, 0], b.y.sum(), b.y @ b.x[:, 0], b.y @ b.x[:, 1]]
             yield pa.RecordBatch.from_arrays(

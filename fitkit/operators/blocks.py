@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +33,21 @@ class Block(NamedTuple):
     x: np.ndarray
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Width of the stored features, and the map applied when a block is read, if any."""
+
+    width: int
+    feature_map: object = None
+
+    def reader(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function from a flat buffer to the feature matrix, made once per task."""
+        if self.feature_map is None:
+            return lambda flat: flat.reshape(-1, self.width)
+        apply = self.feature_map.bind()
+        return lambda flat: apply(flat.reshape(-1, self.width))
+
+
 def _block_batch(shard: int, ids, y, x) -> pa.RecordBatch:
     ids, y, x = (np.concatenate(a) if len(a) > 1 else a[0] for a in (ids, y, x))
     odd = int((np.abs(y) != 1.0).sum())
@@ -50,12 +66,14 @@ def pack_blocks(
     d: int,
     *,
     block_bytes: int,
+    row_bytes: int,
     feature_map=None,
 ) -> DataFrame:
     """``(shard, id, y, x)`` rows to block rows, within each map task.
 
     What one task holds is bounded by ``4 * block_bytes`` whatever the number of
-    shards: when the buffers reach that, the largest are emitted early.
+    shards: when the buffers reach that, the largest are emitted early.  A row
+    counts as ``row_bytes``, its size once all feature maps are applied.
     ``feature_map.bind()`` gives the function that widens an ``(s, d)`` matrix.
     """
     hold = 4 * block_bytes
@@ -82,7 +100,7 @@ def pack_blocks(
                 buffers = held.setdefault(k, [[], [], []])
                 for buffer, part in zip(buffers, (ids, y, x)):
                     buffer.append(part[rows])
-                sizes[k] = sizes.get(k, 0) + buffers[2][-1].nbytes
+                sizes[k] = sizes.get(k, 0) + row_bytes * len(rows)
                 if sizes[k] >= block_bytes:
                     sizes.pop(k)
                     yield _block_batch(k, *held.pop(k))
@@ -96,8 +114,9 @@ def pack_blocks(
     return df.select("shard", "id", "y", "x").mapInArrow(kernel, BLOCK_SCHEMA)
 
 
-def iter_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Block]:
+def iter_blocks(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[Block]:
     """Blocks of a stream of Arrow batches, as views on the Arrow buffers."""
+    read = shape.reader()
     for batch in batches:
         names = batch.schema.names
         shard, ids, y, x = (batch.column(names.index(n)) for n in ("shard", "ids", "y", "x"))
@@ -106,7 +125,7 @@ def iter_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Block
                 shard[i].as_py(),
                 np.frombuffer(ids[i].as_buffer(), np.int64),
                 np.frombuffer(y[i].as_buffer(), np.float64),
-                np.frombuffer(x[i].as_buffer(), np.float64).reshape(-1, width),
+                read(np.frombuffer(x[i].as_buffer(), np.float64)),
             )
 
 
@@ -126,9 +145,9 @@ def join_blocks(parts: list[Block]) -> Block:
     return Block(parts[0].shard, ids, y, x)
 
 
-def iter_shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Block]:
+def iter_shards(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[Block]:
     """Whole shards, one at a time, from blocks that arrive grouped by shard."""
-    for parts in _grouped(iter_blocks(batches, width)):
+    for parts in _grouped(iter_blocks(batches, shape)):
         yield join_blocks(parts)
 
 
@@ -143,12 +162,11 @@ def _grouped(blocks: Iterator[Block]) -> Iterator[list[Block]]:
         yield parts
 
 
-def order_blocks(packed: DataFrame, d: int, block_bytes: int) -> DataFrame:
-    """Sort each partition by shard and rewrite each shard's blocks in id order."""
-    rows = max(1, block_bytes // (8 * d))
+def order_blocks(packed: DataFrame, width: int, rows: int) -> DataFrame:
+    """Sort each partition by shard; rewrite each shard in id order, ``rows`` per block."""
 
     def kernel(batches):
-        for shard in iter_shards(batches, d):
+        for shard in iter_shards(batches, Shape(width)):
             for i in range(0, len(shard.y), rows):
                 part = slice(i, i + rows)
                 yield _block_batch(shard.shard, [shard.ids[part]], [shard.y[part]], [shard.x[part]])
@@ -156,11 +174,14 @@ def order_blocks(packed: DataFrame, d: int, block_bytes: int) -> DataFrame:
     return packed.sortWithinPartitions("shard").mapInArrow(kernel, BLOCK_SCHEMA)
 
 
-def partial_batch(v: np.ndarray) -> pa.RecordBatch:
+def task_number() -> int:
     task = TaskContext.get()
-    part = task.partitionId() if task else 0
+    return task.partitionId() if task else 0
+
+
+def partial_batch(v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([part], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["part", "v"]
+        [pa.array([task_number()], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["part", "v"]
     )
 
 
@@ -213,7 +234,7 @@ def fold_rows(df: DataFrame, partial, combine, length: int) -> np.ndarray:
 
 def sum_over_blocks(
     blocks: DataFrame,
-    width: int,
+    shape: Shape,
     length: int,
     n_tasks: int,
     term: Callable[[Block], np.ndarray],
@@ -225,7 +246,7 @@ def sum_over_blocks(
 
     def kernel(batches):
         total = np.zeros(length)
-        for block in stream(batches, width):
+        for block in stream(batches, shape):
             total += term(block)
         yield partial_batch(total)
 

@@ -17,10 +17,11 @@ from fitkit.functions.vectors import scores
 from fitkit.operators.blocks import (
     PARTIAL_SCHEMA,
     Block,
+    Shape,
     fold_partials,
     iter_blocks,
-    iter_shards,
     partial_batch,
+    task_number,
 )
 from fitkit.operators.losses import Loss, shrink
 
@@ -97,12 +98,12 @@ def iter_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np
             yield shard[i], s[i], stats[i].values.to_numpy(zero_copy_only=False)
 
 
-def gathered_stats(gathered: DataFrame, d: int, w: np.ndarray, loss: Loss) -> DataFrame:
+def gathered_stats(gathered: DataFrame, shape: Shape, w: np.ndarray, loss: Loss) -> DataFrame:
     """Statistics where every shard already lies in one task: no shuffle."""
 
     def kernel(batches):
         shard, s, total = None, 0, None
-        for b in iter_blocks(batches, d):
+        for b in iter_blocks(batches, shape):
             stats = block_stats(b, w, loss)
             if shard == b.shard:
                 s, total = s + len(b.y), total + stats
@@ -117,7 +118,7 @@ def gathered_stats(gathered: DataFrame, d: int, w: np.ndarray, loss: Loss) -> Da
 
 
 def merged_stats(
-    blocks: DataFrame, d: int, n_tasks: int, w: np.ndarray, loss: Loss
+    blocks: DataFrame, shape: Shape, n_tasks: int, w: np.ndarray, loss: Loss
 ) -> DataFrame:
     """Statistics of shards spread over many tasks: partial sums, then one or two merges.
 
@@ -125,8 +126,8 @@ def merged_stats(
     merge is salted by the sending task, so no reducer receives all partials of a
     shard.
     """
+    d = len(w)
     hold = max(1, STATS_HOLD_BYTES // (8 * (d * d + d + 2)))
-    part_of = partial_batch
 
     def flush(held: dict, part: int):
         if held:
@@ -135,8 +136,8 @@ def merged_stats(
 
     def partials(batches):
         held: dict[int, tuple[int, np.ndarray]] = {}
-        part = part_of(np.zeros(0)).column(0)[0].as_py()
-        for b in iter_blocks(batches, d):
+        part = task_number()
+        for b in iter_blocks(batches, shape):
             stats = block_stats(b, w, loss)
             s, v = held.get(b.shard, (0, 0.0))
             held[b.shard] = (s + len(b.y), v + stats)
@@ -323,21 +324,3 @@ def sum_over_stats(
         yield partial_batch(total)
 
     return fold_partials(stats.mapInArrow(kernel, PARTIAL_SCHEMA), np.add, length, n_tasks)
-
-
-def sum_over_shards(
-    gathered: DataFrame,
-    d: int,
-    length: int,
-    n_tasks: int,
-    term: Callable[[Block], np.ndarray],
-) -> np.ndarray:
-    """``sum(term(shard rows))`` over gathered shards."""
-
-    def kernel(batches):
-        total = np.zeros(length)
-        for shard in iter_shards(batches, d):
-            total += term(shard)
-        yield partial_batch(total)
-
-    return fold_partials(gathered.mapInArrow(kernel, PARTIAL_SCHEMA), np.add, length, n_tasks)

@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 
 from fitkit.functions.vectors import scores, weighted_sum
 from fitkit.operators import shards
-from fitkit.operators.blocks import Block, order_blocks, pack_blocks, sum_over_blocks
+from fitkit.operators.blocks import Block, Shape, order_blocks, pack_blocks, sum_over_blocks
 from fitkit.operators.losses import SQUARED, Loss, Penalty
 from fitkit.session import arrow_rows
 
+# Up to this source width a feature map is cheaper to recompute than to read back
+# from the cache, and the cache stays as small as the source.
+MAP_ON_READ_WIDTH = 64
 SPREAD_ABOVE = 20_000  # rows below which an uneven layout does not matter
 MAX_STATE_BYTES = 1 << 30  # one weight vector shipped to tasks
 
@@ -48,6 +51,15 @@ class Evaluation:
         return float(self.gradient @ self.gradient)
 
 
+def as_evaluation(sums: np.ndarray, n: int, w: np.ndarray, penalty: Penalty) -> Evaluation:
+    """Turn ``[gradient sums.., loss sum, error sum]`` over ``n`` rows into penalised means."""
+    return Evaluation(
+        float(sums[-2] / n + penalty.value(w)),
+        float(sums[-1] / n),
+        sums[:-2] / n + penalty.gradient(w),
+    )
+
+
 @dataclass(frozen=True)
 class Profile:
     n: int
@@ -61,8 +73,8 @@ class TrainingSet:
 
     ``shard`` may be absent for methods that do not use it.  ``id`` orders rows
     inside a shard and splits oversized shards; without one a content hash is used.
-    A ``feature_map`` (such as ``RandomFourier``) is applied while blocks are packed,
-    so mapped features exist only in packed form.
+    A ``feature_map`` (such as ``RandomFourier``) is applied inside the kernels: on
+    every read when the source is narrow, else once while blocks are packed.
     Use as a context manager, or call :meth:`close`, to release the caches.
     """
 
@@ -89,6 +101,10 @@ class TrainingSet:
         self.source_width = d or self.rows.select(F.size("x")).first()[0]
         self.feature_map = feature_map
         self.d = self.source_width if feature_map is None else feature_map.size
+        mapped_on_read = feature_map is not None and self.source_width <= MAP_ON_READ_WIDTH
+        self.pack_map = None if mapped_on_read else feature_map
+        self.stored_width = self.source_width if self.pack_map is None else self.d
+        self.shape = Shape(self.stored_width, feature_map if mapped_on_read else None)
         if 8 * self.d > MAX_STATE_BYTES:
             raise ValueError(f"a weight vector of {self.d} doubles is too large to ship to tasks")
         if engine not in ("auto", "native", "blocks"):
@@ -150,19 +166,34 @@ class TrainingSet:
 
     # ---- physical forms -------------------------------------------------
 
+    def _scalars(self, rows: DataFrame) -> DataFrame:
+        """Scalar columns ``shard, y, x0..``; a null or an array of another width is an error."""
+
+        def present(column: Column, what: str) -> Column:
+            return F.coalesce(column, F.raise_error(F.lit(what)).cast("double"))
+
+        wrong = F.lit(f"feature arrays differ in width: expected {self.d}")
+        xs = [
+            present(F.get(F.col("x"), F.lit(j)), f"a feature is null or missing: x{j}")
+            for j in range(self.d)
+        ]
+        xs[0] = F.when(F.size("x") == self.d, xs[0]).otherwise(F.raise_error(wrong).cast("double"))
+        named = [x.alias(f"x{j}") for j, x in enumerate(xs)]
+        return rows.select("shard", present(F.col("y"), "a label is null").alias("y"), *named)
+
     @cached_property
     def flat(self) -> DataFrame:
-        """Scalar columns ``shard, y, x0..`` plus the array width, cached."""
-        xs = [F.get(F.col("x"), F.lit(j)).alias(f"x{j}") for j in range(self.d)]
-        columns = ["shard", "y", F.size("x").alias("width"), *xs]
-        return self._hold_even(lambda rows: rows.select(*columns), F.lit(1))[0]
+        """The scalar columns, cached."""
+        odd = F.when(F.abs("y") == 1.0, 0).otherwise(1)
+        positive = F.when(F.col("y") > 0, 1).otherwise(0)
+        return self._hold_even(self._scalars, F.lit(1), odd, positive)[0]
 
     @cached_property
     def blocks(self) -> DataFrame:
         """Blocks cut where the rows already are: no shuffle, shards mixed."""
         with self.batches():
             out, self._block_tasks = self._hold_even(
-                lambda rows: self._pack(rows.withColumn("shard", F.lit(0))), F.col("s")
+                lambda rows: self._pack(rows.withColumn("shard", F.lit(0)))
             )
         return out
 
@@ -170,35 +201,37 @@ class TrainingSet:
     def pure_blocks(self) -> DataFrame:
         """Blocks that hold one shard each, still cut where the rows are."""
         with self.batches():
-            out, self._pure_tasks = self._hold_even(self._pack, F.col("s"))
+            out, self._pure_tasks = self._hold_even(self._pack)
         return out
 
-    def _hold_even(self, build, rows_in: Column) -> tuple[DataFrame, int]:
+    def _hold_even(self, build, rows="s", odd="odd", positive="pos") -> tuple[DataFrame, int]:
         """Cache ``build(rows)``; if its partitions leave the cluster idle, spread rows first.
 
         An iterative fit passes over the cache many times, so one unsplittable file
         or a few fat partitions would set the pace of every pass.  With more
         partitions than cores, the normal case for large inputs, nothing is moved.
+        The job that fills the cache also takes the profile.
         """
         cores = self.spark.sparkContext.defaultParallelism
         out = self.hold(build(self.rows))
-        sizes = out.select(F.spark_partition_id().alias("p"), rows_in.alias("r"))
-        row = (
-            sizes.groupBy("p")
-            .agg(F.sum("r").alias("r"))
-            .agg(F.max("r").alias("largest"), F.sum("r").alias("n"), F.max("p").alias("last"))
-            .first()
+        measured = out.select(
+            F.spark_partition_id().alias("p"), *self._measures(rows, odd, positive)
         )
-        if not row["n"]:
-            return out, 1
+        row = self._take_profile(measured.groupBy("p"), F.max("p").alias("last"))
         if row["n"] >= SPREAD_ABOVE and row["largest"] > 2 * math.ceil(row["n"] / cores):
             self.release(out)
-            return self.hold(build(self.rows.repartition(cores))), cores
+            out = self.hold(build(self.rows.repartition(cores)))
+            out.count()  # fill the cache here, under the batch size of the caller
+            return out, cores
         return out, row["last"] + 1
 
     def _pack(self, rows: DataFrame) -> DataFrame:
         return pack_blocks(
-            rows, self.source_width, block_bytes=self.block_bytes, feature_map=self.feature_map
+            rows,
+            self.source_width,
+            block_bytes=self.block_bytes,
+            row_bytes=8 * max(self.d, self.source_width),
+            feature_map=self.pack_map,
         )
 
     @cached_property
@@ -223,9 +256,7 @@ class TrainingSet:
     @cached_property
     def m(self) -> int:
         """Number of shards in the table."""
-        if "slots" in self.__dict__ or "flat" not in self.__dict__:
-            return len(self.slots)
-        return self.flat.agg(F.count_distinct("shard")).first()[0]
+        return len(self.slots)
 
     @property
     def n_slots(self) -> int:
@@ -267,7 +298,7 @@ class TrainingSet:
         ``shard`` holds the slot label here.  Rows are packed into blocks before the
         shuffle, and blocks are ordered once, after it.
         """
-        return self._gather(lambda packed: order_blocks(packed, self.d, self.block_bytes))
+        return self._gather(lambda packed: order_blocks(packed, self.stored_width, self._rows_per_block))
 
     @cached_property
     def joinable(self) -> DataFrame:
@@ -284,13 +315,18 @@ class TrainingSet:
         rows = self.rows.join(self.slot_table(), "shard").withColumn("shard", label)
         with self.batches():
             out = self.hold(arrange(self._pack(rows).repartition(self.n_slots, "shard")))
-            largest = out.groupBy("shard").agg(F.sum("s").alias("s")).agg(F.max("s")).first()[0]
+            measured = out.select("shard", *self._measures("s", "odd", "pos"))
+            largest = self._take_profile(measured.groupBy("shard"))["largest"]
         if self.has_oversized_shard and 8 * self.d * largest > 2 * self.shard_bytes:
             raise ValueError(
                 f"a shard keeps {largest} rows after splitting by id; give rows unique ids"
             )
         return out
 
+    @property
+    def _rows_per_block(self) -> int:
+        return max(1, self.block_bytes // (8 * max(self.d, self.source_width)))
+
     def batches(self):
         """Arrow batch limit for jobs over this table."""
         return arrow_rows(self.spark, 8 * max(self.source_width, 1), self.block_bytes)
@@ -299,6 +335,29 @@ class TrainingSet:
         """Arrow batch limit for jobs over packed blocks (a batch counts rows, not bytes)."""
         return arrow_rows(self.spark, self.block_bytes, 4 * self.block_bytes)
 
+    @staticmethod
+    def _measures(rows, odd, positive) -> list[Column]:
+        columns = [F.col(c) if isinstance(c, str) else c for c in (rows, odd, positive)]
+        return [c.alias(name) for c, name in zip(columns, ("r", "odd", "pos"))]
+
+    def _take_profile(self, groups, *extra: Column):
+        """Sum the measures, keep them as the profile, and return them with the largest group."""
+        row = (
+            groups.agg(*[F.sum(c).alias(c) for c in ("r", "odd", "pos")])
+            .agg(
+                F.max("r").alias("largest"),
+                F.sum("r").alias("n"),
+                F.sum("odd").alias("odd"),
+                F.sum("pos").alias("pos"),
+                *extra,
+            )
+            .first()
+        )
+        if not row["n"]:
+            raise ValueError("the training table is empty")
+        self.__dict__["profile"] = Profile(row["n"], self.d, row["odd"], row["pos"])
+        return row
+
     def _held_blocks(self) -> tuple[DataFrame, int]:
         """The block form already cached, whichever it is, so data is cached once."""
         for name in ("gathered", "joinable"):
@@ -312,38 +371,9 @@ class TrainingSet:
 
     @cached_property
     def profile(self) -> Profile:
-        """Counts, widths, shards and the label domain, checked globally in one job."""
-        if "flat" in self.__dict__:
-            odd = F.sum(F.when(F.abs("y") == 1.0, 0).otherwise(1))
-            per_shard = self.flat.groupBy("shard").agg(
-                F.count("*").alias("n"),
-                odd.alias("odd"),
-                F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("pos"),
-                F.min("width").alias("lo"),
-                F.max("width").alias("hi"),
-            )
-        else:
-            per_shard = self._held_blocks()[0].groupBy("shard").agg(
-                F.sum("s").alias("n"),
-                F.sum("odd").alias("odd"),
-                F.sum("pos").alias("pos"),
-                F.lit(self.source_width).alias("lo"),
-                F.lit(self.source_width).alias("hi"),
-            )
-        row = per_shard.agg(
-            F.sum("n").alias("n"),
-            F.sum("odd").alias("odd"),
-            F.sum("pos").alias("pos"),
-            F.min("lo").alias("lo"),
-            F.max("hi").alias("hi"),
-        ).first()
-        if not row["n"]:
-            raise ValueError("the training table is empty")
-        if row["lo"] != row["hi"] or row["lo"] != self.source_width:
-            raise ValueError(
-                f"feature arrays differ in width: {row['lo']}..{row['hi']}, expected {self.source_width}"
-            )
-        return Profile(row["n"], self.d, row["odd"], row["pos"])
+        """Row count, width and label domain of the whole table."""
+        self.prepare(SQUARED)  # whichever form is cached first takes the profile
+        return self.__dict__["profile"]
 
     @property
     def n(self) -> int:
@@ -351,9 +381,9 @@ class TrainingSet:
 
     def check_labels(self, loss: Loss) -> None:
         """Sign labels are required over the whole table; a one-class shard is legal."""
-        self.prepare(loss)
         if not loss.labels_are_signs:
             return
+        self.prepare(loss)
         p = self.profile
         if p.odd_labels:
             raise ValueError(f"{p.odd_labels} labels are not -1 or +1")
@@ -375,7 +405,7 @@ class TrainingSet:
     def _block_sum(self, length: int, term: Callable[[Block], np.ndarray]) -> np.ndarray:
         blocks, tasks = self._held_blocks()
         with self.block_batches():
-            return sum_over_blocks(blocks, self.d, length, tasks, term)
+            return sum_over_blocks(blocks, self.shape, length, tasks, term)
 
     def evaluate(self, w: np.ndarray, loss: Loss, penalty: Penalty) -> Evaluation:
         """Gradient, objective and training error at ``w`` in one pass."""
@@ -408,7 +438,7 @@ class TrainingSet:
 
             sums = self._block_sum(len(points) * (d + 2), term)
         parts = np.split(sums, len(points))
-        return [self.as_evaluation(v, w, penalty) for v, w in zip(parts, points)]
+        return [as_evaluation(v, self.n, w, penalty) for v, w in zip(parts, points)]
 
     def mean_error(self, w: np.ndarray, loss: Loss) -> float:
         """Share of mistakes (or mean squared residual) at ``w``, without the gradient."""
@@ -418,15 +448,6 @@ class TrainingSet:
         total = self._block_sum(1, lambda b: np.array([loss.mistake(scores(b.x, w), b.y).sum()]))
         return float(total[0] / self.n)
 
-    def as_evaluation(self, sums: np.ndarray, w: np.ndarray, penalty: Penalty) -> Evaluation:
-        """Turn ``[gradient sums.., loss sum, error sum]`` into means with the penalty."""
-        d, n = self.d, self.n
-        return Evaluation(
-            float(sums[d] / n + penalty.value(w)),
-            float(sums[d + 1] / n),
-            sums[:d] / n + penalty.gradient(w),
-        )
-
     def line(
         self,
         w: np.ndarray,
@@ -476,7 +497,7 @@ class TrainingSet:
             directional = sums[k + d + 1 :] / n + np.array(
                 [p @ penalty.gradient(v) for v in points]
             )
-        return objectives, directional, self.as_evaluation(first, points[0], penalty)
+        return objectives, directional, as_evaluation(first, n, points[0], penalty)
 
     def moments(self) -> np.ndarray:
         """``X y`` (a plain sum)."""
@@ -499,9 +520,11 @@ class TrainingSet:
         the squared label norm.
         """
         if self.is_native(loss):
-            return shards.native_stats(self.flat, self.d, self._score(w), loss)
+            once = "flat" not in self.__dict__ and not w.any()  # one pass needs no cache
+            flat = self._scalars(self.rows) if once else self.flat
+            return shards.native_stats(flat, self.d, self._score(w), loss)
         if self.d > self.gram_limit:
             raise ValueError(f"a {self.d} x {self.d} matrix per shard is over the limit")
         if "gathered" in self.__dict__:
-            return shards.gathered_stats(self.gathered, self.d, w, loss)
-        return shards.merged_stats(self.pure_blocks, self.d, self._pure_tasks, w, loss)
+            return shards.gathered_stats(self.gathered, self.shape, w, loss)
+        return shards.merged_stats(self.pure_blocks, self.shape, self._pure_tasks, w, loss)

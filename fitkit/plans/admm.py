@@ -19,16 +19,15 @@ from pyspark.sql import functions as F
 from fitkit.functions.vectors import scores
 from fitkit.operators.blocks import (
     PARTIAL_SCHEMA,
-    Block,
+    Shape,
     fold_partials,
-    iter_blocks,
-    join_blocks,
+    iter_shards,
     partial_batch,
 )
 from fitkit.operators.losses import SQUARED, Loss, Penalty
 from fitkit.operators.shards import conjugate_gradient, iter_stats, solve_matrix, split_stats, svrg
-from fitkit.operators.training_set import TrainingSet
-from fitkit.plans.local import squared_stats, starting_point
+from fitkit.operators.training_set import TrainingSet, as_evaluation
+from fitkit.plans.local import QuadraticTotals, squared_stats, starting_point
 from fitkit.plans.loop import FitResult, History
 from fitkit.plans.steps import StopRule
 from fitkit.session import checkpoint_dir
@@ -51,23 +50,20 @@ def _state_batch(shard: int, *vectors: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _shards_with_state(batches: Iterator[pa.RecordBatch], d: int):
+def _shards_with_state(batches: Iterator[pa.RecordBatch], shape: Shape):
     """Whole shards with their ``(w, a)``, from joined rows grouped by shard."""
-    held: list[Block] = []
-    state = None
-    for batch in batches:
-        names = batch.schema.names
-        ws = _vectors(batch.column(names.index("w")))
-        duals = _vectors(batch.column(names.index("a")))
-        for i, block in enumerate(iter_blocks(iter([batch]), d)):
-            if held and held[0].shard != block.shard:
-                yield join_blocks(held), *state
-                held = []
-            if not held:
-                state = (ws[i].copy(), duals[i].copy())
-            held.append(block)
-    if held:
-        yield join_blocks(held), *state
+    seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def watched():
+        for batch in batches:
+            names = batch.schema.names
+            ws, duals = (_vectors(batch.column(names.index(c))) for c in ("w", "a"))
+            for shard, w, a in zip(batch.column(names.index("shard")).to_pylist(), ws, duals):
+                seen.setdefault(shard, (w.copy(), a.copy()))
+            yield batch
+
+    for block in iter_shards(watched(), shape):
+        yield block, *seen.pop(block.shard)
 
 
 def fit_admm(
@@ -96,14 +92,19 @@ def fit_admm(
     checkpoint_dir(ts.spark)
     d, penalty = ts.d, Penalty(l2=l2)
     rho = DEFAULT_RHO * l2 if rho is None else rho
+    if rho <= 0.0:
+        raise ValueError("rho must be positive; give it when l2 is zero")
     stop = stop or StopRule(grad_tol=1e-22 if loss.labels_are_signs else 1e-18)
     by_stats = loss is SQUARED and ts.d <= ts.gram_limit
     if by_stats:
-        data, m = squared_stats(ts), ts.m
+        data = squared_stats(ts)
+        source = QuadraticTotals(ts, data)
+        n, m = source.n, source.m
     else:
-        data, m = ts.joinable, ts.n_slots
-    ts.check_labels(loss)
-    n = ts.n
+        data, m, source = ts.joinable, ts.n_slots, ts
+        ts.check_labels(loss)
+        n = ts.n
+    shape = ts.shape
 
     def solve(shard_data, u, w, a, t):
         """New primal of one shard and ``[gradient, loss, error]`` sums at ``u``."""
@@ -147,7 +148,7 @@ def fit_admm(
 
         def rows(batches):
             if not by_stats:
-                yield from _shards_with_state(batches, d)
+                yield from _shards_with_state(batches, shape)
                 return
             for batch in batches:
                 names = batch.schema.names
@@ -190,7 +191,7 @@ def fit_admm(
             with ts.block_batches():
                 state = advance(state, u, u_old, t)
                 total = totals(state)
-            ev = ts.as_evaluation(total[d:], u, penalty)
+            ev = as_evaluation(total[d:], n, u, penalty)
             history.add(u, ev.objective, ev.error, ev.grad_norm_sq)
             early = stop.reason(ev.grad_norm_sq, d, ev.objective, history.seconds())
             if early:
@@ -199,7 +200,7 @@ def fit_admm(
             history.rows[-1]["step"] = 1.0
             u_old, u = u, total[:d] / m * (rho / (l2 + rho))
         else:
-            ev = ts.evaluate(u, loss, penalty)
+            ev = source.evaluate(u, loss, penalty)
             history.add(u, ev.objective, ev.error, ev.grad_norm_sq)
     finally:
         if by_stats:

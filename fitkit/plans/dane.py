@@ -6,9 +6,9 @@ import numpy as np
 
 from fitkit.operators.blocks import Block
 from fitkit.operators.losses import LOGISTIC, Penalty
-from fitkit.operators.shards import sum_over_shards, svrg
+from fitkit.operators.shards import svrg
 from fitkit.operators.training_set import TrainingSet
-from fitkit.plans.local import starting_point
+from fitkit.plans.local import starting_point, sum_over_shards
 from fitkit.plans.loop import FitResult, Step, run
 from fitkit.plans.steps import armijo, step_table
 
@@ -32,8 +32,9 @@ def fit_dane(
     of ``w - v_i``.
     """
     loss = LOGISTIC
-    d, penalty, etas = ts.d, Penalty(l2=l2), step_table(loss)
-    gathered, m = ts.gathered, ts.n_slots
+    penalty, etas = Penalty(l2=l2), step_table(loss)
+    ts.gathered  # built before the first evaluation, so one cached copy serves both
+    m = ts.n_slots
     ts.check_labels(loss)
 
     def step(t, w, ev):
@@ -53,8 +54,7 @@ def fit_dane(
             )
             return w - v
 
-        with ts.block_batches():
-            p = sum_over_shards(gathered, d, d, m, answer) / m
+        p = sum_over_shards(ts, answer) / m
         if not line_search:
             return Step(w - p, 1.0)
         values, _, full = ts.line(w, p, etas, loss, penalty)

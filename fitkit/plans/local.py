@@ -16,13 +16,12 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame
 
-from fitkit.operators.blocks import Block
+from fitkit.operators.blocks import Block, sum_over_blocks
 from fitkit.operators.losses import SQUARED, Loss, Penalty
 from fitkit.operators.shards import (
     conjugate_gradient,
     solve_matrix,
     split_stats,
-    sum_over_shards,
     sum_over_stats,
     svrg,
 )
@@ -42,12 +41,14 @@ class QuadraticTotals:
     """
 
     def __init__(self, ts: TrainingSet, stats: DataFrame):
-        d, length = ts.d, ts.d * (ts.d + 1) + 3
+        length = ts.d * (ts.d + 1) + 4
         total = sum_over_stats(
-            stats, length, _tasks(length), lambda _, s, v: np.concatenate([v, [s]])
+            stats, length, _tasks(length), lambda _, s, v: np.concatenate([v, [s, 1.0]])
         )
-        self.ts, self.n = ts, total[-1]
-        self.gram, slope, half_yy, _ = split_stats(total[:-1], d)
+        self.n, self.m = int(total[-2]), int(total[-1])
+        if not self.n:
+            raise ValueError("the training table is empty")
+        self.gram, slope, half_yy, _ = split_stats(total[:-2], ts.d)
         self.xy, self.yy = -slope, 2.0 * half_yy
 
     def evaluate(self, w: np.ndarray, loss: Loss, penalty: Penalty) -> Evaluation:
@@ -87,27 +88,35 @@ def sum_of_answers(
     *,
     stats: DataFrame | None = None,
 ) -> np.ndarray:
-    """``sum_i s_i v_i / n`` over shards.
+    """``sum_i s_i v_i / sum_i s_i`` over shards.
 
     ``from_matrix(h, s)`` gets the mean curvature matrix of a shard at ``w``;
     ``from_rows(block)`` gets its rows.
     """
-    d, n = ts.d, ts.n
+    d = ts.d
     if stats is None and uses_statistics(ts, loss):
         stats = ts.shard_stats(w, loss)
     if stats is not None:
+        return _mean_over_stats(ts, stats, lambda s, v: from_matrix(split_stats(v, d)[0] / s, s))
+    return sum_over_shards(ts, lambda b: len(b.y) * from_rows(b)) / ts.n
 
-        def term(_, s, v):
-            return s * from_matrix(split_stats(v, d)[0] / s, s)
 
-        with ts.block_batches():
-            return sum_over_stats(stats, d, _tasks(d), term) / n
-    with_rows = ts.gathered
+def _mean_over_stats(ts: TrainingSet, stats: DataFrame, answer) -> np.ndarray:
+    """Row-weighted mean of ``answer(s, stats)`` over shards."""
+
+    def term(_, s, v):
+        return np.append(s * answer(s, v), s)
+
     with ts.block_batches():
-        total = sum_over_shards(
-            with_rows, d, d, ts.n_slots, lambda b: len(b.y) * from_rows(b)
-        )
-    return total / n
+        total = sum_over_stats(stats, ts.d + 1, _tasks(ts.d), term)
+    return total[:-1] / total[-1]
+
+
+def sum_over_shards(ts: TrainingSet, term: Callable[[Block], np.ndarray]) -> np.ndarray:
+    """``sum(term(shard rows))`` over gathered shards; each term is as wide as the model."""
+    gathered = ts.gathered
+    with ts.block_batches():
+        return sum_over_blocks(gathered, ts.shape, ts.d, ts.n_slots, term, whole_shards=True)
 
 
 def average_models(
@@ -128,13 +137,11 @@ def average_models(
     if loss is SQUARED:
         if uses_statistics(ts, loss):
 
-            def from_stats(_, s, v):
+            def from_stats(s, v):
                 gram, slope, _, _ = split_stats(v, d)
-                return s * solve_matrix(gram / s + l2 * np.eye(d), -slope / s, inner)
+                return solve_matrix(gram / s + l2 * np.eye(d), -slope / s, inner)
 
-            stats = ts.shard_stats(zero, SQUARED)
-            with ts.block_batches():
-                return sum_over_stats(stats, d, _tasks(d), from_stats) / ts.n
+            return _mean_over_stats(ts, ts.shard_stats(zero, SQUARED), from_stats)
 
         def from_rows(b: Block) -> np.ndarray:
             s = len(b.y)
@@ -149,10 +156,9 @@ def average_models(
             )
             return len(b.y) * fitted
 
-    gathered = ts.gathered
+    ts.gathered  # taken first: it also carries the label counts
     ts.check_labels(loss)
-    with ts.block_batches():
-        return sum_over_shards(gathered, d, d, ts.n_slots, from_rows) / ts.n
+    return sum_over_shards(ts, from_rows) / ts.n
 
 
 def starting_point(

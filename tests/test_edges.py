@@ -106,8 +106,8 @@ def test_salted_merge_of_statistics(spark):
     df = table_of(spark, x, y, np.arange(500) % 3)
     with TrainingSet(df) as ts:
         w = np.array([0.1, -0.2, 0.3])
-        plain = merged_stats(ts.pure_blocks, 3, 1, w, LOGISTIC).collect()
-        salted = merged_stats(ts.pure_blocks, 3, 400, w, LOGISTIC).collect()
+        plain = merged_stats(ts.pure_blocks, ts.shape, 1, w, LOGISTIC).collect()
+        salted = merged_stats(ts.pure_blocks, ts.shape, 400, w, LOGISTIC).collect()
     key = lambda r: r["shard"]
     for a, b in zip(sorted(plain, key=key), sorted(salted, key=key), strict=True):
         assert (a["shard"], a["s"]) == (b["shard"], b["s"])
@@ -147,9 +147,12 @@ def test_labels_are_checked_over_the_whole_table(spark):
 
 def test_mixed_widths_are_an_error(spark):
     df = small(spark, [(0, 0, 1.0, [1.0, 2.0]), (1, 0, -1.0, [1.0, 2.0, 3.0])])
-    with TrainingSet(df, engine="native") as ts, pytest.raises(ValueError, match="width"):
-        ts.check_labels(SQUARED)
-        ts.n
+    with TrainingSet(df, engine="native") as ts, pytest.raises(Exception, match="width"):
+        ts.prepare(SQUARED)
+    null = small(spark, [(0, 0, 1.0, [1.0, None]), (1, 0, -1.0, [1.0, 2.0])])
+    for engine in ("native", "blocks"):
+        with TrainingSet(null, engine=engine) as ts, pytest.raises(Exception, match="null"):
+            ts.shard_stats(np.zeros(2), SQUARED).collect()
     with TrainingSet(df, engine="blocks") as ts, pytest.raises(Exception, match="width"):
         ts.prepare(LOGISTIC)
 
