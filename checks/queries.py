@@ -392,7 +392,7 @@ def _dane(spark, ts):
 
 
 def _admm_logistic(spark, ts):
-    fit = fit_admm(ts, LOGISTIC, l2=0.1, max_iter=14, inner=10, rate=2.0, rho=0.1)
+    fit = fit_admm(ts, LOGISTIC, l2=0.1, max_iter=22, inner=10, rate=2.0, rho=0.1)
     return _weights(spark, fit, 4)
 
 

@@ -35,6 +35,7 @@ from fitkit.session import arrow_rows
 # from the cache, and the cache stays as small as the source.
 MAP_ON_READ_WIDTH = 64
 SPREAD_ABOVE = 20_000  # rows below which an uneven layout does not matter
+BROADCAST_SLOTS = 1_000_000  # slot labels (one integer each) that may be broadcast
 MAX_STATE_BYTES = 1 << 30  # one weight vector shipped to tasks
 
 
@@ -242,9 +243,12 @@ class TrainingSet:
         per-task budget is cut into equal pieces by a hash of the row id, and each
         piece acts as a shard of its own; no row is left out.
         """
-        counts = sorted(
-            (r["shard"], r["count"]) for r in self.rows.groupBy("shard").count().collect()
-        )
+        found = self.rows.groupBy("shard").count().collect()
+        if any(r["shard"] is None for r in found):
+            raise ValueError("a shard is null")
+        counts = sorted((r["shard"], r["count"]) for r in found)
+        if not counts:
+            raise ValueError("the training table is empty")
         limit = max(1, self.shard_bytes // (8 * self.d))
         out, first = [], 0
         for shard, rows in counts:
@@ -312,7 +316,10 @@ class TrainingSet:
     def _gather(self, arrange) -> DataFrame:
         piece = F.pmod(F.xxhash64("id"), F.size("labels"))
         label = F.get("labels", piece.cast("int"))
-        rows = self.rows.join(self.slot_table(), "shard").withColumn("shard", label)
+        slots = self.slot_table()
+        if self.n_slots <= BROADCAST_SLOTS:
+            slots = F.broadcast(slots)
+        rows = self.rows.join(slots, "shard").withColumn("shard", label)
         with self.batches():
             out = self.hold(arrange(self._pack(rows).repartition(self.n_slots, "shard")))
             measured = out.select("shard", *self._measures("s", "odd", "pos"))

@@ -164,7 +164,9 @@ def fit_admm(
                 new, sums = solve(shard_data, u, w, a, t)
                 yield _state_batch(int(shard_data[0]), new, a, sums)
 
-        joined = data.join(state.select("shard", "w", "a"), "shard")
+        # A merge join: the shard data is already partitioned and sorted by shard, so
+        # only the state moves, and it may be larger than what a broadcast can carry.
+        joined = data.join(state.select("shard", "w", "a").hint("merge"), "shard")
         return joined.mapInArrow(kernel, STATE_SCHEMA).checkpoint()
 
     def totals(state: DataFrame) -> np.ndarray:

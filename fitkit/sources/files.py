@@ -21,17 +21,20 @@ def read_libsvm(
     *,
     num_partitions: int | None = None,
     coalesce: bool = True,
+    row_id: bool = False,
 ) -> DataFrame:
     """Read libsvm files as ``(y DOUBLE, x ARRAY<DOUBLE>)`` with ``d`` features.
 
     The width is always given by the caller: train and test files would otherwise
-    be free to disagree on it, and inferring it costs one more scan.
+    be free to disagree on it, and inferring it costs one more scan.  The format has
+    no key; ``row_id`` adds a unique ``id BIGINT`` by file split and position in it,
+    taken on the scan itself so that a retried task repeats it.
     """
     raw = spark.read.format("libsvm").option("numFeatures", str(d)).load(path)
-    dense = raw.select(
-        F.col("label").alias("y"), vector_to_array("features").alias("x")
-    )
-    return relayout(dense, num_partitions, coalesce)
+    columns = [F.col("label").alias("y"), vector_to_array("features").alias("x")]
+    if row_id:
+        columns.insert(0, F.monotonically_increasing_id().alias("id"))
+    return relayout(raw.select(*columns), num_partitions, coalesce)
 
 
 def write_libsvm(df: DataFrame, path: str, *, label: str = "y", features: str = "x") -> None:

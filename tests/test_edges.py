@@ -297,6 +297,8 @@ def test_libsvm_widths_are_given_and_indices_checked(spark):
     write_libsvm(df, path)
     back = read_libsvm(spark, path, 5, num_partitions=1).orderBy("y").collect()
     assert [r["x"] for r in back] == [[1.0, 0.0, -3.0, 0.0, 0.0], [0.0, 2.5, 0.0, 0.0, 0.0]]
+    keyed = read_libsvm(spark, path, 3, row_id=True)
+    assert keyed.columns == ["id", "y", "x"] and keyed.select("id").distinct().count() == 2
     parsed = parse_libsvm_text(read_text(spark, path), 3).orderBy("y").collect()
     assert [r["x"] for r in parsed] == [[1.0, 0.0, -3.0], [0.0, 2.5, 0.0]]
     with pytest.raises(Exception, match="index outside"):

@@ -262,6 +262,19 @@ def test_grouped_fit_is_the_closed_form_without_l1(spark, sf):
         np.testing.assert_allclose(got[shard][1], exact, atol=1e-9)
 
 
+def test_grouped_fit_by_rows_equals_the_fit_by_statistics(spark, sf):
+    out = []
+    for limit in (2048, 1):
+        with TrainingSet(fx.emb(spark, sf), gram_limit=limit) as ts:
+            tilt = np.linspace(-1, 1, 64)
+            fits = fit_groups(ts, lam=0.05, sigma=0.1, tilt=tilt).orderBy("shard").collect()
+            out.append(fits)
+    for a, b in zip(*out, strict=True):
+        assert (a["shard"], a["s"]) == (b["shard"], b["s"])
+        np.testing.assert_allclose(a["w"], b["w"], atol=1e-8)
+        assert a["objective"] == pytest.approx(b["objective"], abs=1e-10)
+
+
 def test_held_out_error_has_its_own_column(spark, sf):
     df = fx.event2(spark, sf)
     train, test = df.filter("id % 5 <> 0"), df.filter("id % 5 = 0")
