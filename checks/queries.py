@@ -242,7 +242,7 @@ def maxabs_apply(spark, sf_dir):
 
 def split_hash(spark, sf_dir):
     return prepare.split_hash(
-        fx.table(spark, sf_dir, "events").select("event_id"), "event_id", seed=7
+        fx.table(spark, sf_dir, "events").select("event_id"), "event_id", seed=7, draws="md5"
     )
 
 
@@ -259,7 +259,7 @@ def split_mod5(spark, sf_dir):
 
 
 def augment_noise(spark, sf_dir):
-    noisy = prepare.replicate_noise(fx.event2(spark, sf_dir), 5, 0.02, seed=5)
+    noisy = prepare.replicate_noise(fx.event2(spark, sf_dir), 5, 0.02, seed=5, draws="md5")
     return noisy.select("id", big("copy"), r(F.col("x")[0], "x0"), r(F.col("x")[1], "x1"))
 
 

@@ -1,7 +1,8 @@
 """Reproducible pseudo-random columns keyed by row, so no result depends on layout.
 
 A draw is a hash of ``(seed, key parts)``.  The same row gets the same draw after
-a retry, on another cluster size, or in another SQL engine with an md5 function.
+a retry or on another cluster size.  ``draws="xxhash"`` is the fast form;
+``draws="md5"`` can be repeated by any SQL engine with an md5 function.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO_32 = 4294967296.0
+TWO_52 = 4503599627370496.0
 
 
 def hash_uint32(seed: int, *parts: Column) -> Column:
@@ -21,20 +23,25 @@ def hash_uint32(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def hash_uniform(seed: int, *parts: Column) -> Column:
+def hash_uniform(seed: int, *parts: Column, draws: str = "xxhash") -> Column:
     """Uniform draw strictly inside (0, 1)."""
-    return (hash_uint32(seed, *parts) + F.lit(0.5)) / F.lit(TWO_32)
+    if draws == "md5":
+        return (hash_uint32(seed, *parts) + F.lit(0.5)) / F.lit(TWO_32)
+    if draws != "xxhash":
+        raise ValueError(f"unknown draws {draws!r}")
+    high = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 12)
+    return (high + F.lit(0.5)) / F.lit(TWO_52)
 
 
-def hash_gaussian(seed: int, *parts: Column) -> Column:
+def hash_gaussian(seed: int, *parts: Column, draws: str = "xxhash") -> Column:
     """Standard normal draw from two uniforms (Box-Muller)."""
-    u1 = hash_uniform(seed, *parts, F.lit("a"))
-    u2 = hash_uniform(seed, *parts, F.lit("b"))
+    u1 = hash_uniform(seed, *parts, F.lit("a"), draws=draws)
+    u2 = hash_uniform(seed, *parts, F.lit("b"), draws=draws)
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
 def hash_uniform_value(seed: int, *parts: object) -> float:
-    """The same draw as :func:`hash_uniform`, for constants computed on the driver."""
+    """The md5 draw of :func:`hash_uniform`, for constants computed on the driver."""
     text = "|".join(str(p) for p in (seed, *parts))
     return (int(hashlib.md5(text.encode()).hexdigest()[:8], 16) + 0.5) / TWO_32
 

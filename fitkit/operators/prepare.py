@@ -88,9 +88,12 @@ def apply_max_abs(
     return out
 
 
-def split_hash(df: DataFrame, key: str, *, seed: int = 0, train_percent: int = 80) -> DataFrame:
+def split_hash(
+    df: DataFrame, key: str, *, seed: int = 0, train_percent: int = 80, draws: str = "xxhash"
+) -> DataFrame:
     """Random split by a hash of the key: a projection, no shuffle; sizes are approximate."""
-    held_out = F.pmod(hash_uint32(seed, F.col(key)), F.lit(100)) >= F.lit(train_percent)
+    code = hash_uint32(seed, F.col(key)) if draws == "md5" else F.xxhash64(F.lit(seed), F.col(key))
+    held_out = F.pmod(code, F.lit(100)) >= F.lit(train_percent)
     return df.withColumn("is_test", held_out)
 
 
@@ -159,6 +162,7 @@ def replicate_noise(
     key: str = "id",
     features: str = "x",
     seed: int = 0,
+    draws: str = "xxhash",
 ) -> DataFrame:
     """``copies`` noisy copies of each row: ``x_j + sigma * N(0,1)``, no shuffle.
 
@@ -168,7 +172,7 @@ def replicate_noise(
     out = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     noisy = F.transform(
         F.col(features),
-        lambda v, j: v + F.lit(sigma) * hash_gaussian(seed, F.col(key), F.col("copy"), j),
+        lambda v, j: v + F.lit(sigma) * hash_gaussian(seed, F.col(key), F.col("copy"), j, draws=draws),
     )
     return out.withColumn(features, noisy)
 

@@ -471,6 +471,8 @@ class TrainingSet:
         evaluation at ``w - etas[0] p``: when that first step is the one taken, the
         next iteration has its gradient without another pass.
         """
+        if loss is SQUARED:
+            return self._quadratic_line(w, p, etas, penalty, slopes)
         d, k, y = self.d, len(etas), F.col("y")
         if self.is_native(loss):
             t, q = F.col("t"), F.col("q")
@@ -506,6 +508,37 @@ class TrainingSet:
             )
         return objectives, directional, as_evaluation(first, n, points[0], penalty)
 
+    def _quadratic_line(self, w, p, etas, penalty: Penalty, slopes: bool):
+        """The same for the squared loss, which is an exact parabola along the line.
+
+        Three sums of residual ``r`` and ``q = <x, p>`` give every step at once.
+        """
+        d, n, first = self.d, self.n, float(etas[0])
+        if self.is_native(SQUARED):
+            scored = self.flat.select(
+                *self._xs(), (self._score(w) - F.col("y")).alias("r"), self._score(p).alias("q")
+            )
+            moved = scored.withColumn("c", F.col("r") - F.lit(first) * F.col("q"))
+            terms = [F.col(a) * F.col(b) for a, b in (("r", "r"), ("r", "q"), ("q", "q"))]
+            sums = self._native_sum(moved, [F.col("c") * x for x in self._xs()] + terms)
+        else:
+
+            def term(b: Block) -> np.ndarray:
+                r, q = scores(b.x, w) - b.y, scores(b.x, p)
+                return np.concatenate([(r - first * q) @ b.x, [r @ r, r @ q, q @ q]])
+
+            sums = self._block_sum(d + 3, term)
+        rr, rq, qq = sums[d:]
+        squared = np.maximum(rr - 2.0 * etas * rq + etas**2 * qq, 0.0)
+        points = [w - e * p for e in etas]
+        objectives = 0.5 * squared / n + np.array([penalty.value(v) for v in points])
+        directional = None
+        if slopes:
+            directional = (rq - etas * qq) / n + np.array([p @ penalty.gradient(v) for v in points])
+        tail = [0.5 * squared[0], squared[0]]
+        full = as_evaluation(np.concatenate([sums[:d], tail]), n, points[0], penalty)
+        return objectives, directional, full
+
     def moments(self) -> np.ndarray:
         """``X y`` (a plain sum)."""
         if self.is_native(SQUARED):

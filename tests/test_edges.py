@@ -249,14 +249,17 @@ def test_split_exact_counts_and_refuses_shared_keys(spark):
         prepare.split_exact(same, "id", max_ties=10)
 
 
-def test_noise_does_not_depend_on_layout_and_has_its_moments(spark, sf):
+@pytest.mark.parametrize("draws", ["xxhash", "md5"])
+def test_noise_does_not_depend_on_layout_and_has_its_moments(spark, sf, draws):
     df = fx.event2(spark, sf)
-    a = prepare.replicate_noise(df, 2, 0.02, seed=1)
-    b = prepare.replicate_noise(df.repartition(5), 2, 0.02, seed=1)
+    a = prepare.replicate_noise(df, 2, 0.02, seed=1, draws=draws)
+    b = prepare.replicate_noise(df.repartition(5), 2, 0.02, seed=1, draws=draws)
     assert a.exceptAll(b).count() == 0
     base = df.select("id", F.col("x").alias("x0"))
     gap = a.join(base, "id").select((F.col("x")[0] - F.col("x0")[0]).alias("e"))
     row = gap.agg(F.avg("e"), F.stddev("e"), F.count("*")).first()
+    share = prepare.split_hash(df, "id", seed=2, draws=draws).agg(F.avg(F.col("is_test").cast("int")))
+    assert share.first()[0] == pytest.approx(0.2, abs=0.015)
     assert row[2] == 20_000 and abs(row[0]) < 5e-4 and row[1] == pytest.approx(0.02, rel=0.03)
 
 
