@@ -33,7 +33,7 @@ def fit_momentum(
     **loop,
 ) -> FitResult:
     """Heavy-ball gradient descent: ``v = momentum v + g``, ``w -= rate v``."""
-    ts.check_labels(loss)
+    ts.prepare(loss).check_labels(loss)
     velocity = np.zeros(ts.d)
 
     def step(t, w, ev):
@@ -80,7 +80,7 @@ def fit_lbfgs(
     The table pass also returns the gradient at the full step, so an iteration that
     takes it costs one pass.
     """
-    ts.check_labels(loss)
+    ts.prepare(loss).check_labels(loss)
     penalty = Penalty(l2=l2)
     etas = step_table(loss)
     pairs: deque = deque(maxlen=memory)
@@ -152,7 +152,7 @@ def fit_fista(
     evaluates the iterate (for the history) and the extrapolated point together.
     """
     loss = LOGISTIC
-    ts.check_labels(loss)
+    ts.prepare(loss).check_labels(loss)
     penalty, smooth = Penalty(l1=l1, l2=l2), Penalty(l2=l2)
     state = {"ahead": None, "t": 1.0, "gradient": None}
 
