@@ -97,7 +97,7 @@ def fit_admm(
     stop = stop or StopRule(grad_tol=1e-22 if loss.labels_are_signs else 1e-18)
     by_stats = loss is SQUARED and ts.d <= ts.gram_limit
     if by_stats:
-        data = squared_stats(ts)
+        held, data = squared_stats(ts)
         source = QuadraticTotals(ts, data)
         n, m = source.n, source.m
     else:
@@ -206,5 +206,5 @@ def fit_admm(
             history.add(u, ev.objective, ev.error, ev.grad_norm_sq)
     finally:
         if by_stats:
-            ts.release(data)
+            ts.release(held)
     return FitResult(ts.spark, u, reason, history.rows, history.path)

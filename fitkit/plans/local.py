@@ -66,12 +66,17 @@ class QuadraticTotals:
         return np.array([e.objective for e in at]), directional, at[0]
 
 
-def squared_stats(ts: TrainingSet) -> DataFrame:
-    """Gram matrix and moments per shard, held for the length of a fit."""
-    stats = ts.hold(ts.shard_stats(np.zeros(ts.d), SQUARED))
+def squared_stats(ts: TrainingSet) -> tuple[DataFrame, DataFrame]:
+    """Gram matrix and moments per shard: the cached table, to release, and a view to read.
+
+    With fewer shards than shuffle partitions the view drops the empty partitions,
+    each of which would otherwise start a Python task in every iteration.
+    """
+    held = ts.hold(ts.shard_stats(np.zeros(ts.d), SQUARED))
     with ts.block_batches():
-        stats.count()
-    return stats
+        shards = max(1, held.count())
+    partitions = int(ts.spark.conf.get("spark.sql.shuffle.partitions"))
+    return held, held.coalesce(shards) if shards < partitions else held
 
 
 def uses_statistics(ts: TrainingSet, loss: Loss) -> bool:

@@ -56,9 +56,9 @@ def fit_newton(
     if hessian not in ("auto", "matrix", "free"):
         raise ValueError(f"unknown hessian form {hessian!r}")
 
-    stats, source = None, ts
+    held, stats, source = None, None, ts
     if loss is SQUARED and _ridge_in_matrix_form(ts, max_iter, inner, hessian):
-        stats = squared_stats(ts)
+        held, stats = squared_stats(ts)
         source = QuadraticTotals(ts, stats)
     elif not uses_statistics(ts, loss):
         ts.gathered  # built before the first evaluation, so one cached copy serves both
@@ -100,8 +100,8 @@ def fit_newton(
             **loop,
         )
     finally:
-        if stats is not None:
-            ts.release(stats)
+        if held is not None:
+            ts.release(held)
 
 
 def _ridge_in_matrix_form(ts: TrainingSet, max_iter: int, inner: int, hessian: str) -> bool:
