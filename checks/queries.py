@@ -20,7 +20,6 @@ from fitkit.operators.features import (
     random_fourier_native,
 )
 from fitkit.operators.losses import LOGISTIC, SQUARED, Penalty
-from fitkit.operators.shards import split_stats
 from fitkit.operators.training_set import TrainingSet
 from fitkit.plans.admm import fit_admm
 from fitkit.plans.dane import fit_dane
