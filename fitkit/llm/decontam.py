@@ -28,11 +28,14 @@ from fitkit.llm.common import map_rows
 HALF = 32
 BLOCK_ITEMS = 2000
 FIT_WINDOWS = 50_000
-RANK = 96
+RANK = 192
 OVERSAMPLE = 16
 #: Words in more than this share of the documents weigh nothing, unless an item has no others.
-COMMON = 0.2
-COSINE = 0.45
+COMMON = 0.1
+#: A candidate has at least this cosine with a passage, and its part along the passage at least
+#: this share of the passage's length: other words of a window lower the cosine, not the part.
+COSINE = 0.2
+HELD = 0.6
 LCS = 0.7
 #: An item with fewer words counts only where it stands word for word.
 SHORT = 8
@@ -119,6 +122,7 @@ class LatentIndex:
     basis: np.ndarray  # words x rank, rows scaled by the weight of the word
     passages: list[Passage]
     vectors: np.ndarray  # passages x rank, length 1
+    lengths: np.ndarray  # of the passages before that
 
 
 def _half_sums(ids: np.ndarray, table: np.ndarray, n_words: int) -> np.ndarray:
@@ -277,11 +281,12 @@ def build_index(docs: DataFrame, items: list[tuple[object, str | None]], text_co
         basis = randomised_svd(sample, dense, width, min(RANK, width))
     finally:
         sample.unpersist()
-    vectors = dense @ basis
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    vectors = (dense @ basis) * norms
+    lengths = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
+    vectors /= lengths[:, None]
     # Words that weigh nothing leave the vocabulary of the search.
     kept = {w: i for w, i in vocabulary.items() if weights[i] > 0}
-    return LatentIndex(kept, basis * weights[:, None], passages, vectors.astype(np.float32))
+    return LatentIndex(kept, basis * weights[:, None], passages, vectors.astype(np.float32), lengths)
 
 
 FOUND = T.StructType(
@@ -294,7 +299,7 @@ FOUND = T.StructType(
 )
 
 
-def search_texts(texts: list[str | None], index: LatentIndex, cosine: float = COSINE) -> list[list[dict]]:
+def search_texts(texts: list[str | None], index: LatentIndex, cosine: float = COSINE, held: float = HELD) -> list[list[dict]]:
     """For each text the items it holds, each with its best figures; items by place in the block."""
     get = index.vocabulary.get
     words, halves, owner, place = [], [], [], []
@@ -317,11 +322,12 @@ def search_texts(texts: list[str | None], index: LatentIndex, cosine: float = CO
     best: dict[tuple[int, int], dict] = {}
     for at in range(0, len(live), 4096):
         rows = live[at : at + 4096]
-        near = (vectors[rows] / norm[rows, None]) @ index.vectors.T
-        for r, p in zip(*np.nonzero(near >= cosine)):
+        along = vectors[rows] @ index.vectors.T
+        near = along / norm[rows, None]
+        for r, p in zip(*np.nonzero((near >= cosine) & (along >= held * index.lengths))):
             d, start = int(owner[rows[r]]), int(place[rows[r]])
             passage = index.passages[p]
-            region = words[d][max(0, start - HALF) : start + 3 * HALF]
+            region = words[d][max(0, start - HALF // 2) : start + 2 * HALF + HALF // 2]
             share, answer = passage.verify(region)
             if share >= LCS and answer >= LCS:
                 key = (d, passage.item)
