@@ -29,7 +29,7 @@ from fitkit.llm.quality import let
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Units in the broadcast table at most, and their longest length; together they bound its size.
-TABLE_UNITS = 200_000
+TABLE_UNITS = 100_000
 TABLE_LENGTH = 48
 FALLBACK_COST = 1e6
 
@@ -92,7 +92,7 @@ def count_units(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for t in batch.column(0):
                 if t.is_valid:
                     seen.update(UNIT.findall(normalise(t.as_py())))
-                if len(seen) > 500_000:
+                if len(seen) > 250_000:
                     yield flush()
         yield flush()
 
@@ -244,6 +244,19 @@ class LocalLattice:
         return out[::-1]
 
 
+def raw_pieces(pieces: Pieces) -> np.ndarray:
+    """The UTF-8 bytes of every id."""
+    raw = np.empty(len(pieces.by_id), object)
+    for i, p in enumerate(pieces.by_id):
+        raw[i] = b"" if p is None else bytes([p]) if isinstance(p, int) else p.encode()
+    return raw
+
+
+def decoded(ids: np.ndarray, raw: np.ndarray) -> str:
+    text = b"".join(raw[ids].tolist()).replace(SPACE.encode(), b" ")
+    return text.removeprefix(b" ").decode("utf-8", "replace")
+
+
 # --- documents -----------------------------------------------------------------------------
 
 
@@ -268,7 +281,9 @@ class Codec:
         spark = docs.sparkSession
         pieces = Pieces.load(model_file)
         scratch = Scratch(spark, "pieces")
-        hot = scratch.keep(frequent_units(count_units(docs, text_col), units, longest))
+        # A unit that stands once gains nothing from the table.
+        counts = scratch.keep(count_units(docs, text_col).filter("n > 1"))
+        hot = scratch.keep(frequent_units(counts, units, longest))
         width = "<u2" if len(pieces.by_id) <= 1 << 16 else "<u4"
         # At most ``units`` rows of at most ``longest`` characters.
         rows = encode_units(hot, pieces).toArrow()
@@ -278,15 +293,22 @@ class Codec:
         }
         return cls(spark, pieces, table)
 
-    def encode(self, docs: DataFrame, text_col: str = "text", packed: bool = False) -> DataFrame:
+    def encode(
+        self, docs: DataFrame, text_col: str = "text", packed: bool = False, verify: bool = False
+    ) -> DataFrame:
         """``docs`` with ``ids``, an array of int, or with ``packed`` its little-endian bytes.
 
-        A null text has null ids, an empty one none.  Rows, repeated ones too, and other columns
-        stay; an input column named ``ids`` is replaced.  A text is encoded whole.
+        With ``verify`` a column ``restored`` tells whether decoding the ids gives the text again.
+        A null text has null ids, an empty one none; both are restored.  Rows, repeated ones too,
+        and other columns stay; input columns named ``ids`` or ``restored`` are replaced.  A text is
+        encoded whole.
         """
-        kept = [f for f in docs.schema if f.name != "ids"]
+        kept = [f for f in docs.schema if f.name not in ("ids", "restored")]
         kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
-        schema = T.StructType([*kept, T.StructField("ids", kind)])
+        fields = [*kept, T.StructField("ids", kind)]
+        if verify:
+            fields.append(T.StructField("restored", T.BooleanType()))
+        schema = T.StructType(fields)
         held, width = self.held, self.width
 
         def body():
@@ -299,19 +321,25 @@ class Codec:
                 if got is None:
                     got = np.array(lattice.encode(unit), width).tobytes()
                     if len(unit) <= 64:
-                        if len(rare) > 300_000:
+                        if len(rare) > 100_000:
                             rare.clear()
                         rare[unit] = got
                 return got
 
+            raw = raw_pieces(pieces)
+
             def kernel(batch):
-                made = [
-                    b"".join(map(of, UNIT.findall(normalise(t.as_py())))) if t.is_valid else None
-                    for t in batch.column(text_col)
-                ]
+                texts = batch.column(text_col).to_pylist()
+                made = [None if t is None else b"".join(map(of, UNIT.findall(normalise(t)))) for t in texts]
+                out = {f.name: batch.column(f.name) for f in kept}
+                if verify:
+                    out["restored"] = [
+                        t is None or decoded(np.frombuffer(m, width), raw) == t.replace(SPACE, " ")
+                        for t, m in zip(texts, made)
+                    ]
                 if not packed:
                     made = [None if m is None else np.frombuffer(m, width).astype(np.int32) for m in made]
-                return {f.name: batch.column(f.name) for f in kept} | {"ids": made}
+                return out | {"ids": made}
 
             return kernel
 
@@ -330,15 +358,10 @@ class Codec:
 
         def body():
             pieces, _ = held.value
-            raw = np.empty(len(pieces.by_id), object)
-            for i, p in enumerate(pieces.by_id):
-                raw[i] = b"" if p is None else bytes([p]) if isinstance(p, int) else p.encode()
-            mark, space = SPACE.encode(), b" "
+            raw = raw_pieces(pieces)
 
             def one(ids) -> str:
-                at = np.frombuffer(ids, width) if packed else np.asarray(ids, np.int64)
-                text = b"".join(raw[at].tolist()).replace(mark, space)
-                return text.removeprefix(space).decode("utf-8", "replace")
+                return decoded(np.frombuffer(ids, width) if packed else np.asarray(ids, np.int64), raw)
 
             def kernel(batch):
                 ids = batch.column(ids_col).to_pylist()
