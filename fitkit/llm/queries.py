@@ -27,7 +27,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.materialise(table(spark, sf_dir, "documents"), model_file())
+    import public_tokenizers as public
+
+    make = token_shards.byte_bpe(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    # 50256 is free in this vocabulary.
+    return token_shards.materialise(table(spark, sf_dir, "documents"), make, end_id=50256, pad_id=50256)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

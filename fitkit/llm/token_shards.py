@@ -65,44 +65,31 @@ class SlotPermutation:
         return self._walk(slot, self.keys[::-1])
 
 
-def unit_tokenizer(model_file: str, end_id: int) -> Callable[[], Callable[[str], bytes]]:
-    """Tokens of a text as packed ids with ``end_id`` behind, by a sentencepiece vocabulary.
-
-    No piece of such a vocabulary crosses a space, so the ids of a text are those of its words
-    in turn; words are looked up, and new ones are encoded together.
-    """
+def byte_bpe(ranks_file: str, pattern: str) -> Callable[[], Callable[[str], bytes]]:
+    """Packed ids of a text by a byte-level BPE vocabulary of ranks."""
 
     def make():
-        import sentencepiece
+        import base64
 
-        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        if any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.vocab_size())):
-            raise ValueError("a piece of this vocabulary crosses a space")
-        known: dict[str, bytes] = {}
-        end = np.array([end_id], DTYPE).tobytes()
+        import tiktoken
+
+        with open(ranks_file, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        if len(ranks) > 1 << 16:
+            raise ValueError("ids don't fit into two bytes")
+        model = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
         def tokens(text: str) -> bytes:
-            if not text:
-                return end
-            if "  " in text or text[0] == " " or text[-1] == " " or "▁" in text:
-                return np.array(model.encode(text), DTYPE).tobytes() + end
-            words = text.split(" ")
-            try:
-                return b"".join(map(known.__getitem__, words)) + end
-            except KeyError:
-                if len(known) > 400_000:
-                    known.clear()
-                new = [w for w in set(words) if w not in known]
-                for w, ids in zip(new, model.encode(new)):
-                    known[w] = np.array(ids, DTYPE).tobytes()
-                return b"".join(map(known.__getitem__, words)) + end
+            return model.encode_to_numpy(text, disallowed_special=()).astype(DTYPE).tobytes()
 
         return tokens
 
     return make
 
 
-def _tokenised(docs: DataFrame, make, id_col: str, text_col: str, buckets: int, blobs: bool) -> DataFrame:
+def _tokenised(
+    docs: DataFrame, make, end_id: int, id_col: str, text_col: str, buckets: int, blobs: bool
+) -> DataFrame:
     """``bucket, doc_id, tie, n`` and with ``blobs`` the packed, compressed ids.
 
     ``tie`` orders rows that share an id.
@@ -125,11 +112,12 @@ def _tokenised(docs: DataFrame, make, id_col: str, text_col: str, buckets: int,
 
     def body():
         tokens = make()
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         size = np.dtype(DTYPE).itemsize
+        end = np.array([end_id], DTYPE).tobytes()
 
         def kernel(batch):
-            made = [tokens(t.as_py()) for t in batch.column(3)]
+            made = [tokens(t.as_py()) + end for t in batch.column(3)]
             out = {k: batch.column(k) for k in ("bucket", "doc_id", "tie")}
             out["n"] = [len(m) // size for m in made]
             return out | ({"ids": [pack.compress(m) for m in made]} if blobs else {})
@@ -141,20 +129,22 @@ def _tokenised(docs: DataFrame, make, id_col: str, text_col: str, buckets: int,
 
 def materialise(
     docs: DataFrame,
-    model_file: str,
+    make: Callable[[], Callable[[str], bytes]],
     *,
     path: str | None = None,
     key: int = 20240229,
     sequence: int = SEQUENCE,
     shard_slots: int = SHARD_SLOTS,
     buckets: int = BUCKETS,
-    end_id: int = 2,
+    end_id: int,
     pad_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Write shards ``shard-NNNNNN.bin`` below ``path`` and return one row for each sequence.
 
+    ``make`` runs in each task and gives the tokenizer, a function from a text to packed ids.
+
     Rows: ``slot, shard, record, index, bucket, n_tokens, first_doc, n_docs, crc``.  The files are
     written while the rows are computed; a task that runs again writes the same bytes under a
     new name and moves them into place.  ``path`` is a URI that all executors reach; without one
@@ -168,8 +158,7 @@ def materialise(
     """
     spark = docs.sparkSession
     root = path or scratch_path(spark, "shards")
-    make = unit_tokenizer(model_file, end_id)
-    counts = _tokenised(docs, make, id_col, text_col, buckets, blobs=False)
+    counts = _tokenised(docs, make, end_id, id_col, text_col, buckets, blobs=False)
     sizes = np.zeros(buckets, np.int64)
     for row in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         sizes[row["bucket"]] = row["n"]
@@ -183,7 +172,7 @@ def materialise(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a bucket come sorted: cut their tokens into sequences."""
-        unpack = zstandard.ZstdDecompressor()
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         at = {"bucket": None}
 
         def sequences(rows, last: bool):
@@ -195,7 +184,7 @@ def materialise(
                 out["n_tokens"].append(len(data) // (record // sequence))
                 out["first_doc"].append(at["first"])
                 out["n_docs"].append(at["docs"])
-                out["ids"].append(data + pad[len(data) :])
+                out["ids"].append(pack.compress(data + pad[len(data) :]))
                 at["number"] += 1
 
             for bucket, doc, blob in rows:
@@ -240,7 +229,7 @@ def materialise(
         "ids": pa.binary(),
     }
     dealt = (
-        _tokenised(docs, make, id_col, text_col, buckets, blobs=True)
+        _tokenised(docs, make, end_id, id_col, text_col, buckets, blobs=True)
         .repartitionById(_tasks(spark, buckets), F.col("bucket") % _tasks(spark, buckets))
         .sortWithinPartitions("bucket", "doc_id", "tie")
         .select("bucket", "doc_id", "ids")
@@ -255,14 +244,14 @@ def materialise(
     ranges = cuts.repartitionById(tasks, F.floor(shard * tasks / shards).cast("int")).sortWithinPartitions("slot")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = ShardWriter(root)
+        writer, unpack = ShardWriter(root), zstandard.ZstdDecompressor()
         for batch in batches:
             slots = batch.column(0).to_numpy()
             ids = batch.column(6)
             shard, place = slots // shard_slots, slots % shard_slots
             crc = []
             for k, data in enumerate(ids):
-                data = data.as_py()
+                data = unpack.decompress(data.as_py())
                 writer.put(int(shard[k]), data)
                 crc.append(zlib.crc32(data))
             columns = [batch.column(k) for k in (1, 2, 3, 4, 5)]
