@@ -224,7 +224,11 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
         r"|(?<![0-9/.])[0-9]{2}([/.])[0-9]{2}\1[0-9]{4}(?![0-9/])",
         _date,
     ),
-    "card": (r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", _card),
+    "card": (
+        r"(?<![0-9+])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?"
+        r"|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])",
+        _card,
+    ),
 }
 #: A dot, plus or hyphen may stand in a local part, but doesn't begin one.
 EMAIL = r"(?<![\w.+-])[.+-]*([\w][\w.+-]{0,255}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})"

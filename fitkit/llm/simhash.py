@@ -99,26 +99,26 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def mask_levels(node_rows: int) -> list[dict[int, list[int]]]:
+def mask_levels(node_rows: int) -> Iterator[dict[int, list[int]]]:
     """Masks by level, until no node can have more than ``node_rows`` members."""
-    levels, masks = [], [0]
+    masks = [0]
     while masks:
         level = {m: split_mask(m) for m in masks}
-        levels.append(level)
+        yield level
         below = {c for cs in level.values() for c in cs}
         masks = sorted(m for m in below if 1 << (64 - m.bit_count()) > node_rows)
-    return levels
 
 
 def _into_nodes(rows: DataFrame, level: dict[int, list[int]]) -> DataFrame:
-    """Deal every row of the nodes of a level to the nodes below."""
-    below = F.lit(None).cast("array<bigint>")
-    for mask, cuts in level.items():
-        below = F.when(
-            F.col("mask") == signed(mask), F.array(*[F.lit(signed(c)) for c in cuts])
-        ).otherwise(below)
+    """Deal every row of the nodes of a level to the nodes below.
+
+    The table of masks depends on the level only, not on the data.
+    """
+    table = [(signed(mask), [signed(c) for c in cuts]) for mask, cuts in level.items()]
+    masks = rows.sparkSession.createDataFrame(table, "mask long, cuts array<long>")
     return (
-        rows.select("fp", "rep", F.explode(below).alias("mask"))
+        rows.join(F.broadcast(masks), "mask")
+        .select("fp", "rep", F.explode("cuts").alias("mask"))
         .withColumn("node", F.col("fp").bitwiseAND(F.col("mask")))
         .select("mask", "node", "fp", "rep")
     )
@@ -131,7 +131,7 @@ def links(distinct: DataFrame, scratch: Scratch, node_rows: int = NODE_ROWS) ->
     """
     open_rows = distinct.select("fp", "rep", F.lit(0).cast("bigint").alias("mask"))
     ready = []
-    for depth, level in enumerate(mask_levels(node_rows)):
+    for level in mask_levels(node_rows):
         rows = _into_nodes(open_rows, level)
         sizes = rows.groupBy("mask", "node").count()
         # Almost always few or none: the test costs one small job and spares a level.

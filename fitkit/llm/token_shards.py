@@ -145,7 +145,7 @@ def materialise(
 
     ``make`` runs in each task and gives the tokenizer, a function from a text to packed ids.
 
-    Rows: ``slot, shard, record, index, bucket, n_tokens, first_doc, n_docs, crc``.  The files are
+    Rows: ``slot, shard, record, seq, bucket, n_tokens, first_doc, n_docs, crc``.  The files are
     written while the rows are computed; a task that runs again writes the same bytes under a
     new name and moves them into place.  ``path`` is a URI that all executors reach; without one
     a folder beside the checkpoints is taken.
@@ -176,10 +176,10 @@ def materialise(
         at = {"bucket": None}
 
         def sequences(rows, last: bool):
-            out = {k: [] for k in ("index", "bucket", "n_tokens", "first_doc", "n_docs", "ids")}
+            out = {k: [] for k in ("seq", "bucket", "n_tokens", "first_doc", "n_docs", "ids")}
 
             def put(data: bytes):
-                out["index"].append(int(base[at["bucket"]]) + at["number"])
+                out["seq"].append(int(base[at["bucket"]]) + at["number"])
                 out["bucket"].append(at["bucket"])
                 out["n_tokens"].append(len(data) // (record // sequence))
                 out["first_doc"].append(at["first"])
@@ -207,7 +207,7 @@ def materialise(
                     at["docs"] = 0
             if last and at["bucket"] is not None and at["held"]:
                 put(bytes(at["held"]))
-            slots = permutation.slot(np.array(out["index"], np.uint64))
+            slots = permutation.slot(np.array(out["seq"], np.uint64))
             return pa.RecordBatch.from_arrays(
                 [pa.array(slots), *[pa.array(out[k], type=t) for k, t in kinds.items()]],
                 ["slot", *kinds],
@@ -221,7 +221,7 @@ def materialise(
 
     pad = np.full(sequence, pad_id, DTYPE).tobytes()
     kinds = {
-        "index": pa.int64(),
+        "seq": pa.int64(),
         "bucket": pa.int32(),
         "n_tokens": pa.int32(),
         "first_doc": pa.int64(),
@@ -235,7 +235,7 @@ def materialise(
         .select("bucket", "doc_id", "ids")
     )
     cuts = dealt.mapInArrow(
-        cut, "slot long, index long, bucket int, n_tokens int, first_doc long, n_docs int, ids binary"
+        cut, "slot long, seq long, bucket int, n_tokens int, first_doc long, n_docs int, ids binary"
     )
     shards = -(-total // shard_slots)
     # Ranges of slots: a partition holds neighbouring shards and writes them in order.
@@ -269,7 +269,7 @@ ROW_SCHEMA = T.StructType(
         T.StructField("slot", T.LongType()),
         T.StructField("shard", T.LongType()),
         T.StructField("record", T.LongType()),
-        T.StructField("index", T.LongType()),
+        T.StructField("seq", T.LongType()),
         T.StructField("bucket", T.IntegerType()),
         T.StructField("n_tokens", T.IntegerType()),
         T.StructField("first_doc", T.LongType()),
