@@ -8,13 +8,13 @@ are calibrated as extreme values (Karlin and Altschul): with the rate ``lam`` th
 segment of score s in n tokens has the normalised score ``lam * s - log(k * n)``.  A document
 adds up the significant ones, and a logistic curve turns that evidence into a probability.
 
-Tokens are hashed to a table of fixed size, so the model has a proven bound (4 MB) whatever
-the vocabulary.  Counts cover all documents; labels come from a bounded sample of labelled rows.
+The model holds only the words whose log-odds stand out; all others weigh a small constant below
+zero.  Frequencies cover all documents; labels come from a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 
 from fitkit.llm.common import Scratch, held_out, map_rows
 
-BUCKETS = 1 << 20
 #: Labelled rows that are used at most; they are taken by a hash of the id.
 LABELLED_ROWS = 20_000
 #: Documents that the Dirichlet prior of a token is worth, split by the share of toxic ones.
@@ -39,20 +38,9 @@ _SEPARATORS = bytes(
 )
 
 
-def token_ids(text: str | None, seen: dict[bytes, int]) -> np.ndarray:
-    """Hash buckets of the lower-cased words; ASCII signs separate words."""
-    if not text:
-        return np.empty(0, np.int64)
-    words = text.lower().encode("utf-8", "replace").translate(_SEPARATORS).split()
-    if len(seen) > 500_000:
-        seen.clear()
-    try:
-        return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-    except KeyError:
-        for w in set(words):
-            if w not in seen:
-                seen[w] = zlib.crc32(w) & (BUCKETS - 1)
-        return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased words; ASCII signs separate them."""
+    return text.lower().encode("utf-8", "replace").translate(_SEPARATORS).split() if text else []
 
 
 def maximal_segments(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,52 +80,40 @@ def maximal_segments(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 @dataclass
 class ToxicityModel:
-    """Weights by bucket, the extreme-value constants and the logistic curve."""
+    """Weights of telling words, the extreme-value constants and the logistic curve."""
 
-    weights: np.ndarray
+    weights: dict[bytes, float]
     lam: float
     log_k: float
     slope: float
     offset: float
 
-    def segments(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def token_scores(self, text: str | None) -> np.ndarray:
+        get = self.weights.get
+        return np.array([get(w, -DRIFT) for w in words_of(text)], np.float64)
+
+    def significant(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Significant segments and their normalised scores."""
-        start, end, raw = maximal_segments(self.weights[ids])
-        value = self.lam * raw - self.log_k - np.log(max(1, len(ids)))
+        start, end, raw = maximal_segments(scores)
+        value = self.lam * raw - self.log_k - np.log(max(1, len(scores)))
         ok = value > 0
         return start[ok], end[ok], value[ok]
 
-    def evidence(self, ids: np.ndarray) -> float:
-        return float(np.log1p(self.segments(ids)[2].sum()))
-
-    def score(self, ids: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-(self.slope * self.evidence(ids) + self.offset))))
-
-
-def _counts_everywhere(docs: DataFrame) -> np.ndarray:
-    """Tokens of all documents by bucket; at most ``BUCKETS`` rows reach the driver."""
+    def probability(self, evidence: float) -> float:
+        return float(1 / (1 + np.exp(-(self.slope * evidence + self.offset))))
 
-    def run(batches):
-        seen: dict[bytes, int] = {}
-        counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                np.add.at(counts, token_ids(text.as_py(), seen), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
 
-    parts = docs.select("text").mapInArrow(run, "bucket long, n long")
-    got = parts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS)
-    out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
-    return out
+def evidence_of(values: np.ndarray) -> float:
+    return float(np.log1p(values.sum()))
 
 
-def _labelled_counts(docs: DataFrame, learn: DataFrame) -> np.ndarray:
-    """Documents by label (0, 1) and bucket that use a token.
+def _telling_words(docs: DataFrame, learn: DataFrame, base: float) -> dict[bytes, float]:
+    """Words whose log-odds stand out of their standard error, with the shrunk log-odds.
 
-    A sentence speaks for one document of its label only, however many copies hold it: otherwise
-    one mislabelled document with many copies would teach its own words.
+    Counts are documents by label that use a word.  A sentence speaks for one document of its
+    label only, however many copies hold it: otherwise one mislabelled document with many copies
+    would teach its own words.  Only the words that stand out come to the driver; each needs
+    several labelled documents, so the sample bounds their number.
     """
     sentences = (
         docs.join(F.broadcast(learn), docs.doc_id == learn.__id)
@@ -151,23 +127,53 @@ def _labelled_counts(docs: DataFrame, learn: DataFrame) -> np.ndarray:
     )
 
     def run(batches):
-        seen: dict[bytes, int] = {}
         for batch in batches:
-            rows = [token_ids(t.as_py(), seen) for t in batch.column(0)]
+            rows = [words_of(t.as_py()) for t in batch.column(0)]
             sizes = [len(r) for r in rows]
             kinds = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)
             docs = np.repeat(batch.column(2).to_numpy(zero_copy_only=False), sizes)
-            ids = np.concatenate([np.empty(0, np.int64), *rows])
+            words = pa.array([w for r in rows for w in r], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs.astype(np.int64)), pa.array(kinds.astype(np.int32)), pa.array(ids)],
-                ["doc", "kind", "bucket"],
+                [pa.array(docs.astype(np.int64)), pa.array(kinds.astype(np.int32)), words],
+                ["doc", "kind", "word"],
             )
 
-    used = sentences.mapInArrow(run, "doc long, kind int, bucket long").distinct()
-    got = used.groupBy("bucket", "kind").count().toPandas()
-    out = np.zeros((2, BUCKETS))
-    out[got["kind"].to_numpy(np.int64), got["bucket"].to_numpy(np.int64)] = got["count"]
-    return out
+    used = sentences.mapInArrow(run, "doc long, kind int, word binary").distinct()
+    toxic, clean = F.col("t") + PRIOR * base, F.col("c") + PRIOR * (1 - base)
+    odds = F.log(toxic / clean) - float(np.log(base / (1 - base)))
+    error = F.sqrt(1 / toxic + 1 / clean)
+    found = (
+        used.groupBy("word")
+        .agg(F.sum("kind").alias("t"), F.sum(1 - F.col("kind")).alias("c"))
+        .select("word", odds.alias("odds"), error.alias("error"))
+        .filter(F.abs("odds") > SHRINK * F.col("error"))
+    )
+    return {
+        bytes(r["word"]): float(np.sign(r["odds"]) * (abs(r["odds"]) - SHRINK * r["error"]) - DRIFT)
+        for r in found.collect()
+    }
+
+
+def _frequencies(docs: DataFrame, words: dict[bytes, float]) -> tuple[dict[bytes, int], int]:
+    """How often each of the words stands in all documents, and all tokens."""
+    held = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+
+    def run(batches):
+        total, counts = 0, Counter()
+        for batch in batches:
+            for t in batch.column(0):
+                tokens = words_of(t.as_py())
+                total += len(tokens)
+                counts.update(filter(held.value.__contains__, tokens))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None, *counts], pa.binary()), pa.array([total, *counts.values()], pa.int64())],
+            ["word", "n"],
+        )
+
+    rows = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    got = {r["word"]: r["n"] for r in rows.collect()}
+    total = got.pop(None, 0)
+    return {bytes(w): n for w, n in got.items()}, total
 
 
 def sample_labels(labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
@@ -193,8 +199,8 @@ def sample_labels(labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> ToxicityModel:
     """Learn token weights and calibration; needs ``doc_id, text`` and ``doc_id, toxic``.
 
-    Without any toxic or any clean labelled document nothing can be learned: all weights are
-    zero and every score is the prior share (0 without labels).
+    Without any toxic or any clean labelled document nothing can be learned: no word tells
+    anything and every score is the share of toxic labels (0 without labels).
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     docs = docs.select("doc_id", "text")
@@ -202,29 +208,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
     # A third of the sample calibrates; its words are not learned from.
     third = F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(3)) == 0
     learn, check = sample.filter(~third), sample.filter(third)
-    every = _counts_everywhere(docs)
-    clean, toxic = _labelled_counts(docs, learn)
-    weights = np.full(BUCKETS, -DRIFT, np.float32)
     share = {r["__toxic"]: r["count"] for r in sample.groupBy("__toxic").count().collect()}
     n_toxic, n_clean = share.get(1, 0), share.get(0, 0)
     base = n_toxic / max(1, n_toxic + n_clean)
-    if not toxic.sum() or not clean.sum():
-        return ToxicityModel(weights, 1.0, 0.0, 0.0, float(np.log((base + 1e-9) / (1 - base + 1e-9))))
-    at = np.flatnonzero(every + clean + toxic)
-    every, clean, toxic = every[at], clean[at] + PRIOR * (1 - base), toxic[at] + PRIOR * base
-    odds = np.log(toxic / clean) - np.log(base / (1 - base))
-    error = np.sqrt(1 / toxic + 1 / clean)
-    weights[at] = np.sign(odds) * np.maximum(np.abs(odds) - SHRINK * error, 0) - DRIFT
-    # The rate at which clean text makes high scores.
-    chance = every * (1 - toxic / (toxic + clean))
-    chance /= chance.sum()
-    w = weights[at].astype(np.float64)
+    if not n_toxic or not n_clean:
+        return ToxicityModel({}, 1.0, 0.0, 0.0, float(np.log((base + 1e-9) / (1 - base + 1e-9))))
+    weights = _telling_words(docs, learn, base)
+    counts, total = _frequencies(docs, weights)
+    # The rate at which clean text makes high scores: a telling word is met in clean text as often
+    # as it would be if labels were drawn at random, discounted by its own odds.
+    names = list(weights)
+    w = np.array([weights[n] for n in names])
+    chance = np.array([counts.get(n, 0) for n in names]) * np.exp(-np.maximum(w, 0)) / max(1, total)
     low, high = 1e-3, 50.0
     if (w > 0).any():
         for _ in range(80):
             lam = (low + high) / 2
-            value = np.log(np.sum(chance * np.exp(np.minimum(lam * w, 600))))
-            low, high = (lam, high) if value < 0 else (low, lam)
+            rest = (1 - min(1.0, chance.sum())) * np.exp(-lam * DRIFT)
+            value = np.sum(chance * np.exp(np.minimum(lam * w, 600))) + rest
+            low, high = (lam, high) if value < 1 else (low, lam)
     model = ToxicityModel(weights, float(low), 0.0, 1.0, 0.0)
     measured = _measure(docs, check, model).toPandas()
     if measured.empty:
@@ -258,16 +260,14 @@ def _measure(docs: DataFrame, sample: DataFrame, model: ToxicityModel) -> DataFr
     rows = docs.join(F.broadcast(sample), docs.doc_id == sample.__id).select("text", "__toxic")
 
     def body():
-        seen: dict[bytes, int] = {}
-
         def kernel(batch):
             n, best, evidence = [], [], []
             for t in batch.column(0):
-                ids = token_ids(t.as_py(), seen)
-                sums = maximal_segments(held.value.weights[ids])[2]
-                n.append(len(ids))
+                scores = held.value.token_scores(t.as_py())
+                sums = maximal_segments(scores)[2]
+                n.append(len(scores))
                 best.append(float(sums.max()) if len(sums) else 0.0)
-                evidence.append(held.value.evidence(ids))
+                evidence.append(evidence_of(held.value.significant(scores)[2]))
             return {"toxic": batch.column(1).to_pylist(), "n": n, "best": best, "evidence": evidence}
 
         return kernel
@@ -314,16 +314,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
     rows = docs.select(*[F.col(f"`{f.name}`") for f in kept])
 
     def body():
-        seen: dict[bytes, int] = {}
         model = held.value
 
         def kernel(batch):
             score, segments = [], []
             for t in batch.column("text"):
-                ids = token_ids(t.as_py(), seen)
-                start, end, value = model.segments(ids)
-                logit = model.slope * np.log1p(value.sum()) + model.offset
-                score.append(float(1 / (1 + np.exp(-logit))))
+                start, end, value = model.significant(model.token_scores(t.as_py()))
+                score.append(model.probability(evidence_of(value)))
                 segments.append(
                     [{"start": int(a), "end": int(b), "value": float(v)} for a, b, v in zip(start, end, value)]
                 )
