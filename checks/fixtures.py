@@ -32,6 +32,19 @@ RIDGE2 = """SELECT l_orderkey % 4 AS shard, l_extendedprice / 100000.0 AS y,
   l_quantity / 50.0 AS x0, l_discount * 10.0 AS x1 FROM lineitem"""
 
 
+def orders2(spark, sf_dir):
+    """Orders: the price as it is, on a constant and a scaled customer key."""
+    return table(spark, sf_dir, "orders").select(
+        _shard("o_orderkey"),
+        F.col("o_totalprice").alias("y"),
+        F.array(F.lit(1.0), (F.col("o_custkey") % 100) / 100.0).alias("x"),
+    )
+
+
+ORDERS2 = """SELECT o_orderkey % 4 AS shard, o_totalprice AS y,
+  1.0::DOUBLE AS x0, (o_custkey % 100) / 100.0 AS x1 FROM orders"""
+
+
 def ridge3(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(
         _shard("l_orderkey"),

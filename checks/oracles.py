@@ -6,7 +6,7 @@ Trainers are unrolled: one materialised CTE per quantity and iteration, with the
 
 from __future__ import annotations
 
-from checks.fixtures import EMB, EVENT2, LOGIT2, RIDGE2, RIDGE3
+from checks.fixtures import EMB, EVENT2, LOGIT2, ORDERS2, RIDGE2, RIDGE3
 
 W = (0.3, -0.2)
 P = (0.15, -0.4)
@@ -537,9 +537,7 @@ def oracle_sql() -> dict[str, str]:
 
     # sources, sinks, layout
     sql["libsvm_roundtrip"] = LIBSVM_ROWS.format(keep="x")
-    sql["libsvm_text_parse"] = LIBSVM_ROWS.format(
-        keep="[CASE WHEN abs(v) > 0.1 THEN v ELSE 0.0 END FOR v IN x]"
-    )
+    sql["libsvm_text_parse"] = LIBSVM_ROWS.format(keep="x")
     sql["text_split_sink"] = f"""
 SELECT id % 5 = 0 AS is_test, count(*)::BIGINT AS n, sum(CASE WHEN y > 0 THEN 1 ELSE 0 END)::BIGINT
   AS positive FROM ({EMB}) GROUP BY 1"""
@@ -594,12 +592,21 @@ FROM ({EMB}), z"""
     sql["rff_bandwidth"] = f"""
 WITH d AS MATERIALIZED ({EMB}), q AS (SELECT avg({pairs}) AS v FROM d a, d b)
 SELECT (SELECT count(*) FROM d)::BIGINT AS n, {r('v', 'mean_sq_dist')}, {r('sqrt(v)', 'sigma')} FROM q"""
-    sql["rff_bandwidth_capped"] = f"""
-WITH d AS MATERIALIZED (SELECT * FROM ({EVENT2})
-    QUALIFY row_number() OVER (PARTITION BY shard ORDER BY id) <= 500),
+    sql["rff_bandwidth_by_shard"] = f"""
+WITH d AS MATERIALIZED (SELECT * FROM ({EVENT2})),
 q AS (SELECT avg(v) AS v FROM (SELECT avg(pow(a.x0 - b.x0, 2) + pow(a.x1 - b.x1, 2)) AS v
     FROM d a JOIN d b USING (shard) GROUP BY shard))
 SELECT (SELECT count(*) FROM d)::BIGINT AS n, {r('v', 'mean_sq_dist')}, {r('sqrt(v)', 'sigma')} FROM q"""
+    unscaled = f"""
+WITH d AS (SELECT * FROM ({ORDERS2})),
+s AS (SELECT avg(x0*x0) + 0.01 AS a, avg(x0*x1) AS b, avg(x1*x1) + 0.01 AS c,
+    avg(x0*y) AS p, avg(x1*y) AS q FROM d),
+w AS (SELECT (c*p - b*q) / (a*c - b*b) AS w0, (a*q - b*p) / (a*c - b*b) AS w1 FROM s),
+e AS (SELECT avg(pow(y - w0*x0 - w1*x1, 2)) AS e FROM d, w)
+SELECT j::BIGINT AS j, round(CASE j WHEN 0 THEN w0 ELSE w1 END / 1000, 2) AS w_thousands,
+  round(e / 1e7, 2) AS error_1e7 FROM w, e, range(2) AS t(j)"""
+    for kind in ("newton", "cg", "lbfgs", "admm"):
+        sql[f"ridge_unscaled_{kind}"] = unscaled
 
     # sums
     sql["dataset_profile"] = f"""

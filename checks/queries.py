@@ -15,7 +15,7 @@ from fitkit.operators.blocks import Shape, iter_shards
 from fitkit.operators.features import (
     RandomFourier,
     bandwidth,
-    bandwidth_sampled,
+    bandwidth_by_shard,
     random_fourier,
     random_fourier_native,
 )
@@ -131,10 +131,10 @@ def libsvm_roundtrip(spark, sf_dir):
 
 
 def _libsvm_lines(df: DataFrame) -> DataFrame:
-    """Sparse libsvm text lines (features below 0.1 in absolute value left out)."""
+    """Sparse libsvm text lines (zeros left out)."""
     pairs = F.filter(
         F.transform("x", lambda v, j: F.struct((j + 1).alias("j"), v.alias("v"))),
-        lambda p: F.abs(p["v"]) > 0.1,
+        lambda p: p["v"] != 0.0,
     )
     words = F.transform(
         pairs, lambda p: F.concat_ws(":", p["j"].cast("string"), p["v"].cast("string"))
@@ -286,8 +286,8 @@ def rff_bandwidth(spark, sf_dir):
     return _bandwidth(bandwidth(fx.emb(spark, sf_dir), 64))
 
 
-def rff_bandwidth_capped(spark, sf_dir):
-    return _bandwidth(bandwidth_sampled(fx.event2(spark, sf_dir)))
+def rff_bandwidth_by_shard(spark, sf_dir):
+    return _bandwidth(bandwidth_by_shard(fx.event2(spark, sf_dir)))
 
 
 # ---- sums --------------------------------------------------------------------------
@@ -461,6 +461,31 @@ def _sparsity(spark, ts):
     return score.weight_sparsity(fit.weights_df()).select("d", "nonzero", r("share", "share"))
 
 
+#: Converged ridge fits on labels around 1e5, which no scaling has touched.
+UNSCALED = {
+    "newton": lambda ts: fit_newton(ts, SQUARED, l2=L2, max_iter=12),
+    "cg": lambda ts: fit_cg(ts, l2=L2, max_iter=8),
+    "lbfgs": lambda ts: fit_lbfgs(ts, SQUARED, l2=L2, max_iter=25),
+    "admm": lambda ts: fit_admm(ts, SQUARED, l2=L2, max_iter=40, inner=20, rho=0.1),
+}
+
+
+def _unscaled(fit):
+    """Weights and training error at the optimum, to about six digits."""
+
+    def query(spark, sf_dir):
+        with TrainingSet(fx.orders2(spark, sf_dir)) as ts:
+            out = fit(ts)
+        error = out.history[-1]["train_error"]
+        return out.weights_df().select(
+            F.col("j").cast("long").alias("j"),
+            F.round(F.col("w") / 1000, 2).alias("w_thousands"),
+            F.round(F.lit(error) / 1e7, 2).alias("error_1e7"),
+        )
+
+    return query
+
+
 def queries() -> dict[str, Query]:
     return {
         "libsvm_roundtrip": libsvm_roundtrip,
@@ -481,7 +506,7 @@ def queries() -> dict[str, Query]:
         "rff_transform": rff_transform,
         "rff_transform_native": rff_transform_native,
         "rff_bandwidth": rff_bandwidth,
-        "rff_bandwidth_capped": rff_bandwidth_capped,
+        "rff_bandwidth_by_shard": rff_bandwidth_by_shard,
         "dataset_profile": on_set(fx.logit2, _profile),
         "logistic_grad": on_set(fx.logit2, _gradient(LOGISTIC, Penalty(l2=L2))),
         "ridge_grad": on_set(fx.ridge2, _gradient(SQUARED, Penalty(l2=L2))),
@@ -512,6 +537,7 @@ def queries() -> dict[str, Query]:
         ),
         "lbfgs_logistic": fitted(fx.logit2, lambda ts: fit_lbfgs(ts, LOGISTIC, l2=L2, max_iter=2)),
         "lbfgs_ridge": fitted(fx.ridge2, lambda ts: fit_lbfgs(ts, SQUARED, l2=L2, max_iter=2)),
+        **{f"ridge_unscaled_{k}": _unscaled(fit) for k, fit in UNSCALED.items()},
         "cg_ridge": fitted(fx.ridge2, lambda ts: fit_cg(ts, l2=L2, max_iter=2)),
         "fista_prox_l2": fitted(
             fx.event2,

@@ -128,18 +128,9 @@ def bandwidth(df: DataFrame, d: int, *, features: str = "x") -> DataFrame:
     )
 
 
-def bandwidth_sampled(
-    df: DataFrame, *, key: str = "id", per_shard: int = 500, features: str = "x"
-) -> DataFrame:
-    """The same from the first ``per_shard`` rows by key of each shard, shard means averaged.
-
-    A sampling estimate for a quick first guess.  The rank filter is a group limit
-    Spark applies before the shuffle, so at most ``per_shard`` rows per shard and
-    task travel.
-    """
-    first = Window.partitionBy("shard").orderBy(key)
-    picked = df.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_shard)
-    long = picked.select("shard", F.posexplode(features).alias("j", "v"))
+def bandwidth_by_shard(df: DataFrame, *, features: str = "x") -> DataFrame:
+    """The same within each shard, over all its rows, and the mean over shards."""
+    long = df.select("shard", F.posexplode(features).alias("j", "v"))
     spread = long.groupBy("shard", "j").agg(F.count("*").alias("s"), F.var_pop("v").alias("v"))
     per = spread.groupBy("shard").agg(F.max("s").alias("s"), (F.sum("v") * 2.0).alias("v"))
     return per.agg(F.sum("s").alias("n"), F.avg("v").alias("mean_sq_dist")).withColumn(

@@ -99,7 +99,12 @@ class TrainingSet:
         self.rows = df.select(
             shard.alias("shard"), row_id.alias("id"), y.alias("y"), x.alias("x")
         )
-        self.source_width = d or self.rows.select(F.size("x")).first()[0]
+        if not d:
+            first = self.rows.select(F.size("x")).first()
+            if first is None:
+                raise ValueError("the training table is empty")
+            d = first[0]
+        self.source_width = d
         self.feature_map = feature_map
         self.d = self.source_width if feature_map is None else feature_map.size
         mapped_on_read = feature_map is not None and self.source_width <= MAP_ON_READ_WIDTH

@@ -195,7 +195,9 @@ def fit_admm(
                 total = totals(state)
             ev = as_evaluation(total[d:], n, u, penalty)
             history.add(u, ev.objective, ev.error, ev.grad_norm_sq)
-            early = stop.reason(ev.grad_norm_sq, d, ev.objective, history.seconds())
+            early = stop.reason(
+                ev.grad_norm_sq, d, ev.objective, history.seconds(), history.rows[0]["objective"]
+            )
             if early:
                 reason = early
                 break

@@ -36,6 +36,9 @@ def _tasks(length: int) -> int | None:
 class QuadraticTotals:
     """Ridge sums taken once from per-shard statistics; later evaluations need no job.
 
+    Errors are expanded around the least-squares point, where one pass over the rows measures
+    them: the sums themselves would cancel where residuals are small against the labels.
+
     Offers ``evaluate`` and ``line`` like a training set.  Only used for widths at
     which one ``d x d`` matrix is small on the driver.
     """
@@ -48,16 +51,20 @@ class QuadraticTotals:
         self.n, self.m = int(total[-2]), int(total[-1])
         if not self.n:
             raise ValueError("the training table is empty")
-        self.gram, slope, half_yy, _ = split_stats(total[:-2], ts.d)
-        self.xy, self.yy = -slope, 2.0 * half_yy
+        self.gram, slope, _, _ = split_stats(total[:-2], ts.d)
+        self.centre = np.linalg.lstsq(self.gram, -slope, rcond=None)[0]
+        at = ts.evaluate(self.centre, SQUARED, Penalty())
+        self.centre_error, self.centre_gradient = at.error, at.gradient
 
     def evaluate(self, w: np.ndarray, loss: Loss, penalty: Penalty) -> Evaluation:
-        gw = self.gram @ w
-        sse = max(0.0, float(w @ gw - 2.0 * (self.xy @ w) + self.yy))
+        away = w - self.centre
+        bend = self.gram @ away / self.n
+        error = self.centre_error + 2.0 * float(self.centre_gradient @ away) + float(away @ bend)
+        error = max(0.0, error)
         return Evaluation(
-            0.5 * sse / self.n + penalty.value(w),
-            sse / self.n,
-            (gw - self.xy) / self.n + penalty.gradient(w),
+            0.5 * error + penalty.value(w),
+            error,
+            self.centre_gradient + bend + penalty.gradient(w),
         )
 
     def line(self, w, p, etas, loss, penalty, *, slopes=False):

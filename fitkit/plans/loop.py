@@ -121,7 +121,9 @@ def run(
         ev = known or evaluate(w)
         norm = stationarity(w, ev.gradient, penalty.l1)
         history.add(w, ev.objective, ev.error, norm)
-        early = stop.reason(norm, ts.d, ev.objective, history.seconds())
+        early = stop.reason(
+            norm, ts.d, ev.objective, history.seconds(), history.rows[0]["objective"]
+        )
         if early or t == max_iter:
             reason = early or reason
             break

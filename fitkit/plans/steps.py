@@ -53,15 +53,18 @@ def wolfe(
 class StopRule:
     """When to stop before ``max_iter``.
 
-    ``grad_tol`` is compared with the squared gradient norm divided by the width.
+    ``grad_tol`` is compared with the squared gradient norm divided by the width.  A fit diverges
+    when its objective is not finite or ``growth`` times that of the start (or of 1, if larger).
     """
 
     grad_tol: float = 1e-22
     max_seconds: float = float("inf")
-    ceiling: float = 1e10
+    growth: float = 1e6
 
-    def reason(self, grad_norm_sq: float, d: int, objective: float, seconds: float) -> str | None:
-        if not np.isfinite(objective) or objective > self.ceiling:
+    def reason(
+        self, grad_norm_sq: float, d: int, objective: float, seconds: float, first: float
+    ) -> str | None:
+        if not np.isfinite(objective) or objective > self.growth * max(1.0, abs(first)):
             return "diverged"
         if grad_norm_sq < self.grad_tol * d:
             return "converged"

@@ -22,6 +22,7 @@ from fitkit.operators.shards import (
 )
 from fitkit.operators.training_set import TrainingSet
 from fitkit.plans.dane import fit_dane
+from fitkit.plans.gradient import fit_cg
 from fitkit.plans.newton import fit_newton
 from fitkit.plans.steps import armijo, wolfe
 from fitkit.session import checkpoint_dir, scratch_path
@@ -328,3 +329,30 @@ def test_scoring_wide_and_narrow(spark, sf):
     wide = score.score_rows(df, w).orderBy("id").toPandas()
     np.testing.assert_allclose(wide["score"], np.stack(wide["x"]) @ w, atol=1e-12)
     assert score.mean_squared_error(df, w).first()["n"] == 500
+
+
+def test_an_empty_table_is_named(spark):
+    none = spark.createDataFrame([], "y double, x array<double>")
+    with pytest.raises(ValueError, match="empty"):
+        TrainingSet(none)
+
+
+def test_large_labels_with_small_residuals(spark):
+    """Labels near a million, residuals near a thousandth: no error is negative or quantised."""
+    rng = np.random.default_rng(4)
+    x = np.stack([np.ones(400), rng.random(400)], axis=1)
+    y = x @ np.array([1e6, 3e3]) + 1e-3 * rng.standard_normal(400)
+    rows = [(i % 3, i, float(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "shard int, id long, y double, x array<double>")
+    for fit in (
+        lambda ts: fit_newton(ts, SQUARED, l2=0.0, max_iter=6),
+        lambda ts: fit_cg(ts, l2=0.0, max_iter=8),
+    ):
+        with TrainingSet(df) as ts:
+            out = fit(ts)
+        direct = float(np.mean((y - x @ out.w) ** 2))
+        last = out.history[-1]["train_error"]
+        assert out.stopped != "diverged"
+        assert min(h["train_error"] for h in out.history) >= 0
+        assert last == pytest.approx(direct, rel=1e-4, abs=1e-7)
+        assert last < 1e-4

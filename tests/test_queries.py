@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+import checks.oracles
+import checks.queries
 from tests.compare import connect, mismatch
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = checks.queries.queries()
+SQL = checks.oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
