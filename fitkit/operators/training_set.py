@@ -73,7 +73,9 @@ class TrainingSet:
     """``(shard INT, id BIGINT, y DOUBLE, x ARRAY<DOUBLE>)`` made ready for fitting.
 
     ``shard`` may be absent for methods that do not use it.  ``id`` orders rows
-    inside a shard and splits oversized shards; without one a content hash is used.
+    inside a shard; without one a content hash is used.  A shard stays a shard: methods
+    that need its rows in one task refuse a shard over ``shard_bytes``, unless
+    ``split_shards`` allows them to fit pieces of it, cut by id, as shards.
     A ``feature_map`` (such as ``RandomFourier``) is applied inside the kernels: on
     every read when the source is narrow, else once while blocks are packed.
     Use as a context manager, or call :meth:`close`, to release the caches.
@@ -88,6 +90,7 @@ class TrainingSet:
         engine: str = "auto",
         block_bytes: int = 16 << 20,
         shard_bytes: int = 256 << 20,
+        split_shards: bool = False,
         gram_limit: int = 2048,
         feature_map=None,
     ):
@@ -121,6 +124,7 @@ class TrainingSet:
         self.narrow = feature_map is None and self.d <= native_limit
         self.block_bytes = block_bytes
         self.shard_bytes = shard_bytes
+        self.split_shards = split_shards
         self.gram_limit = gram_limit
         self._held: list[DataFrame] = []
 
@@ -242,11 +246,11 @@ class TrainingSet:
 
     @cached_property
     def slots(self) -> list[tuple[int, int, int, int]]:
-        """``(shard, first slot, pieces, rows)`` per shard; more than one piece if oversized.
+        """``(shard, first slot, pieces, rows)`` per shard.
 
-        One piece per shard is the rule.  A shard whose rows would not fit the
-        per-task budget is cut into equal pieces by a hash of the row id, and each
-        piece acts as a shard of its own; no row is left out.
+        One piece per shard is the rule.  With ``split_shards`` a shard whose rows would
+        not fit the per-task budget is cut into equal pieces by a hash of the row id, and
+        each piece acts as a shard of its own; no row is left out.
         """
         found = self.rows.groupBy("shard").count().collect()
         if any(r["shard"] is None for r in found):
@@ -254,10 +258,9 @@ class TrainingSet:
         counts = sorted((r["shard"], r["count"]) for r in found)
         if not counts:
             raise ValueError("the training table is empty")
-        limit = max(1, self.shard_bytes // (8 * self.d))
         out, first = [], 0
         for shard, rows in counts:
-            pieces = math.ceil(rows / limit)
+            pieces = math.ceil(rows / self.task_rows) if self.split_shards else 1
             out.append((shard, first, pieces, rows))
             first += pieces
         return out
@@ -271,9 +274,18 @@ class TrainingSet:
     def n_slots(self) -> int:
         return self.slots[-1][1] + self.slots[-1][2]
 
+    @property
+    def task_rows(self) -> int:
+        """Rows of one shard that a task may hold."""
+        return max(1, self.shard_bytes // (8 * self.d))
+
+    @property
+    def largest_shard(self) -> int:
+        return max(rows for *_, rows in self.slots)
+
     @property
     def has_oversized_shard(self) -> bool:
-        return any(pieces > 1 for _, _, pieces, _ in self.slots)
+        return self.largest_shard > self.task_rows
 
     @cached_property
     def labels(self) -> list[int]:
@@ -319,6 +331,12 @@ class TrainingSet:
         return self._gather(lambda packed: packed.sortWithinPartitions("shard"))
 
     def _gather(self, arrange) -> DataFrame:
+        if self.has_oversized_shard and not self.split_shards:
+            wanted = math.ceil(self.m * self.largest_shard / self.task_rows)
+            raise ValueError(
+                f"a shard has {self.largest_shard} rows and a task holds {self.task_rows}: use about {wanted} "
+                "shards, a larger shard_bytes, or split_shards=True to fit pieces of it as shards"
+            )
         piece = F.pmod(F.xxhash64("id"), F.size("labels"))
         label = F.get("labels", piece.cast("int"))
         slots = self.slot_table()

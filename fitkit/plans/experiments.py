@@ -160,8 +160,11 @@ EXPERIMENTS = {
 def prepare(
     spark: SparkSession, experiment: Experiment, train_path: str, test_path: str, d: int, m: int
 ) -> tuple[DataFrame, DataFrame]:
-    """The two tables of an experiment; the test side uses the statistics of the train side."""
-    train, test = (read_libsvm(spark, p, d, row_id=True) for p in (train_path, test_path))
+    """The two tables of an experiment; the test side uses the statistics of the train side.
+
+    Files have no key, so shards and the order inside them follow from a hash of the row.
+    """
+    train, test = (read_libsvm(spark, p, d) for p in (train_path, test_path))
     if experiment.classes is not None:
         train, test = (keep_classes(t, "y", experiment.classes) for t in (train, test))
     if experiment.recode is not None:
@@ -169,7 +172,7 @@ def prepare(
     if experiment.scale:
         stats = fit_max_abs(train, d)
         train, test = (apply_max_abs(t, stats) for t in (train, test))
-    return assign_shards(train, m, "id"), test
+    return assign_shards(train, m, ["y", "x"]), test
 
 
 def run_experiment(

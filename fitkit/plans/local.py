@@ -4,7 +4,8 @@ Three routes, from the cheapest:
 
 1. statistics: per-shard matrices by partial aggregation.  Exact for any shard
    size, nothing but ``d x d`` sums is shuffled.  Used for narrow data, for the
-   squared loss (whose matrix never changes), and for shards too big for a task.
+   squared loss (whose matrix never changes), for shards too big for a task, and
+   wherever these sums are small against the rows that a gather would move.
 2. gathered, matrix formed in the task.
 3. gathered, matrix-free.
 """
@@ -20,6 +21,7 @@ from fitkit.operators.blocks import Block, sum_over_blocks
 from fitkit.operators.losses import SQUARED, Loss, Penalty
 from fitkit.operators.shards import (
     conjugate_gradient,
+    forms_matrix,
     solve_matrix,
     split_stats,
     sum_over_stats,
@@ -27,6 +29,10 @@ from fitkit.operators.shards import (
 )
 from fitkit.operators.training_set import Evaluation, TrainingSet
 
+# Passes whose partial sums may weigh as much as the rows, and the usual bytes of an input split.
+STATS_PASSES = 16
+SPLIT_BYTES = 128 << 20
+
 
 def _tasks(length: int) -> int | None:
     """Short sums over statistics rows go straight to the driver, long ones are merged first."""
@@ -86,9 +92,35 @@ def squared_stats(ts: TrainingSet) -> tuple[DataFrame, DataFrame]:
     return held, held.coalesce(shards) if shards < partitions else held
 
 
-def uses_statistics(ts: TrainingSet, loss: Loss) -> bool:
-    """Whether shard matrices are aggregated instead of gathering shard rows."""
-    return ts.is_native(loss) or (ts.d <= ts.gram_limit and ts.has_oversized_shard)
+def uses_statistics(ts: TrainingSet, loss: Loss, inner: int, hessian: str = "auto") -> bool:
+    """Whether shard matrices are summed where the rows lie instead of gathering shard rows.
+
+    ``"free"`` never does.  Otherwise sums are taken for JVM aggregations and for shards that no
+    task holds, and where a matrix is formed anyway while the partial sums of ``STATS_PASSES``
+    passes, one for each task and shard, weigh less than the rows.
+    """
+    if hessian == "free":
+        return False
+    if ts.is_native(loss):
+        return True
+    d = ts.d
+    if d > ts.gram_limit:
+        return False
+    if ts.has_oversized_shard:
+        return True
+    n = sum(rows for *_, rows in ts.slots)
+    if hessian != "matrix" and not forms_matrix(n // ts.m, d, inner, ts.gram_limit):
+        return False
+    tasks = max(ts.spark.sparkContext.defaultParallelism, n * d * 8 // SPLIT_BYTES)
+    return STATS_PASSES * tasks * ts.m * (d * d + d + 2) <= n * d
+
+
+def lay_out(ts: TrainingSet, loss: Loss, by_stats: bool) -> None:
+    """Cache the form that the solves read before the first evaluation, so one copy serves both."""
+    if not by_stats:
+        ts.gathered
+    elif not ts.is_native(loss):
+        ts.pure_blocks
 
 
 def sum_of_answers(
@@ -98,6 +130,7 @@ def sum_of_answers(
     from_matrix: Callable[[np.ndarray, int], np.ndarray],
     from_rows: Callable[[Block], np.ndarray],
     *,
+    by_stats: bool,
     stats: DataFrame | None = None,
 ) -> np.ndarray:
     """``sum_i s_i v_i / sum_i s_i`` over shards.
@@ -106,7 +139,7 @@ def sum_of_answers(
     ``from_rows(block)`` gets its rows.
     """
     d = ts.d
-    if stats is None and uses_statistics(ts, loss):
+    if stats is None and by_stats:
         stats = ts.shard_stats(w, loss)
     if stats is not None:
         return _mean_over_stats(ts, stats, lambda s, v: from_matrix(split_stats(v, d)[0] / s, s))
@@ -147,7 +180,7 @@ def average_models(
     """
     d, zero = ts.d, np.zeros(ts.d)
     if loss is SQUARED:
-        if uses_statistics(ts, loss):
+        if uses_statistics(ts, loss, inner):
 
             def from_stats(s, v):
                 gram, slope, _, _ = split_stats(v, d)

@@ -20,6 +20,7 @@ from fitkit.operators.shards import (
 from fitkit.operators.training_set import TrainingSet
 from fitkit.plans.local import (
     QuadraticTotals,
+    lay_out,
     squared_stats,
     starting_point,
     sum_of_answers,
@@ -48,20 +49,21 @@ def fit_newton(
 ) -> FitResult:
     """Averaged local Newton with at most ``inner`` CG steps per shard and iteration.
 
-    ``hessian`` is ``"matrix"``, ``"free"`` or ``"auto"``.  Ridge in matrix form reads
-    the data once: all later evaluations and solves use per-shard Gram matrices.
+    ``hessian`` is ``"matrix"``, ``"free"`` (no matrix is formed) or ``"auto"``.  Ridge in matrix
+    form reads the data once: all later evaluations and solves use per-shard Gram matrices.
     """
     d, gram_limit, penalty = ts.d, ts.gram_limit, Penalty(l2=l2)
     loop.setdefault("stop", StopRule(grad_tol=1e-22 if loss.labels_are_signs else 1e-18))
     if hessian not in ("auto", "matrix", "free"):
         raise ValueError(f"unknown hessian form {hessian!r}")
 
-    held, stats, source = None, None, ts
+    held, stats, source, by_stats = None, None, ts, True
     if loss is SQUARED and _ridge_in_matrix_form(ts, max_iter, inner, hessian):
         held, stats = squared_stats(ts)
         source = QuadraticTotals(ts, stats)
-    elif not uses_statistics(ts, loss):
-        ts.gathered  # built before the first evaluation, so one cached copy serves both
+    else:
+        by_stats = uses_statistics(ts, loss, inner, hessian)
+        lay_out(ts, loss, by_stats)
     ts.check_labels(loss)
     etas = step_table(loss)
 
@@ -77,7 +79,7 @@ def fit_newton(
                 return from_matrix((b.x * k[:, None]).T @ b.x, s)
             return conjugate_gradient(lambda p: (k * (b.x @ p)) @ b.x + l2 * p, g, inner)
 
-        return sum_of_answers(ts, w, loss, from_matrix, from_rows, stats=stats)
+        return sum_of_answers(ts, w, loss, from_matrix, from_rows, by_stats=by_stats, stats=stats)
 
     def step(t, w, ev):
         p = direction(w, ev.gradient)
@@ -105,10 +107,12 @@ def fit_newton(
 
 
 def _ridge_in_matrix_form(ts: TrainingSet, max_iter: int, inner: int, hessian: str) -> bool:
+    if hessian == "free":
+        return False
     if ts.is_native(SQUARED):
-        return hessian != "free"
-    if ts.d > ts.gram_limit or hessian == "free":
-        return ts.d <= ts.gram_limit and ts.has_oversized_shard
+        return True
+    if ts.d > ts.gram_limit:
+        return False
     if hessian == "matrix" or ts.has_oversized_shard:
         return True
     s = sum(rows for *_, rows in ts.slots) / ts.m
@@ -134,8 +138,8 @@ def fit_prox_newton(
     loss = LOGISTIC
     d, gram_limit, penalty = ts.d, ts.gram_limit, Penalty(l1=l1, l2=l2)
     etas = step_table(loss)
-    if not uses_statistics(ts, loss):
-        ts.gathered
+    by_stats = uses_statistics(ts, loss, inner)
+    lay_out(ts, loss, by_stats)
     ts.check_labels(loss)
 
     def step(t, w, ev):
@@ -153,7 +157,7 @@ def fit_prox_newton(
             target = (k * (b.x @ w)) @ b.x + l2 * w - g
             return w - elastic_net_rows(b.x, k, l2, target, l1, start=w, sweeps=inner)
 
-        p = sum_of_answers(ts, w, loss, from_matrix, from_rows)
+        p = sum_of_answers(ts, w, loss, from_matrix, from_rows, by_stats=by_stats)
         values, _, full = ts.line(w, p, etas, loss, penalty)
         k = armijo(etas, values, ev.objective, float(p @ g), c=0.0)
         return Step(w - etas[k] * p, float(etas[k]), full if k == 0 else None)

@@ -21,6 +21,7 @@ from fitkit.operators.shards import (
     svrg,
 )
 from fitkit.operators.training_set import TrainingSet
+from fitkit.plans.admm import fit_admm
 from fitkit.plans.dane import fit_dane
 from fitkit.plans.gradient import fit_cg
 from fitkit.plans.newton import fit_newton
@@ -65,7 +66,7 @@ def test_oversized_shard_is_split_and_no_row_is_lost(spark):
     x, y = numbers(3000, 4)
     shard = np.where(np.arange(3000) % 10 == 0, 1, 0)
     df = table_of(spark, x, y, shard)
-    with TrainingSet(df, shard_bytes=100 * 32, gram_limit=1) as ts:
+    with TrainingSet(df, shard_bytes=100 * 32, gram_limit=1, split_shards=True) as ts:
         assert ts.has_oversized_shard and ts.n_slots == 27 + 3
         sizes = ts.gathered.groupBy("shard").agg(F.sum("s").alias("s")).collect()
         assert len(sizes) == 30 and sum(r["s"] for r in sizes) == 3000
@@ -79,16 +80,30 @@ def test_oversized_shard_is_split_and_no_row_is_lost(spark):
     np.testing.assert_allclose(fit.w, whole.w, atol=1e-4)
 
 
-def test_oversized_shard_by_statistics_equals_the_gathered_route(spark):
+def test_models_do_not_depend_on_the_task_budget(spark):
+    """Statistics give the same model under every budget; whole-shard methods refuse."""
     x, y = numbers(3000, 4)
     shard = np.where(np.arange(3000) % 10 == 0, 1, 0)
     df = table_of(spark, x, y, shard)
     fits = []
-    for limit in (100 * 32, 1 << 28):
+    for limit in (100 * 32, 1000 * 32, 1 << 28):
         with TrainingSet(df, shard_bytes=limit) as ts:
-            fits.append(fit_newton(ts, LOGISTIC, l2=0.1, max_iter=2))
-            assert ("gathered" in ts.__dict__) == (limit > 5000)
-    np.testing.assert_allclose(fits[0].w, fits[1].w, atol=1e-10)
+            fits.append(fit_newton(ts, LOGISTIC, l2=0.1, max_iter=2).w)
+            assert "gathered" not in ts.__dict__
+    with TrainingSet(df) as ts:
+        fits.append(fit_newton(ts, LOGISTIC, l2=0.1, max_iter=2, hessian="free").w)
+        assert "gathered" in ts.__dict__ and "pure_blocks" not in ts.__dict__
+    for w in fits[1:]:
+        np.testing.assert_allclose(fits[0], w, atol=1e-10)
+    with TrainingSet(df, shard_bytes=100 * 32) as ts:
+        for fit in (
+            lambda: fit_newton(ts, LOGISTIC, l2=0.1, max_iter=2, hessian="free"),
+            lambda: fit_dane(ts, l2=1.0, max_iter=1, inner=1, rate=0.1),
+            lambda: fit_admm(ts, LOGISTIC, l2=1.0, max_iter=1, inner=1),
+            lambda: fit_dane(ts, l2=1.0, max_iter=1, inner=1, rate=0.1, start="average"),
+        ):
+            with pytest.raises(ValueError, match="use about 54 shards"):
+                fit()
 
 
 def test_copies_without_ids_are_reported_not_hidden(spark):
@@ -96,7 +111,8 @@ def test_copies_without_ids_are_reported_not_hidden(spark):
         [(0, 1.0, [1.0, 2.0])] * 500 + [(0, -1.0, [0.5, 1.0])] * 500,
         "shard INT, y DOUBLE, x ARRAY<DOUBLE>",
     )
-    with TrainingSet(df, shard_bytes=100 * 16) as ts, pytest.raises(ValueError, match="unique ids"):
+    oversized = TrainingSet(df, shard_bytes=100 * 16, split_shards=True)
+    with oversized as ts, pytest.raises(ValueError, match="unique ids"):
         ts.gathered
 
 

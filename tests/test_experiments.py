@@ -59,3 +59,19 @@ def test_every_preset_names_its_grid():
         "covtype", "epsilon", "mnist", "ridge", "ridge_fourier", "elastic_net",
     }
     assert all(callable(f) for e in ex.EXPERIMENTS.values() for f in e.grid.values())
+
+
+def test_preset_does_not_depend_on_the_file_layout(spark, files):
+    """The same rows in one file and in seven give the same shards and the same fits."""
+    preset = dataclasses.replace(ex.EXPERIMENTS["covtype"], grid=SHORT["covtype"], sigma=None)
+    found = []
+    for pieces in (1, 7):
+        path = scratch_path(spark, "layout")
+        spark.read.format("libsvm").option("numFeatures", "64").load(files[0]).repartition(
+            pieces
+        ).write.format("libsvm").save(path)
+        _, summary = ex.run_experiment(spark, preset, path, files[1], d=64, m=3)
+        found.append({r["run_id"]: (r["objective"], r["test_error"]) for r in summary.collect()})
+    assert found[0].keys() == SHORT["covtype"].keys()
+    for run_id, values in found[0].items():
+        assert values == pytest.approx(found[1][run_id], rel=1e-9)
