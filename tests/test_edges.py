@@ -21,6 +21,7 @@ from fitkit.operators.shards import (
     svrg,
 )
 from fitkit.operators.training_set import TrainingSet
+from fitkit.plans import local
 from fitkit.plans.admm import fit_admm
 from fitkit.plans.dane import fit_dane
 from fitkit.plans.gradient import fit_cg
@@ -80,7 +81,7 @@ def test_oversized_shard_is_split_and_no_row_is_lost(spark):
     np.testing.assert_allclose(fit.w, whole.w, atol=1e-4)
 
 
-def test_models_do_not_depend_on_the_task_budget(spark):
+def test_models_do_not_depend_on_the_task_budget(spark, monkeypatch):
     """Statistics give the same model under every budget; whole-shard methods refuse."""
     x, y = numbers(3000, 4)
     shard = np.where(np.arange(3000) % 10 == 0, 1, 0)
@@ -89,7 +90,11 @@ def test_models_do_not_depend_on_the_task_budget(spark):
     for limit in (100 * 32, 1000 * 32, 1 << 28):
         with TrainingSet(df, shard_bytes=limit) as ts:
             fits.append(fit_newton(ts, LOGISTIC, l2=0.1, max_iter=2).w)
-            assert "gathered" not in ts.__dict__
+            assert ("gathered" in ts.__dict__) == (limit == 1 << 28)
+    monkeypatch.setattr(local, "GATHER_BYTES", 0)  # as if the table were large
+    with TrainingSet(df) as ts:
+        fits.append(fit_newton(ts, LOGISTIC, l2=0.1, max_iter=2).w)
+        assert "gathered" not in ts.__dict__
     with TrainingSet(df) as ts:
         fits.append(fit_newton(ts, LOGISTIC, l2=0.1, max_iter=2, hessian="free").w)
         assert "gathered" in ts.__dict__ and "pure_blocks" not in ts.__dict__
