@@ -15,9 +15,10 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,7 @@ BUCKETS = 256
 SEQUENCE = 512
 SHARD_SLOTS = 16384
 ROUNDS = 6
+WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 DTYPE = "<u2"
 #: Compression of token frames on their way: a tenth smaller than at level 3 for a few CPU seconds a GB.
 LEVEL = 5
@@ -97,10 +99,9 @@ def _tokenised(
     id_col: str,
     text_col: str,
     buckets: int,
-    blobs: bool,
-    samples: list[bytes] = (),
+    samples: list[bytes],
 ) -> DataFrame:
-    """``bucket, doc_id, tie, n`` and with ``blobs`` the packed, compressed ids.
+    """``bucket, doc_id, tie, n`` and ``ids``, packed and compressed.
 
     ``tie`` orders rows that share an id.
     """
@@ -116,9 +117,8 @@ def _tokenised(
         T.StructField("doc_id", T.LongType()),
         T.StructField("tie", T.LongType()),
         T.StructField("n", T.LongType()),
+        T.StructField("ids", T.BinaryType()),
     ]
-    if blobs:
-        fields.append(T.StructField("ids", T.BinaryType()))
 
     def body():
         tokens = make()
@@ -129,17 +129,16 @@ def _tokenised(
         def kernel(batch):
             made = [tokens(t.as_py()) + end for t in batch.column(3)]
             out = {k: batch.column(k) for k in ("bucket", "doc_id", "tie")}
-            out["n"] = [len(m) // size for m in made]
-            return out | ({"ids": [pack.compress(m) for m in made]} if blobs else {})
+            return out | {"n": [len(m) // size for m in made], "ids": [pack.compress(m) for m in made]}
 
         return kernel
 
     return map_rows(rows, body, T.StructType(fields))
 
 
-def _samples(docs: DataFrame, make, text_col: str, n_tokens: int) -> list[bytes]:
+def _samples(docs: DataFrame, make, text_col: str) -> list[bytes]:
     """Beginnings of some texts as packed ids, for the dictionary of the shuffles alone."""
-    share = min(1.0, 500_000 / max(1, n_tokens))
+    share = min(1.0, 1200 / max(1, docs.count()))
     drawn = docs.filter(F.col(text_col).isNotNull()).filter(
         F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(share * (1 << 30))
     )
@@ -185,17 +184,7 @@ def materialise(
     """
     spark = docs.sparkSession
     root = path or scratch_path(spark, "shards")
-    counts = _tokenised(docs, make, end_id, id_col, text_col, buckets, blobs=False)
-    sizes = np.zeros(buckets, np.int64)
-    for row in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        sizes[row["bucket"]] = row["n"]
-    in_bucket = -(-sizes // sequence)
-    base = np.r_[0, np.cumsum(in_bucket)]
-    total = int(base[-1])
-    if not total:
-        return spark.createDataFrame([], ROW_SCHEMA)
-    samples = _samples(docs, make, text_col, int(sizes.sum()))
-    permutation = SlotPermutation(total, key)
+    samples = _samples(docs, make, text_col)
     record = sequence * np.dtype(DTYPE).itemsize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +195,10 @@ def materialise(
         at = {"bucket": None}
 
         def sequences(rows, last: bool):
-            out = {k: [] for k in ("seq", "bucket", "n_tokens", "first_doc", "n_docs", "ids")}
+            out = {k: [] for k in kinds}
 
             def put(data: bytes):
-                out["seq"].append(int(base[at["bucket"]]) + at["number"])
+                out["number"].append(at["number"])
                 out["bucket"].append(at["bucket"])
                 out["n_tokens"].append(len(data) // (record // sequence))
                 out["first_doc"].append(at["first"])
@@ -237,11 +226,7 @@ def materialise(
                     at["docs"] = 0
             if last and at["bucket"] is not None and at["held"]:
                 put(bytes(at["held"]))
-            slots = permutation.slot(np.array(out["seq"], np.uint64))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(slots), *[pa.array(out[k], type=t) for k, t in kinds.items()]],
-                ["slot", *kinds],
-            )
+            return pa.RecordBatch.from_arrays([pa.array(out[k], type=t) for k, t in kinds.items()], list(kinds))
 
         for batch in batches:
             for start in range(0, len(batch), 256):
@@ -251,27 +236,53 @@ def materialise(
 
     pad = np.full(sequence, pad_id, DTYPE).tobytes()
     kinds = {
-        "seq": pa.int64(),
+        "number": pa.int64(),
         "bucket": pa.int32(),
         "n_tokens": pa.int32(),
         "first_doc": pa.int64(),
         "n_docs": pa.int32(),
         "ids": pa.binary(),
     }
-    dealt = (
-        _tokenised(docs, make, end_id, id_col, text_col, buckets, True, samples)
-        .repartitionById(_tasks(spark, buckets), F.col("bucket") % _tasks(spark, buckets))
-        .sortWithinPartitions("bucket", "doc_id", "tie")
-        .select("bucket", "doc_id", "ids")
+    # Sizes and sequences come from one exchange, so that every text is tokenised once.
+    tasks = _tasks(spark, buckets)
+    dealt = _tokenised(docs, make, end_id, id_col, text_col, buckets, samples).repartitionById(
+        tasks, F.col("bucket") % tasks
+    )
+    cuts = dealt.sortWithinPartitions("bucket", "doc_id", "tie").mapInArrow(
+        cut, "number long, bucket int, n_tokens int, first_doc long, n_docs int, ids binary"
     )
-    cuts = dealt.mapInArrow(
-        cut, "slot long, seq long, bucket int, n_tokens int, first_doc long, n_docs int, ids binary"
+    # One row for each bucket: the index of its first sequence, and how many there are in all.
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    places = (
+        dealt.mapInArrow(_bucket_sizes, "bucket int, n long")
+        .groupBy("bucket")
+        .agg(F.ceil(F.sum("n") / sequence).alias("m"))
+        .select(
+            "bucket",
+            F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"),
+            F.sum("m").over(Window.orderBy("bucket").rowsBetween(*WHOLE)).alias("total"),
+        )
     )
-    shards = -(-total // shard_slots)
+
+    @F.pandas_udf(T.LongType())
+    def slot_of(seq: pd.Series, total: pd.Series) -> pd.Series:
+        if not len(seq):
+            return seq
+        return pd.Series(SlotPermutation(int(total.iloc[0]), key).slot(seq.to_numpy(np.uint64)))
+
     # Ranges of slots: a partition holds neighbouring shards and writes them in order.
-    tasks = _tasks(spark, shards)
-    shard = F.floor(F.col("slot") / shard_slots)
-    ranges = cuts.repartitionById(tasks, F.floor(shard * tasks / shards).cast("int")).sortWithinPartitions("slot")
+    tasks = _tasks(spark, 1 << 31)
+    shard, shards = F.floor(F.col("slot") / shard_slots), F.ceil(F.col("total") / shard_slots)
+    ranges = (
+        cuts.join(F.broadcast(places), "bucket")
+        .withColumn("seq", F.col("base") + F.col("number"))
+        .withColumn("slot", slot_of("seq", "total"))
+        .withColumn("range", F.floor(shard * tasks / shards).cast("int"))
+        .select("slot", "seq", "bucket", "n_tokens", "first_doc", "n_docs", "ids", "range")
+        .repartitionById(tasks, F.col("range"))
+        .sortWithinPartitions("slot")
+        .drop("range")
+    )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, unpack = ShardWriter(root), zstandard.ZstdDecompressor(dict_data=_dictionary(samples))
@@ -294,6 +305,17 @@ def materialise(
     return ranges.mapInArrow(write, ROW_SCHEMA)
 
 
+def _bucket_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens by bucket.  It takes whole rows, for an exchange of fewer columns would be another one."""
+    sizes: dict[int, int] = {}
+    for batch in batches:
+        for bucket, n in zip(batch.column("bucket").to_pylist(), batch.column("n").to_pylist()):
+            sizes[bucket] = sizes.get(bucket, 0) + n
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(sizes), pa.int32()), pa.array(list(sizes.values()), pa.int64())], ["bucket", "n"]
+    )
+
+
 ROW_SCHEMA = T.StructType(
     [
         T.StructField("slot", T.LongType()),
