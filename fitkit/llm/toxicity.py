@@ -8,8 +8,9 @@ are calibrated as extreme values (Karlin and Altschul): with the rate ``lam`` th
 segment of score s in n tokens has the normalised score ``lam * s - log(k * n)``.  A document
 adds up the significant ones, and a logistic curve turns that evidence into a probability.
 
-The model holds only the words whose log-odds stand out; all others weigh a small constant below
-zero.  Frequencies cover all documents; labels come from a bounded sample of labelled rows.
+The model holds only the words whose log-odds stand out, and stems: beginnings that many
+different words share, for languages that inflect or compound.  A word that does not stand out
+itself weighs as its best stem; all others weigh a small constant below zero.  Frequencies cover all documents; labels come from a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,11 @@ LABELLED_ROWS = 20_000
 PRIOR = 4.0
 SHRINK = 3.0
 DRIFT = 0.15
+#: Bytes of a stem, and the different words that it must begin: one word's beginning is no stem.
+STEM_BYTES = (4, 8)
+STEM_WORDS = 8
+#: Words whose weights a task remembers.
+REMEMBERED = 200_000
 THRESHOLD = 0.3
 
 _SEPARATORS = bytes(
@@ -78,19 +84,58 @@ def maximal_segments(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     )
 
 
+class Lexicon(dict):
+    """What each word weighs by: itself, its best stem, or nothing (None).  Remembers words met."""
+
+    def __init__(self, weights: dict[bytes, float], stems: dict[bytes, float]):
+        super().__init__()
+        self.weights, self.stems = weights, stems
+
+    def __missing__(self, word: bytes) -> tuple[bool, bytes] | None:
+        if len(self) > REMEMBERED:
+            self.clear()
+        if word in self.weights:
+            found = False, word
+        else:
+            heads = (word[:k] for k in range(STEM_BYTES[0], min(len(word), STEM_BYTES[1]) + 1))
+            best = max((h for h in heads if h in self.stems), key=self.stems.__getitem__, default=None)
+            found = None if best is None else (True, best)
+        self[word] = found
+        return found
+
+
+class Scores(Lexicon):
+    """The weight of each word."""
+
+    def __missing__(self, word: bytes) -> float:
+        found = super().__missing__(word)
+        if found is None:
+            weight = -DRIFT
+        else:
+            weight = (self.stems if found[0] else self.weights)[found[1]]
+        self[word] = weight
+        return weight
+
+
 @dataclass
 class ToxicityModel:
-    """Weights of telling words, the extreme-value constants and the logistic curve."""
+    """Weights of telling words and stems, the extreme-value constants and the logistic curve."""
 
     weights: dict[bytes, float]
+    stems: dict[bytes, float]
     lam: float
     log_k: float
     slope: float
     offset: float
 
+    def __post_init__(self):
+        self._scores = Scores(self.weights, self.stems)
+
+    def __reduce__(self):  # what a task remembers stays there
+        return ToxicityModel, (self.weights, self.stems, self.lam, self.log_k, self.slope, self.offset)
+
     def token_scores(self, text: str | None) -> np.ndarray:
-        get = self.weights.get
-        return np.array([get(w, -DRIFT) for w in words_of(text)], np.float64)
+        return np.array(list(map(self._scores.__getitem__, words_of(text))), np.float64)
 
     def significant(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Significant segments and their normalised scores."""
@@ -107,12 +152,14 @@ def evidence_of(values: np.ndarray) -> float:
     return float(np.log1p(values.sum()))
 
 
-def _telling_words(docs: DataFrame, learn: DataFrame, base: float) -> dict[bytes, float]:
-    """Words whose log-odds stand out of their standard error, with the shrunk log-odds.
+def _telling_words(
+    docs: DataFrame, learn: DataFrame, base: float, scratch: Scratch
+) -> tuple[dict[bytes, float], dict[bytes, float]]:
+    """Words and stems whose log-odds stand out of their standard error, with the shrunk log-odds.
 
     Counts are documents by label that use a word.  A sentence speaks for one document of its
     label only, however many copies hold it: otherwise one mislabelled document with many copies
-    would teach its own words.  Only the words that stand out come to the driver; each needs
+    would teach its own words.  Stems speak for toxic text only.  Only the words that stand out come to the driver; each needs
     several labelled documents, so the sample bounds their number.
     """
     sentences = (
@@ -138,42 +185,73 @@ def _telling_words(docs: DataFrame, learn: DataFrame, base: float) -> dict[bytes
                 ["doc", "kind", "word"],
             )
 
-    used = sentences.mapInArrow(run, "doc long, kind int, word binary").distinct()
+    used = scratch.keep(sentences.mapInArrow(run, "doc long, kind int, word binary").distinct())
     toxic, clean = F.col("t") + PRIOR * base, F.col("c") + PRIOR * (1 - base)
     odds = F.log(toxic / clean) - float(np.log(base / (1 - base)))
     error = F.sqrt(1 / toxic + 1 / clean)
-    found = (
-        used.groupBy("word")
-        .agg(F.sum("kind").alias("t"), F.sum(1 - F.col("kind")).alias("c"))
-        .select("word", odds.alias("odds"), error.alias("error"))
-        .filter(F.abs("odds") > SHRINK * F.col("error"))
+    by_kind = [F.sum("kind").alias("t"), F.sum(1 - F.col("kind")).alias("c")]
+
+    def telling(counts: DataFrame) -> dict[bytes, float]:
+        found = counts.select("word", odds.alias("odds"), error.alias("error"))
+        return {
+            bytes(r["word"]): float(np.sign(r["odds"]) * (abs(r["odds"]) - SHRINK * r["error"]) - DRIFT)
+            for r in found.filter(F.abs("odds") > SHRINK * F.col("error")).collect()
+        }
+
+    words = telling(used.groupBy("word").agg(*by_kind))
+    # Words that stand out weigh by themselves and don't speak for their stems.
+    own = docs.sparkSession.createDataFrame([(w,) for w, x in words.items() if x > 0], "word binary")
+    # Different words of a stem, counted from below: each sets one of 64 bits.
+    one, place = F.lit(1).cast("long"), F.pmod(F.xxhash64("word"), F.lit(64)).cast("int")
+    bit = F.call_function("shiftleft", one, place)
+    size = F.octet_length("word")
+    heads = F.transform(
+        F.sequence(F.lit(STEM_BYTES[0]), F.least(F.lit(STEM_BYTES[1]), size)),
+        lambda k: F.substring(F.col("word"), F.lit(1), k),
     )
-    return {
-        bytes(r["word"]): float(np.sign(r["odds"]) * (abs(r["odds"]) - SHRINK * r["error"]) - DRIFT)
-        for r in found.collect()
-    }
+    stems = (
+        used.filter(size >= STEM_BYTES[0])
+        .join(F.broadcast(own), "word", "left_anti")
+        .select("doc", "kind", F.explode(heads).alias("stem"), bit.alias("bit"))
+        .groupBy("stem", "kind", "doc")
+        .agg(F.bit_or("bit").alias("bits"))
+        .groupBy(F.col("stem").alias("word"))
+        .agg(*by_kind, F.bit_or("bits").alias("bits"))
+        .filter(F.bit_count("bits") >= STEM_WORDS)
+    )
+    return words, {w: x for w, x in telling(stems).items() if x > 0}
 
 
-def _frequencies(docs: DataFrame, words: dict[bytes, float]) -> tuple[dict[bytes, int], int]:
-    """How often each of the words stands in all documents, and all tokens."""
-    held = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+def _frequencies(
+    docs: DataFrame, weights: dict[bytes, float], stems: dict[bytes, float]
+) -> tuple[dict[tuple[bool, bytes], int], int]:
+    """How often each word and each stem is what a token of any document weighs by, and all tokens."""
+    held = docs.sparkSession.sparkContext.broadcast((weights, stems))
 
     def run(batches):
         total, counts = 0, Counter()
+        lexicon = Lexicon(*held.value)
         for batch in batches:
             for t in batch.column(0):
                 tokens = words_of(t.as_py())
                 total += len(tokens)
-                counts.update(filter(held.value.__contains__, tokens))
+                counts.update(filter(None, map(lexicon.__getitem__, tokens)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([None, *counts], pa.binary()), pa.array([total, *counts.values()], pa.int64())],
-            ["word", "n"],
+            [
+                pa.array([None, *(k[0] for k in counts)], pa.bool_()),
+                pa.array([None, *(k[1] for k in counts)], pa.binary()),
+                pa.array([total, *counts.values()], pa.int64()),
+            ],
+            ["stem", "word", "n"],
         )
 
-    rows = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    got = {r["word"]: r["n"] for r in rows.collect()}
+    rows = docs.select("text").mapInArrow(run, "stem boolean, word binary, n long")
+    got = {
+        None if r["word"] is None else (r["stem"], bytes(r["word"])): r["n"]
+        for r in rows.groupBy("stem", "word").agg(F.sum("n").alias("n")).collect()
+    }
     total = got.pop(None, 0)
-    return {bytes(w): n for w, n in got.items()}, total
+    return got, total
 
 
 def sample_labels(labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
@@ -212,13 +290,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
     n_toxic, n_clean = share.get(1, 0), share.get(0, 0)
     base = n_toxic / max(1, n_toxic + n_clean)
     if not n_toxic or not n_clean:
-        return ToxicityModel({}, 1.0, 0.0, 0.0, float(np.log((base + 1e-9) / (1 - base + 1e-9))))
-    weights = _telling_words(docs, learn, base)
-    counts, total = _frequencies(docs, weights)
+        return ToxicityModel({}, {}, 1.0, 0.0, 0.0, float(np.log((base + 1e-9) / (1 - base + 1e-9))))
+    weights, stems = _telling_words(docs, learn, base, scratch)
+    counts, total = _frequencies(docs, weights, stems)
     # The rate at which clean text makes high scores: a telling word is met in clean text as often
     # as it would be if labels were drawn at random, discounted by its own odds.
-    names = list(weights)
-    w = np.array([weights[n] for n in names])
+    names = [*((False, n) for n in weights), *((True, n) for n in stems)]
+    w = np.array([*weights.values(), *stems.values()])
     chance = np.array([counts.get(n, 0) for n in names]) * np.exp(-np.maximum(w, 0)) / max(1, total)
     low, high = 1e-3, 50.0
     if (w > 0).any():
@@ -227,7 +305,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
             rest = (1 - min(1.0, chance.sum())) * np.exp(-lam * DRIFT)
             value = np.sum(chance * np.exp(np.minimum(lam * w, 600))) + rest
             low, high = (lam, high) if value < 1 else (low, lam)
-    model = ToxicityModel(weights, float(low), 0.0, 1.0, 0.0)
+    model = ToxicityModel(weights, stems, float(low), 0.0, 1.0, 0.0)
     measured = _measure(docs, check, model).toPandas()
     if measured.empty:
         return model

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from fitkit.llm import decontam, langid, quality, secret_scan, toxicity
 from fitkit.llm.queries import op1_language_id, op6_decontamination, op7_secrets, op10_toxicity
 from tests.compare import connect, mismatch
-from tests.llm.helpers import awkward, empty, prose
+from tests.llm.helpers import COLUMNS, WORDS, awkward, empty, prose
 
 PATTERNS = [
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
@@ -198,3 +198,30 @@ def test_lcs_equals_dynamic_programme():
             for j, y in enumerate(b):
                 table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
         assert decontam.lcs_length(decontam.masks_of(a), len(a), b) == table[-1, -1]
+
+
+def test_stems_find_words_that_no_label_showed(spark):
+    """Inflections of a stem count by the stem; the beginning of one telling word is no stem."""
+    ends = [a + b for a in WORDS[:12] for b in ("ul", "id", "er", "om", "an", "ist", "ot", "es", "iv", "um", "eg", "ap")]
+    seen, unseen = ends[:130], ends[130:]
+    rows, labels = [], []
+    for k in range(600):
+        bad = k % 3 == 0
+        words = prose(30, k).split()
+        if bad:
+            words[5:8] = [f"grux{seen[(k // 3 * 3 + j) % 130]}" for j in (0, 1, 2)] + ["pathetic"]
+        rows.append((k, " ".join(words) + ". " + prose(10, k + 5000), "en", "s", 1))
+        labels.append((k, int(bad)))
+    docs = spark.createDataFrame(rows, COLUMNS)
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    new = spark.createDataFrame(
+        [
+            (1, prose(20, 1) + " " + " ".join(f"grux{e}" for e in unseen[:4]) + " " + prose(20, 2)),
+            (2, prose(40, 3)),
+            (3, prose(20, 4) + " pathology pathway path " + prose(20, 5)),
+        ],
+        "doc_id long, text string",
+    )
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(new, model).collect()}
+    assert b"grux" in model.stems and b"path" not in model.stems
+    assert got == {1: 1, 2: 0, 3: 0}
