@@ -6,6 +6,10 @@ singular vectors of the passage matrix, found by a distributed randomised SVD.
 every document is compared with every item passage in that space; candidates are then checked
 by the longest common subsequence of their words and by the words of the answer.
 
+The space keeps only part of a passage, so its bars alone would lose leaks.  A second way to
+candidates is exact: who has enough of a passage in order misses few of its words, so some of its
+rarest words, a few more than may be missing, must stand there (``rare_words``).
+
 Document frequencies cover all documents.  The basis is fitted on a bounded sample of windows
 (``FIT_WINDOWS``, drawn by a hash of the text) and all item passages; the search covers all
 windows.  Items are handled in blocks of ``BLOCK_ITEMS``, so that what is broadcast is bounded.
@@ -37,6 +41,10 @@ COMMON = 0.1
 COSINE = 0.2
 HELD = 0.6
 LCS = 0.7
+#: So many of a passage's rarest words (or all that it needs) lead to the check, whatever the cosine.
+RARE = 3
+#: Pairs of a rare word and a passage that are held at once.
+PAIRS = 1 << 20
 #: An item with fewer words counts only where it stands word for word.
 SHORT = 8
 
@@ -119,17 +127,43 @@ class LatentIndex:
     """A block of items: vocabulary, weights, basis and the passages in the latent space."""
 
     vocabulary: dict[bytes, int]
-    basis: np.ndarray  # words x rank, rows scaled by the weight of the word
+    basis: np.ndarray  # words x rank, rows scaled by the weight; words that weigh nothing come later
     passages: list[Passage]
     vectors: np.ndarray  # passages x rank, length 1
     lengths: np.ndarray  # of the passages before that
+    rare: tuple[np.ndarray, ...]  # as given by rare_words
+
+
+def rare_words(passages: list[Passage], vocabulary: dict[bytes, int], df: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Passages of each word as (sizes, starts, passages), and the words that each passage asks for.
+
+    A passage of n words that is held at LCS misses at most n - need of them.  Of the rarest
+    words that cover ``n - need + k`` places at least k therefore stand in the region.
+    """
+    owners: dict[int, list[int]] = {}
+    asked = np.zeros(len(passages), np.int64)
+    for i, p in enumerate(passages):
+        n = len(p.words)
+        need = n if n < SHORT else next(x for x in range(n + 1) if x / n >= LCS)
+        asked[i] = min(RARE, need)
+        open_places = n - need + asked[i]
+        for w in sorted(p.masks, key=lambda w: (df[vocabulary[w]], w)):
+            if open_places <= 0:
+                break
+            owners.setdefault(vocabulary[w], []).append(i)
+            open_places -= p.masks[w].bit_count()
+    sizes = np.zeros(len(vocabulary) + 1, np.int64)  # the last one is for words of no passage
+    for w, held in owners.items():
+        sizes[w] = len(held)
+    flat = np.array([i for w in sorted(owners) for i in owners[w]], np.int64)
+    return sizes, np.cumsum(sizes) - sizes, flat, asked
 
 
 def _half_sums(ids: np.ndarray, table: np.ndarray, n_words: int) -> np.ndarray:
     """Sums of table rows over each half window; ids are -1 for words that weigh nothing."""
     halves = max(1, -(-n_words // HALF))
     out = np.zeros((halves, table.shape[1]), np.float32)
-    at = np.flatnonzero(ids >= 0)
+    at = np.flatnonzero((ids >= 0) & (ids < len(table)))
     if len(at):
         half = at // HALF
         first = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
@@ -284,9 +318,51 @@ def build_index(docs: DataFrame, items: list[tuple[object, str | None]], text_co
     vectors = (dense @ basis) * norms
     lengths = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
     vectors /= lengths[:, None]
-    # Words that weigh nothing leave the vocabulary of the search.
-    kept = {w: i for w, i in vocabulary.items() if weights[i] > 0}
-    return LatentIndex(kept, basis * weights[:, None], passages, vectors.astype(np.float32), lengths)
+    # Words that weigh nothing come last: the search sums none of them, but they may be rare words.
+    order = np.argsort(weights <= 0, kind="stable")
+    place = np.empty(width, np.int64)
+    place[order] = np.arange(width)
+    placed = {w: int(place[i]) for w, i in vocabulary.items()}
+    table = (basis * weights[:, None])[order[: int((weights > 0).sum())]]
+    rare = rare_words(passages, placed, df[order])
+    return LatentIndex(placed, table, passages, vectors.astype(np.float32), lengths, rare)
+
+
+def rare_candidates(ids: list[np.ndarray], counts: list[int], index: LatentIndex) -> np.ndarray:
+    """Pairs (window, passage) whose region holds as many rare words as the passage asks for.
+
+    ``ids`` are the words of each text and ``counts`` their windows, which are numbered through.
+    """
+    sizes, starts, flat, asked = index.rare
+    found = []
+    held, first, last = [], [], []
+    at = 0
+    for words, count in zip(ids, counts):
+        spot = np.flatnonzero(sizes[words])
+        held.append(words[spot])
+        first.append(at + np.maximum(0, (spot - 2 * HALF - HALF // 2) // HALF + 1))
+        last.append(at + np.minimum(count - 1, (spot + HALF // 2) // HALF))
+        at += count
+    words, first, last = np.concatenate(held), np.concatenate(first), np.concatenate(last)
+    times = last - first + 1
+    window = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    order = np.argsort(window, kind="stable")
+    window, words = window[order], np.repeat(words, times)[order]
+    total = np.cumsum(sizes[words])
+    start = 0
+    while start < len(words):  # cut between windows
+        end = int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, "right"))
+        if end < len(words):
+            end = int(np.searchsorted(window, window[end]))
+            end = end if end > start else int(np.searchsorted(window, window[start], "right"))
+        part = words[start:end]
+        n = sizes[part]
+        which = flat[np.repeat(starts[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        key, often = np.unique(np.repeat(window[start:end], n) * len(asked) + which, return_counts=True)
+        found.append(key[often >= asked[key % len(asked)]])
+        start = end
+    keys = np.concatenate(found) if found else np.empty(0, np.int64)
+    return np.stack([keys // len(asked), keys % len(asked)], axis=1)
 
 
 FOUND = T.StructType(
@@ -302,7 +378,7 @@ FOUND = T.StructType(
 def search_texts(texts: list[str | None], index: LatentIndex, cosine: float = COSINE, held: float = HELD) -> list[list[dict]]:
     """For each text the items it holds, each with its best figures; items by place in the block."""
     get = index.vocabulary.get
-    words, halves, owner, place = [], [], [], []
+    words, known, halves, owner, place = [], [], [], [], []
     for d, t in enumerate(texts):
         w = words_of(t)
         words.append(w)
@@ -310,29 +386,35 @@ def search_texts(texts: list[str | None], index: LatentIndex, cosine: float = CO
             continue
         ids = np.array([get(x, -1) for x in w], np.int64)
         rows = _windows(_half_sums(ids, index.basis, len(w)))
+        known.append(ids)
         halves.append(rows)
         owner.append(np.full(len(rows), d))
         place.append(np.arange(len(rows)) * HALF)
     out: list[list[dict]] = [[] for _ in texts]
     if not halves:
         return out
+    counts = [len(h) for h in halves]
     vectors, owner, place = np.concatenate(halves), np.concatenate(owner), np.concatenate(place)
     norm = np.linalg.norm(vectors, axis=1)
     live = np.flatnonzero(norm > 1e-6)
-    best: dict[tuple[int, int], dict] = {}
+    pairs = [rare_candidates(known, counts, index)]
     for at in range(0, len(live), 4096):
         rows = live[at : at + 4096]
         along = vectors[rows] @ index.vectors.T
         near = along / norm[rows, None]
-        for r, p in zip(*np.nonzero((near >= cosine) & (along >= held * index.lengths))):
-            d, start = int(owner[rows[r]]), int(place[rows[r]])
-            passage = index.passages[p]
-            region = words[d][max(0, start - HALF // 2) : start + 2 * HALF + HALF // 2]
-            share, answer = passage.verify(region)
-            if share >= LCS and answer >= LCS:
-                key = (d, passage.item)
-                if key not in best or share > best[key]["lcs"]:
-                    best[key] = {"item": passage.item, "cosine": float(near[r, p]), "lcs": share, "answer": answer}
+        r, p = np.nonzero((near >= cosine) & (along >= held * index.lengths))
+        pairs.append(np.stack([rows[r], p], axis=1))
+    best: dict[tuple[int, int], dict] = {}
+    for row, p in np.unique(np.concatenate(pairs), axis=0).tolist():
+        d, start = int(owner[row]), int(place[row])
+        passage = index.passages[p]
+        region = words[d][max(0, start - HALF // 2) : start + 2 * HALF + HALF // 2]
+        share, answer = passage.verify(region)
+        if share >= LCS and answer >= LCS:
+            near = float(vectors[row] @ index.vectors[p] / norm[row]) if norm[row] > 1e-6 else 0.0
+            key = (d, passage.item)
+            if key not in best or (share, near) > (best[key]["lcs"], best[key]["cosine"]):
+                best[key] = {"item": passage.item, "cosine": near, "lcs": share, "answer": answer}
     for (d, _), hit in sorted(best.items()):
         out[d].append(hit)
     return out

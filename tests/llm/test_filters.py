@@ -188,6 +188,30 @@ def test_paraphrases_and_leak_edges(spark):
     assert decontam.drop_contaminated(empty(spark), bench).count() == 0
 
 
+def test_no_loose_copy_is_lost_before_the_check(spark, sf):
+    """Items with a fifth of their words left out, planted in other documents: all that the check accepts are found."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").toPandas()
+    index = decontam.build_index(docs, list(zip(items.item_id.tolist(), items.text)), "text")
+    hosts = [w for w in map(decontam.words_of, docs.orderBy("doc_id").limit(2000).toPandas().text) if 100 < len(w) < 1000]
+    draw = np.random.default_rng(11)
+    found, want = set(), set()
+    for turn in range(2):
+        for item, text in zip(items.item_id.tolist(), items.text):
+            words = decontam.words_of(text)
+            gone = set(draw.choice(len(words), len(words) // 5, replace=False).tolist())
+            host = hosts[draw.integers(len(hosts))]
+            at = int(draw.integers(len(host)))
+            made = host[:at] + [w for k, w in enumerate(words) if k not in gone] + host[at:]
+            regions = [made[max(0, s - 16) : s + 80] for s in range(0, max(1, len(made) - 32), 32)]
+            if any(min(p.verify(r)) >= decontam.LCS for p in decontam.passages_of(item, text) for r in regions):
+                want.add((turn, item))
+            hits = decontam.search_texts([b" ".join(made).decode("utf-8", "replace")], index)[0]
+            found |= {(turn, hit["item"]) for hit in hits}
+    assert len(want) > 60
+    assert not want - found
+
+
 def test_lcs_equals_dynamic_programme():
     draw = np.random.default_rng(2)
     for _ in range(60):
