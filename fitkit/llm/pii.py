@@ -193,15 +193,43 @@ def _date(m: str, key: bytes, back: bool) -> str | None:
     return out.isoformat() if iso else f"{out.day:02d}{sign}{out.month:02d}{sign}{out.year:04d}"
 
 
-def _iban(m: str, key: bytes, back: bool) -> str | None:
+# Lengths of IBANs by country.
+_IBAN_LENGTHS = dict(
+    (x[:2], int(x[2:]))
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 "
+        "ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+        "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 "
+        "PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+)
+
+
+def _iban_holds(m: str) -> bool:
     plain = m.replace(" ", "")
-    number = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def _iban_head(m: str) -> str | None:
+    """The beginning of a match that has the length of its country: a word or number may follow an IBAN."""
+    ends = [k.start() for k in re.finditer(" ", m)]
+    head = next((m[:k] for k in ends if len(m[:k].replace(" ", "")) == _IBAN_LENGTHS.get(m[:2])), None)
+    return head if head and _iban_holds(head) else None
+
+
+def _iban(m: str, key: bytes, back: bool) -> str | None:
+    """Of a match that goes on behind the IBAN only the IBAN is replaced and given."""
+    m = _iban_head(m) or m
+    if not _iban_holds(m):
         return None
-    account = _refill(plain[4:], key, f"iban/{plain[:2]}", back, (_UPPER, _DIGIT))
-    check = 98 - number(account + plain[:2] + "00") % 97
-    new = iter(f"{plain[:2]}{check:02d}{account}")
-    return "".join(" " if c == " " else next(new) for c in m)
+    while True:  # a pseudonym that would be read shorter is walked over
+        plain = m.replace(" ", "")
+        account = _refill(plain[4:], key, f"iban/{plain[:2]}", back, (_UPPER, _DIGIT))
+        check = 98 - int("".join(str(int(c, 36)) for c in account + plain[:2] + "00")) % 97
+        new = iter(f"{plain[:2]}{check:02d}{account}")
+        m = "".join(" " if c == " " else next(new) for c in m)
+        if _iban_head(m) is None:
+            return m
 
 
 def _email(m: str, key: bytes, back: bool) -> str | None:
@@ -257,8 +285,13 @@ def replace_all(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, l
             claim("email", *m.span(1), _email(m.group(1), key, back))
     if re.search("[0-9]", text):
         for kind, (pattern, make) in _COMPILED.items():
-            for m in pattern.finditer(text):
-                claim(kind, *m.span(), make(m.group(0), key, back))
+            at = 0
+            while m := pattern.search(text, at):
+                new = make(m.group(0), key, back)
+                start, at = m.span()
+                if kind == "iban":  # the search goes on behind the accepted part
+                    at = start + len(new or " ")
+                claim(kind, start, start + len(new or ""), new)
     if not found:
         return text, []
     found.sort()

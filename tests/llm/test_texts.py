@@ -39,6 +39,17 @@ def test_pseudonyms_keep_formats_and_links():
     assert pii.replace_all(text, key=b"other")[0] != new
 
 
+def test_an_iban_before_a_short_word_goes():
+    for iban in ("ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "AT611904300234573201", "BE68 5390 0754 7034"):
+        for tail in (" EUR", " BIC", " 12", " PAID NOW1", " " + iban, ""):
+            for head in ("", "AB12 ABCD EFGH "):
+                text = f"to {head}{iban}{tail} today"
+                new, spans = pii.replace_all(text)
+                assert iban not in new and new.replace(new[spans[0][1] : spans[0][2]], iban) == text
+                assert pii.replace_all(new)[1] == spans
+                assert pii.replace_all(new, back=True)[0] == text
+
+
 def test_invalid_numbers_stay():
     text = "4845168114407328 999.1.1.1 000-12-3456 2021-02-30 GB82WEST12345698765433 1.2.3.4.5 @x.org"
     assert pii.replace_all(text) == (text, [])
