@@ -135,7 +135,7 @@ def _card(m: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(m: str, key: bytes, back: bool) -> str | None:
-    country = re.match(r"\+[0-9]{1,3}(?=[^0-9])", m)
+    country = re.match(r"\+[0-9]{1,3}(?=[^0-9])|1(?=[ .-])", m)
     head = country.group(0) if country else ""
     rest = m[len(head) :]
     count = sum(c in _DIGIT for c in rest)
@@ -166,31 +166,53 @@ def _ssn(m: str, key: bytes, back: bool) -> str | None:
     return f"{a + (a >= 666):03d}-{g + 1:02d}-{s + 1:04d}"
 
 
-def _date(m: str, key: bytes, back: bool) -> str | None:
-    """Dates move within 1900 to 2099, other years within 1000 to 9999, in either notation."""
-    iso = m[4] == "-"
-    sign = m[2]
+def _day(parts: list[str], order: str) -> dt.date | None:
+    """The date of digits in an order of d, m and y; two digits are a year from 1970 to 2069."""
+    at = dict(zip(order, parts))
+    year = int(at["y"])
+    if len(at["y"]) == 2:
+        year += 1900 if year >= 70 else 2000
     try:
-        if iso:
-            day = dt.date.fromisoformat(m)
-        else:
-            day = dt.date(int(m[6:]), int(m[3:5]), int(m[:2]))
+        day = dt.date(year, int(at["m"]), int(at["d"]))
     except ValueError:
         return None
-    if day.year < 1000:
+    return day if day.year >= 1000 else None
+
+
+def _order(parts: list[str]) -> str | None:
+    """Month before day only where day before month is no date."""
+    orders = ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy")
+    return next((o for o in orders if _day(parts, o)), None)
+
+
+def _moved(day: dt.date, key: bytes, back: bool, short: bool) -> dt.date:
+    """Dates move within 1900 to 2099 (1970 to 2069 for short years), other years within 1000 to 9999."""
+    if short or 1900 <= day.year < 2100:
+        first, end, tweak = (1970, 2070, "short date") if short else (1900, 2100, "date")
+        first, n = dt.date(first, 1, 1), dt.date(end, 1, 1) - dt.date(first, 1, 1)
+        return first + dt.timedelta(permuted(key, tweak, [((day - first).days, n.days)], back)[0])
+    first, gap = dt.date(1000, 1, 1), dt.date(1900, 1, 1)
+    skip = (dt.date(2100, 1, 1) - gap).days
+    n = (dt.date(9999, 12, 31) - first).days + 1 - skip
+    x = (day - first).days - (skip if day > gap else 0)
+    new = permuted(key, "old date", [(x, n)], back)[0]
+    return first + dt.timedelta(new + (skip if new >= (gap - first).days else 0))
+
+
+def _date(m: str, key: bytes, back: bool) -> str | None:
+    """Notation and order stay: dates with other lengths or read in another order are walked over."""
+    parts = re.findall("[0-9]+", m)
+    order = _order(parts)
+    if order is None:
         return None
-    if 1900 <= day.year < 2100:
-        first, n, tweak = dt.date(1900, 1, 1), dt.date(2100, 1, 1) - dt.date(1900, 1, 1), "date"
-        new = permuted(key, tweak, [((day - first).days, n.days)], back)[0]
-        out = first + dt.timedelta(new)
-    else:
-        first, gap = dt.date(1000, 1, 1), dt.date(1900, 1, 1)
-        skip = (dt.date(2100, 1, 1) - gap).days
-        n = (dt.date(9999, 12, 31) - first).days + 1 - skip
-        x = (day - first).days - (skip if day > gap else 0)
-        new = permuted(key, "old date", [(x, n)], back)[0]
-        out = first + dt.timedelta(new + (skip if new >= (gap - first).days else 0))
-    return out.isoformat() if iso else f"{out.day:02d}{sign}{out.month:02d}{sign}{out.year:04d}"
+    sizes = [len(x) for x in parts]
+    day = _day(parts, order)
+    while True:
+        day = _moved(day, key, back, sizes[order.index("y")] == 2)
+        at = {"d": day.day, "m": day.month, "y": day.year}
+        new = [f"{at[o] % 100 if o == 'y' and n == 2 else at[o]:0{n}d}" for o, n in zip(order, sizes)]
+        if [len(x) for x in new] == sizes and _order(new) == order:
+            return _put_digits(m, "".join(new))
 
 
 # Lengths of IBANs by country.
@@ -241,15 +263,17 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
     "iban": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
     "phone": (
         r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
-        r"|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9-])"
-        r"|(?<![0-9+-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
+        r"|(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+        r"|(?<![0-9+.-])(?:1[ .-])?[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![0-9-]|\.[0-9])",
         _phone,
     ),
     "ip": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ip),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn),
     "date": (
-        r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
-        r"|(?<![0-9/.])[0-9]{2}([/.])[0-9]{2}\1[0-9]{4}(?![0-9/])",
+        r"(?<![0-9-])[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?![0-9-])"
+        r"|(?<![0-9/.])[0-9]{4}([/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9/]|\.[0-9])"
+        r"|(?<![0-9/.])[0-9]{1,2}([/.])[0-9]{1,2}\2[0-9]{4}(?![0-9/])"
+        r"|(?<![0-9/.])(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{2})(?![0-9/]|\.[0-9])",
         _date,
     ),
     "card": (
