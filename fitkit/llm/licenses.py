@@ -99,7 +99,7 @@ def sentence_table(spark: SparkSession) -> DataFrame:
     """``key, sentence_id`` of every known sentence; a few hundred rows, whatever the corpus."""
     rows = [(k, v) for k, v in TEXTS.items()]
     for name, forms in NAMES.items():
-        for lead, the, form in product(LEADS, ("", "the "), (*forms, name)):
+        for lead, the, form in product(LEADS, ("", "the ", "a ", "an "), (*forms, name)):
             rows.append((f"ref:{name}", f"{lead} {the}{form}"))
     table = spark.createDataFrame(rows, "sentence_id string, text string")
     return (
@@ -124,7 +124,7 @@ def known_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).otherwise(F.array("s"))
     lines = cut.select("doc_id", "row", "at", F.posexplode(forms).alias("line", "s"))
     # Every known sentence has one of these words; others needn't be normalised.
-    likely = lines.filter(F.col("s").rlike("(?i)licen[sc]|permi|redistribut|copyright|warrant|unencumbered|endorse|free software|unlicense|under "))
+    likely = lines.filter(F.col("s").rlike("(?i)licen[sc]|permi|redistribut|copyright|warrant|unencumbered|endorse|free software|unlicense|under[^a-z0-9.\\x{80}-\\x{10FFFF}]"))
     keyed = likely.select("doc_id", "row", F.struct("at", "line").alias("place"), normalised(F.col("s")).alias("key"))
     known = sentence_table(docs.sparkSession)
     return keyed.join(F.broadcast(known), "key").select("doc_id", "row", "place", "sentence_id")

@@ -50,6 +50,19 @@ def test_an_iban_before_a_short_word_goes():
                 assert pii.replace_all(new, back=True)[0] == text
 
 
+@pytest.mark.parametrize("kind, value", [
+    *(("date", x) for x in ("12/25/2020", "07/31/1984", "25/12/2020", "2020/12/25", "2020-1-5", "1/2/2020", "12/5/2020", "5.12.2020")),
+    *(("date", x) for x in ("12/25/20", "1/2/84", "25.12.20", "02/29/2020", "12/25/1850", "2020-12-25")),
+    *(("phone", x) for x in ("1-800-555-1234", "555.123.4567", "555 123 4567", "555-123-4567", "(555) 123 4567", "1 555 123 4567")),
+])
+def test_no_notation_of_a_date_or_phone_stays(kind, value):
+    text = f"on {value}, or ({value})."
+    new, spans = pii.replace_all(text)
+    assert spans == [(kind, 3, 3 + len(value)), (kind, 9 + len(value), 9 + 2 * len(value))] and value not in new
+    assert pii.replace_all(new) != (new, []) and pii.replace_all(new)[1] == spans
+    assert pii.replace_all(new, back=True)[0] == text
+
+
 def test_invalid_numbers_stay():
     text = "4845168114407328 999.1.1.1 000-12-3456 2021-02-30 GB82WEST12345698765433 1.2.3.4.5 @x.org"
     assert pii.replace_all(text) == (text, [])
@@ -89,6 +102,20 @@ def test_licence_rules(spark):
     assert licenses.recognise(empty(spark)).count() == 0
 
 
+def test_wrapped_references_and_articles(spark):
+    rows = [
+        (1, "Released under\nGPLv3."),
+        (2, "Text. Published under\nCC BY-SA 4.0."),
+        (3, "Released under\tGPLv3."),
+        (4, "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        (5, "Licensed under an MIT License."),
+        (6, "Found under\nthe table."),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licenses.recognise(df).collect()}
+    assert got == {1: ["GPL-3.0"], 2: ["CC-BY-SA-4.0"], 3: ["GPL-3.0"], 4: ["CC-BY-4.0"], 5: ["MIT"]}
+
+
 def test_licences_of_the_given_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
     lines = {
