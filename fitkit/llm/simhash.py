@@ -317,6 +317,89 @@ def simhash_components(
     )
 
 
+#: Least hashes of a text's shingles that are compared, and how many of them a pair must share.
+LEAST = 16
+SHARED = 3
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Distinct hashes of the word shingles, ascending; a shorter text is one shingle."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(words) < shingle:
+        grams = [b" ".join(words)]
+    else:
+        grams = list(map(b" ".join, zip(*(words[k:] for k in range(shingle)))))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64, len(grams)))
+
+
+def _shingle_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: int | None) -> DataFrame:
+    """``row, sig, n, hashes``: a hash of the whole set, its size, and its least members (or all)."""
+
+    def body():
+        def kernel(batch):
+            sets = [shingle_set(t, shingle) for t in texts(batch, 1)]
+            sig = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
+            return {
+                "row": batch.column(0),
+                "sig": sig.view(np.int64),
+                "n": [len(x) for x in sets],
+                "hashes": [x[:least].view(np.int64) for x in sets],
+            }
+
+        return kernel
+
+    long = T.LongType()
+    schema = T.StructType(
+        [T.StructField(n, long) for n in ("row", "sig", "n")] + [T.StructField("hashes", T.ArrayType(long))]
+    )
+    return map_rows(docs.select(row_key(id_col, text_col), F.col(text_col)), body, schema)
+
+
+def similar_links(
+    docs: DataFrame, scratch: Scratch, similar: float, *, id_col: str, text_col: str, shingle: int
+) -> DataFrame:
+    """``a, b``: links between rows whose shingle sets have a Jaccard similarity of ``similar`` or more.
+
+    Equal sets are linked as a star.  Of unequal ones those that share SHARED of their LEAST least
+    hashes are compared exactly.  At 0.8 a pair shares fewer with a probability of about 1e-8,
+    and sets of at most LEAST shingles never do.
+    """
+    rows = scratch.keep(_shingle_rows(docs, id_col, text_col, shingle, LEAST))
+    sets = scratch.keep(
+        rows.groupBy("sig").agg(F.min("row").alias("rep"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    )
+    stars = rows.join(sets.select("sig", "rep"), "sig").filter("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
+    each = sets.select("rep", "n", F.explode("hashes").alias("h"))
+    one = each.select("h", F.col("rep").alias("a"), F.col("n").alias("na"))
+    two = each.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    near = (F.col("na") >= similar * F.col("nb")) & (F.col("nb") >= similar * F.col("na"))
+    pairs = one.join(two, "h").filter((F.col("a") < F.col("b")) & near).groupBy("a", "b").count()
+    pairs = scratch.keep(pairs.filter(F.col("count") >= SHARED).select("a", "b"))
+    asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    texts_of = docs.select(F.col(id_col), F.col(text_col), row_key(id_col, text_col))
+    texts_of = texts_of.join(asked, "row", "left_semi").dropDuplicates(["row"])
+    whole = scratch.keep(_shingle_rows(texts_of, id_col, text_col, shingle, None).select("row", "n", "hashes"))
+    left = whole.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
+    right = whole.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
+    held = both.filter(F.col("common") >= similar * (F.col("na") + F.col("nb") - F.col("common")))
+    return stars.union(held.select("a", "b"))
+
+
+def _row_components(fps: DataFrame, more: DataFrame, scratch: Scratch, node_rows: int) -> DataFrame:
+    """``doc_id, row, component`` by links of fingerprints and the given links of rows."""
+    distinct = scratch.keep(fps.groupBy("fp").agg(F.min("row").alias("rep")))
+    stars = fps.join(distinct, "fp").filter("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
+    edges = scratch.keep(links(distinct, scratch, node_rows).union(stars).union(more))
+    roots = connected_components(edges, scratch)
+    return fps.join(roots, fps.row == roots.id, "left").select(
+        "doc_id", "row", F.coalesce("root", "row").alias("component")
+    )
+
+
 def keep_first(
     docs: DataFrame,
     *,
@@ -324,18 +407,25 @@ def keep_first(
     text_col: str = "text",
     shingle: int = 3,
     node_rows: int = NODE_ROWS,
+    similar: float | None = None,
+    similar_shingle: int = 5,
 ) -> DataFrame:
     """One document of each component, with the columns of ``docs``.
 
     The one with the smallest id stays (any row with an id before rows without one; among rows
     with that id, the one with the smallest hash of id and text).  Of repeated rows one stays.
+    With ``similar`` texts are linked as well when the sets of their ``similar_shingle``-word
+    shingles have at least this Jaccard similarity.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.keep(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    classes = _classes(fps, scratch, node_rows)
+    if similar is None:
+        placed = fps.join(_classes(fps, scratch, node_rows), "fp")
+    else:
+        more = similar_links(docs, scratch, similar, id_col=id_col, text_col=text_col, shingle=similar_shingle)
+        placed = _row_components(fps, more, scratch, node_rows)
     winners = (
-        fps.join(classes, "fp")
-        .groupBy("component")
+        placed.groupBy("component")
         .agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first"))
         .select(F.col("first.row").alias("__row"))
     )

@@ -109,3 +109,30 @@ def test_near_copies_go(spark):
     rows = [(3, " ".join(base)), (1, " ".join(near)), (2, prose(900, 10))]
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def test_copies_at_similarity_of_0_8_go_from_the_stage(spark):
+    """One of each pair goes exactly when the five-word shingle sets are alike by 0.8."""
+    import corpus_pipeline
+
+    def sets(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    rows, gone = [], set()
+    for k in range(60):
+        base = prose(300, 1000 + k).split()
+        near = list(base)
+        for at in range(7, 7 + 23 * (k % 12), 23):
+            near[at] = f"new{k}x{at}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+        a, b = sets(rows[-2][1]), sets(rows[-1][1])
+        if len(a & b) >= 0.8 * len(a | b):
+            gone.add(2 * k + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.copies_out(spark, docs, "").collect()}
+    assert 20 < len(gone) < 60
+    assert kept == {i for i, _ in rows} - gone
+    got = corpus_pipeline.copies_out(spark, awkward(spark), "")
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "4", "5", "7", "None"]
+    assert corpus_pipeline.copies_out(spark, empty(spark), "").count() == 0
