@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitkit.llm import decontam, langid, licenses, pii, quality, secret_scan, simhash, token_shards, toxicity
+from fitkit.llm import decontam, langid, licenses, pii, quality, secret_scan, simhash, source_audit, token_shards, toxicity
 from fitkit.llm import piece_lattice as lattice
 from fitkit.llm.common import held_out, table
 
@@ -109,6 +109,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
         op1_language_id,
@@ -121,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_sentencepiece,
         op9_simhash,
         op10_toxicity,
+        op12_source_audit,
     ]
     return {f.__name__: f for f in made} | {"pipeline": pipeline}
 
