@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitkit.llm import decontam, langid, licenses, pii, quality, secret_scan, simhash, source_audit, token_shards, toxicity
+from fitkit.llm import decontam, langid, lexical_search, licenses, line_quality, pii, quality, secret_scan, simhash, source_audit, token_shards, toxicity
 from fitkit.llm import piece_lattice as lattice
 from fitkit.llm.common import held_out, table
 
@@ -109,10 +109,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return line_quality.score_quality(docs, model).select(
+        "doc_id",
+        (~line_quality.learning_part()).alias("held_out"),
+        "score",
+        "predicted",
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.filter("lines", lambda x: x["good"] < 0.5)).cast("long").alias("n_bad_lines"),
+    )
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit_sources(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
         op1_language_id,
@@ -125,7 +143,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_sentencepiece,
         op9_simhash,
         op10_toxicity,
+        op11_quality_classifier,
         op12_source_audit,
+        op13_lexical_search,
     ]
     return {f.__name__: f for f in made} | {"pipeline": pipeline}
 
