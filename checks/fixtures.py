@@ -88,6 +88,14 @@ EVENT2 = """SELECT event_id AS id, event_id % 4 AS shard,
   value / 500.0 AS x0, (user_id % 10) / 10.0 AS x1 FROM events"""
 
 
+def event_small(spark, sf_dir):
+    """Events in shards of at most 100 rows: one batch a shard, so every epoch is one step."""
+    return event2(spark, sf_dir).withColumn("shard", F.expr("cast(id div 100 AS INT)"))
+
+
+EVENT_SMALL = f"SELECT id, (id // 100)::INTEGER AS shard, y, x0, x1 FROM ({EVENT2})"
+
+
 def emb(spark, sf_dir):
     """Embeddings: upper against lower half of the ten labels, 64 features."""
     return table(spark, sf_dir, "embeddings").select(
@@ -101,3 +109,13 @@ def emb(spark, sf_dir):
 EMB = """SELECT vec_id AS id, vec_id % 4 AS shard,
   CASE WHEN label >= 5 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y,
   CAST(embedding AS DOUBLE[]) AS x FROM embeddings"""
+
+
+def emb_products(spark, sf_dir):
+    """The same rows with 2,304 features: products of the first 36 coordinates with all 64."""
+    products = F.flatten(F.transform(F.slice("x", 1, 36), lambda a: F.transform("x", lambda b: a * b)))
+    return emb(spark, sf_dir).withColumn("x", products)
+
+
+EMB_PRODUCTS = f"""SELECT id, shard, y,
+  [x[k // 64 + 1] * x[k % 64 + 1] FOR k IN range(2304)] AS x FROM ({EMB})"""

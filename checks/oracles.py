@@ -6,7 +6,7 @@ Trainers are unrolled: one materialised CTE per quantity and iteration, with the
 
 from __future__ import annotations
 
-from checks.fixtures import EMB, EVENT2, LOGIT2, ORDERS2, RIDGE2, RIDGE3
+from checks.fixtures import EMB, EMB_PRODUCTS, EVENT2, EVENT_SMALL, LOGIT2, ORDERS2, RIDGE2, RIDGE3
 
 W = (0.3, -0.2)
 P = (0.15, -0.4)
@@ -144,6 +144,136 @@ def newton(data: str, loss, l2: float, iters: int) -> str:
     return with_query(ctes, history(iters + 1, lambda t: f"SELECT eta FROM k{t}"))
 
 
+def newton_fixed_step(data: str, loss, l2: float, iters: int) -> str:
+    ctes = [("d", data), ("w_0", ZERO)]
+    for t in range(iters):
+        ctes += [
+            (f"e{t}", evaluation(loss, f"w_{t}", l2)),
+            (f"p{t}", newton_direction(loss, f"e{t}", l2)),
+            (f"w_{t + 1}", f"SELECT w0 - p0 AS w0, w1 - p1 AS w1 FROM e{t}, p{t}"),
+        ]
+    ctes.append((f"e{iters}", evaluation(loss, f"w_{iters}", l2)))
+    return with_query(ctes, history(iters + 1, lambda t: "1.0"))
+
+
+# ---- epochs on shards of one batch: every epoch is one step of the local gradient ---------
+
+
+def local_slopes(state: str) -> str:
+    """Mean slopes of every shard at its own ``v0, v1``, with what else the state holds."""
+    c = Logistic.slope("t")
+    return f"""
+  SELECT st.*, a0, a1 FROM {state} st JOIN (
+    SELECT shard, avg({c} * x0) AS a0, avg({c} * x1) AS a1
+    FROM (SELECT d.*, x0*v0 + x1*v1 AS t FROM d JOIN {state} USING (shard)) GROUP BY shard) USING (shard)"""
+
+
+def epochs(name: str, state: str, passes: int, rate: float, ridge: float, weight: str) -> list[tuple[str, str]]:
+    """CTEs that move ``v0, v1`` of ``state``, whose shifts are ``h0, h1``; the last one is ``name``."""
+    ctes, now = [], state
+    for k in range(passes):
+        after = name if k == passes - 1 else f"{name}_{k}"
+        ctes += [
+            (f"{name}_a{k}", local_slopes(now)),
+            (
+                after,
+                f"""SELECT * EXCLUDE (v0, v1, a0, a1),
+    v0 - {rate} * ({weight} * a0 + h0 + {ridge} * v0) AS v0,
+    v1 - {rate} * ({weight} * a1 + h1 + {ridge} * v1) AS v1 FROM {name}_a{k}""",
+            ),
+        ]
+        now = after
+    return ctes
+
+
+SHARD_SIZES = "SELECT shard, count(*)::DOUBLE AS s, any_value(n)::DOUBLE AS n FROM d, (SELECT count(*) AS n FROM d) GROUP BY shard"
+
+
+def dane_path(data: str, l2: float, iters: int, passes: int, rate: float, search: bool) -> str:
+    ctes = [("d", data), ("etas", steps_values(Logistic.steps)), ("sizes", SHARD_SIZES), ("w_0", ZERO)]
+    for t in range(iters):
+        ctes += [
+            (f"e{t}", evaluation(Logistic, f"w_{t}", l2)),
+            (f"i{t}", f"SELECT shard, w0 AS v0, w1 AS v1 FROM sizes, w_{t}"),
+            (f"g{t}", local_slopes(f"i{t}")),
+            (
+                f"b{t}",
+                f"""SELECT shard, v0, v1, g0 - (a0 + {l2} * v0) AS h0, g1 - (a1 + {l2} * v1) AS h1
+    FROM g{t}, (SELECT g0, g1 FROM e{t})""",
+            ),
+            *epochs(f"v{t}", f"b{t}", passes, rate, l2, "1.0"),
+            (f"p{t}", f"SELECT avg(w0 - v0) AS p0, avg(w1 - v1) AS p1 FROM v{t}, w_{t}"),
+        ]
+        if search:
+            ctes += [
+                (f"l{t}", line(Logistic, f"e{t}", f"p{t}", l2)),
+                (f"k{t}", armijo(f"l{t}", f"e{t}", f"p{t}", 0.01, Logistic.steps - 1)),
+            ]
+        else:
+            ctes.append((f"k{t}", "SELECT 1.0::DOUBLE AS eta"))
+        ctes.append((f"w_{t + 1}", moved(f"e{t}", f"p{t}", f"k{t}")))
+    ctes.append((f"e{iters}", evaluation(Logistic, f"w_{iters}", l2)))
+    return with_query(ctes, history(iters + 1, lambda t: f"SELECT eta FROM k{t}"))
+
+
+def admm_logistic_path(data: str, l2: float, iters: int, passes: int, rate: float, rho: float) -> str:
+    ctes = [
+        ("d", data),
+        ("sizes", SHARD_SIZES),
+        ("m", "SELECT count(*)::DOUBLE AS m FROM sizes"),
+        ("w_0", ZERO),
+        ("s0", "SELECT shard, s * m / n AS c, 0.0::DOUBLE AS v0, 0.0::DOUBLE AS v1, 0.0::DOUBLE AS d0, 0.0::DOUBLE AS d1 FROM sizes, m"),
+    ]
+    for t in range(iters):
+        dual = "" if t == 0 else " + v{0} - w{0}"
+        ctes += [
+            (f"e{t}", evaluation(Logistic, f"w_{t}", l2)),
+            (
+                f"a{t}",
+                f"""SELECT shard, c, v0, v1, d0{dual.format(0)} AS d0, d1{dual.format(1)} AS d1, w0 AS u0, w1 AS u1
+    FROM s{t}, w_{t}""",
+            ),
+            (f"b{t}", f"SELECT *, {rho} * (d0 - u0) AS h0, {rho} * (d1 - u1) AS h1 FROM a{t}"),
+            *epochs(f"v{t}", f"b{t}", passes, rate, rho, "c"),
+            (f"s{t + 1}", f"SELECT shard, c, v0, v1, d0, d1 FROM v{t}"),
+            (
+                f"w_{t + 1}",
+                f"SELECT avg(v0 + d0) * {rho} / ({l2} + {rho}) AS w0, avg(v1 + d1) * {rho} / ({l2} + {rho}) AS w1 FROM v{t}",
+            ),
+        ]
+    ctes.append((f"e{iters}", evaluation(Logistic, f"w_{iters}", l2)))
+    return with_query(ctes, history(iters + 1, lambda t: "1.0"))
+
+
+def averaged_ctes(data: str, l2: float, passes: int, rate: float) -> list[tuple[str, str]]:
+    """The data as ``d`` and the average of shard models as ``w_0``."""
+    return [
+        ("d", data),
+        ("sizes", SHARD_SIZES),
+        ("b", "SELECT shard, s, n, 0.0::DOUBLE AS v0, 0.0::DOUBLE AS v1, 0.0::DOUBLE AS h0, 0.0::DOUBLE AS h1 FROM sizes"),
+        *epochs("v", "b", passes, rate, l2, "1.0"),
+        ("w_0", "SELECT sum(s * v0) / any_value(n) AS w0, sum(s * v1) / any_value(n) AS w1 FROM v"),
+    ]
+
+
+def averaged_path(data: str, l2: float, passes: int, rate: float) -> str:
+    final = f"SELECT j::BIGINT AS j, {r('CASE j WHEN 0 THEN w0 ELSE w1 END', 'w')} FROM w_0, range(2) AS t(j)"
+    return with_query(averaged_ctes(data, l2, passes, rate), final)
+
+
+def newton_warm_start(data: str, l2: float, passes: int, rate: float) -> str:
+    ctes = averaged_ctes(data, l2, passes, rate) + [
+        ("etas", steps_values(Logistic.steps)),
+        ("e0", evaluation(Logistic, "w_0", l2)),
+        ("p0", newton_direction(Logistic, "e0", l2)),
+        ("l0", line(Logistic, "e0", "p0", l2)),
+        ("k0", armijo("l0", "e0", "p0", 0.01, Logistic.steps - 1)),
+        ("w_1", moved("e0", "p0", "k0")),
+        ("e1", evaluation(Logistic, "w_1", l2)),
+    ]
+    return with_query(ctes, history(2, lambda t: f"SELECT eta FROM k{t}"))
+
+
 def prox_direction(ev: str, l1: float, l2: float) -> str:
     """Per shard, the best of all nine sign patterns of the local problem, then averaged.
 
@@ -574,6 +704,13 @@ SELECT event_id, {h.format(seed=7, key='event_id')} % 100 >= 80 AS is_test FROM
     sql["split_exact"] = f"""
 SELECT o_orderkey, row_number() OVER (ORDER BY {h.format(seed=11, key='o_orderkey')}, o_orderkey)
   > floor(0.8 * count(*) OVER ()) AS is_test FROM orders"""
+    # Rows before the cut's key train; of the key at the cut as many as are wanted.
+    sql["split_exact_duplicates"] = f"""
+WITH k AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey),
+c AS (SELECT *, sum(n) OVER (ORDER BY {h.format(seed=11, key='l_orderkey')}, l_orderkey) - n AS before,
+  floor(0.8 * (SELECT count(*) FROM lineitem)) AS wanted FROM k)
+SELECT l_orderkey, greatest(0, least(n, wanted - before))::BIGINT AS n_train,
+  (n - greatest(0, least(n, wanted - before)))::BIGINT AS n_test, {r('q', 'quantity')} FROM c"""
     sql["split_mod5"] = "SELECT o_orderkey, o_orderkey % 5 = 0 AS is_test FROM orders"
     noise = [
         f"{x} + 0.02 * {gaussian('5', 'id', 'copy', str(j))}" for j, x in enumerate(("x0", "x1"))
@@ -653,7 +790,19 @@ WITH u AS (SELECT id, shard, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS j
 SELECT a.shard::BIGINT AS shard, a.j::BIGINT AS i, b.j::BIGINT AS j, {r('avg(a.v*b.v)', 'v')}
 FROM u a JOIN u b USING (id) GROUP BY a.shard, a.j, b.j"""
 
+    part = "list_sum(x[512 * {0} + 1 : least(512 * {0} + 512, 2304)])"
+    sql["gram_matrix_tiled"] = f"""
+WITH u AS (SELECT shard, x, [{part.format('i')} FOR i IN range(5)] AS t FROM ({EMB_PRODUCTS})),
+p AS (SELECT i, j FROM range(5) AS a(i), range(5) AS b(j) WHERE i <= j)
+SELECT shard::BIGINT AS shard, i::BIGINT AS i, j::BIGINT AS j, count(*)::BIGINT AS s,
+  {r('avg(t[i + 1] * t[j + 1])', 'total')}, {r('avg(x[512 * i + 1] * x[512 * j + 1])', 'first')},
+  {r('avg(x[least(512 * i + 512, 2304)] * x[least(512 * j + 512, 2304)])', 'last')}
+FROM u, p GROUP BY shard, i, j"""
+
     # trainers
+    sql["newton_logistic_lockstep"] = newton(LOGIT2, Logistic, 0.01, 3)
+    sql["newton_ridge_tiled"] = newton(RIDGE2, Squared, 0.01, 2)
+    sql["prox_newton_lockstep"] = prox_newton(EVENT2, 0.002, 0.01, 3)
     sql["newton_ridge"] = newton(RIDGE2, Squared, 0.01, 2)
     sql["newton_logistic"] = newton(LOGIT2, Logistic, 0.01, 3)
     sql["prox_newton"] = prox_newton(EVENT2, 0.002, 0.01, 3)
@@ -666,6 +815,15 @@ FROM u a JOIN u b USING (id) GROUP BY a.shard, a.j, b.j"""
     sql["admm_ridge"] = admm_ridge(RIDGE2, 0.01, 3, 0.1)
     sql["dane_logistic"] = optimum(EVENT2, 0.1, 5)
     sql["admm_logistic"] = optimum(EVENT2, 0.1, 4)
+    sql["dane_path"] = dane_path(EVENT_SMALL, 0.05, 2, 2, 0.7, False)
+    sql["dane_path_line_search"] = dane_path(EVENT_SMALL, 0.05, 2, 2, 0.7, True)
+    sql["dane_path_streamed"] = sql["dane_path"]
+    sql["admm_logistic_path"] = admm_logistic_path(EVENT_SMALL, 0.05, 3, 2, 0.7, 0.1)
+    sql["admm_logistic_path_streamed"] = sql["admm_logistic_path"]
+    sql["model_average_logistic_path"] = averaged_path(EVENT_SMALL, 0.05, 3, 0.7)
+    sql["model_average_logistic_path_streamed"] = sql["model_average_logistic_path"]
+    sql["newton_logistic_warm_start"] = newton_warm_start(EVENT_SMALL, 0.05, 3, 0.7)
+    sql["newton_logistic_fixed_step"] = newton_fixed_step(LOGIT2, Logistic, 0.01, 3)
     sql["model_average_ridge"] = average_ridge(RIDGE2, 0.01)
     sql["model_average_logistic"] = average_logistic(EVENT2, 0.1)
     sql["grouped_enet_ls"] = grouped(RIDGE2, 0.05, 0.5)

@@ -251,6 +251,16 @@ def split_exact(spark, sf_dir):
     )
 
 
+def split_exact_duplicates(spark, sf_dir):
+    """Lineitem by order key, which repeats: exact sides, cut among rows of one key."""
+    sides = prepare.split_exact(fx.table(spark, sf_dir, "lineitem"), "l_orderkey", seed=11)
+    return sides.groupBy("l_orderkey").agg(
+        F.count(F.when(~F.col("is_test"), 1)).alias("n_train"),
+        F.count(F.when(F.col("is_test"), 1)).alias("n_test"),
+        r(F.sum("l_quantity"), "quantity"),
+    )
+
+
 def split_mod5(spark, sf_dir):
     return prepare.split_modulo(
         fx.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", every=5
@@ -374,6 +384,28 @@ def _matrices(loss, w):
     return body
 
 
+def _tiles(spark, ts):
+    """Every tile of the mean Gram matrices: the sum of its entries, the first and the last one."""
+
+    def kernel(batches):
+        for batch in batches:
+            names = batch.schema.names
+            cells = [np.frombuffer(c.as_buffer()) for c in batch.column(names.index("tile"))]
+            s = batch.column(names.index("s")).to_numpy(zero_copy_only=False)
+            digests = [[c.sum(), c[0], c[-1]] for c in cells]
+            columns = np.array(digests).reshape(-1, 3).T / s
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(names.index(n)) for n in ("shard", "i", "j", "s")] + [pa.array(c) for c in columns],
+                ["shard", "i", "j", "s", "total", "first", "last"],
+            )
+
+    tiles = ts.shard_tiles(np.zeros(ts.d), SQUARED)
+    found = tiles.mapInArrow(
+        kernel, "shard INT, i INT, j INT, s BIGINT, total DOUBLE, first DOUBLE, last DOUBLE"
+    )
+    return found.select(*[big(c) for c in ("shard", "i", "j", "s")], *[r(c, c) for c in ("total", "first", "last")])
+
+
 # ---- trainers ----------------------------------------------------------------------
 
 
@@ -395,6 +427,16 @@ def _admm_logistic(spark, ts):
     return _weights(spark, fit, 4)
 
 
+def _averaged_path(streamed: bool):
+    """Weights of one-shot averaging after few epochs, far from any optimum."""
+
+    def body(spark, ts):
+        w = average_models(ts, LOGISTIC, l2=0.05, inner=3, rate=0.7, streamed=streamed)
+        return rows(spark, [(j, clean(v)) for j, v in enumerate(w)], "j BIGINT, w DOUBLE")
+
+    return body
+
+
 def _average(loss, l2, digits, **options):
     def body(spark, ts):
         w = average_models(ts, loss, l2=l2, **options)
@@ -501,6 +543,7 @@ def queries() -> dict[str, Query]:
         "maxabs_apply": maxabs_apply,
         "split_hash": split_hash,
         "split_exact": split_exact,
+        "split_exact_duplicates": split_exact_duplicates,
         "split_mod5": split_mod5,
         "augment_noise": augment_noise,
         "rff_transform": rff_transform,
@@ -522,6 +565,20 @@ def queries() -> dict[str, Query]:
         "gram_matrix": on_set(fx.ridge3, _matrices(SQUARED, None)),
         "gram_matrix_wide": on_set(fx.emb, _matrices(SQUARED, None)),
         "logistic_hessian": on_set(fx.logit2, _matrices(LOGISTIC, W)),
+        "gram_matrix_tiled": on_set(fx.emb_products, _tiles),
+        "newton_logistic_lockstep": fitted(
+            fx.logit2, lambda ts: fit_newton(ts, LOGISTIC, l2=L2, max_iter=3, hessian="lockstep")
+        ),
+        "newton_ridge_tiled": fitted(
+            fx.ridge2,
+            lambda ts: fit_newton(ts, SQUARED, l2=L2, max_iter=2, hessian="tiled", tile=1),
+            engine="blocks",
+        ),
+        "prox_newton_lockstep": fitted(
+            fx.event2,
+            lambda ts: fit_prox_newton(ts, l1=0.002, l2=L2, max_iter=3, lockstep_solves=True),
+            ("grad_norm_sq",),
+        ),
         "newton_ridge": fitted(fx.ridge2, lambda ts: fit_newton(ts, SQUARED, l2=L2, max_iter=2)),
         "newton_logistic": fitted(
             fx.logit2, lambda ts: fit_newton(ts, LOGISTIC, l2=L2, max_iter=3)
@@ -556,6 +613,38 @@ def queries() -> dict[str, Query]:
         ),
         "admm_logistic": on_set(fx.event2, _admm_logistic),
         "dane_logistic": on_set(fx.event2, _dane),
+        "dane_path": fitted(
+            fx.event_small, lambda ts: fit_dane(ts, l2=0.05, max_iter=2, inner=2, rate=0.7)
+        ),
+        "dane_path_line_search": fitted(
+            fx.event_small,
+            lambda ts: fit_dane(ts, l2=0.05, max_iter=2, inner=2, rate=0.7, line_search=True),
+        ),
+        "dane_path_streamed": fitted(
+            fx.event_small,
+            lambda ts: fit_dane(ts, l2=0.05, max_iter=2, inner=2, rate=0.7, streamed=True),
+        ),
+        "admm_logistic_path": fitted(
+            fx.event_small,
+            lambda ts: fit_admm(ts, LOGISTIC, l2=0.05, max_iter=3, inner=2, rate=0.7, rho=0.1),
+        ),
+        "admm_logistic_path_streamed": fitted(
+            fx.event_small,
+            lambda ts: fit_admm(
+                ts, LOGISTIC, l2=0.05, max_iter=3, inner=2, rate=0.7, rho=0.1, streamed=True
+            ),
+        ),
+        "model_average_logistic_path": on_set(fx.event_small, _averaged_path(False)),
+        "model_average_logistic_path_streamed": on_set(fx.event_small, _averaged_path(True)),
+        "newton_logistic_warm_start": fitted(
+            fx.event_small,
+            lambda ts: fit_newton(
+                ts, LOGISTIC, l2=0.05, max_iter=1, inner=3, rate=0.7, start="average"
+            ),
+        ),
+        "newton_logistic_fixed_step": fitted(
+            fx.logit2, lambda ts: fit_newton(ts, LOGISTIC, l2=L2, max_iter=3, line_search=False)
+        ),
         "model_average_ridge": on_set(fx.ridge2, _average(SQUARED, L2, 7)),
         "model_average_logistic": on_set(
             fx.event2, _average(LOGISTIC, 0.1, 5, inner=20, rate=2.0)

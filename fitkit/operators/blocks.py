@@ -114,6 +114,41 @@ def pack_blocks(
     return df.select("shard", "id", "y", "x").mapInArrow(kernel, BLOCK_SCHEMA)
 
 
+def pack_in_order(df: DataFrame, d: int, rows: int, feature_map=None) -> DataFrame:
+    """``(shard, id, y, x)`` rows, sorted by shard, to blocks of ``rows`` rows in the order they come."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mapped = feature_map.bind() if feature_map is not None else None
+        shard, held, count = None, [], 0
+
+        def cut(least: int):
+            nonlocal held, count
+            while count >= least:
+                ids, y, x = (np.concatenate(c) for c in zip(*held))
+                yield _block_batch(shard, [ids[:rows]], [y[:rows]], [x[:rows]])
+                held, count = [(ids[rows:], y[rows:], x[rows:])], max(0, count - rows)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if batch.column(2).null_count:
+                raise ValueError("a label is null")
+            key, ids, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            x = column_matrix(batch.column(3), d)
+            x = mapped(x) if mapped is not None else x
+            cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if shard != int(key[a]):
+                    yield from cut(1)
+                    shard, held, count = int(key[a]), [], 0
+                held.append((ids[a:b], y[a:b], x[a:b]))
+                count += int(b - a)
+                yield from cut(rows)
+        yield from cut(1)
+
+    return df.select("shard", "id", "y", "x").mapInArrow(kernel, BLOCK_SCHEMA)
+
+
 def iter_blocks(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[Block]:
     """Blocks of a stream of Arrow batches, as views on the Arrow buffers."""
     read = shape.reader()

@@ -103,13 +103,15 @@ def split_modulo(df: DataFrame, key: str, *, every: int = 5) -> DataFrame:
 
 
 def split_exact(
-    df: DataFrame, key: str, *, seed: int = 0, train_fraction: float = 0.8, max_ties: int = 100_000
+    df: DataFrame, key: str, *, seed: int = 0, train_fraction: float = 0.8, max_ties: int | None = None
 ) -> DataFrame:
-    """Random split with exactly ``floor(train_fraction * n)`` training rows.
+    """Random split with exactly ``floor(train_fraction * n)`` training rows, whatever ties there are.
 
-    Equivalent to sorting all rows by a random hash and cutting, but without the
-    sort: two 65,536-bin histograms locate the hash at the cut, and only rows that
-    share that one 32-bit hash are ranked.  The key must be unique.
+    Equivalent to sorting all rows by a random hash of the key, then by key and content, and cutting, but
+    without the sort.  Histograms of 65,536 bins locate the hash at the cut, digit by digit, then the key
+    among rows of that hash, then the SHA-256 of the content among rows of that key.  Rows that agree in all of it are identical: the
+    table then holds as many of them on either side as the cut asks for.  Columns of any type
+    that JSON can hold.  ``max_ties`` refuses more rows of one hash than that, if given.
     """
     h = hash_uint32(seed, F.col(key))
     bins = 1 << 16
@@ -134,24 +136,47 @@ def split_exact(
     if n_train <= 0 or n_train >= n:
         return df.withColumn("is_test", F.lit(n_train <= 0))
     top, before = cut(coarse, n_train)
-    low = F.pmod(h, F.lit(bins))
-    fine = histogram(df.filter(high == top), low)
+    fine = histogram(df.filter(high == top), F.pmod(h, F.lit(bins)))
     bottom, inside = cut(fine, n_train - before)
     edge = top * bins + bottom
-    wanted_at_edge = n_train - before - inside
-    at_edge = dict(fine)[bottom]
-    if at_edge == wanted_at_edge:
+    wanted, at_edge = n_train - before - inside, dict(fine)[bottom]
+    if max_ties is not None and at_edge > max_ties:
+        raise ValueError(f"{at_edge} rows share one hash; split_exact with max_ties needs a unique key")
+    if at_edge == wanted:
         return df.withColumn("is_test", h > F.lit(edge))
-    if at_edge > max_ties:
-        raise ValueError(f"{at_edge} rows share one hash; split_exact needs a unique key")
-    ties = (
-        df.filter(h == edge)
-        .withColumn("r", F.row_number().over(Window.orderBy(key)))
-        .filter(F.col("r") == wanted_at_edge)
-        .first()
+
+    # Among rows of one hash: by key, as far as keys differ, then by content.
+    ties = df.filter(h == edge)
+    edge_key, past = None, 0
+    for value, count in ties.groupBy(key).count().orderBy(key).toLocalIterator():
+        if past + count >= wanted:
+            edge_key, wanted, at_edge = value, wanted - past, count
+            break
+        past += count
+    same_key = (h == edge) & F.col(key).eqNullSafe(F.lit(edge_key))
+    beyond = F.when(h != edge, h > edge).when(
+        ~F.col(key).eqNullSafe(F.lit(edge_key)), F.coalesce(F.col(key) > F.lit(edge_key), F.lit(edge_key is None))
     )
-    held_out = (h > F.lit(edge)) | ((h == F.lit(edge)) & (F.col(key) > F.lit(ties[key])))
-    return df.withColumn("is_test", held_out)
+    if at_edge == wanted:
+        return df.withColumn("is_test", beyond.otherwise(F.lit(False)))
+    content = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256)
+    found = ""
+    while len(found) < 64:
+        rows = df.filter(same_key & content.startswith(found))
+        digits = F.conv(F.substring(content, len(found) + 1, 4), 16, 10).cast("long")
+        counts = histogram(rows, digits)
+        digit, inside = cut(counts, wanted)
+        found, wanted, at_edge = found + f"{digit:04x}", wanted - inside, dict(counts)[digit]
+        if at_edge == wanted:
+            return df.withColumn("is_test", beyond.otherwise(F.substring(content, 1, len(found)) > found))
+        if at_edge == 1:
+            break
+    # What is left is one row many times: its copies are dealt by number.
+    whole = df.filter(same_key & content.startswith(found)).limit(1)
+    copies = df.sparkSession.range(at_edge).select((F.col("id") >= wanted).alias("is_test"), F.lit(1).alias("__one"))
+    dealt = copies.join(F.broadcast(whole.withColumn("__one", F.lit(1))), "__one").select(*[F.col(f"`{c}`") for c in df.columns], "is_test")
+    rest = df.filter(~(same_key & content.startswith(found)))
+    return rest.withColumn("is_test", beyond.otherwise(content > found)).unionByName(dealt)
 
 
 def replicate_noise(

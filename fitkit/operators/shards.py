@@ -145,6 +145,12 @@ def merged_stats(
                 yield from flush(held, part)
         yield from flush(held, part)
 
+    return merge_stats(blocks.mapInArrow(partials, STATS_SCHEMA), n_tasks)
+
+
+def merge_stats(partials: DataFrame, n_tasks: int) -> DataFrame:
+    """Sum keyed partial vectors by shard, salted by the sending task where many tasks send."""
+
     def merge(batches):
         # Input is sorted by shard, so one running sum is enough.
         shard, s, total, part = None, 0, None, 0
@@ -161,7 +167,7 @@ def merged_stats(
     def merged(df: DataFrame, *keys) -> DataFrame:
         return df.repartition(*keys).sortWithinPartitions("shard").mapInArrow(merge, STATS_SCHEMA)
 
-    out = blocks.mapInArrow(partials, STATS_SCHEMA)
+    out = partials
     if n_tasks > 64:
         salt = F.pmod(F.col("part"), F.lit(int(n_tasks**0.5)))
         out = merged(out, F.col("shard"), salt)

@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitkit.functions.vectors import scores, weighted_sum
-from fitkit.operators import shards
-from fitkit.operators.blocks import Block, Shape, order_blocks, pack_blocks, sum_over_blocks
+from fitkit.operators import lockstep, shards
+from fitkit.operators.blocks import Block, Shape, order_blocks, pack_blocks, pack_in_order, sum_over_blocks
 from fitkit.operators.losses import SQUARED, Loss, Penalty
 from fitkit.session import arrow_rows
 
@@ -127,6 +127,7 @@ class TrainingSet:
         self.split_shards = split_shards
         self.gram_limit = gram_limit
         self._held: list[DataFrame] = []
+        self._ordered: tuple[int, DataFrame] | None = None
 
     def __enter__(self) -> TrainingSet:
         return self
@@ -138,6 +139,7 @@ class TrainingSet:
         for df in self._held:
             df.unpersist()
         self._held.clear()
+        self._ordered = None
         for name in (
             "flat",
             "blocks",
@@ -335,7 +337,7 @@ class TrainingSet:
             wanted = math.ceil(self.m * self.largest_shard / self.task_rows)
             raise ValueError(
                 f"a shard has {self.largest_shard} rows and a task holds {self.task_rows}: use about {wanted} "
-                "shards, a larger shard_bytes, or split_shards=True to fit pieces of it as shards"
+                "shards, a larger shard_bytes, split_shards=True to fit pieces of it as shards, or a solver in lockstep"
             )
         piece = F.pmod(F.xxhash64("id"), F.size("labels"))
         label = F.get("labels", piece.cast("int"))
@@ -388,11 +390,13 @@ class TrainingSet:
         self.__dict__["profile"] = Profile(row["n"], self.d, row["odd"], row["pos"])
         return row
 
-    def _held_blocks(self) -> tuple[DataFrame, int]:
+    def _held_blocks(self) -> tuple[DataFrame, int | None]:
         """The block form already cached, whichever it is, so data is cached once."""
         for name in ("gathered", "joinable"):
             if name in self.__dict__:
                 return getattr(self, name), self.n_slots
+        if self._ordered is not None:
+            return self._ordered[1], None
         if "pure_blocks" in self.__dict__:
             return self.pure_blocks, self._pure_tasks
         return self.blocks, self._block_tasks
@@ -470,6 +474,16 @@ class TrainingSet:
         parts = np.split(sums, len(points))
         return [as_evaluation(v, self.n, w, penalty) for v, w in zip(parts, points)]
 
+    def evaluate_once(self, w: np.ndarray, loss: Loss, penalty: Penalty, n: int) -> Evaluation:
+        """:meth:`evaluate` over ``n`` rows; a table that is not cached yet is read and not cached."""
+        if not self.is_native(loss) or "flat" in self.__dict__:
+            return self.evaluate(w, loss, penalty)
+        scored = self._scalars(self.rows).withColumn("t", self._score(w))
+        t, y = F.col("t"), F.col("y")
+        scored = scored.withColumn("c", loss.slope_col(t, y))
+        terms = [F.col("c") * x for x in self._xs()] + [loss.value_col(t, y), loss.mistake_col(t, y)]
+        return as_evaluation(self._native_sum(scored, terms), n, w, penalty)
+
     def mean_error(self, w: np.ndarray, loss: Loss) -> float:
         """Share of mistakes (or mean squared residual) at ``w``, without the gradient."""
         if self.is_native(loss):
@@ -587,7 +601,40 @@ class TrainingSet:
             flat = self._scalars(self.rows) if once else self.flat
             return shards.native_stats(flat, self.d, self._score(w), loss)
         if self.d > self.gram_limit:
-            raise ValueError(f"a {self.d} x {self.d} matrix per shard is over the limit")
+            raise ValueError(f"a {self.d} x {self.d} matrix per shard is over the limit; use shard_tiles")
         if "gathered" in self.__dict__:
             return shards.gathered_stats(self.gathered, self.shape, w, loss)
         return shards.merged_stats(self.pure_blocks, self.shape, self._pure_tasks, w, loss)
+
+    # ---- shards that no task holds ------------------------------------------
+
+    def shard_sizes(self) -> DataFrame:
+        """``shard, s``: rows of every shard, from the blocks that hold one shard each."""
+        return self.pure_blocks.groupBy("shard").agg(F.sum("s").cast("bigint").alias("s"))
+
+    def in_order(self, seed: int, multiple: int) -> DataFrame:
+        """Blocks of every shard in a seeded order of its rows, a multiple of rows each, cached.
+
+        A shard lies in one task, which reads it as a stream, block by block; the order is that of a
+        hash of the row id, whatever the layout.  Every row moves once.
+        """
+        if self._ordered is None or self._ordered[0] != seed:
+            rows = max(1, self._rows_per_block // multiple) * multiple
+            order = (F.xxhash64(F.lit(seed), F.col("id")), "id", "y", "x")
+            dealt = self.rows.repartition("shard").sortWithinPartitions("shard", *order)
+            with self.batches():
+                out = self.hold(pack_in_order(dealt, self.source_width, rows, self.pack_map))
+                self._take_profile(out.select("shard", *self._measures("s", "odd", "pos")).groupBy("shard"))
+            if self._ordered is not None:
+                self.release(self._ordered[1])
+            self._ordered = (seed, out)
+        return self._ordered[1]
+
+    def shard_products(self, w: np.ndarray, loss: Loss) -> lockstep.Product:
+        """Products with every shard's curvature matrix at ``w``, from rows where they lie."""
+        return lockstep.rows_product(self.pure_blocks, self.shape, self._pure_tasks, w, loss)
+
+    def shard_tiles(self, w: np.ndarray, loss: Loss, tile: int = 512) -> DataFrame:
+        """``shard, i, j, s, tile``: every shard's curvature matrix at ``w`` as upper tiles, any width."""
+        blocks = self.pure_blocks
+        return lockstep.tiled_matrices(blocks, self.shape, self._pure_tasks, w, loss, tile)

@@ -28,6 +28,7 @@ from fitkit.operators.shards import (
     svrg,
 )
 from fitkit.operators.training_set import Evaluation, TrainingSet
+from fitkit.plans.epochs import fold_state, in_epochs, run_epochs, start_state, streams
 
 # Passes whose partial sums may weigh as much as the rows, and the usual bytes of an input split.
 STATS_PASSES = 16
@@ -62,7 +63,7 @@ class QuadraticTotals:
             raise ValueError("the training table is empty")
         self.gram, slope, _, _ = split_stats(total[:-2], ts.d)
         self.centre = np.linalg.lstsq(self.gram, -slope, rcond=None)[0]
-        at = ts.evaluate(self.centre, SQUARED, Penalty())
+        at = ts.evaluate_once(self.centre, SQUARED, Penalty(), self.n)
         self.centre_error, self.centre_gradient = at.error, at.gradient
 
     def evaluate(self, w: np.ndarray, loss: Loss, penalty: Penalty) -> Evaluation:
@@ -177,11 +178,13 @@ def average_models(
     inner: int = 20,
     rate: float = 1.0,
     seed: int = 0,
+    streamed: bool = False,
 ) -> np.ndarray:
     """One-shot averaging: fit each shard alone, return ``sum_i s_i w_i / n``.
 
     Ridge shards are solved by conjugate gradient, logistic shards by
-    variance-reduced stochastic gradient.
+    variance-reduced stochastic gradient: in the task that holds the shard, or epoch by
+    epoch over its stream where no task can (always with ``streamed``).
     """
     d, zero = ts.d, np.zeros(ts.d)
     if loss is SQUARED:
@@ -198,6 +201,14 @@ def average_models(
             apply = lambda p: (b.x @ p) @ b.x / s + l2 * p
             return s * conjugate_gradient(apply, b.y @ b.x / s, inner)
 
+    elif streams(ts, streamed):
+        blocks = in_epochs(ts, seed)
+        ts.check_labels(loss)
+        state = start_state(blocks, zero, zero)
+        state, chain = run_epochs(ts, blocks, loss, state, passes=inner, rate=rate, ridge=l2)
+        total = fold_state(state, d + 1, lambda s, v: np.append(s * v, s))
+        chain.close()
+        return total[:-1] / total[-1]
     else:
 
         def from_rows(b: Block) -> np.ndarray:
@@ -212,7 +223,7 @@ def average_models(
 
 
 def starting_point(
-    ts: TrainingSet, start, loss: Loss, l2: float, *, inner: int, rate: float, seed: int
+    ts: TrainingSet, start, loss: Loss, l2: float, *, inner: int, rate: float, seed: int, streamed: bool = False
 ) -> np.ndarray:
     """Zeros, a given vector, or ``"average"`` for one-shot model averaging."""
     if start is None:
@@ -220,5 +231,5 @@ def starting_point(
     if isinstance(start, str):
         if start != "average":
             raise ValueError(f"unknown start {start!r}")
-        return average_models(ts, loss, l2=l2, inner=inner, rate=rate, seed=seed)
+        return average_models(ts, loss, l2=l2, inner=inner, rate=rate, seed=seed, streamed=streamed)
     return np.asarray(start, dtype=np.float64).copy()

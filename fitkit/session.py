@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -34,6 +34,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class TableChain:
+    """Successive versions of a small keyed table, each written to the shared folder.
+
+    A written table cuts the lineage and survives lost executors; the version before
+    the last is deleted, as nothing reads it any more.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = scratch_path(spark, name)
+        self.paths: list[str] = []
+        self.count = 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{self.count}"
+        self.count += 1
+        df.write.parquet(path)
+        self.paths.append(path)
+        if len(self.paths) > 2:
+            drop_path(self.spark, self.paths.pop(0))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        drop_path(self.spark, self.root)
+        self.paths.clear()
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this run, wherever Spark's file systems reach it."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, bytes_per_row: int, budget: int = 64 << 20):
     """Limit Arrow batches by bytes while the jobs inside the block are planned.
