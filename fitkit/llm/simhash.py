@@ -317,9 +317,19 @@ def simhash_components(
     )
 
 
-#: Least hashes of a text's shingles that are compared, and how many of them a pair must share.
-LEAST = 16
-SHARED = 3
+#: Least values of a text's shingles under random maps, as many in a band; texts that agree on a band
+#: are candidates.  At a similarity of 0.8 all bands differ with a probability of 0.0007, at 0.3 one
+#: agrees with 0.02, at 0.2 with 0.0015.
+BANDS = 24
+BAND_ROWS = 6
+#: Shingles mapped at once, and texts that are compared with one centre in one task.
+MAP_ROWS = 2048
+SALT_ROWS = 1024
+#: Candidates that are compared without another look for a centre, as a multiple of the rows in buckets.
+FEW = 4
+
+_MAPS = np.random.default_rng(64).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
+_MAPS[1] |= np.uint64(1)
 
 
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
@@ -335,67 +345,172 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64, len(grams)))
 
 
-def _shingle_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: int | None) -> DataFrame:
-    """``row, sig, n, hashes``: a hash of the whole set, its size, and its least members (or all)."""
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band; none for an empty set."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), MAP_ROWS):
+        mapped = (hashes[at : at + MAP_ROWS, None] ^ _MAPS[0]) * _MAPS[1]
+        np.minimum(least, mapped.min(axis=0), out=least)
+    bands = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], np.uint64).view(np.int64)
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar_shingle: int) -> DataFrame:
+    """``doc_id, row, fp, sig, bands``: fingerprint, hash of the whole shingle set, band keys."""
 
     def body():
         def kernel(batch):
-            sets = [shingle_set(t, shingle) for t in texts(batch, 1)]
+            found = texts(batch, 2)
+            fps = np.array([fingerprint_of(t, shingle) for t in found], np.uint64)
+            sets = [shingle_set(t, similar_shingle) for t in found]
             sig = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
             return {
-                "row": batch.column(0),
+                "doc_id": batch.column(0),
+                "row": batch.column(1),
+                "fp": fps.view(np.int64),
                 "sig": sig.view(np.int64),
-                "n": [len(x) for x in sets],
-                "hashes": [x[:least].view(np.int64) for x in sets],
+                "bands": [band_keys(x) for x in sets],
             }
 
         return kernel
 
     long = T.LongType()
     schema = T.StructType(
-        [T.StructField(n, long) for n in ("row", "sig", "n")] + [T.StructField("hashes", T.ArrayType(long))]
+        [T.StructField(n, long) for n in ("doc_id", "row", "fp", "sig")] + [T.StructField("bands", T.ArrayType(long))]
     )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col), F.col(text_col))
+    return map_rows(rows, body, schema)
+
+
+def _shingle_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``row, hashes``: the whole shingle set of each row."""
+
+    def body():
+        def kernel(batch):
+            return {
+                "row": batch.column(0),
+                "hashes": [shingle_set(t, shingle).tobytes() for t in texts(batch, 1)],
+            }
+
+        return kernel
+
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("hashes", T.BinaryType())])
     return map_rows(docs.select(row_key(id_col, text_col), F.col(text_col)), body, schema)
 
 
-def similar_links(
-    docs: DataFrame, scratch: Scratch, similar: float, *, id_col: str, text_col: str, shingle: int
-) -> DataFrame:
-    """``a, b``: links between rows whose shingle sets have a Jaccard similarity of ``similar`` or more.
+def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs ``a, b`` whose sets have a Jaccard similarity of ``similar`` or more.
 
-    Equal sets are linked as a star.  Of unequal ones those that share SHARED of their LEAST least
-    hashes are compared exactly.  At 0.8 a pair shares fewer with a probability of about 1e-8,
-    and sets of at most LEAST shingles never do.
+    The set of ``a`` travels once for each of its pairs and that of ``b``, the centre, once for each
+    ``SALT_ROWS`` texts that are compared with it: a popular centre lies in many tasks.
     """
-    rows = scratch.keep(_shingle_rows(docs, id_col, text_col, shingle, LEAST))
-    sets = scratch.keep(
-        rows.groupBy("sig").agg(F.min("row").alias("rep"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("long").alias("parts"))
+    left = (
+        pairs.join(parts, "b")
+        .select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("salt"), F.col("a").alias("row"))
+        .join(sets, "row")
+        .select("b", "salt", F.lit(1).alias("role"), "row", "hashes")
     )
-    stars = rows.join(sets.select("sig", "rep"), "sig").filter("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
-    each = sets.select("rep", "n", F.explode("hashes").alias("h"))
-    one = each.select("h", F.col("rep").alias("a"), F.col("n").alias("na"))
-    two = each.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("na") >= similar * F.col("nb")) & (F.col("nb") >= similar * F.col("na"))
-    pairs = one.join(two, "h").filter((F.col("a") < F.col("b")) & near).groupBy("a", "b").count()
-    pairs = scratch.keep(pairs.filter(F.col("count") >= SHARED).select("a", "b"))
-    asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    texts_of = docs.select(F.col(id_col), F.col(text_col), row_key(id_col, text_col))
-    texts_of = texts_of.join(asked, "row", "left_semi").dropDuplicates(["row"])
-    whole = scratch.keep(_shingle_rows(texts_of, id_col, text_col, shingle, None).select("row", "n", "hashes"))
-    left = whole.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    right = whole.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
-    held = both.filter(F.col("common") >= similar * (F.col("na") + F.col("nb") - F.col("common")))
-    return stars.union(held.select("a", "b"))
-
-
-def _row_components(fps: DataFrame, more: DataFrame, scratch: Scratch, node_rows: int) -> DataFrame:
-    """``doc_id, row, component`` by links of fingerprints and the given links of rows."""
-    distinct = scratch.keep(fps.groupBy("fp").agg(F.min("row").alias("rep")))
-    stars = fps.join(distinct, "fp").filter("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
-    edges = scratch.keep(links(distinct, scratch, node_rows).union(stars).union(more))
-    roots = connected_components(edges, scratch)
-    return fps.join(roots, fps.row == roots.id, "left").select(
+    centres = (
+        parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+        .join(sets.withColumnRenamed("row", "b"), "b")
+        .select("b", "salt", F.lit(0).alias("role"), F.col("b").alias("row"), "hashes")
+    )
+
+    def run(batches):
+        centre = None
+        for batch in batches:
+            a, b = [], []
+            b_col, role, row, sets_col = (batch.column(i) for i in (0, 2, 3, 4))
+            for i, (target, kind) in enumerate(zip(b_col.to_pylist(), role.to_pylist())):
+                own = np.frombuffer(sets_col[i].as_buffer(), np.uint64)
+                if kind == 0:
+                    centre = own.copy()
+                    continue
+                common = len(np.intersect1d(centre, own, assume_unique=True))
+                if common >= similar * (len(centre) + len(own) - common):
+                    a.append(row[i].as_py())
+                    b.append(target)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = left.unionAll(centres).repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def similar_classes(docs: DataFrame, sketches: DataFrame, labels: DataFrame, scratch: Scratch, similar: float, **columns) -> DataFrame:
+    """``id, root``: the components of ``labels`` (``id, root``), joined where texts are similar.
+
+    ``sketches`` holds ``row, bands`` of every distinct set.  Texts with a band in common are a bucket; only buckets with two or
+    more components are looked at.  In each round a bucket elects a centre and every text takes the
+    centre it meets in most buckets; those similar to it join its component, which settles buckets
+    of copies without looking at their pairs.  Once few pairs of different components are left, or a
+    round joins nothing, every text outside the largest component of its bucket is compared with all
+    of other components there.  So each candidate pair ends in one component or has been compared.
+    """
+    rooted = labels.select(F.col("id").alias("row"), F.col("root"))
+    members, sets, turn = None, None, 0
+    while True:
+        # Bands are spread after their text is joined to its component: most buckets end here.
+        placed = sketches if members is None else members
+        placed = placed.join(rooted, "row", "left").withColumn("comp", F.coalesce("root", "row"))
+        bucket = F.explode("bands").alias("bucket") if members is None else F.col("bucket")
+        placed = placed.select(bucket, "row", "comp")
+        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+        members = scratch.keep(placed.join(mixed.select("bucket"), "bucket", "left_semi").distinct())
+        per = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+        major = per.groupBy("bucket").agg(
+            F.max(F.struct("n", "comp"))["comp"].alias("major"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own")
+        )
+        sizes = major.agg(F.sum("all").alias("rows"), F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")).first()
+        if not sizes["rows"]:
+            return labels
+        if sets is None:
+            asked = members.select("row").distinct()
+            wanted = docs.select(columns["id_col"], columns["text_col"]).withColumn("row", row_key(columns["id_col"], columns["text_col"]))
+            wanted = wanted.join(asked, "row", "left_semi")
+            whole = _shingle_rows(wanted, columns["id_col"], columns["text_col"], columns["shingle"])
+            sets = scratch.keep(whole.groupBy("row").agg(F.first("hashes").alias("hashes")))
+        last = sizes["pairs"] <= FEW * sizes["rows"] or turn < 0
+        if last:
+            minor = members.join(major.select("bucket", "major"), "bucket").filter("comp <> major")
+            other = members.select("bucket", F.col("row").alias("b"), F.col("comp").alias("of"))
+            pairs = minor.withColumnRenamed("row", "a").join(other, "bucket").filter("comp <> of")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            spot = F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), "row", "comp")
+            centres = members.groupBy("bucket").agg(F.min(spot).alias("c"))
+            met = members.join(centres, "bucket").filter(F.col("comp") != F.col("c.comp"))
+            met = met.groupBy(F.col("row").alias("a"), F.col("c.row").alias("b")).count()
+            pairs = met.groupBy("a").agg(F.max(F.struct("count", "b"))["b"].alias("b"))
+        found = scratch.keep(verified(scratch.keep(pairs), sets, similar))
+        joined = not found.isEmpty()
+        if joined:
+            edges = labels.select(F.col("id").alias("a"), F.col("root").alias("b")).union(found)
+            labels = connected_components(edges, scratch)
+            rooted = labels.select(F.col("id").alias("row"), F.col("root"))
+        if last:
+            return labels
+        members = members.drop("comp")
+        turn = turn + 1 if joined else -1
+
+
+def _row_classes(
+    docs: DataFrame, rows: DataFrame, scratch: Scratch, similar: float, node_rows: int, **columns
+) -> DataFrame:
+    """``doc_id, row, component`` by fingerprints, equal sets and similar sets."""
+    by_print = scratch.keep(rows.groupBy("fp").agg(F.min("row").alias("rep")))
+    by_set = scratch.keep(rows.groupBy("sig").agg(F.min("row").alias("rep")))
+    stars = [
+        rows.select(key, "row").join(reps, key).filter("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
+        for key, reps in (("fp", by_print), ("sig", by_set))
+    ]
+    edges = scratch.keep(links(by_print, scratch, node_rows).union(stars[0]).union(stars[1]))
+    labels = connected_components(edges, scratch)
+    one = rows.select("row", "bands").join(by_set.select(F.col("rep").alias("row")), "row", "left_semi")
+    labels = similar_classes(docs, one, labels, scratch, similar, **columns)
+    return rows.select("doc_id", "row").join(labels.select(F.col("id").alias("row"), "root"), "row", "left").select(
         "doc_id", "row", F.coalesce("root", "row").alias("component")
     )
 
@@ -415,15 +530,18 @@ def keep_first(
     The one with the smallest id stays (any row with an id before rows without one; among rows
     with that id, the one with the smallest hash of id and text).  Of repeated rows one stays.
     With ``similar`` texts are linked as well when the sets of their ``similar_shingle``-word
-    shingles have at least this Jaccard similarity.
+    shingles have at least this Jaccard similarity: candidates share a band of least values (see
+    ``BANDS``), and every candidate pair is compared exactly unless its texts are in one component
+    already.  All texts without a word have equal fingerprints and sets: one of them stays.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.keep(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     if similar is None:
+        fps = scratch.keep(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
         placed = fps.join(_classes(fps, scratch, node_rows), "fp")
     else:
-        more = similar_links(docs, scratch, similar, id_col=id_col, text_col=text_col, shingle=similar_shingle)
-        placed = _row_components(fps, more, scratch, node_rows)
+        rows = scratch.keep(_sketches(docs, id_col, text_col, shingle, similar_shingle))
+        columns = {"id_col": id_col, "text_col": text_col, "shingle": similar_shingle}
+        placed = _row_classes(docs, rows, scratch, similar, node_rows, **columns)
     winners = (
         placed.groupBy("component")
         .agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first"))

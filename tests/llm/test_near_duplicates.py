@@ -136,3 +136,70 @@ def test_copies_at_similarity_of_0_8_go_from_the_stage(spark):
     got = corpus_pipeline.copies_out(spark, awkward(spark), "")
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "4", "5", "7", "None"]
     assert corpus_pipeline.copies_out(spark, empty(spark), "").count() == 0
+
+
+def brute_similar(texts, similar):
+    """The smallest index that each text reaches by fingerprints at 3 bits or five-word shingles alike by ``similar``."""
+    n = len(texts)
+    fps = np.array([simhash.fingerprint_of(t.encode()) for t in texts], np.uint64)
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    names, spot = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros((n, len(names)), np.float32)
+    held[np.repeat(np.arange(n), [len(x) for x in sets]), spot] = 1
+    common = held @ held.T
+    size = held.sum(axis=1)
+    near = common >= similar * (size[:, None] + size - common)
+    near |= np.bitwise_count(fps[:, None] ^ fps) <= 3
+    root = np.arange(n)
+    while True:
+        low = np.where(near, root[None, :], n).min(axis=1)
+        if (low == root).all():
+            return root, near, np.bitwise_count(fps[:, None] ^ fps) <= 3
+        root = low
+
+
+def test_a_large_group_of_near_copies_and_a_common_line(spark):
+    """A thousand loose copies of one text, links of all strengths, and a line that half of the texts share."""
+    draw = random.Random(5)
+    base = prose(160, 77).split()
+    line = prose(60, 78)
+    texts = []
+    for k in range(1000):
+        words = list(base)
+        for at in draw.sample(range(160), draw.choice((1, 2, 3, 4, 6, 12))):
+            words[at] = f"new{draw.randrange(40)}"
+        texts.append(" ".join(words))
+    texts += [line + "\n" + prose(draw.randrange(20, 200), 2000 + k) for k in range(600)]
+    draw.shuffle(texts)
+    root, near, _ = brute_similar(texts, 0.8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    kept = {r.doc_id for r in simhash.keep_first(docs, similar=0.8).collect()}
+    want = set(np.flatnonzero(root == np.arange(len(texts))).tolist())
+    assert near.sum() > 100_000 and 600 < len(want) < 1500
+    # No text goes without a link, and at most one link in a thousand is not a candidate.
+    assert want <= kept and len(kept - want) <= 2
+
+
+def test_candidates_of_a_group_of_copies_grow_with_the_group(spark, monkeypatch):
+    """Pairs that are compared: about one for each copy, not one for each pair of copies."""
+    seen = []
+    plain = simhash.verified
+
+    def counted(pairs, sets, similar):
+        seen.append(pairs.count())
+        return plain(pairs, sets, similar)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    for n in (150, 300):
+        texts = []
+        for k in range(n):
+            words = prose(400, 3).split()
+            for at in range(0, 400, 60):
+                words[at] = f"own{k}x{at}"
+            texts.append((k, " ".join(words[: 390 + k % 10])))
+        seen.clear()
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        monkeypatch.setattr(simhash, "links", lambda distinct, scratch, node_rows: distinct.limit(0).selectExpr("fp a", "fp b"))
+        kept = simhash.keep_first(docs, similar=0.7)
+        assert kept.count() == 1
+        assert sum(seen) <= 3 * n
