@@ -581,8 +581,12 @@ def average_ridge(data: str, l2: float) -> str:
     )
 
 
-def grouped(data: str, lam: float, sigma: float) -> str:
+def grouped(
+    data: str, lam: float, sigma: float, tilt: tuple[float, float] = (0.0, 0.0), key: str | None = None
+) -> str:
     l1 = lam * sigma
+    name = f"shard AS {key}" if key else "shard::BIGINT AS shard"
+    certified = ", true AS certified" if key else ""
     both = "(a*c - b*b)"
     v0 = f"""CASE WHEN s0 = 0 THEN 0.0 WHEN s1 = 0 THEN (u - {l1}*s0) / a
       ELSE (c*(u - {l1}*s0) - b*(v - {l1}*s1)) / {both} END"""
@@ -595,10 +599,10 @@ def grouped(data: str, lam: float, sigma: float) -> str:
     return f"""
 WITH d AS MATERIALIZED ({data}),
 g AS MATERIALIZED (SELECT shard, count(*) AS s, sum(x0*x0)/count(*) + {lam} AS a,
-  sum(x0*x1)/count(*) AS b, sum(x1*x1)/count(*) + {lam} AS c, sum(x0*y)/count(*) AS u,
-  sum(x1*y)/count(*) AS v, sum(y*y)/count(*) AS yy FROM d GROUP BY shard)
-SELECT shard::BIGINT AS shard, any_value(s)::BIGINT AS s, {r('arg_min(v0, q)', 'w0')},
-  {r('arg_min(v1, q)', 'w1')}, {r('min(q)', 'objective')}
+  sum(x0*x1)/count(*) AS b, sum(x1*x1)/count(*) + {lam} AS c, sum(x0*y)/count(*) + {lam * tilt[0]} AS u,
+  sum(x1*y)/count(*) + {lam * tilt[1]} AS v, sum(y*y)/count(*) AS yy FROM d GROUP BY shard)
+SELECT {name}, any_value(s)::BIGINT AS s, {r('arg_min(v0, q)', 'w0')},
+  {r('arg_min(v1, q)', 'w1')}, {r('min(q)', 'objective')}{certified}
 FROM (SELECT *, {value} AS q FROM (SELECT *, {v0} AS v0, {v1} AS v1 FROM g,
   (VALUES (-1), (0), (1)) AS p(s0), (VALUES (-1), (0), (1)) AS o(s1)))
 GROUP BY shard"""
@@ -808,6 +812,7 @@ FROM u, p GROUP BY shard, i, j"""
     sql["prox_newton"] = prox_newton(EVENT2, 0.002, 0.01, 3)
     sql["momentum_gd"] = momentum(LOGIT2, 0.01, 3, 2.0, 0.9)
     sql["lbfgs_logistic"] = lbfgs(LOGIT2, Logistic, 0.01)
+    sql["lbfgs_vector_free"] = sql["lbfgs_logistic"]
     sql["lbfgs_ridge"] = lbfgs(RIDGE2, Squared, 0.01)
     sql["cg_ridge"] = cg(RIDGE2, 0.01)
     sql["fista_prox_l2"] = fista(EVENT2, 0.002, 0.01, 3, 0.5, True)
@@ -827,9 +832,28 @@ FROM u, p GROUP BY shard, i, j"""
     sql["model_average_ridge"] = average_ridge(RIDGE2, 0.01)
     sql["model_average_logistic"] = average_logistic(EVENT2, 0.1)
     sql["grouped_enet_ls"] = grouped(RIDGE2, 0.05, 0.5)
+    by_flag = RIDGE2.replace("l_orderkey % 4 AS shard", "l_returnflag AS shard")
+    sql["grouped_enet_dual"] = grouped(by_flag, 0.05, 0.5, (0.3, -0.1), "l_returnflag")
+    sql["grouped_enet_dual_ill_conditioned"] = grouped(by_flag, 1e-6, 0.5, (0.3, -0.1), "l_returnflag")
+    sql["grouped_enet_dual_in_place"] = sql["grouped_enet_dual"]
     sql["history_with_holdout"] = holdout(EVENT2, 0.01, 3, 2.0, 0.9)
     sql["sweep_momentum_gd"] = sweep(LOGIT2, 0.01, 2, {"slow": (0.5, 0.9), "fast": (2.0, 0.5)})
 
+    grid = {f"{rate}-{beta}": (rate, beta) for rate in (0.5, 1.0, 2.0) for beta in (0.5, 0.9)}
+    sql["sweep_batched"] = sweep(LOGIT2, 0.01, 2, grid)
+
+    sql["preset_ridge"] = f"""
+WITH every_row AS MATERIALIZED ({RIDGE2}),
+m AS (SELECT max(abs(x0)) AS m0, max(abs(x1)) AS m1, avg(y) AS my FROM every_row WHERE shard <> 0),
+d AS (SELECT shard = 0 AS side, x0 / m0 AS x0, x1 / m1 AS x1, y - my AS y FROM every_row, m),
+s AS (SELECT avg(x0*x0) + 1e-6 AS a, avg(x0*x1) AS b, avg(x1*x1) + 1e-6 AS c,
+    avg(x0*y) AS p, avg(x1*y) AS q FROM d WHERE NOT side),
+w AS (SELECT (c*p - b*q) / (a*c - b*b) AS w0, (a*q - b*p) / (a*c - b*b) AS w1 FROM s)
+SELECT 'newton_60_100' AS run_id,
+  {r('avg(0.5 * pow(y - w0*x0 - w1*x1, 2)) FILTER (NOT side) + 0.5e-6 * any_value(w0*w0 + w1*w1)', 'objective')},
+  {r('avg(pow(y - w0*x0 - w1*x1, 2)) FILTER (side)', 'test_error')}, 1.0::DOUBLE AS nonzero
+FROM d, w"""
+
     # scoring
     score = f"({W[0]}*x0 + {W[1]}*x1)"
     sql["score_rows"] = f"SELECT id, {r(score, 'score')} FROM ({EVENT2})"

@@ -23,13 +23,16 @@ from fitkit.operators.losses import LOGISTIC, SQUARED, Penalty
 from fitkit.operators.training_set import TrainingSet
 from fitkit.plans.admm import fit_admm
 from fitkit.plans.dane import fit_dane
+from fitkit.plans.experiments import EXPERIMENTS, run_experiment
 from fitkit.plans.gradient import fit_cg, fit_fista, fit_lbfgs, fit_momentum
 from fitkit.plans.grouped import fit_groups
+from fitkit.plans.grouped_dual import fit_groups_dual
 from fitkit.plans.local import average_models
 from fitkit.plans.loop import FitResult
 from fitkit.plans.newton import fit_newton, fit_prox_newton
 from fitkit.plans.steps import armijo, step_table
 from fitkit.plans.sweep import run_sweep
+from fitkit.plans.vector_free import fit_lbfgs_vector_free
 from fitkit.session import scratch_path
 from fitkit.sources import (
     parse_libsvm_text,
@@ -470,6 +473,42 @@ def history_with_holdout(spark, sf_dir):
     )
 
 
+def _grouped_dual(lam: float, **options) -> Query:
+    """Fits by a string key, with a tilt; every duality gap is below 1e-8."""
+
+    def query(spark, sf_dir):
+        data = fx.table(spark, sf_dir, "lineitem").select(
+            "l_returnflag",
+            (F.col("l_extendedprice") / 100000.0).alias("y"),
+            F.array(F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0).alias("x"),
+        )
+        tilt = np.array([0.3, -0.1])
+        out = fit_groups_dual(data, "l_returnflag", lam=lam, sigma=0.5, tilt=tilt, **options)
+        return out.select(
+            F.col("key").alias("l_returnflag"),
+            "s",
+            r(F.col("w")[0], "w0"),
+            r(F.col("w")[1], "w1"),
+            r("objective", "objective"),
+            (F.col("gap") < 1e-8).alias("certified"),
+        )
+
+    return query
+
+
+def _sweep_batched(spark, ts):
+    """Six settings over shared passes."""
+
+    def member(rate, beta):
+        return lambda s: fit_momentum(s, LOGISTIC, l2=L2, max_iter=2, rate=rate, momentum=beta)
+
+    grid = {f"{a}-{b}": member(a, b) for a in (0.5, 1.0, 2.0) for b in (0.5, 0.9)}
+    table, _ = run_sweep(ts, grid, batched=True)
+    return table.select(
+        "run_id", big("iter"), *[r(c, c) for c in ("objective", "train_error", "grad_norm_sq")]
+    )
+
+
 def _sweep(spark, ts):
     table, _ = run_sweep(
         ts,
@@ -483,6 +522,18 @@ def _sweep(spark, ts):
     )
 
 
+def preset_ridge(spark, sf_dir):
+    """A preset from libsvm files to its summary: scale, shard, fit, held-out error."""
+    rows = fx.ridge2(spark, sf_dir).withColumn("side", F.expr("shard = 0"))
+    paths = [scratch_path(spark, "preset") for _ in range(2)]
+    for path, side in zip(paths, (False, True)):
+        write_libsvm(rows.filter(F.col("side") == side).drop("side"), path)
+    _, summary = run_experiment(spark, EXPERIMENTS["ridge"], *paths, d=2, m=4)
+    return summary.select(
+        "run_id", r("objective", "objective"), r("test_error", "test_error"), "nonzero"
+    )
+
+
 # ---- scoring -----------------------------------------------------------------------
 
 
@@ -593,6 +644,12 @@ def queries() -> dict[str, Query]:
             lambda ts: fit_momentum(ts, LOGISTIC, l2=L2, max_iter=3, rate=2.0, momentum=0.9),
         ),
         "lbfgs_logistic": fitted(fx.logit2, lambda ts: fit_lbfgs(ts, LOGISTIC, l2=L2, max_iter=2)),
+        "lbfgs_vector_free": fitted(
+            fx.logit2,
+            lambda ts: fit_lbfgs_vector_free(
+                ts, LOGISTIC, l2=L2, max_iter=2, chunk=1, keep_path=True
+            ),
+        ),
         "lbfgs_ridge": fitted(fx.ridge2, lambda ts: fit_lbfgs(ts, SQUARED, l2=L2, max_iter=2)),
         **{f"ridge_unscaled_{k}": _unscaled(fit) for k, fit in UNSCALED.items()},
         "cg_ridge": fitted(fx.ridge2, lambda ts: fit_cg(ts, l2=L2, max_iter=2)),
@@ -650,8 +707,13 @@ def queries() -> dict[str, Query]:
             fx.event2, _average(LOGISTIC, 0.1, 5, inner=20, rate=2.0)
         ),
         "grouped_enet_ls": on_set(fx.ridge2, _grouped),
+        "grouped_enet_dual": _grouped_dual(0.05),
+        "grouped_enet_dual_ill_conditioned": _grouped_dual(1e-6),
+        "grouped_enet_dual_in_place": _grouped_dual(0.05, group_bytes=0),
         "history_with_holdout": history_with_holdout,
         "sweep_momentum_gd": on_set(fx.logit2, _sweep),
+        "preset_ridge": preset_ridge,
+        "sweep_batched": on_set(fx.logit2, _sweep_batched),
         "score_rows": score_rows,
         "score_zero_one": score_zero_one,
         "score_mse": score_mse,

@@ -19,6 +19,7 @@ from fitkit.operators.blocks import fold_rows
 PROJECTION_SEED = 1234
 PHASE_SEED = 4321
 MAX_HASHED = 1 << 20  # draws taken one md5 at a time on the driver
+MAPPED_BYTES = 64 << 20  # mapped rows that leave a worker at once
 MAX_TABLE_BYTES = 1 << 30  # projection kept by one Python worker
 
 
@@ -65,13 +66,16 @@ class RandomFourier:
 
 
 def random_fourier(df: DataFrame, m: RandomFourier, *, features: str = "x") -> DataFrame:
-    """Replace ``features`` by its random Fourier map, one BLAS product per Arrow batch."""
+    """Replace ``features`` by its random Fourier map, BLAS products of bounded size per Arrow batch."""
 
     @F.arrow_udf("array<double>")
     def mapped(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         apply = m.bind()
+        rows = max(1, MAPPED_BYTES // (8 * m.size))
         for column in columns:
-            yield matrix_column(apply(column_matrix(column, m.width)))
+            x = column_matrix(column, m.width)
+            for at in range(0, max(1, len(x)), rows):
+                yield matrix_column(apply(x[at : at + rows]))
 
     return df.withColumn(features, mapped(F.col(features).cast("array<double>")))
 

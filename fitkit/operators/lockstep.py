@@ -194,6 +194,22 @@ def rows_product(blocks: DataFrame, shape: Shape, n_tasks: int, w: np.ndarray, l
     return product
 
 
+def shard_sums(blocks: DataFrame, shape: Shape, n_tasks: int, length: int, term, vectors: DataFrame | None = None) -> DataFrame:
+    """``shard, s, stats``: ``term(block, vector)`` summed by shard; ``vectors`` holds ``shard, ask``."""
+
+    def kernel(batches):
+        held = _Held(length)
+        for batch in batches:
+            names = batch.schema.names
+            asks = batch.column(names.index("ask")) if "ask" in names else [None] * batch.num_rows
+            for ask, b in zip(asks, iter_blocks(iter([batch]), shape)):
+                yield from held.add(b.shard, len(b.y), term(b, None if ask is None else _vector(ask)))
+        yield from held.flush()
+
+    rows = blocks if vectors is None else blocks.join(F.broadcast(vectors), "shard")
+    return merge_stats(rows.mapInArrow(kernel, STATS_SCHEMA), n_tasks).drop("part")
+
+
 def tiles_product(tiles: DataFrame, d: int, tile: int, n_tasks: int) -> Product:
     """``G_i z_i`` from the upper tiles of the shard matrices."""
 
@@ -242,50 +258,85 @@ def _solvers(batch: pa.RecordBatch, kind: type):
         yield shard.as_py(), s.as_py(), solver
 
 
-def solve_in_lockstep(sizes: DataFrame, d: int, l2: float, start: Callable[[], object], kind: type, product: Product) -> np.ndarray:
-    """``sum_i s_i v_i / sum_i s_i``, the row-weighted mean of the shards' answers.
+class Answers:
+    """``shard, s, answer`` of a run in lockstep, in the shared folder until :meth:`close`."""
+
+    def __init__(self, tables: list[DataFrame], chains: list[TableChain]):
+        self.tables, self.chains = tables, chains
+
+    def table(self) -> DataFrame:
+        out = self.tables[0]
+        for more in self.tables[1:]:
+            out = out.unionAll(more)
+        return out
+
+    def close(self) -> None:
+        for chain in self.chains:
+            chain.close()
+
 
-    ``sizes`` holds ``shard, s``.  Every shard's solver is ``start()``, an instance of ``kind``; its
-    matrix is the mean over the shard's rows of what ``product`` sums, plus ``l2`` on the diagonal.
+def answers_in_lockstep(sizes: DataFrame, d: int, l2: float, start: Callable, kind: type, product: Product) -> Answers:
+    """Run every shard's solver to its end.
+
+    ``sizes`` holds ``shard, s`` and optionally ``stats``, a vector of the shard.  Its solver is ``start(s,
+    stats)``, an instance of ``kind``; its matrix is the mean over the shard's rows of what ``product``
+    sums, plus ``l2`` on the diagonal.
     """
     spark = sizes.sparkSession
     # The vectors that are out at once weigh ASK_BYTES at most: more shards take turns.
     groups = math.ceil(sizes.count() * 8 * d / ASK_BYTES)
-    total = np.zeros(d + 1)
+    tables, chains = [], []
+
+    def first(batches):
+        for batch in batches:
+            vectors = batch.column(2) if batch.num_columns > 2 else [None] * batch.num_rows
+            for shard, s, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), vectors):
+                v = None if v is None else v.values.to_numpy(zero_copy_only=False)
+                yield _state_batch(shard, s, start(s, v))
+
+    def advance(batches):
+        for batch in batches:
+            sums = batch.column(batch.schema.names.index("stats"))
+            for (shard, s, solver), az in zip(_solvers(batch, kind), sums):
+                if az.is_valid:
+                    solver.tell(az.values.to_numpy(zero_copy_only=False) / s + l2 * solver.ask())
+                yield _state_batch(shard, s, solver)
+
+    def ends(batches):
+        for batch in batches:
+            for shard, s, solver in _solvers(batch, kind):
+                yield _stats_batch([(shard, 0, s, solver.answer())])
+
     for group in range(max(1, groups)):
         mine = sizes
         if groups > 1:
             mine = sizes.filter(F.pmod(F.xxhash64("shard"), F.lit(groups)) == group)
-
-        def first(batches):
-            for batch in batches:
-                for shard, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    yield _state_batch(shard, s, start())
-
-        def advance(batches):
-            for batch in batches:
-                sums = batch.column(batch.schema.names.index("stats"))
-                for (shard, s, solver), az in zip(_solvers(batch, kind), sums):
-                    if az.is_valid:
-                        solver.tell(az.values.to_numpy(zero_copy_only=False) / s + l2 * solver.ask())
-                    yield _state_batch(shard, s, solver)
-
         chain = TableChain(spark, "lockstep")
-        state = chain.put(mine.select("shard", "s").mapInArrow(first, STATE_SCHEMA))
+        columns = [c for c in ("shard", "s", "stats") if c in mine.columns]
+        state = chain.put(mine.select(*columns).mapInArrow(first, STATE_SCHEMA))
         while not state.filter("ask IS NOT NULL").isEmpty():
             asks = state.filter("ask IS NOT NULL").select("shard", "ask")
             answers = product(asks).select("shard", "stats")
             state = chain.put(state.join(answers, "shard", "left").mapInArrow(advance, STATE_SCHEMA))
+        tables.append(state.mapInArrow(ends, STATS_SCHEMA).select("shard", "s", F.col("stats").alias("answer")))
+        chains.append(chain)
+    return Answers(tables, chains)
 
-        def answers_of(batches):
-            out = np.zeros(d + 1)
-            for batch in batches:
-                for _, s, solver in _solvers(batch, kind):
-                    out += np.append(s * solver.answer(), s)
-            yield partial_batch(out)
 
-        total += fold_partials(state.mapInArrow(answers_of, PARTIAL_SCHEMA), np.add, d + 1, None)
-        chain.close()
+def solve_in_lockstep(sizes: DataFrame, d: int, l2: float, start: Callable[[], object], kind: type, product: Product) -> np.ndarray:
+    """``sum_i s_i v_i / sum_i s_i``, the row-weighted mean of the shards' answers from equal starts."""
+
+    def fold(batches):
+        out = np.zeros(d + 1)
+        for batch in batches:
+            for s, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                out += np.append(s * v.values.to_numpy(zero_copy_only=False), s)
+        yield partial_batch(out)
+
+    found = answers_in_lockstep(sizes, d, l2, lambda s, v: start(), kind, product)
+    table = found.table().select("s", "answer")
+    total = fold_partials(table.mapInArrow(fold, PARTIAL_SCHEMA), np.add, d + 1, None)
+    found.close()
     return total[:-1] / total[-1]
 
 

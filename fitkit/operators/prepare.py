@@ -6,11 +6,12 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitkit.functions.noise import hash_gaussian, hash_uint32
-from fitkit.functions.vectors import UNROLL_LIMIT, column_matrix, literal_vector
+from fitkit.functions.vectors import UNROLL_LIMIT, column_matrix, literal_vector, matrix_column
 from fitkit.operators.blocks import fold_rows
 
 
@@ -70,18 +71,31 @@ def fit_max_abs_batched(
     return ScaleStats(float(total[d] / total[d + 1]), total[:d])
 
 
+def _scaled(x: Column, inverse: np.ndarray) -> Column:
+    @F.arrow_udf("array<double>")
+    def scaled(column: pa.Array) -> pa.Array:
+        return matrix_column(column_matrix(column, len(inverse)) * inverse)
+
+    return scaled(x)
+
+
 def apply_max_abs(
     df: DataFrame, stats: ScaleStats, *, label: str = "y", features: str = "x", center: bool = True
 ) -> DataFrame:
     """Divide features by their fitted maxima and subtract the fitted mean label.
 
-    A feature that is zero in every fitted row maps to zero, not to NaN.
+    A feature that is zero in every fitted row maps to zero, not to NaN.  Wide features go by
+    Arrow batch, as a literal for each would outgrow the plan.
     """
-    scaled = F.zip_with(
-        F.col(features),
-        literal_vector(stats.max_abs),
-        lambda v, m: F.when(m == 0.0, F.lit(0.0)).otherwise(v / m),
-    )
+    if len(stats.max_abs) > UNROLL_LIMIT:
+        inverse = np.divide(1.0, stats.max_abs, out=np.zeros_like(stats.max_abs), where=stats.max_abs != 0.0)
+        scaled = _scaled(F.col(features).cast("array<double>"), inverse)
+    else:
+        scaled = F.zip_with(
+            F.col(features),
+            literal_vector(stats.max_abs),
+            lambda v, m: F.when(m == 0.0, F.lit(0.0)).otherwise(v / m),
+        )
     out = df.withColumn(features, scaled)
     if center:
         out = out.withColumn(label, F.col(label) - F.lit(stats.y_mean))

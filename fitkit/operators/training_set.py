@@ -36,6 +36,8 @@ from fitkit.session import arrow_rows
 MAP_ON_READ_WIDTH = 64
 SPREAD_ABOVE = 20_000  # rows below which an uneven layout does not matter
 BROADCAST_SLOTS = 1_000_000  # slot labels (one integer each) that may be broadcast
+TASKS_PER_CORE = 4  # up to so many shards a core each have a task of their own
+TRACKED = -(1 << 31)  # marks blocks of a held-out table that shares the passes
 MAX_STATE_BYTES = 1 << 30  # one weight vector shipped to tasks
 
 
@@ -46,18 +48,25 @@ class Evaluation:
     objective: float
     error: float
     gradient: np.ndarray
+    held_error: float | None = None  # of a tracked table, measured in the same pass
 
     @property
     def grad_norm_sq(self) -> float:
         return float(self.gradient @ self.gradient)
 
 
-def as_evaluation(sums: np.ndarray, n: int, w: np.ndarray, penalty: Penalty) -> Evaluation:
-    """Turn ``[gradient sums.., loss sum, error sum]`` over ``n`` rows into penalised means."""
+def as_evaluation(
+    sums: np.ndarray, n: int, w: np.ndarray, penalty: Penalty, held: np.ndarray | None = None
+) -> Evaluation:
+    """Turn ``[gradient sums.., loss sum, error sum]`` over ``n`` rows into penalised means.
+
+    ``held`` has the error sum and the rows of a tracked table.
+    """
     return Evaluation(
         float(sums[-2] / n + penalty.value(w)),
         float(sums[-1] / n),
         sums[:-2] / n + penalty.gradient(w),
+        float(held[0] / held[1]) if held is not None and held[1] else None,
     )
 
 
@@ -128,6 +137,7 @@ class TrainingSet:
         self.gram_limit = gram_limit
         self._held: list[DataFrame] = []
         self._ordered: tuple[int, DataFrame] | None = None
+        self._tracked: DataFrame | None = None
 
     def __enter__(self) -> TrainingSet:
         return self
@@ -139,7 +149,7 @@ class TrainingSet:
         for df in self._held:
             df.unpersist()
         self._held.clear()
-        self._ordered = None
+        self._ordered = self._tracked = None
         for name in (
             "flat",
             "blocks",
@@ -149,6 +159,7 @@ class TrainingSet:
             "profile",
             "slots",
             "labels",
+            "gather_tasks",
             "m",
         ):
             self.__dict__.pop(name, None)
@@ -276,6 +287,17 @@ class TrainingSet:
     def n_slots(self) -> int:
         return self.slots[-1][1] + self.slots[-1][2]
 
+    @cached_property
+    def gather_tasks(self) -> int:
+        """Tasks that gathered shards lie in: one each while they are few, else several shards a task.
+
+        A task reads its shards one after the other and holds one at a time, so many small shards share
+        a task and only bytes and cores decide how many tasks there are.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        total = 8 * self.d * sum(rows for *_, rows in self.slots)
+        return min(self.n_slots, max(TASKS_PER_CORE * cores, math.ceil(total / self.shard_bytes)))
+
     @property
     def task_rows(self) -> int:
         """Rows of one shard that a task may hold."""
@@ -291,7 +313,7 @@ class TrainingSet:
 
     @cached_property
     def labels(self) -> list[int]:
-        """One integer per slot such that hash partitioning puts one slot in each task.
+        """One integer per slot; where every slot has a task, such that hash partitioning gives it one.
 
         Plain shard numbers collide under hash partitioning and leave some tasks
         with several shards and others with none, which sets the pace of every
@@ -300,6 +322,8 @@ class TrainingSet:
         partitioning on ``shard``, which joins on that column reuse.
         """
         m = self.n_slots
+        if self.gather_tasks < m:
+            return list(range(m))
         reach = int(m * (math.log(m) + 10)) + 1
         while True:
             home = F.pmod(F.hash(F.col("id").cast("int")), F.lit(m)).alias("p")
@@ -346,7 +370,7 @@ class TrainingSet:
             slots = F.broadcast(slots)
         rows = self.rows.join(slots, "shard").withColumn("shard", label)
         with self.batches():
-            out = self.hold(arrange(self._pack(rows).repartition(self.n_slots, "shard")))
+            out = self.hold(arrange(self._pack(rows).repartition(self.gather_tasks, "shard")))
             measured = out.select("shard", *self._measures("s", "odd", "pos"))
             largest = self._take_profile(measured.groupBy("shard"))["largest"]
         if self.has_oversized_shard and 8 * self.d * largest > 2 * self.shard_bytes:
@@ -394,7 +418,7 @@ class TrainingSet:
         """The block form already cached, whichever it is, so data is cached once."""
         for name in ("gathered", "joinable"):
             if name in self.__dict__:
-                return getattr(self, name), self.n_slots
+                return getattr(self, name), self.gather_tasks
         if self._ordered is not None:
             return self._ordered[1], None
         if "pure_blocks" in self.__dict__:
@@ -441,6 +465,39 @@ class TrainingSet:
         with self.block_batches():
             return sum_over_blocks(blocks, self.shape, length, tasks, term)
 
+    def track(self, other: TrainingSet, loss: Loss) -> bool:
+        """Let evaluations of this loss measure the error on ``other`` too, in the same pass.
+
+        Only where sums run over blocks of the same shape; gives whether it does.
+        """
+        if self.is_native(loss) or other.shape != self.shape or other.d != self.d:
+            return False
+        self._tracked = other._held_blocks()[0].withColumn("shard", F.lit(TRACKED))
+        return True
+
+    def untrack(self) -> None:
+        self._tracked = None
+
+    def _tracked_sum(
+        self, length: int, term: Callable[[Block], np.ndarray], w: np.ndarray, loss: Loss
+    ) -> tuple[np.ndarray, np.ndarray | None]:
+        """A sum over the blocks, with the error sum and the rows of a tracked table at ``w``."""
+        if self._tracked is None:
+            return self._block_sum(length, term), None
+
+        def both(b: Block) -> np.ndarray:
+            if b.shard != TRACKED:
+                return np.append(term(b), [0.0, 0.0])
+            out = np.zeros(length + 2)
+            out[-2:] = loss.mistake(scores(b.x, w), b.y).sum(), len(b.y)
+            return out
+
+        blocks, tasks = self._held_blocks()
+        with self.block_batches():
+            every = blocks.unionAll(self._tracked.select(*blocks.columns))
+            total = sum_over_blocks(every, self.shape, length + 2, tasks and 2 * tasks, both)
+        return total[:-2], total[-2:]
+
     def evaluate(self, w: np.ndarray, loss: Loss, penalty: Penalty) -> Evaluation:
         """Gradient, objective and training error at ``w`` in one pass."""
         return self.evaluate_all([w], loss, penalty)[0]
@@ -449,7 +506,7 @@ class TrainingSet:
         self, points: list[np.ndarray], loss: Loss, penalty: Penalty
     ) -> list[Evaluation]:
         """The same at several points, still in one pass."""
-        d, y = self.d, F.col("y")
+        d, y, held = self.d, F.col("y"), None
         if self.is_native(loss):
             scored, terms = self.flat, []
             for i, w in enumerate(points):
@@ -470,9 +527,12 @@ class TrainingSet:
                     out.append([loss.value(t, b.y).sum(), loss.mistake(t, b.y).sum()])
                 return np.concatenate(out)
 
-            sums = self._block_sum(len(points) * (d + 2), term)
+            sums, held = self._tracked_sum(len(points) * (d + 2), term, points[0], loss)
         parts = np.split(sums, len(points))
-        return [as_evaluation(v, self.n, w, penalty) for v, w in zip(parts, points)]
+        found = [as_evaluation(v, self.n, w, penalty) for v, w in zip(parts, points)]
+        if held is not None:
+            found[0] = as_evaluation(parts[0], self.n, points[0], penalty, held)
+        return found
 
     def evaluate_once(self, w: np.ndarray, loss: Loss, penalty: Penalty, n: int) -> Evaluation:
         """:meth:`evaluate` over ``n`` rows; a table that is not cached yet is read and not cached."""
@@ -510,7 +570,7 @@ class TrainingSet:
         """
         if loss is SQUARED:
             return self._quadratic_line(w, p, etas, penalty, slopes)
-        d, k, y = self.d, len(etas), F.col("y")
+        d, k, y, held = self.d, len(etas), F.col("y"), None
         if self.is_native(loss):
             t, q = F.col("t"), F.col("q")
             scored = self.flat.withColumn("t", self._score(w)).withColumn("q", self._score(p))
@@ -533,7 +593,8 @@ class TrainingSet:
                     [values, first @ b.x, [loss.mistake(ats[0], b.y).sum()], tail]
                 )
 
-            sums = self._block_sum(k + d + 1 + (k if slopes else 0), term)
+            length = k + d + 1 + (k if slopes else 0)
+            sums, held = self._tracked_sum(length, term, w - etas[0] * p, loss)
         n = self.n
         points = [w - e * p for e in etas]
         objectives = sums[:k] / n + np.array([penalty.value(v) for v in points])
@@ -543,14 +604,14 @@ class TrainingSet:
             directional = sums[k + d + 1 :] / n + np.array(
                 [p @ penalty.gradient(v) for v in points]
             )
-        return objectives, directional, as_evaluation(first, n, points[0], penalty)
+        return objectives, directional, as_evaluation(first, n, points[0], penalty, held)
 
     def _quadratic_line(self, w, p, etas, penalty: Penalty, slopes: bool):
         """The same for the squared loss, which is an exact parabola along the line.
 
         Three sums of residual ``r`` and ``q = <x, p>`` give every step at once.
         """
-        d, n, first = self.d, self.n, float(etas[0])
+        d, n, first, held = self.d, self.n, float(etas[0]), None
         if self.is_native(SQUARED):
             scored = self.flat.select(
                 *self._xs(), (self._score(w) - F.col("y")).alias("r"), self._score(p).alias("q")
@@ -564,7 +625,7 @@ class TrainingSet:
                 r, q = scores(b.x, w) - b.y, scores(b.x, p)
                 return np.concatenate([(r - first * q) @ b.x, [r @ r, r @ q, q @ q]])
 
-            sums = self._block_sum(d + 3, term)
+            sums, held = self._tracked_sum(d + 3, term, w - first * p, SQUARED)
         rr, rq, qq = sums[d:]
         squared = np.maximum(rr - 2.0 * etas * rq + etas**2 * qq, 0.0)
         points = [w - e * p for e in etas]
@@ -573,7 +634,7 @@ class TrainingSet:
         if slopes:
             directional = (rq - etas * qq) / n + np.array([p @ penalty.gradient(v) for v in points])
         tail = [0.5 * squared[0], squared[0]]
-        full = as_evaluation(np.concatenate([sums[:d], tail]), n, points[0], penalty)
+        full = as_evaluation(np.concatenate([sums[:d], tail]), n, points[0], penalty, held)
         return objectives, directional, full
 
     def moments(self) -> np.ndarray:

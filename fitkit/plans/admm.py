@@ -33,7 +33,7 @@ from fitkit.plans.epochs import _state_batch as epoch_state
 from fitkit.plans.epochs import in_epochs, run_epochs, streams
 from fitkit.plans.local import QuadraticTotals, squared_stats, starting_point
 from fitkit.plans.loop import FitResult, History
-from fitkit.plans.steps import StopRule
+from fitkit.plans.steps import StopRule, timed
 from fitkit.session import TableChain, checkpoint_dir
 
 STATE_SCHEMA = "shard INT, w ARRAY<DOUBLE>, a ARRAY<DOUBLE>, sums ARRAY<DOUBLE>"
@@ -95,6 +95,7 @@ def fit_admm(
     streamed: bool = False,
     held_out: TrainingSet | None = None,
     stop: StopRule | None = None,
+    max_seconds: float | None = None,
     keep_path: bool = True,
 ) -> FitResult:
     """ADMM with the consensus vector ``u`` as the model.
@@ -111,7 +112,7 @@ def fit_admm(
     rho = DEFAULT_RHO * l2 if rho is None else rho
     if rho <= 0.0:
         raise ValueError("rho must be positive; give it when l2 is zero")
-    stop = stop or StopRule(grad_tol=1e-22 if loss.labels_are_signs else 1e-18)
+    stop = timed(stop or StopRule(grad_tol=1e-22 if loss.labels_are_signs else 1e-18), max_seconds)
     by_stats = loss is SQUARED and ts.d <= ts.gram_limit
     in_stream = loss is not SQUARED and streams(ts, streamed)
     cached = []

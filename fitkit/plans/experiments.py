@@ -76,7 +76,8 @@ class Experiment:
 
     ``recode`` is the affine label map ``(shift, scale)``, ``classes`` the labels
     kept, ``sigma`` the kernel width of the random features (None: raw features),
-    ``scale`` whether features are max-abs scaled and labels centred.
+    ``scale`` whether features are max-abs scaled and labels centred, ``max_seconds`` the
+    time after which a fit takes no further iteration.
     """
 
     loss: Loss
@@ -85,9 +86,10 @@ class Experiment:
     classes: tuple[float, ...] | None = None
     sigma: float | None = None
     scale: bool = False
+    max_seconds: float | None = None
 
 
-# Labels, kernel widths, penalties and iteration grids of the presets.
+# Labels, kernel widths, penalties, iteration grids and time limits of the presets.
 EXPERIMENTS = {
     "covtype": Experiment(
         LOGISTIC,
@@ -104,6 +106,7 @@ EXPERIMENTS = {
         },
         recode=(1.5, 0.5),
         sigma=1.9,
+        max_seconds=600.0,
     ),
     "epsilon": Experiment(
         LOGISTIC,
@@ -115,6 +118,7 @@ EXPERIMENTS = {
             "lbfgs_300": lbfgs(LOGISTIC, 1e-4, 500, 300),
         },
         sigma=1.3,
+        max_seconds=600.0,
     ),
     "mnist": Experiment(
         LOGISTIC,
@@ -128,6 +132,7 @@ EXPERIMENTS = {
         recode=(6.5, 2.5),
         classes=(4.0, 9.0),
         sigma=9.2,
+        max_seconds=600.0,
     ),
     "ridge": Experiment(
         SQUARED, {"newton_60_100": newton(SQUARED, 1e-6, 60, 100)}, scale=True
@@ -153,6 +158,7 @@ EXPERIMENTS = {
             "fista_3000": fista(1e-4, 1e-6, 3000, 100.0),
         },
         recode=(1.5, 0.5),
+        max_seconds=3000.0,
     ),
 }
 
@@ -192,6 +198,8 @@ def run_experiment(
     Returns the histories ``(run_id, iter, ...)`` and a summary ``(run_id, stopped,
     iterations, objective, test_error, nonzero)``.
     """
+    if experiment.max_seconds is not None:
+        shared.setdefault("max_seconds", experiment.max_seconds)
     train, test = prepare(spark, experiment, train_path, test_path, d, m)
     grid = {k: v for k, v in experiment.grid.items() if only is None or k in only}
     feature_map = None

@@ -119,25 +119,26 @@ def fit_cg(
 
     The objective, error and gradient of an iterate follow from the residual recurrence.  It
     drifts, so every ``refresh``-th iterate, and one whose residual has fallen to a millionth of
-    the first, is evaluated by a pass of its own.
+    what it was when last measured, is evaluated by a pass of its own.
     """
     penalty, n = Penalty(l2=l2), ts.prepare(SQUARED).n
     loop.setdefault("stop", StopRule(grad_tol=1e-18 / n**2))
     w0 = starting_point(ts, start, SQUARED, l2, inner=inner, rate=1.0, seed=0)
     direction: list[np.ndarray] = []
-    first: list[float] = []
+    measured: list[float] = []
 
     def step(t, w, ev):
         r = -n * ev.gradient
         if not direction:
             direction.append(r)
-            first.append(float(r @ r))
+            measured.append(float(r @ r))
         p, rr = direction[0], float(r @ r)
         ap = ts.gram_apply(p) + n * l2 * p
         alpha = rr / float(p @ ap)
         new_w, new_r = w + alpha * p, r - alpha * ap
         direction[0] = new_r + (float(new_r @ new_r) / rr) * p
-        if (t + 1) % refresh == 0 or float(new_r @ new_r) <= 1e-12 * first[0]:
+        if (t + 1) % refresh == 0 or float(new_r @ new_r) <= 1e-12 * measured[0]:
+            measured[0] = float(new_r @ new_r)
             return Step(new_w, alpha, ts.evaluate(new_w, SQUARED, penalty))
         objective = ev.objective - 0.5 * alpha * rr / n
         error = max(0.0, 2.0 * (objective - penalty.value(new_w)))

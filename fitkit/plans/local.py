@@ -167,7 +167,7 @@ def sum_over_shards(ts: TrainingSet, term: Callable[[Block], np.ndarray]) -> np.
     """``sum(term(shard rows))`` over gathered shards; each term is as wide as the model."""
     gathered = ts.gathered
     with ts.block_batches():
-        return sum_over_blocks(gathered, ts.shape, ts.d, ts.n_slots, term, whole_shards=True)
+        return sum_over_blocks(gathered, ts.shape, ts.d, ts.gather_tasks, term, whole_shards=True)
 
 
 def average_models(

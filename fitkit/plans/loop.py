@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fitkit.operators.losses import Loss, Penalty, shrink
 from fitkit.operators.training_set import Evaluation, TrainingSet
-from fitkit.plans.steps import StopRule
+from fitkit.plans.steps import StopRule, timed
 
 HISTORY_SCHEMA = (
     "iter INT, objective DOUBLE, train_error DOUBLE, test_error DOUBLE, "
@@ -66,7 +66,7 @@ class Step:
 
 
 class History:
-    """Collects rows; time spent on the held-out table is not charged to training."""
+    """Collects rows; time spent on passes over the held-out table alone is not charged to training."""
 
     def __init__(self, loss: Loss, held_out: TrainingSet | None, keep_path: bool):
         self.loss, self.held_out, self.keep_path = loss, held_out, keep_path
@@ -78,9 +78,16 @@ class History:
     def seconds(self) -> float:
         return time.monotonic() - self._start - self._excluded
 
-    def add(self, w: np.ndarray, objective: float, error: float, grad_norm_sq: float) -> None:
-        seconds, test_error = self.seconds(), None
-        if self.held_out is not None:
+    def add(
+        self,
+        w: np.ndarray,
+        objective: float,
+        error: float,
+        grad_norm_sq: float,
+        test_error: float | None = None,
+    ) -> None:
+        seconds = self.seconds()
+        if self.held_out is not None and test_error is None:
             before = time.monotonic()
             test_error = self.held_out.mean_error(w, self.loss)
             self._excluded += time.monotonic() - before
@@ -110,24 +117,34 @@ def run(
     evaluate: Callable[[np.ndarray], Evaluation] | None = None,
     held_out: TrainingSet | None = None,
     stop: StopRule | None = None,
+    max_seconds: float | None = None,
     keep_path: bool = True,
 ) -> FitResult:
-    """Iterate ``step`` from ``start`` until a stop rule or ``max_iter``."""
-    stop = stop or StopRule()
+    """Iterate ``step`` from ``start`` until a stop rule or ``max_iter``.
+
+    The error on ``held_out`` is measured in the pass that evaluates a state where the table can
+    track it, and else by a pass of its own.
+    """
+    stop = timed(stop or StopRule(), max_seconds)
     evaluate = evaluate or (lambda w: ts.evaluate(w, loss, penalty))
     history = History(loss, held_out, keep_path)
     w, known, reason = start, None, "max_iter"
-    for t in range(max_iter + 1):
-        ev = known or evaluate(w)
-        norm = stationarity(w, ev.gradient, penalty.l1)
-        history.add(w, ev.objective, ev.error, norm)
-        early = stop.reason(
-            norm, ts.d, ev.objective, history.seconds(), history.rows[0]["objective"]
-        )
-        if early or t == max_iter:
-            reason = early or reason
-            break
-        out = step(t, w, ev)
-        history.rows[-1]["step"] = out.size
-        w, known = out.w, out.evaluation
+    tracked = held_out is not None and ts.track(held_out, loss)
+    try:
+        for t in range(max_iter + 1):
+            ev = known or evaluate(w)
+            norm = stationarity(w, ev.gradient, penalty.l1)
+            history.add(w, ev.objective, ev.error, norm, ev.held_error)
+            early = stop.reason(
+                norm, ts.d, ev.objective, history.seconds(), history.rows[0]["objective"]
+            )
+            if early or t == max_iter:
+                reason = early or reason
+                break
+            out = step(t, w, ev)
+            history.rows[-1]["step"] = out.size
+            w, known = out.w, out.evaluation
+    finally:
+        if tracked:
+            ts.untrack()
     return FitResult(ts.spark, w, reason, history.rows, history.path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -71,3 +71,8 @@ class StopRule:
         if seconds > self.max_seconds:
             return "time"
         return None
+
+
+def timed(stop: StopRule, max_seconds: float | None) -> StopRule:
+    """The rule with this time limit, if one is given."""
+    return stop if max_seconds is None else replace(stop, max_seconds=max_seconds)
