@@ -582,11 +582,13 @@ def average_ridge(data: str, l2: float) -> str:
 
 
 def grouped(
-    data: str, lam: float, sigma: float, tilt: tuple[float, float] = (0.0, 0.0), key: str | None = None
+    data: str, lam: float, sigma: float, tilt: tuple[float, float] = (0.0, 0.0), key: str | None = None, weights: bool = True
 ) -> str:
     l1 = lam * sigma
     name = f"shard AS {key}" if key else "shard::BIGINT AS shard"
     certified = ", true AS certified" if key else ""
+    digits = 4 if key else 7
+    w = "".join(f"round(arg_min(v{j}, q), {digits}) + 0.0 AS w{j}, " for j in (0, 1)) if weights else ""
     both = "(a*c - b*b)"
     v0 = f"""CASE WHEN s0 = 0 THEN 0.0 WHEN s1 = 0 THEN (u - {l1}*s0) / a
       ELSE (c*(u - {l1}*s0) - b*(v - {l1}*s1)) / {both} END"""
@@ -601,8 +603,7 @@ WITH d AS MATERIALIZED ({data}),
 g AS MATERIALIZED (SELECT shard, count(*) AS s, sum(x0*x0)/count(*) + {lam} AS a,
   sum(x0*x1)/count(*) AS b, sum(x1*x1)/count(*) + {lam} AS c, sum(x0*y)/count(*) + {lam * tilt[0]} AS u,
   sum(x1*y)/count(*) + {lam * tilt[1]} AS v, sum(y*y)/count(*) AS yy FROM d GROUP BY shard)
-SELECT {name}, any_value(s)::BIGINT AS s, {r('arg_min(v0, q)', 'w0')},
-  {r('arg_min(v1, q)', 'w1')}, {r('min(q)', 'objective')}{certified}
+SELECT {name}, any_value(s)::BIGINT AS s, {w}{r('min(q)', 'objective')}{certified}
 FROM (SELECT *, {value} AS q FROM (SELECT *, {v0} AS v0, {v1} AS v1 FROM g,
   (VALUES (-1), (0), (1)) AS p(s0), (VALUES (-1), (0), (1)) AS o(s1)))
 GROUP BY shard"""
@@ -833,8 +834,9 @@ FROM u, p GROUP BY shard, i, j"""
     sql["model_average_logistic"] = average_logistic(EVENT2, 0.1)
     sql["grouped_enet_ls"] = grouped(RIDGE2, 0.05, 0.5)
     by_flag = RIDGE2.replace("l_orderkey % 4 AS shard", "l_returnflag AS shard")
-    sql["grouped_enet_dual"] = grouped(by_flag, 0.05, 0.5, (0.3, -0.1), "l_returnflag")
-    sql["grouped_enet_dual_ill_conditioned"] = grouped(by_flag, 1e-6, 0.5, (0.3, -0.1), "l_returnflag")
+    small = RIDGE2.replace("l_orderkey % 4 AS shard", "l_returnflag || '-' || (l_orderkey % 50) AS shard")
+    sql["grouped_enet_dual"] = grouped(by_flag, 0.05, 0.5, (0.3, -0.1), "name")
+    sql["grouped_enet_dual_ill_conditioned"] = grouped(small, 2e-4, 0.5, (0.3, -0.1), "name", False)
     sql["grouped_enet_dual_in_place"] = sql["grouped_enet_dual"]
     sql["history_with_holdout"] = holdout(EVENT2, 0.01, 3, 2.0, 0.9)
     sql["sweep_momentum_gd"] = sweep(LOGIT2, 0.01, 2, {"slow": (0.5, 0.9), "fast": (2.0, 0.5)})

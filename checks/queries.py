@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
@@ -473,29 +473,34 @@ def history_with_holdout(spark, sf_dir):
     )
 
 
-def _grouped_dual(lam: float, **options) -> Query:
+def _grouped_dual(key: Column, lam: float, weights: bool = True, **options) -> Query:
     """Fits by a string key, with a tilt; every duality gap is below 1e-8."""
 
     def query(spark, sf_dir):
         data = fx.table(spark, sf_dir, "lineitem").select(
-            "l_returnflag",
+            key.alias("name"),
             (F.col("l_extendedprice") / 100000.0).alias("y"),
             F.array(F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0).alias("x"),
         )
         tilt = np.array([0.3, -0.1])
-        out = fit_groups_dual(data, "l_returnflag", lam=lam, sigma=0.5, tilt=tilt, **options)
-        return out.select(
-            F.col("key").alias("l_returnflag"),
+        out = fit_groups_dual(data, "name", lam=lam, sigma=0.5, tilt=tilt, **options)
+        found = out.select(
+            F.col("key").alias("name"),
             "s",
-            r(F.col("w")[0], "w0"),
-            r(F.col("w")[1], "w1"),
+            r(F.col("w")[0], "w0", 4),
+            r(F.col("w")[1], "w1", 4),
             r("objective", "objective"),
             (F.col("gap") < 1e-8).alias("certified"),
         )
+        return found if weights else found.drop("w0", "w1")
 
     return query
 
 
+def small_group() -> Column:
+    return F.concat_ws("-", "l_returnflag", F.col("l_orderkey") % 50)
+
+
 def _sweep_batched(spark, ts):
     """Six settings over shared passes."""
 
@@ -707,9 +712,13 @@ def queries() -> dict[str, Query]:
             fx.event2, _average(LOGISTIC, 0.1, 5, inner=20, rate=2.0)
         ),
         "grouped_enet_ls": on_set(fx.ridge2, _grouped),
-        "grouped_enet_dual": _grouped_dual(0.05),
-        "grouped_enet_dual_ill_conditioned": _grouped_dual(1e-6),
-        "grouped_enet_dual_in_place": _grouped_dual(0.05, group_bytes=0),
+        "grouped_enet_dual": lambda *a: _grouped_dual(F.col("l_returnflag"), 0.05, tol=1e-14)(*a),
+        "grouped_enet_dual_ill_conditioned": lambda *a: _grouped_dual(
+            small_group(), 2e-4, False, tol=1e-12, epochs=3000
+        )(*a),
+        "grouped_enet_dual_in_place": lambda *a: _grouped_dual(
+            F.col("l_returnflag"), 0.05, group_bytes=0
+        )(*a),
         "history_with_holdout": history_with_holdout,
         "sweep_momentum_gd": on_set(fx.logit2, _sweep),
         "preset_ridge": preset_ridge,
