@@ -325,8 +325,12 @@ BAND_ROWS = 6
 #: Shingles mapped at once, and texts that are compared with one centre in one task.
 MAP_ROWS = 2048
 SALT_ROWS = 1024
-#: Candidates that are compared without another look for a centre, as a multiple of the rows in buckets.
-FEW = 4
+#: Looks for a centre go on while this share of the compared texts joins one.
+WORTH = 0.1
+#: Texts and hashes of either side that are compared with each other at once, and columns of a product.
+TILE_ROWS = 1024
+TILE_HASHES = 1 << 20
+TILE_COLUMNS = 4096
 
 _MAPS = np.random.default_rng(64).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
 _MAPS[1] |= np.uint64(1)
@@ -358,7 +362,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar_shingle: int) -> DataFrame:
-    """``doc_id, row, fp, sig, bands``: fingerprint, hash of the whole shingle set, band keys."""
+    """``doc_id, row, fp, sig, n, bands``: fingerprint, hash of the whole shingle set, its size, band keys."""
 
     def body():
         def kernel(batch):
@@ -371,6 +375,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
                 "row": batch.column(1),
                 "fp": fps.view(np.int64),
                 "sig": sig.view(np.int64),
+                "n": [len(x) for x in sets],
                 "bands": [band_keys(x) for x in sets],
             }
 
@@ -378,7 +383,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
 
     long = T.LongType()
     schema = T.StructType(
-        [T.StructField(n, long) for n in ("doc_id", "row", "fp", "sig")] + [T.StructField("bands", T.ArrayType(long))]
+        [T.StructField(n, long) for n in ("doc_id", "row", "fp", "sig", "n")] + [T.StructField("bands", T.ArrayType(long))]
     )
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col), F.col(text_col))
     return map_rows(rows, body, schema)
@@ -439,32 +444,115 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def tiled_links(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """``a, b``: links between all texts of a bucket that lie in different components, as forests.
+
+    ``members`` holds ``bucket, row, comp, n``.  Every text outside the largest component of its bucket is
+    compared with all of other components there.  Both sides are dealt to blocks, and a task compares
+    one block with another by matrix products, so a bucket of any size is spread over many tasks
+    and no pair is a row.  A tile gives a spanning forest of its links, not all of them.
+    """
+    per = members.groupBy("bucket", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    whole = per.groupBy("bucket").agg(
+        F.max(F.struct("rows", "n", "comp")).alias("most"), F.sum("rows").alias("rows"), F.sum("n").alias("n")
+    )
+    blocks = lambda rows, n: F.ceil(F.greatest(rows / TILE_ROWS, n / TILE_HASHES)).cast("long")
+    plan = whole.select(
+        "bucket",
+        F.col("most.comp").alias("major"),
+        blocks(F.col("rows") - F.col("most.rows"), F.col("n") - F.col("most.n")).alias("left"),
+        blocks(F.col("rows"), F.col("n")).alias("right"),
+    )
+    placed = members.join(plan, "bucket")
+    number = lambda of: F.pmod(F.xxhash64("row"), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    names = ["bucket", "x", "y", "role", "row", "comp"]
+    asking = placed.filter("comp <> major").select(
+        "bucket", number("left").alias("x"), every("right").alias("y"), F.lit(0).alias("role"), "row", "comp"
+    )
+    asked = placed.select("bucket", every("left").alias("x"), number("right").alias("y"), F.lit(1).alias("role"), "row", "comp")
+    rows = asking.unionAll(asked.select(*names)).join(sets, "row").select(*names, "hashes")
+
+    def run(batches):
+        key, held = None, []
+
+        def leave():
+            role, row, comp = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2))
+            pairs = tile_links(role, row, comp, [h[3] for h in held], similar)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for i, found in enumerate(zip(*columns[:3])):
+                if found != key:
+                    if held:
+                        yield leave()
+                    key, held = found, []
+                held.append((columns[3][i], columns[4][i], columns[5][i], np.frombuffer(batch.column(6)[i].as_py(), np.uint64)))
+        if held:
+            yield leave()
+
+    dealt = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def tile_links(role: np.ndarray, row: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], similar: float) -> np.ndarray:
+    """Links between sets of role 0 and of role 1 in different components: ``a, b`` rows of a forest."""
+    size = np.array([len(x) for x in sets])
+    _, spot, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = often[spot] > 1
+    # Only hashes that stand twice make a common one; they get the numbers 0, 1, ...
+    number = np.cumsum(often > 1) - 1
+    owner, spot = owner[shared], number[spot[shared]]
+    left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    place = np.empty(len(sets), np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    common = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(spot, kind="stable")
+    owner, spot = owner[order], spot[order]
+    for low in range(0, int(spot[-1]) + 1 if len(spot) else 0, TILE_COLUMNS):
+        part = slice(*np.searchsorted(spot, (low, low + TILE_COLUMNS)))
+        who, column = owner[part], spot[part] - low
+        sides = []
+        for kind, n in ((0, len(left)), (1, len(right))):
+            mine = role[who] == kind
+            side = np.zeros((n, TILE_COLUMNS), np.float32)
+            side[place[who[mine]], column[mine]] = 1
+            sides.append(side)
+        common += sides[0] @ sides[1].T
+    union = size[left][:, None] + size[right] - common
+    near = (common >= similar * union) & (comp[left][:, None] != comp[right])
+    a, b = np.nonzero(near)
+    # Components first, then the links between them: what is one component already stays one.
+    names, label = np.unique(comp, return_inverse=True)
+    reps = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(reps, label, row)
+    rows = np.stack([reps, reps, reps, reps])
+    return forest(rows, label[left[a]], label[right[b]])
+
+
 def similar_classes(docs: DataFrame, sketches: DataFrame, labels: DataFrame, scratch: Scratch, similar: float, **columns) -> DataFrame:
     """``id, root``: the components of ``labels`` (``id, root``), joined where texts are similar.
 
-    ``sketches`` holds ``row, bands`` of every distinct set.  Texts with a band in common are a bucket; only buckets with two or
-    more components are looked at.  In each round a bucket elects a centre and every text takes the
-    centre it meets in most buckets; those similar to it join its component, which settles buckets
-    of copies without looking at their pairs.  Once few pairs of different components are left, or a
-    round joins nothing, every text outside the largest component of its bucket is compared with all
-    of other components there.  So each candidate pair ends in one component or has been compared.
+    ``sketches`` holds ``row, n, bands`` of every distinct set.  Texts with a band in common are a bucket; only
+    buckets with two or more components are looked at.  First a bucket elects a centre and every text takes
+    the centre it meets in most buckets; those similar to it join its component, which settles buckets
+    of copies without looking at their pairs.  That is repeated, with other centres, while it is worth it.
+    At last every text outside the largest component of its bucket is compared with all of other
+    components there.  So each candidate pair ends in one component or has been compared.
     """
     rooted = labels.select(F.col("id").alias("row"), F.col("root"))
-    members, sets, turn = None, None, 0
+    members, sets, turn, last = None, None, 0, False
     while True:
         # Bands are spread after their text is joined to its component: most buckets end here.
         placed = sketches if members is None else members
         placed = placed.join(rooted, "row", "left").withColumn("comp", F.coalesce("root", "row"))
         bucket = F.explode("bands").alias("bucket") if members is None else F.col("bucket")
-        placed = placed.select(bucket, "row", "comp")
+        placed = placed.select(bucket, "row", "comp", "n")
         mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
         members = scratch.keep(placed.join(mixed.select("bucket"), "bucket", "left_semi").distinct())
-        per = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        major = per.groupBy("bucket").agg(
-            F.max(F.struct("n", "comp"))["comp"].alias("major"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own")
-        )
-        sizes = major.agg(F.sum("all").alias("rows"), F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")).first()
-        if not sizes["rows"]:
+        if members.isEmpty():
             return labels
         if sets is None:
             asked = members.select("row").distinct()
@@ -472,28 +560,24 @@ def similar_classes(docs: DataFrame, sketches: DataFrame, labels: DataFrame, scr
             wanted = wanted.join(asked, "row", "left_semi")
             whole = _shingle_rows(wanted, columns["id_col"], columns["text_col"], columns["shingle"])
             sets = scratch.keep(whole.groupBy("row").agg(F.first("hashes").alias("hashes")))
-        last = sizes["pairs"] <= FEW * sizes["rows"] or turn < 0
         if last:
-            minor = members.join(major.select("bucket", "major"), "bucket").filter("comp <> major")
-            other = members.select("bucket", F.col("row").alias("b"), F.col("comp").alias("of"))
-            pairs = minor.withColumnRenamed("row", "a").join(other, "bucket").filter("comp <> of")
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            found = scratch.keep(tiled_links(members, sets, similar))
         else:
             spot = F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), "row", "comp")
             centres = members.groupBy("bucket").agg(F.min(spot).alias("c"))
             met = members.join(centres, "bucket").filter(F.col("comp") != F.col("c.comp"))
             met = met.groupBy(F.col("row").alias("a"), F.col("c.row").alias("b")).count()
-            pairs = met.groupBy("a").agg(F.max(F.struct("count", "b"))["b"].alias("b"))
-        found = scratch.keep(verified(scratch.keep(pairs), sets, similar))
-        joined = not found.isEmpty()
+            pairs = scratch.keep(met.groupBy("a").agg(F.max(F.struct("count", "b"))["b"].alias("b")))
+            found = scratch.keep(verified(pairs, sets, similar))
+        joined = found.count()
         if joined:
             edges = labels.select(F.col("id").alias("a"), F.col("root").alias("b")).union(found)
             labels = connected_components(edges, scratch)
             rooted = labels.select(F.col("id").alias("row"), F.col("root"))
         if last:
             return labels
-        members = members.drop("comp")
-        turn = turn + 1 if joined else -1
+        last = joined < WORTH * pairs.count()
+        members, turn = members.drop("comp"), turn + 1
 
 
 def _row_classes(
@@ -508,7 +592,7 @@ def _row_classes(
     ]
     edges = scratch.keep(links(by_print, scratch, node_rows).union(stars[0]).union(stars[1]))
     labels = connected_components(edges, scratch)
-    one = rows.select("row", "bands").join(by_set.select(F.col("rep").alias("row")), "row", "left_semi")
+    one = rows.select("row", "n", "bands").join(by_set.select(F.col("rep").alias("row")), "row", "left_semi")
     labels = similar_classes(docs, one, labels, scratch, similar, **columns)
     return rows.select("doc_id", "row").join(labels.select(F.col("id").alias("row"), "root"), "row", "left").select(
         "doc_id", "row", F.coalesce("root", "row").alias("component")
