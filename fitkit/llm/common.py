@@ -45,6 +45,21 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns of these names (in any case) renamed, and what gives them back.
+
+    The second is a function that selects the columns of ``docs``, under their own names, from a table
+    to which an operator has added its own columns of these names.
+    """
+    own = {c: f"__own_{k}" for k, c in enumerate(docs.columns) if c.lower() in names}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(own.get(c, c)) for c in docs.columns])
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
+
+    return renamed, back
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True where crc32 of the id as text leaves 2 on division by 4 (null id: of the empty text)."""
     text = F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None))
@@ -57,13 +72,16 @@ def texts(batch: pa.RecordBatch, column: int | str) -> list[bytes | None]:
 
 
 def map_rows(
-    df: DataFrame, body: Callable[[], Callable[[pa.RecordBatch], dict]], schema: T.StructType
+    df: DataFrame,
+    body: Callable[[], Callable[[pa.RecordBatch], dict]],
+    schema: T.StructType,
+    piece: int = 8 << 20,
 ) -> DataFrame:
     """Apply an Arrow kernel batch by batch.
 
     ``body`` runs once per task and returns the function of one batch, which gives
     the output columns by name.  Long texts are cut off into batches of their own
-    size, so that a kernel never holds more than some MB of text at once.
+    size, so that a kernel never holds more than about ``piece`` bytes of text at once.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -72,7 +90,7 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = body()
         for batch in batches:
-            step = max(1, int(len(batch) * min(1.0, (8 << 20) / max(1, batch.nbytes))))
+            step = max(1, int(len(batch) * min(1.0, piece / max(1, batch.nbytes))))
             for at in range(0, len(batch), step):
                 got = kernel(batch.slice(at, step))
                 yield pa.RecordBatch.from_arrays(

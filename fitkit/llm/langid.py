@@ -127,8 +127,8 @@ def _profiles(rows: DataFrame) -> DataFrame:
 def fit_languages(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
     """Learn from ``text`` and non-null ``lang`` of the rows that are not held out.
 
-    Rows are drawn by a hash of the text, so that about ``rows_per_language`` of each language
-    remain; nothing else of the model depends on the size of the table.  Without labelled rows
+    Texts are drawn by a hash, each once however many rows hold it, so that about
+    ``rows_per_language`` of each language remain at most; nothing else of the model depends on the size of the table.  Without labelled rows
     the model knows no language and predicts ``und``.
     """
     spark = docs.sparkSession
@@ -141,7 +141,7 @@ def fit_languages(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -
         [(k, min(1.0, rows_per_language / n)) for k, n in counts.items()], "lang string, share double"
     )
     draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    drawn = usable.join(F.broadcast(shares), "lang").filter(draw)
+    drawn = usable.join(F.broadcast(shares), "lang").filter(draw).select("lang", "text").distinct()
     sample = scratch.keep(_profiles(drawn))
 
     means = sample.groupBy("lang").applyInPandas(_mean_profile, "lang string, x binary").collect()

@@ -18,14 +18,22 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fitkit.llm.common import map_rows
+from fitkit.llm.common import map_rows, set_aside
 
 ROUNDS = 8
+#: The key of runs that set none; a session sets its own by :data:`KEY_SETTING`.
 KEY = b"replace this key in production"
+KEY_SETTING = "spark.fitkit.pseudonym.key"
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the session sets, else the open one."""
+    named = spark.conf.get(KEY_SETTING, "")
+    return named.encode() if named else KEY
 
 
 class Permutation:
@@ -138,10 +146,11 @@ def _phone(m: str, key: bytes, back: bool) -> str | None:
     country = re.match(r"\+[0-9]{1,3}(?=[^0-9])|1(?=[ .-])", m)
     head = country.group(0) if country else ""
     rest = m[len(head) :]
-    count = sum(c in _DIGIT for c in rest)
-    if not 6 <= count <= 14:
+    digits = re.sub("[^0-9]", "", rest)
+    if not 6 <= len(digits) <= 14:
         return None
-    return head + _refill(rest, key, "phone", back, (_DIGIT,))
+    # Digits alone decide, so one number has one pseudonym in every notation.
+    return head + _put_digits(rest, _refill(digits, key, "phone", back, (_DIGIT,)))
 
 
 def _ip(m: str, key: bytes, back: bool) -> str | None:
@@ -364,7 +373,8 @@ def pseudonymise(
     return map_rows(docs.select(*[F.col(f"`{f.name}`") for f in kept]), body, schema)
 
 
-def without_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """Pseudonymised documents with the columns of ``docs``."""
-    done = pseudonymise(docs, key)
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns if c in done.columns])
+def without_pii(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """Pseudonymised documents with the columns of ``docs``, by the session's key if none is given."""
+    key = key_of(docs.sparkSession) if key is None else key
+    renamed, back = set_aside(docs, ("pii",))
+    return back(pseudonymise(renamed, key))

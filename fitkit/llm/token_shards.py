@@ -26,6 +26,7 @@ from fitkit.llm.common import map_rows
 from fitkit.session import scratch_path
 
 BUCKETS = 256
+BUCKET_ROWS = 100_000
 SEQUENCE = 512
 SHARD_SLOTS = 16384
 ROUNDS = 6
@@ -161,7 +162,7 @@ def materialise(
     key: int = 20240229,
     sequence: int = SEQUENCE,
     shard_slots: int = SHARD_SLOTS,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     end_id: int,
     pad_id: int = 0,
     id_col: str = "doc_id",
@@ -180,9 +181,12 @@ def materialise(
     an id stand in the order of a hash of their text, exact repeats one after the other; a null
     id stands first.  An empty table gives no shard and no row.  Only the last sequence of a bucket
     is padded (id ``pad_id``; ``n_tokens`` has its length).  Long texts fill as many sequences as
-    they need.  The number of buckets is part of the order, so fix it for a corpus.
+    they need.  The number of buckets is part of the order, so fix it for a corpus; without one it
+    grows with the documents, by powers of two from ``BUCKETS`` on, so that about ``BUCKET_ROWS`` meet.
     """
     spark = docs.sparkSession
+    if buckets is None:
+        buckets = max(BUCKETS, 1 << max(0, docs.count() // BUCKET_ROWS - 1).bit_length())
     root = path or scratch_path(spark, "shards")
     samples = _samples(docs, make, text_col)
     record = sequence * np.dtype(DTYPE).itemsize

@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fitkit.llm.common import Scratch, held_out, map_rows
+from fitkit.llm.common import Scratch, held_out, map_rows, set_aside
 
 #: Labelled rows that are used at most; they are taken by a hash of the id.
 LABELLED_ROWS = 20_000
 #: Documents that the Dirichlet prior of a token is worth, split by the share of toxic ones.
 PRIOR = 4.0
 SHRINK = 3.0
+#: Clean documents that the prior of the extreme-value constant, zero on the log scale, is worth.
+CHANCE_PRIOR = 25
 DRIFT = 0.15
 #: Bytes of a stem, and the different words that it must begin: one word's beginning is no stem.
 STEM_BYTES = (4, 8)
@@ -312,7 +314,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
     best, n, y = (measured[c].to_numpy(np.float64) for c in ("best", "n", "toxic"))
     # Gumbel: the mean of lam * best - log n over clean documents is log k + 0.5772.
     plain = (low * best - np.log(np.maximum(1, n)))[(y == 0) & (best > 0)]
-    model.log_k = float(plain.mean() - 0.5772) if len(plain) >= 50 else 0.0
+    # Few documents leave it near zero, a segment as good as by chance for every token.
+    model.log_k = float((plain - 0.5772).sum() / (len(plain) + CHANCE_PRIOR))
     evidence = _measure(docs, check, model).toPandas()
     model.slope, model.offset = _logistic(
         evidence["evidence"].to_numpy(np.float64), evidence["toxic"].to_numpy(np.float64)
@@ -417,5 +420,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
     model = fit_toxicity(docs, labels)
-    scored = score_toxicity(docs.withColumn("__score", F.lit(0)), model)
-    return scored.filter("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    renamed, back = set_aside(docs, ("score", "predicted", "segments"))
+    return back(score_toxicity(renamed, model).filter("predicted = 0"))
