@@ -7,8 +7,10 @@ best path over them.  The result is a table of bounded size that is broadcast.
 are found where the documents lie, by the same recurrence over the same piece table; sending
 them through a shuffle would move the whole text.
 
-Segmentation maximises the sum of the scores in the vocabulary file; of equal sums the one with
-the longer last piece wins.  Characters without a piece fall back to bytes.
+Segmentation takes the fewest pieces, and of those the largest sum of the scores in the vocabulary
+file; of equal sums the one with the longer last piece wins.  Scores of a merge-based vocabulary are
+ranks of merges: their sum alone would prefer many early pieces to few late ones.  Characters
+without a piece fall back to bytes.
 """
 
 from __future__ import annotations
@@ -23,15 +25,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fitkit.llm.common import Scratch, map_rows
+from fitkit.llm.common import Scratch, map_rows, texts
 from fitkit.llm.quality import let
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+#: Bytes of the longest unit that is encoded side by side with others, units that are so at once, bytes
+#: of text that a task works on at once, and units it remembers.
+BATCH_LENGTH = 64
+BATCH_UNITS = 16_384
+PIECE_BYTES = 2 << 20
+REMEMBERED = 100_000
 #: Units in the broadcast table at most, and their longest length; together they bound its size.
 TABLE_UNITS = 100_000
 TABLE_LENGTH = 48
-FALLBACK_COST = 1e6
+#: What a piece costs beside its score, and a character without one; scores are far smaller numbers.
+PIECE_COST = 1e6
+FALLBACK_COST = 1e9
 
 
 @dataclass
@@ -58,7 +68,7 @@ class Pieces:
                 by_id.append(None)
             else:
                 by_id.append(piece)
-                score[piece] = (model.get_score(i), i)
+                score[piece] = (model.get_score(i) - PIECE_COST, i)
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in score):
             raise ValueError("a piece crosses a space or a line end; units can't be cut there")
         return cls(score, by_id, byte_ids, max(map(len, score)))
@@ -101,18 +111,21 @@ def count_units(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def frequent_units(counts: DataFrame, most: int, longest: int) -> DataFrame:
-    """The units above the lowest count that leaves at most ``most`` of them."""
-    usable = counts.filter(F.length("unit") <= longest)
-    by_count = (
-        usable.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("units")).collect()
-    )
-    total, least = 0, 10_001
-    for row in sorted(by_count, key=lambda r: -r["n"]):
+    """The most frequent units, at most ``most`` of them.
+
+    Counts fall into bins of a 64th of an octave; all units of the highest bins are taken, as many
+    bins as hold at most ``most`` units together, whatever the size of the corpus.
+    """
+    level = F.floor(F.log2(F.col("n")) * 64)
+    usable = counts.filter(F.length("unit") <= longest).withColumn("level", level)
+    total, least = 0, None
+    # At most 64 bins for each of 63 octaves.
+    for row in usable.groupBy("level").agg(F.count("*").alias("units")).orderBy(F.desc("level")).collect():
         total += row["units"]
         if total > most:
             break
-        least = row["n"]
-    return usable.filter(F.col("n") >= least).select("unit")
+        least = row["level"]
+    return usable.filter(F.lit(False) if least is None else F.col("level") >= least).select("unit")
 
 
 def _byte_fallback(char: Column, byte_ids: list[int]) -> Column:
@@ -244,6 +257,134 @@ class LocalLattice:
         return out[::-1]
 
 
+class Trie:
+    """The pieces as a byte trie in one open-addressed table: a step is a look-up by node and byte."""
+
+    BITS = 20
+    MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: Pieces):
+        nodes: dict[tuple[int, int], int] = {}
+        ends: dict[int, tuple[float, int]] = {}
+        for piece, found in pieces.score.items():
+            at = 0
+            for byte in piece.replace(SPACE, " ").encode():
+                at = nodes.setdefault((at, byte), len(nodes) + 1)
+            ends[at] = found
+        bits = max(self.BITS, (8 * len(nodes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.nodes = np.zeros(1 << bits, np.int32)
+        self.probes = 1
+        for (parent, byte), node in nodes.items():
+            key = parent << 8 | byte
+            slot, tries = (key * int(self.MIX) & (1 << 64) - 1) >> int(self.shift), 1
+            while self.keys[slot] >= 0:
+                slot, tries = (slot + 1) & (len(self.keys) - 1), tries + 1
+            self.keys[slot], self.nodes[slot] = key, node
+            self.probes = max(self.probes, tries)
+        self.score = np.full(len(nodes) + 1, np.nan)
+        self.id = np.full(len(nodes) + 1, -1, np.int32)
+        for node, (score, i) in ends.items():
+            self.score[node], self.id[node] = score, i
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes below, 0 where there is none."""
+        key = node << 8 | byte
+        slot = ((key.astype(np.uint64) * self.MIX) >> self.shift).astype(np.int64)
+        out = np.where(self.keys[slot] == key, self.nodes[slot], 0).astype(np.int64)
+        for _ in range(self.probes - 1):
+            open_ = np.flatnonzero((out == 0) & (self.keys[slot] >= 0))
+            if not len(open_):
+                break
+            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
+            hit = self.keys[slot[open_]] == key[open_]
+            out[open_[hit]] = self.nodes[slot[open_[hit]]]
+        return out
+
+
+class BatchLattice:
+    """The recurrence of :class:`LocalLattice` for many units side by side, byte by byte.
+
+    Starts rise over all units together, so sums are added and ties fall as for one unit.  Bytes
+    inside a character are no starts.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.trie = Trie(pieces)
+        self.byte_ids = np.array(pieces.byte_ids, np.int32)
+
+    def encode(self, units: list[bytes], width: str) -> list[bytes]:
+        size = np.array([len(u) for u in units], np.int64)
+        order = np.argsort(-size, kind="stable")
+        lengths = size[order]
+        data = np.frombuffer(b"".join(units[i] + b"\0" for i in order.tolist()), np.uint8).astype(np.int64)
+        base = np.cumsum(lengths + 1) - lengths - 1
+        best = np.full(len(data), -np.inf)
+        best[base] = 0.0
+        came_size, came_id = np.zeros(len(data), np.int64), np.zeros(len(data), np.int32)
+        trie = self.trie
+        n = len(units)
+        for s in range(int(lengths[0]) if n else 0):
+            while lengths[n - 1] <= s:
+                n -= 1
+            at = base[:n] + s
+            live = np.flatnonzero(best[at] > -np.inf)
+            at, end = at[live], (base[:n] + lengths[:n])[live]
+            here = best[at]
+            lead = data[at]
+            char = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+            single = np.zeros(len(at), bool)
+            who, node, k = np.arange(len(at)), np.zeros(len(at), np.int64), 0
+            while len(who):
+                node = trie.step(node, data[at[who] + k])
+                k += 1
+                held = node > 0
+                who, node = who[held], node[held]
+                score = trie.score[node]
+                piece = np.flatnonzero(~np.isnan(score))
+                mine, to = who[piece], at[who[piece]] + k
+                single[mine] |= char[mine] == k
+                reached = here[mine] + score[piece]
+                better = reached > best[to]
+                to = to[better]
+                best[to], came_size[to], came_id[to] = reached[better], k, trie.id[node[piece][better]]
+                more = at[who] + k < end[who]
+                who, node = who[more], node[more]
+            alone = np.flatnonzero(~single)
+            to = at[alone] + char[alone]
+            back = here[alone] - FALLBACK_COST
+            better = back > best[to]
+            alone, to = alone[better], to[better]
+            best[to] = back[better]
+            for j in range(1, 5):
+                some = alone[char[alone] >= j]
+                spot = at[some] + j
+                came_size[spot], came_id[spot] = 1, self.byte_ids[data[spot - 1]]
+        # Back along the best paths, all units one piece at a time; then turned round.
+        at, who = base + lengths, np.arange(len(units))
+        rows, found = [], []
+        while True:
+            live = at > base[who]
+            at, who = at[live], who[live]
+            if not len(at):
+                break
+            rows.append(who)
+            found.append(came_id[at])
+            at = at - came_size[at]
+        out = [b""] * len(units)
+        if rows:
+            turn = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            row, ids = np.concatenate(rows), np.concatenate(found).astype(width)
+            sort = np.lexsort((-turn, row))
+            packed, ends = ids[sort].tobytes(), np.cumsum(np.bincount(row, minlength=len(units))) * ids.itemsize
+            first = 0
+            for i, last in zip(order.tolist(), ends.tolist()):
+                out[i] = packed[first:last]
+                first = last
+        return out
+
+
 def raw_pieces(pieces: Pieces) -> np.ndarray:
     """The UTF-8 bytes of every id."""
     raw = np.empty(len(pieces.by_id), object)
@@ -260,10 +401,77 @@ def decoded(ids: np.ndarray, raw: np.ndarray) -> str:
 # --- documents -----------------------------------------------------------------------------
 
 
+def cut_units(spaced: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The units of all texts as one binary array over their joined bytes, and where each text's begin.
+
+    A unit begins with a text, a run of spaces, a line end, or behind a line end; so it is a word with
+    the spaces before it, a run of spaces, or a line end.
+    """
+    whole = b"".join(spaced)
+    data = np.frombuffer(whole, np.uint8)
+    starts = np.cumsum([0] + [len(t) for t in spaced])
+    line, space = data == 10, data == 32
+    begin = line | space
+    begin[1:] &= ~(space[1:] & space[:-1])
+    begin[1:] |= line[:-1]
+    begin[starts[:-1][np.diff(starts) > 0]] = True
+    spots = np.append(np.flatnonzero(begin), len(data)).astype(np.int32)
+    buffers = [None, pa.py_buffer(spots), pa.py_buffer(whole)]
+    units = pa.Array.from_buffers(pa.binary(), len(spots) - 1, buffers)
+    return units, np.searchsorted(spots[:-1], starts)
+
+
+def joined(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """All bytes of a binary array without offset, one value behind the other, and where values begin."""
+    if not len(column):
+        return b"", np.zeros(1, np.int32)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[: len(column) + 1]
+    return (column.buffers()[2].to_pybytes()[: ends[-1]] if ends[-1] else b""), ends
+
+
+def spoken_pieces(pieces: Pieces) -> pa.Array:
+    """What each id stands for in a text that has spaces as spaces."""
+    return pa.array([p.replace(SPACE.encode(), b" ") for p in raw_pieces(pieces)], pa.binary())
+
+
+def restored(ids: np.ndarray, cuts: np.ndarray, raw: pa.Array, spaced: list[bytes]) -> list[bool]:
+    """Whether the pieces of each text, from id ``cuts[i]`` on, join to the text again, byte by byte."""
+    flat, ends = joined(raw.take(pa.array(ids)))
+    ends = ends[cuts]
+    return [flat[a:b] == t for a, b, t in zip(ends[:-1], ends[1:], spaced)]
+
+
+class UnitIds:
+    """The packed ids of units: from the table, from those met before, or from the lattice."""
+
+    def __init__(self, pieces: Pieces, table: dict[bytes, bytes], width: str):
+        self.table, self.width = table, width
+        self.met: dict[bytes, bytes] = {}
+        self.one, self.many = LocalLattice(pieces), BatchLattice(pieces)
+
+    def of(self, units: list[bytes]) -> list[bytes]:
+        table, met = self.table.get, self.met.get
+        out = [table(u) or met(u) for u in units]
+        new = [i for i, v in enumerate(out) if v is None]
+        short = [i for i in new if len(units[i]) <= BATCH_LENGTH]
+        for at in range(0, len(short), BATCH_UNITS):
+            some = short[at : at + BATCH_UNITS]
+            for i, v in zip(some, self.many.encode([units[i] for i in some], self.width)):
+                out[i] = v
+        if len(self.met) + len(short) > REMEMBERED:
+            self.met.clear()
+        self.met.update((units[i], out[i]) for i in short[:REMEMBERED])
+        for i in new:
+            if out[i] is None:
+                unit = units[i].decode("utf-8", "replace").replace(" ", SPACE)
+                out[i] = np.array(self.one.encode(unit), self.width).tobytes()
+        return out
+
+
 class Codec:
     """A vocabulary with the encoded frequent units of a corpus, shipped to all executors."""
 
-    def __init__(self, spark: SparkSession, pieces: Pieces, table: dict[str, bytes]):
+    def __init__(self, spark: SparkSession, pieces: Pieces, table: dict[bytes, bytes]):
         self.width = "<u2" if len(pieces.by_id) <= 1 << 16 else "<u4"
         self.item_bytes = np.dtype(self.width).itemsize
         self.held = spark.sparkContext.broadcast((pieces, table))
@@ -288,7 +496,7 @@ class Codec:
         # At most ``units`` rows of at most ``longest`` characters.
         rows = encode_units(hot, pieces).toArrow()
         table = {
-            u: np.array(ids, width).tobytes()
+            u.replace(SPACE, " ").encode(): np.array(ids, width).tobytes()
             for u, ids in zip(rows.column("unit").to_pylist(), rows.column("ids").to_pylist())
         }
         return cls(spark, pieces, table)
@@ -313,37 +521,29 @@ class Codec:
 
         def body():
             pieces, table = held.value
-            lattice = LocalLattice(pieces)
-            rare: dict[str, bytes] = {}
-
-            def of(unit: str) -> bytes:
-                got = table.get(unit) or rare.get(unit)
-                if got is None:
-                    got = np.array(lattice.encode(unit), width).tobytes()
-                    if len(unit) <= 64:
-                        if len(rare) > 100_000:
-                            rare.clear()
-                        rare[unit] = got
-                return got
-
-            raw = raw_pieces(pieces)
+            lookup = UnitIds(pieces, table, width)
+            raw = spoken_pieces(pieces)
+            item = np.dtype(width).itemsize
 
             def kernel(batch):
-                texts = batch.column(text_col).to_pylist()
-                made = [None if t is None else b"".join(map(of, UNIT.findall(normalise(t)))) for t in texts]
+                found = texts(batch, text_col)
+                spaced = [b" " + t.replace(SPACE.encode(), b" ") if t else b"" for t in found]
+                units, first = cut_units(spaced)
+                encoded = units.dictionary_encode()
+                made = pa.array(lookup.of(encoded.dictionary.to_pylist()), pa.binary()).take(encoded.indices)
+                flat, ends = joined(made)
+                cuts = ends[first]
                 out = {f.name: batch.column(f.name) for f in kept}
                 if verify:
-                    out["restored"] = [
-                        t is None or decoded(np.frombuffer(m, width), raw) == t.replace(SPACE, " ")
-                        for t, m in zip(texts, made)
-                    ]
+                    out["restored"] = restored(np.frombuffer(flat, width), cuts // item, raw, spaced)
+                ids = [None if t is None else flat[a:b] for t, a, b in zip(found, cuts[:-1], cuts[1:])]
                 if not packed:
-                    made = [None if m is None else np.frombuffer(m, width).astype(np.int32) for m in made]
-                return out | {"ids": made}
+                    ids = [None if m is None else np.frombuffer(m, width).astype(np.int32) for m in ids]
+                return out | {"ids": ids}
 
             return kernel
 
-        return map_rows(docs.select(*[F.col(f"`{f.name}`") for f in kept]), body, schema)
+        return map_rows(docs.select(*[F.col(f"`{f.name}`") for f in kept]), body, schema, PIECE_BYTES)
 
     def decode(self, rows: DataFrame, ids_col: str = "ids", to: str = "decoded", packed: bool = False) -> DataFrame:
         """``rows`` with the text of the ids in a column ``to``.

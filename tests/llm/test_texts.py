@@ -1,3 +1,4 @@
+import re
 import numpy as np
 import pytest
 
@@ -116,6 +117,71 @@ def test_wrapped_references_and_articles(spark):
     assert got == {1: ["GPL-3.0"], 2: ["CC-BY-SA-4.0"], 3: ["GPL-3.0"], 4: ["CC-BY-4.0"], 5: ["MIT"]}
 
 
+HEADERS = {
+    "MIT": ("MIT-grant", "MIT-notice", "MIT-asis", "MIT-liable"),
+    "ISC": ("ISC-grant", "ISC-asis", "ISC-liable"),
+    "0BSD": ("0BSD-grant", "ISC-asis", "ISC-liable"),
+    "BSD-2-Clause": ("BSD-grant", "BSD-source", "BSD-binary", "BSD-asis", "BSD-liable"),
+    "BSD-3-Clause": ("BSD-grant", "BSD-source", "BSD-binary", "BSD-endorse", "BSD-asis", "BSD-liable"),
+    "BSD-4-Clause": ("BSD-grant", "BSD-source", "BSD-binary", "BSD-advert", "BSD-endorse", "BSD-asis"),
+    "Apache-2.0": ("Apache-grant", "Apache-copy", "Apache-asis", "Apache-see"),
+    "GPL-3.0-or-later": ("GPL-free", "GPL-hope", "GPL-see"),
+    "GPL-3.0-only": ("GPL3-only", "GPL-hope", "GPL-see"),
+    "GPL-2.0-or-later": ("GPL2-free", "GPL-hope", "GPL-see"),
+    "GPL-2.0-only": ("GPL2-only", "GPL-hope", "GPL-see"),
+    "LGPL-2.1-or-later": ("LGPL-free", "LGPL-hope", "LGPL-see"),
+    "LGPL-3.0-or-later": ("LGPL3-free", "LGPL-hope", "LGPL-see"),
+    "AGPL-3.0-or-later": ("AGPL-free", "GPL-hope", "AGPL-see"),
+    "MPL-2.0": ("MPL-terms", "MPL-copy"),
+    "EPL-2.0": ("EPL2-terms",),
+    "Zlib": ("Zlib-asis", "Zlib-liable", "Zlib-grant"),
+    "BSL-1.0": ("BSL-grant",),
+    "OFL-1.1": ("OFL-terms",),
+    "WTFPL": ("WTFPL-do",),
+    "CC0-1.0": ("CC0-waive",),
+    "Unlicense": ("Unlicense-domain", "Unlicense-anyone"),
+}
+
+
+def test_headers_give_their_licence_alone(spark):
+    """As it stands, wrapped as a comment, in capitals, and with another holder."""
+
+    def wrapped(text):
+        words, lines, line = text.split(), [], ""
+        for w in words:
+            if len(line) + len(w) > 60:
+                lines.append(line)
+                line = ""
+            line += " " + w
+        return "\n".join(f" *{x}" for x in [*lines, line])
+
+    rows, want = [], {}
+    for k, (name, ids) in enumerate(HEADERS.items()):
+        whole = [licenses.TEXTS[i] for i in ids]
+        ours = [re.sub("(?i)the copyright holders?( and contributors| or contributors)?", "Example Org", t) if "BSD" in i else t for i, t in zip(ids, whole)]
+        for j, text in enumerate(("\n\n".join(whole), "\n *\n".join(map(wrapped, whole)).replace("\n *\n", "\n\n"), "\n\n".join(whole).upper(), "\n\n".join(ours))):
+            rows.append((10 * k + j, text))
+            want[10 * k + j] = name
+    got = {r.doc_id: r.licences for r in licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in want} == {i: [n] for i, n in want.items()}
+
+
+def test_expressions_versions_and_marks(spark):
+    cases = {
+        "// SPDX-License-Identifier: MIT OR Apache-2.0": ["MIT", "Apache-2.0"],
+        "# spdx-license-identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause": ["GPL-2.0-only", "BSD-3-Clause"],
+        "/* SPDX-License-Identifier: LGPL-3.0-or-later */": ["LGPL-3.0-or-later"],
+        "Released under.GPLv3.": ["GPL-3.0"],
+        "Licensed under the GNU General Public License, version 2 or later.": ["GPL-2.0-or-later"],
+        "Distributed under GPLv3 only.": ["GPL-3.0-only"],
+        "This project is licensed under the Boost Software License 1.0.": ["BSL-1.0"],
+        "The licence of this text is nobody's business.": None,
+    }
+    rows = list(enumerate(cases))
+    got = {r.doc_id: r.licences for r in licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got.get(i) for i, _ in rows] == list(cases.values())
+
+
 def test_licences_of_the_given_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
     lines = {
@@ -191,6 +257,63 @@ def test_relational_and_local_lattice_agree_with_all_paths(spark):
         assert local.encode(u) == got[u]
 
 
+def test_side_by_side_lattice_equals_the_recurrence():
+    pieces = lattice.Pieces.load(model_file())
+    many, one = lattice.BatchLattice(pieces), lattice.LocalLattice(pieces)
+    units = ["▁the", "▁onesen", "▁▁▁a", "▁漢字😀", "ß", "▁", "\n", "▁x%%%", "▁😀😀a", "é" * 20, "▁banana" * 1]
+    units += [u for k in range(300) for u in lattice.UNIT.findall(lattice.normalise(prose(6, k) + " Übñ漢\n  x"))]
+    got = many.encode([u.replace("▁", " ").encode() for u in units], "<u2")
+    assert got == [np.array(one.encode(u), "<u2").tobytes() for u in units]
+    assert many.encode([], "<u2") == []
+
+
+def test_units_are_cut_as_by_the_pattern():
+    texts = ["", "a", " a  b ", "\n\n  x\n", "  ", "x \n y", "▁a ▁b", "漢 字\t."]
+    spaced = [(" " + t.replace("▁", " ")).encode() if t else b"" for t in texts]
+    units, first = lattice.cut_units(spaced)
+    want = [[u.replace("▁", " ").encode() for u in lattice.UNIT.findall(lattice.normalise(t))] for t in texts]
+    assert [units.to_pylist()[a:b] for a, b in zip(first[:-1], first[1:])] == want
+
+
+def test_frequent_units_are_bounded(spark):
+    counts = spark.range(1, 1001).selectExpr("concat('u', id) AS unit", "id * 20000 AS n")
+    assert 80 <= lattice.frequent_units(counts, 100, 48).count() <= 100
+    same = counts.selectExpr("unit", "50000 AS n")
+    assert lattice.frequent_units(same, 100, 48).count() == 0
+    assert lattice.frequent_units(same, 1000, 48).count() == 1000
+
+
+def test_agreement_with_the_encoder_of_the_model(spark, sf):
+    """Running words: the same pieces for four fifths, and no more pieces than the merges give."""
+    import sentencepiece
+
+    model, pieces = sentencepiece.SentencePieceProcessor(model_file=model_file()), lattice.Pieces.load(model_file())
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(200).collect()]
+    words = [w for t in texts for w in t.split()]
+    made = lattice.BatchLattice(pieces).encode([f" {w}".encode() for w in words], "<u2")
+    ours = [np.frombuffer(m, "<u2").tolist() for m in made]
+    theirs = model.encode(words)
+    assert sum(a == b for a, b in zip(ours, theirs)) >= 0.75 * len(words)
+    assert sum(map(len, ours)) <= sum(map(len, theirs))
+
+
+def test_phones_are_linked_over_notations():
+    forms = ["555-123-4567", "(555) 123-4567", "555.123.4567", "1 555 123 4567", "1-555-123-4567", "+1 555 123 4567"]
+    digits = {re.sub("[^0-9]", "", pii.replace_all(f"call {f} now")[0])[-10:] for f in forms}
+    assert len(digits) == 1 and "5551234567" not in digits
+
+
+def test_key_comes_from_the_session(spark):
+    df = spark.createDataFrame([(1, "mail a.person@example.org or 555-123-4567")], "doc_id long, text string")
+    open_key = pii.without_pii(df).first().text
+    spark.conf.set(pii.KEY_SETTING, "a key of this run")
+    try:
+        own = pii.without_pii(df).first().text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert own != open_key and own == pii.without_pii(df, b"a key of this run").first().text
+
+
 def test_codec_round_trip(spark):
     extra = [(40, "  two  spaces \n\n lines\t", "en", "s", 1), (41, "a" * 20_000, "en", "s", 1)]
     df = awkward(spark, extra)
