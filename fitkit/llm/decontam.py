@@ -2,17 +2,21 @@
 
 Benchmark items and documents are cut into passages, weighted by TF-IDF over the words of the
 benchmark (other words add nothing to a cosine with an item) and projected on the leading right
-singular vectors of the passage matrix, found by a distributed randomised SVD.  Every window of
-every document is compared with every item passage in that space; candidates are then checked
-by the longest common subsequence of their words and by the words of the answer.
-
-The space keeps only part of a passage, so its bars alone would lose leaks.  A second way to
-candidates is exact: who has enough of a passage in order misses few of its words, so some of its
-rarest words, a few more than may be missing, must stand there (``rare_words``).
+singular vectors of the passage matrix, found by a distributed randomised SVD.  The passages of
+the items weigh so much in that matrix that the space holds them whole.  Every region of every
+document is compared with every item passage in that space; candidates are then checked by the
+longest common subsequence of their words and by the words of the answer.
+
+A region is a candidate when its part along the passage is as long as the check asks for.  What
+the check can accept misses at most some of the passage's words; without the heaviest ones of
+these the rest of the passage has a length that follows from its weights, and no region below
+that length is looked at.  So the search loses nothing that the check would keep.  A region that
+holds nearly the whole weight of a passage counts as a paraphrase already when half of its words
+stand in order.
 
 Document frequencies cover all documents.  The basis is fitted on a bounded sample of windows
 (``FIT_WINDOWS``, drawn by a hash of the text) and all item passages; the search covers all
-windows.  Items are handled in blocks of ``BLOCK_ITEMS``, so that what is broadcast is bounded.
+regions.  Passages are handled in blocks of ``BLOCK_PASSAGES``, so that what is broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -22,29 +26,33 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fitkit.llm.common import map_rows
+from fitkit.llm.common import map_rows, set_aside
+from fitkit.llm.quality import let
 
-#: Words in half a window; a window is two neighbouring halves, and windows overlap by one.
+#: Words in half a window; a passage has at most two halves.  Regions of three halves begin half a
+#: half before each half but the last, so they overlap by two halves.
 HALF = 32
-BLOCK_ITEMS = 2000
+QUARTER = HALF // 2
+BLOCK_PASSAGES = 512
 FIT_WINDOWS = 50_000
-RANK = 192
+#: Directions of the space beside those of the passages.
+RANK = 64
 OVERSAMPLE = 16
 #: Words in more than this share of the documents weigh nothing, unless an item has no others.
 COMMON = 0.1
-#: A candidate has at least this cosine with a passage, and its part along the passage at least
-#: this share of the passage's length: other words of a window lower the cosine, not the part.
-COSINE = 0.2
-HELD = 0.6
 LCS = 0.7
-#: So many of a passage's rarest words (or all that it needs) lead to the check, whatever the cosine.
-RARE = 3
-#: Pairs of a rare word and a passage that are held at once.
-PAIRS = 1 << 20
+#: A paraphrase holds this share of the passage's length and this share of its words in order.
+HELD = 0.8
+LOOSE = 0.5
+#: Windows multiplied and quarters summed at once.
+SVD_ROWS = 256
+GATHERED = 1024
+#: What the part along a passage may lose by rounding and by the projection.
+SLACK = 0.97
 #: An item with fewer words counts only where it stands word for word.
 SHORT = 8
 
@@ -94,6 +102,17 @@ class Passage:
     def __post_init__(self):
         self.masks, self.answer_masks = masks_of(self.words), masks_of(self.answer)
 
+    @property
+    def need(self) -> int:
+        """The fewest words in order that the check accepts without the length along the passage."""
+        n = len(self.words)
+        return n if n < SHORT else next(x for x in range(n + 1) if x / n >= LCS)
+
+    def accepts(self, share: float, answer: float, held: float) -> bool:
+        if share >= LCS and answer >= LCS:
+            return True
+        return len(self.words) >= SHORT and held >= HELD and share >= LOOSE and answer >= LOOSE
+
     def verify(self, region: list[bytes]) -> tuple[float, float]:
         """Shares of the passage and of its answer that the region holds in order."""
         n = len(self.words)
@@ -101,7 +120,7 @@ class Passage:
         if n < SHORT:
             whole = any(region[i : i + n] == self.words for i in range(len(region) - n + 1))
             return (1.0, 1.0) if whole else (0.0, 0.0)
-        if share < LCS or not self.answer:
+        if share < LOOSE or not self.answer:
             return share, share
         return share, lcs_length(self.answer_masks, len(self.answer), region) / len(self.answer)
 
@@ -124,55 +143,56 @@ def passages_of(item: object, text: str | None) -> list[Passage]:
 
 @dataclass
 class LatentIndex:
-    """A block of items: vocabulary, weights, basis and the passages in the latent space."""
+    """A block of passages: vocabulary, weights, basis and the passages in the latent space."""
 
-    vocabulary: dict[bytes, int]
-    basis: np.ndarray  # words x rank, rows scaled by the weight; words that weigh nothing come later
+    vocabulary: dict[bytes, int]  # words that weigh something
+    basis: np.ndarray  # words x rank, rows scaled by the weight
     passages: list[Passage]
     vectors: np.ndarray  # passages x rank, length 1
     lengths: np.ndarray  # of the passages before that
-    rare: tuple[np.ndarray, ...]  # as given by rare_words
+    bars: np.ndarray  # the part along the passage that a candidate has at least
 
 
-def rare_words(passages: list[Passage], vocabulary: dict[bytes, int], df: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Passages of each word as (sizes, starts, passages), and the words that each passage asks for.
+def least_parts(passages: list[Passage], weight_of: dict[bytes, float]) -> np.ndarray:
+    """The shortest part along each passage that the check can accept, as :func:`search_texts` measures it.
 
-    A passage of n words that is held at LCS misses at most n - need of them.  Of the rarest
-    words that cover ``n - need + k`` places at least k therefore stand in the region.
+    A region that misses places of a passage loses, of the squared length, the weight of each missing
+    place times that word's weight in the passage: the heaviest ones are taken for missing.
     """
-    owners: dict[int, list[int]] = {}
-    asked = np.zeros(len(passages), np.int64)
+    out = np.zeros(len(passages))
     for i, p in enumerate(passages):
-        n = len(p.words)
-        need = n if n < SHORT else next(x for x in range(n + 1) if x / n >= LCS)
-        asked[i] = min(RARE, need)
-        open_places = n - need + asked[i]
-        for w in sorted(p.masks, key=lambda w: (df[vocabulary[w]], w)):
-            if open_places <= 0:
-                break
-            owners.setdefault(vocabulary[w], []).append(i)
-            open_places -= p.masks[w].bit_count()
-    sizes = np.zeros(len(vocabulary) + 1, np.int64)  # the last one is for words of no passage
-    for w, held in owners.items():
-        sizes[w] = len(held)
-    flat = np.array([i for w in sorted(owners) for i in owners[w]], np.int64)
-    return sizes, np.cumsum(sizes) - sizes, flat, asked
-
-
-def _half_sums(ids: np.ndarray, table: np.ndarray, n_words: int) -> np.ndarray:
-    """Sums of table rows over each half window; ids are -1 for words that weigh nothing."""
-    halves = max(1, -(-n_words // HALF))
-    out = np.zeros((halves, table.shape[1]), np.float32)
-    at = np.flatnonzero((ids >= 0) & (ids < len(table)))
+        times = {w: m.bit_count() for w, m in p.masks.items()}
+        parts = sorted(times[w] * weight_of[w] ** 2 for w in p.words)
+        length = np.sqrt(sum((n * weight_of[w]) ** 2 for w, n in times.items()))
+        if length > 0:
+            out[i] = min(sum(parts[: p.need]) / length, HELD * length)
+    return out
+
+
+def _quarter_sums(ids: np.ndarray, table: np.ndarray, n_words: int) -> np.ndarray:
+    """Sums of table rows over each quarter of a window; ids are -1 for words that weigh nothing."""
+    out = np.zeros((max(1, -(-n_words // QUARTER)), table.shape[1]), np.float32)
+    at = np.flatnonzero(ids >= 0)
     if len(at):
-        half = at // HALF
-        first = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
-        out[half[first]] = np.add.reduceat(table[ids[at]], first, axis=0)
+        part = at // QUARTER
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        for k in range(0, len(first), GATHERED):  # so many quarters at once, as rows of the table are wide
+            cuts = first[k : k + GATHERED]
+            last = first[k + GATHERED] if k + GATHERED < len(first) else len(at)
+            out[part[cuts]] = np.add.reduceat(table[ids[at[cuts[0] : last]]], cuts - cuts[0], axis=0)
     return out
 
 
-def _windows(halves: np.ndarray) -> np.ndarray:
-    return halves[:-1] + halves[1:] if len(halves) > 1 else halves
+def _regions(quarters: np.ndarray, n_words: int) -> np.ndarray:
+    """Sums over the regions: six quarters each, the k-th from the quarter before word ``k * HALF`` on."""
+    count = max(1, -(-n_words // HALF) - 1)
+    padded = np.zeros((2 * count + 5, quarters.shape[1]), np.float32)
+    some = min(len(quarters), len(padded) - 1)
+    padded[1 : 1 + some] = quarters[:some]
+    out = padded[0 : 2 * count : 2].copy()
+    for k in range(1, 6):
+        out += padded[k : k + 2 * count : 2]
+    return out
 
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str):
@@ -230,14 +250,15 @@ def randomised_svd(rows: DataFrame, extra: np.ndarray, width: int, rank: int, ro
             q = held.value
             total = np.zeros_like(q)
             for batch in batches:
-                lists, values = batch.column(0), batch.column(1)
-                ids = lists.flatten().to_numpy()
-                x = values.flatten().to_numpy().astype(np.float32)
-                sizes = np.diff(lists.offsets.to_numpy())
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                made = np.zeros((len(sizes), q.shape[1]), np.float32)
-                np.add.at(made, row, q[ids] * x[:, None])
-                np.add.at(total, ids, made[row] * x[:, None])
+                for at in range(0, len(batch), SVD_ROWS):
+                    lists, values = (batch.slice(at, SVD_ROWS).column(k) for k in (0, 1))
+                    ids = lists.flatten().to_numpy()
+                    x = values.flatten().to_numpy().astype(np.float32)
+                    sizes = np.diff(lists.offsets.to_numpy())
+                    row = np.repeat(np.arange(len(sizes)), sizes)
+                    made = np.zeros((len(sizes), q.shape[1]), np.float32)
+                    np.add.at(made, row, q[ids] * x[:, None])
+                    np.add.at(total, ids, made[row] * x[:, None])
             starts = range(0, len(total), block)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(starts), pa.int64()), pa.array([total[s : s + block].tobytes() for s in starts])],
@@ -262,10 +283,8 @@ def randomised_svd(rows: DataFrame, extra: np.ndarray, width: int, rank: int, ro
     return (before @ vectors[:, order]).astype(np.float32)
 
 
-def build_index(docs: DataFrame, items: list[tuple[object, str | None]], text_col: str) -> LatentIndex | None:
-    passages = [p for item, text in items for p in passages_of(item, text)]
-    if not passages:
-        return None
+def build_index(docs: DataFrame, passages: list[Passage], text_col: str) -> LatentIndex:
+    """The space of a block of passages, fitted on windows of ``docs`` and the passages."""
     vocabulary: dict[bytes, int] = {}
     for p in passages:
         for w in p.words:
@@ -312,57 +331,19 @@ def build_index(docs: DataFrame, items: list[tuple[object, str | None]], text_co
         .persist()
     )
     try:
-        basis = randomised_svd(sample, dense, width, min(RANK, width))
+        # The passages outweigh all windows of the sample together, so their directions come first.
+        heavy = np.float32(np.sqrt(10.0 * FIT_WINDOWS))
+        basis = randomised_svd(sample, heavy * dense, width, min(RANK + len(passages), width))
     finally:
         sample.unpersist()
     vectors = (dense @ basis) * norms
     lengths = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
     vectors /= lengths[:, None]
-    # Words that weigh nothing come last: the search sums none of them, but they may be rare words.
-    order = np.argsort(weights <= 0, kind="stable")
-    place = np.empty(width, np.int64)
-    place[order] = np.arange(width)
-    placed = {w: int(place[i]) for w, i in vocabulary.items()}
-    table = (basis * weights[:, None])[order[: int((weights > 0).sum())]]
-    rare = rare_words(passages, placed, df[order])
-    return LatentIndex(placed, table, passages, vectors.astype(np.float32), lengths, rare)
-
-
-def rare_candidates(ids: list[np.ndarray], counts: list[int], index: LatentIndex) -> np.ndarray:
-    """Pairs (window, passage) whose region holds as many rare words as the passage asks for.
-
-    ``ids`` are the words of each text and ``counts`` their windows, which are numbered through.
-    """
-    sizes, starts, flat, asked = index.rare
-    found = []
-    held, first, last = [], [], []
-    at = 0
-    for words, count in zip(ids, counts):
-        spot = np.flatnonzero(sizes[words])
-        held.append(words[spot])
-        first.append(at + np.maximum(0, (spot - 2 * HALF - HALF // 2) // HALF + 1))
-        last.append(at + np.minimum(count - 1, (spot + HALF // 2) // HALF))
-        at += count
-    words, first, last = np.concatenate(held), np.concatenate(first), np.concatenate(last)
-    times = last - first + 1
-    window = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    order = np.argsort(window, kind="stable")
-    window, words = window[order], np.repeat(words, times)[order]
-    total = np.cumsum(sizes[words])
-    start = 0
-    while start < len(words):  # cut between windows
-        end = int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, "right"))
-        if end < len(words):
-            end = int(np.searchsorted(window, window[end]))
-            end = end if end > start else int(np.searchsorted(window, window[start], "right"))
-        part = words[start:end]
-        n = sizes[part]
-        which = flat[np.repeat(starts[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        key, often = np.unique(np.repeat(window[start:end], n) * len(asked) + which, return_counts=True)
-        found.append(key[often >= asked[key % len(asked)]])
-        start = end
-    keys = np.concatenate(found) if found else np.empty(0, np.int64)
-    return np.stack([keys // len(asked), keys % len(asked)], axis=1)
+    bars = SLACK * least_parts(passages, {w: float(weights[i]) for w, i in vocabulary.items()})
+    some = [(w, i) for w, i in vocabulary.items() if weights[i] > 0]
+    placed = {w: k for k, (w, _) in enumerate(some)}
+    table = (basis * weights[:, None])[[i for _, i in some]]
+    return LatentIndex(placed, table, passages, vectors.astype(np.float32), lengths, np.maximum(bars, 1e-6))
 
 
 FOUND = T.StructType(
@@ -375,46 +356,38 @@ FOUND = T.StructType(
 )
 
 
-def search_texts(texts: list[str | None], index: LatentIndex, cosine: float = COSINE, held: float = HELD) -> list[list[dict]]:
-    """For each text the items it holds, each with its best figures; items by place in the block."""
+def search_texts(texts: list[str | None], index: LatentIndex) -> list[list[dict]]:
+    """For each text the items it holds, each with its best figures."""
     get = index.vocabulary.get
-    words, known, halves, owner, place = [], [], [], [], []
+    words, regions, owner, place = [], [], [], []
     for d, t in enumerate(texts):
         w = words_of(t)
         words.append(w)
         if not w:
             continue
         ids = np.array([get(x, -1) for x in w], np.int64)
-        rows = _windows(_half_sums(ids, index.basis, len(w)))
-        known.append(ids)
-        halves.append(rows)
+        rows = _regions(_quarter_sums(ids, index.basis, len(w)), len(w))
+        regions.append(rows)
         owner.append(np.full(len(rows), d))
         place.append(np.arange(len(rows)) * HALF)
     out: list[list[dict]] = [[] for _ in texts]
-    if not halves:
+    if not regions:
         return out
-    counts = [len(h) for h in halves]
-    vectors, owner, place = np.concatenate(halves), np.concatenate(owner), np.concatenate(place)
+    vectors, owner, place = np.concatenate(regions), np.concatenate(owner), np.concatenate(place)
     norm = np.linalg.norm(vectors, axis=1)
     live = np.flatnonzero(norm > 1e-6)
-    pairs = [rare_candidates(known, counts, index)]
+    best: dict[tuple[int, int], dict] = {}
     for at in range(0, len(live), 4096):
         rows = live[at : at + 4096]
         along = vectors[rows] @ index.vectors.T
-        near = along / norm[rows, None]
-        r, p = np.nonzero((near >= cosine) & (along >= held * index.lengths))
-        pairs.append(np.stack([rows[r], p], axis=1))
-    best: dict[tuple[int, int], dict] = {}
-    for row, p in np.unique(np.concatenate(pairs), axis=0).tolist():
-        d, start = int(owner[row]), int(place[row])
-        passage = index.passages[p]
-        region = words[d][max(0, start - HALF // 2) : start + 2 * HALF + HALF // 2]
-        share, answer = passage.verify(region)
-        if share >= LCS and answer >= LCS:
-            near = float(vectors[row] @ index.vectors[p] / norm[row]) if norm[row] > 1e-6 else 0.0
-            key = (d, passage.item)
-            if key not in best or (share, near) > (best[key]["lcs"], best[key]["cosine"]):
-                best[key] = {"item": passage.item, "cosine": near, "lcs": share, "answer": answer}
+        for r, p in zip(*np.nonzero(along >= index.bars)):
+            row, passage = int(rows[r]), index.passages[p]
+            d, start = int(owner[row]), int(place[row])
+            share, answer = passage.verify(words[d][max(0, start - QUARTER) : start + 2 * HALF + QUARTER])
+            if passage.accepts(share, answer, float(along[r, p] / index.lengths[p])):
+                near, key = float(along[r, p] / norm[row]), (d, passage.item)
+                if key not in best or (share, near) > (best[key]["lcs"], best[key]["cosine"]):
+                    best[key] = {"item": passage.item, "cosine": near, "lcs": share, "answer": answer}
     for (d, _), hit in sorted(best.items()):
         out[d].append(hit)
     return out
@@ -438,6 +411,16 @@ def search(docs: DataFrame, index: LatentIndex, text_col: str = "text") -> DataF
     return map_rows(docs.select(*[F.col(f"`{f.name}`") for f in kept]), body, schema)
 
 
+def _one_an_item(found: Column) -> Column:
+    """Of several findings of an item the one with the most words in order."""
+    ranked = F.array_sort(
+        F.transform(found, lambda x: F.struct(x["item"].alias("item"), (-x["lcs"]).alias("less"), (-x["cosine"]).alias("far"), x["answer"].alias("answer")))
+    )
+    first = lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["item"] != x["item"]))
+    back = lambda x: F.struct(x["item"].alias("item"), (-x["far"]).alias("cosine"), (-x["less"]).alias("lcs"), x["answer"].alias("answer"))
+    return let(ranked, lambda all_: F.transform(first(all_), back))
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -445,31 +428,38 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text: str = "text",
-    block_items: int = BLOCK_ITEMS,
+    block_passages: int = BLOCK_PASSAGES,
 ) -> DataFrame:
     """``docs`` with ``found``: the items (item, cosine, lcs, answer) that each text holds.
 
     A null or empty text holds none; so does every text where the benchmark is empty.  Items
     without a word and without an id find nothing.  Rows, repeated ones too, and columns stay; an
     input column named ``found`` is replaced.  Texts of any length are searched whole; an item that
-    is longer than a window counts when one of its parts is found.  Equal items are all reported.
+    is longer than a window counts when one of its parts is found, and its parts may lie in two
+    blocks.  Equal items are all reported.  Ids of items are whole numbers.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).filter(
         "item IS NOT NULL AND text IS NOT NULL"
     )
-    blocks = -(-items.count() // block_items)
     out = docs.drop("found").withColumn("found", F.array().cast(T.ArrayType(FOUND)))
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(max(1, blocks)))
-    for b in range(blocks):
-        rows = sorted((r["item"], r["text"]) for r in items.filter(block == b).collect())
-        index = build_index(docs, rows, text_col)
-        if index is not None:
-            before = out.withColumnRenamed("found", "__before")
-            out = search(before, index, text_col).withColumn("found", F.concat("__before", "found")).drop("__before")
-    return out
+    block: list[Passage] = []
+    blocks = 0
+
+    def look(out: DataFrame) -> DataFrame:
+        before = out.withColumnRenamed("found", "__before")
+        found = search(before, build_index(docs, block, text_col), text_col)
+        merged = F.concat("__before", "found")
+        return found.withColumn("found", _one_an_item(merged) if blocks else merged).drop("__before")
+
+    for row in items.orderBy("item", "text").toLocalIterator():
+        for passage in passages_of(row["item"], row["text"]):
+            if len(block) == block_passages:
+                out, block, blocks = look(out), [], blocks + 1
+            block.append(passage)
+    return look(out) if block else out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
-    clean = contaminated(docs, benchmark).filter(F.size("found") == 0)
-    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+    renamed, back = set_aside(docs, ("found",))
+    return back(contaminated(renamed, benchmark).filter(F.size("found") == 0))

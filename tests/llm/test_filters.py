@@ -1,11 +1,12 @@
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from fitkit.llm import decontam, langid, quality, secret_scan, toxicity
+from fitkit.llm import decontam, langid, pii, quality, secret_scan, toxicity
 from fitkit.llm.queries import op1_language_id, op6_decontamination, op7_secrets, op10_toxicity
 from tests.compare import connect, mismatch
 from tests.llm.helpers import COLUMNS, WORDS, awkward, empty, prose
@@ -165,7 +166,7 @@ def test_leaks_equal_word_search(spark, sf):
     texts = [(i, join(t)) for i, t in zip(docs.doc_id, docs.text)]
     want = {(i, k) for k, b in zip(items.item_id, items.text) for i, t in texts if join(b) in t}
     got = {(r.doc_id, r.item_id) for r in op6_decontamination(spark, sf).collect()}
-    assert len(want - got) <= 0.02 * len(want)
+    assert not want - got
     assert len(got - want) <= 0.02 * len(want)
 
 
@@ -192,7 +193,10 @@ def test_no_loose_copy_is_lost_before_the_check(spark, sf):
     """Items with a fifth of their words left out, planted in other documents: all that the check accepts are found."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf}/benchmark.parquet").toPandas()
-    index = decontam.build_index(docs, list(zip(items.item_id.tolist(), items.text)), "text")
+    passages = [p for i, t in zip(items.item_id.tolist(), items.text) for p in decontam.passages_of(i, t)]
+    index = decontam.build_index(docs, passages, "text")
+    # The space holds the passages whole, so the part along one is what its words weigh.
+    assert index.vectors.shape[1] >= len(passages)
     hosts = [w for w in map(decontam.words_of, docs.orderBy("doc_id").limit(2000).toPandas().text) if 100 < len(w) < 1000]
     draw = np.random.default_rng(11)
     found, want = set(), set()
@@ -212,6 +216,52 @@ def test_no_loose_copy_is_lost_before_the_check(spark, sf):
     assert not want - found
 
 
+def test_paraphrases_with_replaced_words_are_found(spark, sf):
+    """Common words replaced, the telling ones kept: too few words in order for a copy, but the weight is there."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    telling = [f"zeta{k}qu" for k in range(16)]
+    counts = Counter(w for r in docs.collect() for w in set(decontam.words_of(r.text)))
+    plain = [w.decode("utf-8", "replace") for w, _ in counts.most_common(12)]
+    item = [w for pair in zip(telling, plain + plain[:4]) for w in pair][:28]
+    made = [w if w in telling else f"other{k}" for k, w in enumerate(item)]
+    loose = made[:12] + made[12:28][::-1]
+    extra = [(10**6, prose(120, 5) + " " + " ".join(made) + " " + prose(60, 6)), (10**6 + 1, prose(60, 7) + " " + " ".join(loose))]
+    table = docs.union(spark.createDataFrame(extra, "doc_id long, text string"))
+    bench = spark.createDataFrame([(5, " ".join(item)), (6, prose(30, 99))], "item_id long, text string")
+    found = decontam.contaminated(table, bench).filter("size(found) > 0").collect()
+    assert [(r.doc_id, [f.item for f in r.found]) for r in found] == [(10**6, [5])]
+    assert decontam.LOOSE <= found[0].found[0].lcs < decontam.LCS
+
+
+def test_long_items_and_blocks(spark):
+    """An item of several windows is found by one part; blocks of few passages find what one block finds."""
+    long_item = prose(400, 21)
+    part = " ".join(long_item.split()[150:260])
+    extra = [(20, prose(100, 1) + " " + part + " " + prose(70, 2), "en", "s", 1), (21, prose(30, 31), "en", "s", 1)]
+    bench = spark.createDataFrame([(1, long_item), (2, prose(30, 31)), (3, " ".join(f"only{k}" for k in range(12)))], "item_id long, text string")
+    docs = awkward(spark, extra).drop("found")
+    whole = {r.doc_id: sorted((f.item, round(f.lcs, 6)) for f in r.found) for r in decontam.contaminated(docs, bench).filter("doc_id > 19").collect()}
+    blocks = {r.doc_id: sorted((f.item, round(f.lcs, 6)) for f in r.found) for r in decontam.contaminated(docs, bench, block_passages=2).filter("doc_id > 19").collect()}
+    assert whole == blocks and [i for i, _ in whole[20]] == [1] and [i for i, _ in whole[21]] == [2]
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "decontamination", "pii"])
+def test_columns_of_the_input_keep_their_values(spark, stage):
+    docs = awkward(spark, [(30, "Call 555-123-4567 now.", "en", "s", 1)])
+    docs = docs.withColumn("Segments", toxicity.F.lit("own")).withColumn("predicted", toxicity.F.lit("own"))
+    if stage == "toxicity":
+        labels = spark.createDataFrame([(4, 0, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
+        got = toxicity.drop_toxic(docs, labels)
+    elif stage == "decontamination":
+        got = decontam.drop_contaminated(docs, spark.createDataFrame([(1, prose(20, 50))], "item_id long, text string"))
+    else:
+        got = pii.without_pii(docs)
+    assert got.columns == docs.columns
+    for name in ("score", "pii", "found", "Segments", "predicted"):
+        values = {r[0] for r in got.select(f"`{name}`").collect()}
+        assert values == ({"own"} if name in ("Segments", "predicted") else {"clash"})
+
+
 def test_lcs_equals_dynamic_programme():
     draw = np.random.default_rng(2)
     for _ in range(60):
