@@ -12,6 +12,8 @@ groups are solved in lockstep.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,20 +47,32 @@ class BlockDual:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, alpha: np.ndarray, lam: float, sigma: float):
         self.x, self.y, self.alpha, self.lam, self.sigma = x, y, alpha, lam, sigma
-        s = len(y)
+        s, d = x.shape
         self.scale = 1.0 / (lam * s)
         self.parts = [slice(i, i + BLOCK_ROWS) for i in range(0, s, BLOCK_ROWS)]
-        self.solvers = []
-        for part in self.parts:
-            k = x[part] @ x[part].T * self.scale
-            self.solvers.append(np.linalg.inv(k + np.eye(len(k))))
+        # Narrow rows keep a d x d matrix a block, wide ones one as high as the block: never more than the rows.
+        self.narrow = d < BLOCK_ROWS
+        if self.narrow:
+            self.solvers = np.empty((len(self.parts), d, d))
+        else:
+            self.solvers = [None] * len(self.parts)
+        for i, part in enumerate(self.parts):
+            k = (x[part].T @ x[part] if self.narrow else x[part] @ x[part].T) * self.scale
+            self.solvers[i] = np.linalg.inv(k + np.eye(len(k)))
         self.v = x.T @ alpha * self.scale
 
+    def solve(self, i: int, r: np.ndarray) -> np.ndarray:
+        """``(1 + X X' scale)^-1 r`` for the rows of a block."""
+        if not self.narrow:
+            return self.solvers[i] @ r
+        x = self.x[self.parts[i]]
+        return r - x @ (self.solvers[i] @ (r @ x)) * self.scale
+
     def epoch(self, tilt: np.ndarray, order: np.ndarray) -> np.ndarray:
         for i in order:
             part = self.parts[i]
             w = shrink(self.v + tilt, self.sigma)
-            step = self.solvers[i] @ (self.y[part] - self.alpha[part] - self.x[part] @ w)
+            step = self.solve(i, self.y[part] - self.alpha[part] - self.x[part] @ w)
             self.alpha[part] += step
             self.v = self.v + step @ self.x[part] * self.scale
         return shrink(self.v + tilt, self.sigma)
@@ -69,7 +83,7 @@ def dual_ascent(
 ) -> tuple[np.ndarray, float, float, int]:
     """``w``, its primal value, the duality gap and the epochs taken; ends at a gap of ``tol``."""
     s, draw = len(y), np.random.default_rng(seed)
-    norm = float((x * x).sum(axis=1).max(initial=0.0))
+    norm = float(np.einsum("ij,ij->i", x, x).max(initial=0.0))
     more = norm / (ILL_CONDITIONED * s) - lam if norm > ILL_CONDITIONED * lam * s else 0.0
     strength = lam + more
     dual = BlockDual(x, y, np.zeros(s), strength, lam * sigma / strength)
@@ -113,7 +127,8 @@ def fit_groups_dual(
 
     The key may have any type that can be grouped; a null key is a group.  An empty table gives an empty
     result.  ``gap`` bounds the distance of ``objective`` to the optimum; a group that has not reached
-    ``tol`` after ``epochs`` shows it there.  Groups above ``group_bytes`` are solved where their rows lie.
+    ``tol`` after ``epochs`` shows it there.  Groups that need more than ``group_bytes`` in a task (the rows,
+    what arrives of them and the dual variables) are solved where their rows lie.
     """
     spark = df.sparkSession
     first = df.select(F.size("x")).first()
@@ -132,19 +147,30 @@ def fit_groups_dual(
         ]
     )
 
-    def solve(table: pa.Table) -> pa.Table:
-        if table.column("y").null_count:
-            raise ValueError("a label is null")
-        x = column_matrix(table.column("x").combine_chunks(), d)
-        y = table.column("y").to_numpy()
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, xs, ys = None, [], []
+        for batch in batches:  # only numbers are kept of what arrives
+            if not batch.num_rows:
+                continue
+            if batch.column(1).null_count:
+                raise ValueError("a label is null")
+            if key is None:
+                key = batch.column(0).take(pa.array([0]))
+            xs.append(column_matrix(batch.column(2), d).copy())
+            ys.append(batch.column(1).to_numpy(zero_copy_only=False).copy())
+        x = np.concatenate(xs)
+        xs.clear()
+        y = np.concatenate(ys)
+        ys.clear()
         w, value, gap, taken = dual_ascent(x, y, lam=lam, sigma=sigma, tilt=tilt, tol=tol, epochs=epochs, seed=seed)
-        columns = [table.column("key").slice(0, 1).combine_chunks()]
-        columns += [pa.array([v], type=t) for v, t in zip((len(y), w.tolist(), value, gap, taken), kinds)]
-        return pa.Table.from_arrays(columns, ["key", "s", "w", "objective", "gap", "epochs"])
+        columns = [pa.array([v], type=t) for v, t in zip((len(y), w.tolist(), value, gap, taken), kinds)]
+        yield pa.RecordBatch.from_arrays([key, *columns], ["key", "s", "w", "objective", "gap", "epochs"])
 
     kinds = (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64())
+    # A row in a task: its features, twice while they arrive, and y, alpha and passing vectors beside them.
+    row_bytes = 8 * (2 * d + 6)
     # Groups that a task can't hold are few: the table has room for no more.
-    large = [r[0] for r in rows.groupBy("key").count().filter(F.col("count") * 8 * d > group_bytes).select("key").collect()]
+    large = [r[0] for r in rows.groupBy("key").count().filter(F.col("count") * row_bytes > group_bytes).select("key").collect()]
     if not large:
         return rows.groupBy("key").applyInArrow(solve, schema)
     named = spark.createDataFrame(
