@@ -33,7 +33,7 @@ from fitkit.plans.newton import fit_newton, fit_prox_newton
 from fitkit.plans.steps import armijo, step_table
 from fitkit.plans.sweep import run_sweep
 from fitkit.plans.vector_free import fit_lbfgs_vector_free
-from fitkit.session import scratch_path
+from fitkit.session import TableChain, scratch_path
 from fitkit.sources import (
     parse_libsvm_text,
     read_libsvm,
@@ -402,10 +402,13 @@ def _tiles(spark, ts):
                 ["shard", "i", "j", "s", "total", "first", "last"],
             )
 
-    tiles = ts.shard_tiles(np.zeros(ts.d), SQUARED)
-    found = tiles.mapInArrow(
-        kernel, "shard INT, i INT, j INT, s BIGINT, total DOUBLE, first DOUBLE, last DOUBLE"
-    )
+    with ts.block_batches():
+        tiles = ts.shard_tiles(np.zeros(ts.d), SQUARED)
+        found = tiles.mapInArrow(
+            kernel, "shard INT, i INT, j INT, s BIGINT, total DOUBLE, first DOUBLE, last DOUBLE"
+        )
+        # Written here: a later job would read blocks and tiles without the limit, 10,000 in a batch.
+        found = TableChain(spark, "tiles").put(found)
     return found.select(*[big(c) for c in ("shard", "i", "j", "s")], *[r(c, c) for c in ("total", "first", "last")])
 
 

@@ -173,7 +173,18 @@ def join_blocks(parts: list[Block]) -> Block:
     if len(parts) == 1:
         ids, y, x = parts[0][1:]
     else:
-        ids, y, x = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+        ids = np.concatenate([p.ids for p in parts])
+        place = np.arange(len(ids))
+        if (ids[1:] < ids[:-1]).any():
+            order = np.argsort(ids, kind="stable")
+            ids, place[order] = ids[order], np.arange(len(ids))
+        # Rows go to their places at once: one copy beside the parts.
+        y, x = np.empty(len(ids)), np.empty((len(ids), parts[0].x.shape[1]))
+        at = 0
+        for p in parts:
+            to = place[at : at + len(p.y)]
+            y[to], x[to] = p.y, p.x
+            at += len(p.y)
     if (ids[1:] < ids[:-1]).any():
         order = np.argsort(ids, kind="stable")
         ids, y, x = ids[order], y[order], x[order]
@@ -183,7 +194,9 @@ def join_blocks(parts: list[Block]) -> Block:
 def iter_shards(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[Block]:
     """Whole shards, one at a time, from blocks that arrive grouped by shard."""
     for parts in _grouped(iter_blocks(batches, shape)):
-        yield join_blocks(parts)
+        whole = join_blocks(parts)
+        parts.clear()  # the parts go before the shard is worked on
+        yield whole
 
 
 def _grouped(blocks: Iterator[Block]) -> Iterator[list[Block]]:

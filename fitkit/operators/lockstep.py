@@ -389,7 +389,11 @@ def tiled_matrices(blocks: DataFrame, shape: Shape, n_tasks: int, w: np.ndarray,
                 shard = b.shard
                 k = loss.curvature(scores(b.x, w), b.y)
                 piece = (b.x[:, top] * k[:, None]).T @ b.x[:, top.start :]
-                s, total = s + len(b.y), piece if total is None else total + piece
+                s += len(b.y)
+                if total is None:
+                    total = piece
+                else:
+                    total += piece
             if shard is not None:
                 yield from leave()
 

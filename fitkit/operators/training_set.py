@@ -253,7 +253,7 @@ class TrainingSet:
             rows,
             self.source_width,
             block_bytes=self.block_bytes,
-            row_bytes=8 * max(self.d, self.source_width),
+            row_bytes=self.row_bytes,
             feature_map=self.pack_map,
         )
 
@@ -298,6 +298,11 @@ class TrainingSet:
         total = 8 * self.d * sum(rows for *_, rows in self.slots)
         return min(self.n_slots, max(TASKS_PER_CORE * cores, math.ceil(total / self.shard_bytes)))
 
+    @property
+    def row_bytes(self) -> int:
+        """A row in a block, at its widest: features, label and id."""
+        return 8 * (max(self.d, self.source_width) + 2)
+
     @property
     def task_rows(self) -> int:
         """Rows of one shard that a task may hold."""
@@ -381,15 +386,15 @@ class TrainingSet:
 
     @property
     def _rows_per_block(self) -> int:
-        return max(1, self.block_bytes // (8 * max(self.d, self.source_width)))
+        return max(1, self.block_bytes // self.row_bytes)
 
     def batches(self):
         """Arrow batch limit for jobs over this table."""
         return arrow_rows(self.spark, 8 * max(self.source_width, 1), self.block_bytes)
 
     def block_batches(self):
-        """Arrow batch limit for jobs over packed blocks (a batch counts rows, not bytes)."""
-        return arrow_rows(self.spark, self.block_bytes, 4 * self.block_bytes)
+        """Arrow batch limit for jobs over packed blocks: one full block, or many small ones."""
+        return arrow_rows(self.spark, 1, self.block_bytes // 2)
 
     @staticmethod
     def _measures(rows, odd, positive) -> list[Column]:

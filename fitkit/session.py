@@ -73,12 +73,18 @@ def arrow_rows(spark: SparkSession, bytes_per_row: int, budget: int = 64 << 20):
     """Limit Arrow batches by bytes while the jobs inside the block are planned.
 
     ``maxRecordsPerBatch`` counts rows; a packed block or a 10,000-wide feature
-    array makes its default of 10,000 rows far too large.
+    array makes its default of 10,000 rows far too large.  ``maxBytesPerBatch`` ends a
+    batch after the row that reaches it, whatever the rows turn out to weigh.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(max(1, min(10_000, budget // max(1, bytes_per_row)))))
+    limits = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": max(1, min(10_000, budget // max(1, bytes_per_row))),
+        "spark.sql.execution.arrow.maxBytesPerBatch": max(1, budget),
+    }
+    old = {key: spark.conf.get(key) for key in limits}
+    for key, limit in limits.items():
+        spark.conf.set(key, str(limit))
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.set(key, value)
