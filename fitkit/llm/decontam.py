@@ -50,7 +50,9 @@ HELD = 0.8
 LOOSE = 0.5
 #: Windows multiplied and quarters summed at once.
 SVD_ROWS = 256
-GATHERED = 1024
+GATHERED = 256
+#: Share of a bar that the sums over words may be off; what comes that near is measured in the space.
+FAINT = 1e-3
 #: What the part along a passage may lose by rounding and by the projection.
 SLACK = 0.97
 #: An item with fewer words counts only where it stands word for word.
@@ -152,6 +154,20 @@ class LatentIndex:
     lengths: np.ndarray  # of the passages before that
     bars: np.ndarray  # the part along the passage that a candidate has at least
 
+    def __post_init__(self):
+        """The parts of each word along the passages, word after word; nearly all are zero and left out.
+
+        What the words of a region lose by that is less than ``FAINT`` of a bar together.
+        """
+        along = self.basis @ self.vectors.T
+        word, self.passage = np.nonzero(np.abs(along) > FAINT / (6 * QUARTER) * self.bars)
+        self.part = along[word, self.passage].astype(np.float64)
+        self.first = np.searchsorted(word, np.arange(len(along) + 1))
+
+    def region(self, ids: np.ndarray) -> np.ndarray:
+        """A region with these words (-1 for those that weigh nothing) in the space."""
+        return self.basis[ids[ids >= 0]].sum(axis=0)
+
 
 def least_parts(passages: list[Passage], weight_of: dict[bytes, float]) -> np.ndarray:
     """The shortest part along each passage that the check can accept, as :func:`search_texts` measures it.
@@ -169,17 +185,21 @@ def least_parts(passages: list[Passage], weight_of: dict[bytes, float]) -> np.nd
     return out
 
 
-def _quarter_sums(ids: np.ndarray, table: np.ndarray, n_words: int) -> np.ndarray:
-    """Sums of table rows over each quarter of a window; ids are -1 for words that weigh nothing."""
-    out = np.zeros((max(1, -(-n_words // QUARTER)), table.shape[1]), np.float32)
+def _quarter_parts(ids: np.ndarray, index: LatentIndex) -> np.ndarray:
+    """Parts along the passages of each quarter of a window; ids are -1 for words that weigh nothing."""
+    count = len(index.passages)
+    out = np.zeros((max(1, -(-len(ids) // QUARTER)), count), np.float32)
     at = np.flatnonzero(ids >= 0)
-    if len(at):
-        part = at // QUARTER
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        for k in range(0, len(first), GATHERED):  # so many quarters at once, as rows of the table are wide
-            cuts = first[k : k + GATHERED]
-            last = first[k + GATHERED] if k + GATHERED < len(first) else len(at)
-            out[part[cuts]] = np.add.reduceat(table[ids[at[cuts[0] : last]]], cuts - cuts[0], axis=0)
+    for k in range(0, len(out), GATHERED):  # so many quarters at once, as a word may lie along many passages
+        some = out[k : k + GATHERED]
+        mine = at[slice(*np.searchsorted(at, [k * QUARTER, (k + GATHERED) * QUARTER]))]
+        first = index.first[ids[mine]]
+        sizes = index.first[ids[mine] + 1] - first
+        ends = np.cumsum(sizes)
+        if len(mine) and ends[-1]:
+            entry = np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)
+            cell = np.repeat(mine // QUARTER - k, sizes) * count + index.passage[entry]
+            some += np.bincount(cell, index.part[entry], some.size).reshape(some.shape)
     return out
 
 
@@ -359,33 +379,25 @@ FOUND = T.StructType(
 def search_texts(texts: list[str | None], index: LatentIndex) -> list[list[dict]]:
     """For each text the items it holds, each with its best figures."""
     get = index.vocabulary.get
-    words, regions, owner, place = [], [], [], []
-    for d, t in enumerate(texts):
-        w = words_of(t)
-        words.append(w)
-        if not w:
-            continue
-        ids = np.array([get(x, -1) for x in w], np.int64)
-        rows = _regions(_quarter_sums(ids, index.basis, len(w)), len(w))
-        regions.append(rows)
-        owner.append(np.full(len(rows), d))
-        place.append(np.arange(len(rows)) * HALF)
     out: list[list[dict]] = [[] for _ in texts]
-    if not regions:
-        return out
-    vectors, owner, place = np.concatenate(regions), np.concatenate(owner), np.concatenate(place)
-    norm = np.linalg.norm(vectors, axis=1)
-    live = np.flatnonzero(norm > 1e-6)
     best: dict[tuple[int, int], dict] = {}
-    for at in range(0, len(live), 4096):
-        rows = live[at : at + 4096]
-        along = vectors[rows] @ index.vectors.T
-        for r, p in zip(*np.nonzero(along >= index.bars)):
-            row, passage = int(rows[r]), index.passages[p]
-            d, start = int(owner[row]), int(place[row])
-            share, answer = passage.verify(words[d][max(0, start - QUARTER) : start + 2 * HALF + QUARTER])
-            if passage.accepts(share, answer, float(along[r, p] / index.lengths[p])):
-                near, key = float(along[r, p] / norm[row]), (d, passage.item)
+    for d, t in enumerate(texts):
+        words = words_of(t)
+        if not words:
+            continue
+        ids = np.array([get(x, -1) for x in words], np.int64)
+        # Words are projected on the passages once for all, so a region's parts are sums over its words.
+        along = _regions(_quarter_parts(ids, index), len(words))
+        for r, p in zip(*np.nonzero(along >= (1 - FAINT) * index.bars)):
+            start, passage = int(r) * HALF, index.passages[p]
+            region = slice(max(0, start - QUARTER), start + 2 * HALF + QUARTER)
+            share, answer = passage.verify(words[region])
+            if share < LOOSE:
+                continue
+            vector = index.region(ids[region])
+            part = float(vector @ index.vectors[p])
+            if part >= index.bars[p] and passage.accepts(share, answer, part / float(index.lengths[p])):
+                near, key = part / max(float(np.linalg.norm(vector)), 1e-6), (d, passage.item)
                 if key not in best or (share, near) > (best[key]["lcs"], best[key]["cosine"]):
                     best[key] = {"item": passage.item, "cosine": near, "lcs": share, "answer": answer}
     for (d, _), hit in sorted(best.items()):

@@ -299,3 +299,24 @@ def test_stems_find_words_that_no_label_showed(spark):
     got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(new, model).collect()}
     assert b"grux" in model.stems and b"path" not in model.stems
     assert got == {1: 1, 2: 0, 3: 0}
+
+
+@pytest.mark.parametrize("n", [5, 700, 3 * decontam.GATHERED * decontam.QUARTER + 9])
+def test_parts_along_passages_are_those_of_the_space(n):
+    """Sums over the words that lie along a passage, against the projection of every region."""
+    draw = np.random.default_rng(n)
+    words = [b"w%d" % i for i in range(400)]
+    passages = [decontam.Passage(k, [words[i] for i in draw.integers(0, 400, 40)], []) for k in range(30)]
+    vectors = np.linalg.qr(draw.normal(size=(40, 40)))[0][:30].astype(np.float32)
+    basis = np.zeros((400, 40), np.float32)
+    for i in range(400):
+        basis[i] = draw.normal() * vectors[i % 30] + 1e-7 * draw.normal(size=40)
+    places = {w: i for i, w in enumerate(words)}
+    index = decontam.LatentIndex(places, basis, passages, vectors, np.ones(30), np.ones(30))
+    assert len(index.part) < 0.1 * 400 * 30  # nearly all are zero
+    ids = draw.integers(-1, 400, n)
+    got = decontam._regions(decontam._quarter_parts(ids, index), n)
+    for r in range(0, len(got), max(1, len(got) // 50)):
+        start = r * decontam.HALF
+        part = index.region(ids[max(0, start - decontam.QUARTER) : start + 5 * decontam.QUARTER]) @ vectors.T
+        np.testing.assert_allclose(got[r], part, atol=decontam.FAINT)
