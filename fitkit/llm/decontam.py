@@ -165,8 +165,12 @@ class LatentIndex:
         self.first = np.searchsorted(word, np.arange(len(along) + 1))
 
     def region(self, ids: np.ndarray) -> np.ndarray:
-        """A region with these words (-1 for those that weigh nothing) in the space."""
-        return self.basis[ids[ids >= 0]].sum(axis=0)
+        """A region with these words (-1 for those that weigh nothing) in the space, quarter by quarter."""
+        out = np.zeros(self.basis.shape[1], np.float32)
+        for k in range(0, len(ids), QUARTER):
+            quarter = ids[k : k + QUARTER]
+            out += self.basis[quarter[quarter >= 0]].sum(axis=0)
+        return out
 
 
 def least_parts(passages: list[Passage], weight_of: dict[bytes, float]) -> np.ndarray:
@@ -395,9 +399,10 @@ def search_texts(texts: list[str | None], index: LatentIndex) -> list[list[dict]
             if share < LOOSE:
                 continue
             vector = index.region(ids[region])
-            part = float(vector @ index.vectors[p])
-            if part >= index.bars[p] and passage.accepts(share, answer, part / float(index.lengths[p])):
-                near, key = part / max(float(np.linalg.norm(vector)), 1e-6), (d, passage.item)
+            part = (vector[None] @ index.vectors.T)[0, p]
+            if part >= index.bars[p] and passage.accepts(share, answer, float(part / index.lengths[p])):
+                norm = np.linalg.norm(vector[None], axis=1)[0]
+                near, key = float(part / norm), (d, passage.item)
                 if key not in best or (share, near) > (best[key]["lcs"], best[key]["cosine"]):
                     best[key] = {"item": passage.item, "cosine": near, "lcs": share, "answer": answer}
     for (d, _), hit in sorted(best.items()):
