@@ -14,9 +14,10 @@ that length is looked at.  So the search loses nothing that the check would keep
 holds nearly the whole weight of a passage counts as a paraphrase already when half of its words
 stand in order.
 
-Document frequencies cover all documents.  The basis is fitted on a bounded sample of windows
-(``FIT_WINDOWS``, drawn by a hash of the text) and all item passages; the search covers all
-regions.  Passages are handled in blocks of ``BLOCK_PASSAGES``, so that what is broadcast is bounded.
+Document frequencies cover all documents, the basis is fitted on all their windows and all item
+passages, and the search covers all regions.  One pass over the texts adds up the products of all
+pairs of words that share a window; the rounds of the decomposition read these sums alone.  Passages
+are handled in blocks of ``BLOCK_PASSAGES``, so that what is broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ from fitkit.llm.quality import let
 HALF = 32
 QUARTER = HALF // 2
 BLOCK_PASSAGES = 512
-FIT_WINDOWS = 50_000
+#: A passage weighs in the fit as much as this many windows, or as ten times all windows if that is more.
+HEAVY = 500_000
 #: Directions of the space beside those of the passages.
 RANK = 64
 OVERSAMPLE = 16
@@ -48,9 +50,19 @@ LCS = 0.7
 #: A paraphrase holds this share of the passage's length and this share of its words in order.
 HELD = 0.8
 LOOSE = 0.5
-#: Windows multiplied and quarters summed at once.
-SVD_ROWS = 256
+#: Quarters summed at once.
 GATHERED = 256
+#: Windows of a text and words of several whose pairs are formed at once.
+SLICE = 1024
+FIT_WORDS = 1 << 16
+#: Pairs of the first so many words of a vocabulary are summed in a table, others gathered, so many at once.
+HEAD = 4096
+PAIRS = 1 << 20
+#: Words in a strip of the sums, and sums in one of its rows.
+STRIP = 64
+CELLS = 1 << 17
+#: Tasks that sum, where the documents lie in more: each sends every pair it met, however much it read.
+FIT_TASKS = 64
 #: Share of a bar that the sums over words may be off; what comes that near is measured in the space.
 FAINT = 1e-3
 #: What the part along a passage may lose by rounding and by the projection.
@@ -255,50 +267,168 @@ def word_weights(df: np.ndarray, n_docs: int, passages: list[Passage], vocabular
     return idf.astype(np.float32)
 
 
-def randomised_svd(rows: DataFrame, extra: np.ndarray, width: int, rank: int, rounds: int = 2) -> np.ndarray:
-    """Leading right singular vectors (width x rank) of a sparse matrix held by Spark.
+STRIPS = pa.schema([("strip", pa.int32()), ("cells", pa.binary()), ("sums", pa.binary())])
 
-    ``rows`` has ``ids array<int>, values array<float>``; ``extra`` are further dense-computed
-    products' rows of the same matrix, kept on the driver (the items).  Each round the tasks
-    multiply their rows into A'A Q, partial products are added by blocks of words, and the driver
-    orthogonalises a matrix of width x (rank + oversampling).
+
+def _strips(code: np.ndarray, sums: np.ndarray, width: int) -> pa.RecordBatch:
+    """Sums by strips of rows, at most ``CELLS`` in one; a code is row times width plus column, codes rise."""
+    strip = code // (STRIP * width)
+    cuts = np.unique(np.concatenate([np.flatnonzero(np.diff(strip)) + 1, np.arange(0, len(code), CELLS), [len(code)]]))
+    cells, sums = (code - strip * STRIP * width).astype(np.uint32), sums.astype(np.float32)
+    parts = [slice(x, y) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    columns = [strip[cuts[:-1]], [cells[p].tobytes() for p in parts], [sums[p].tobytes() for p in parts]]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, STRIPS)], schema=STRIPS)
+
+
+def _summed(batches, width: int):
+    """Each strip, whose rows follow one another, with the sums of its cells."""
+    strip, total = None, None
+    for batch in batches:
+        for s, cells, sums in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            if s != strip:
+                if strip is not None:
+                    yield strip, total
+                strip, total = s, np.zeros(STRIP * width)
+            total[np.frombuffer(cells.as_buffer(), np.uint32)] += np.frombuffer(sums.as_buffer(), np.float32)
+    if strip is not None:
+        yield strip, total
+
+
+def window_rows(parts: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of the windows of some texts, of length 1: window, word and value, rising by window and word.
+
+    A text is the array of its words' places, -1 for those that weigh nothing.  The k-th window
+    begins with the k-th half; it takes the next half too, and a text of one half is one window.
+    """
+    sizes = np.array([len(p) for p in parts])
+    counts = np.maximum(1, -(-sizes // HALF) - 1)
+    base = np.cumsum(counts) - counts
+    words = np.concatenate(parts)
+    text = np.repeat(np.arange(len(parts)), sizes)
+    half = (np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // HALF
+    at = np.flatnonzero(words >= 0)
+    words, text, half = words[at], text[at], half[at]
+    own, next_ = half < counts[text], half > 0  # words of a window's first and second half
+    window = np.concatenate([(base[text] + half)[own], (base[text] + half - 1)[next_]])
+    code, n = np.unique(window * len(weights) + np.concatenate([words[own], words[next_]]), return_counts=True)
+    window, word = np.divmod(code, len(weights))
+    x = n * weights[word].astype(np.float64)
+    return window, word, x / np.sqrt(np.bincount(window, x * x))[window]
+
+
+class PairSums:
+    """Sums, over windows, of the products of the values of any two words; a pair stands once, in rising order."""
+
+    def __init__(self, width: int):
+        self.width, self.head = width, min(HEAD, width)
+        self.table = np.zeros((self.head, self.head))
+        self.rest: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, window: np.ndarray, word: np.ndarray, x: np.ndarray) -> None:
+        """Rows as :func:`window_rows` gives them: each value with itself and with those after it in its window."""
+        k = np.arange(len(word))
+        for lag in range(2 * HALF):
+            k = k[: np.searchsorted(k, len(word) - lag)]
+            k = k[window[k + lag] == window[k]]
+            if not len(k):
+                break
+            a, b, part = word[k], word[k + lag], x[k] * x[k + lag]
+            far = b >= self.head
+            if far.any():
+                self.rest.append((a[far] * self.width + b[far], part[far]))
+                a, b, part = a[~far], b[~far], part[~far]
+            np.add.at(self.table.reshape(-1), a * self.head + b, part)
+
+    def gathered(self, most: int = 0):
+        """What the table does not hold, where that is more than ``most`` pairs."""
+        if sum(len(code) for code, _ in self.rest) > most:
+            code, part = (np.concatenate(c) for c in zip(*self.rest))
+            self.rest = []
+            code, place = np.unique(code, return_inverse=True)
+            yield _strips(code, np.bincount(place, part), self.width)
+
+    def all(self):
+        yield from self.gathered()
+        for start in range(0, self.head, STRIP):
+            some = self.table[start : start + STRIP]
+            a, b = np.nonzero(some)
+            yield _strips((a + start) * self.width + b, some[a, b], self.width)
+
+
+def pair_sums(docs: DataFrame, vocabulary: dict[bytes, int], weights: np.ndarray, text_col: str) -> DataFrame:
+    """A'A of the matrix A of all windows of ``docs``, in strips of rows that follow one another.
+
+    A row of A is a window's TF-IDF vector, of length 1.  Pairs of words are summed where the texts
+    lie; sums then meet by strips, first each pair once, then in both orders.
     """
-    spark = rows.sparkSession
+    width = len(vocabulary)
+    held = docs.sparkSession.sparkContext.broadcast(({w: i for w, i in vocabulary.items() if weights[i] > 0}, weights))
+    schema = "strip int, cells binary, sums binary"
+
+    def run(batches):
+        places, weights = held.value
+        get = places.get
+        sums, parts, n = PairSums(width), [], 0
+        for batch in batches:
+            for t in batch.column(0):
+                found = np.array([get(w, -1) for w in words_of(t.as_py())], np.int64)
+                for at in range(0, max(1, -(-len(found) // HALF) - 1), SLICE):
+                    parts.append(found[at * HALF : (at + SLICE + 1) * HALF])
+                    n += len(parts[-1])
+                    if n >= FIT_WORDS:
+                        sums.add(*window_rows(parts, weights))
+                        parts, n = [], 0
+                        yield from sums.gathered(PAIRS)
+        if n:
+            sums.add(*window_rows(parts, weights))
+        yield from sums.all()
+
+    def mirrored(batches):
+        for strip, total in _summed(batches, width):
+            cell = np.flatnonzero(total)
+            code, sums = cell + strip * STRIP * width, total[cell]
+            yield _strips(code, sums, width)
+            a, b = np.divmod(code, width)
+            off = np.flatnonzero(a < b)
+            off = off[np.argsort(b[off], kind="stable")]
+            yield _strips(b[off] * width + a[off], sums[off], width)
+
+    def whole(batches):
+        for strip, total in _summed(batches, width):
+            cell = np.flatnonzero(total)
+            yield _strips(cell + strip * STRIP * width, total[cell], width)
+
+    tasks = max(FIT_TASKS, 4 * docs.sparkSession.sparkContext.defaultParallelism)
+    out = docs.select(F.col(text_col).alias("text")).coalesce(tasks).mapInArrow(run, schema)
+    for meet in (mirrored, whole):
+        out = out.repartition("strip").sortWithinPartitions("strip").mapInArrow(meet, schema)
+    return out
+
+
+def randomised_svd(sums: DataFrame, extra: np.ndarray, width: int, rank: int, rounds: int = 2) -> np.ndarray:
+    """Leading right singular vectors (width x rank) of a sparse matrix A, given A'A by :func:`pair_sums`.
+
+    ``extra`` are further rows of the same matrix, kept on the driver (the items).  Each round the
+    tasks multiply their strips of A'A with Q, and the driver orthogonalises a matrix of
+    width x (rank + oversampling).
+    """
+    spark = sums.sparkSession
     size = min(width, rank + OVERSAMPLE)
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((width, size)))[0].astype(np.float32)
-    block = 1024
     for _ in range(rounds + 1):
         held = spark.sparkContext.broadcast(q)
 
         def run(batches, held=held):
-            q = held.value
-            total = np.zeros_like(q)
-            for batch in batches:
-                for at in range(0, len(batch), SVD_ROWS):
-                    lists, values = (batch.slice(at, SVD_ROWS).column(k) for k in (0, 1))
-                    ids = lists.flatten().to_numpy()
-                    x = values.flatten().to_numpy().astype(np.float32)
-                    sizes = np.diff(lists.offsets.to_numpy())
-                    row = np.repeat(np.arange(len(sizes)), sizes)
-                    made = np.zeros((len(sizes), q.shape[1]), np.float32)
-                    np.add.at(made, row, q[ids] * x[:, None])
-                    np.add.at(total, ids, made[row] * x[:, None])
-            starts = range(0, len(total), block)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(starts), pa.int64()), pa.array([total[s : s + block].tobytes() for s in starts])],
-                ["start", "part"],
-            )
-
-        def add(group):
-            total = sum(np.frombuffer(p, np.float32).reshape(-1, size) for p in group["part"])
-            return group.iloc[:1].assign(part=[total.tobytes()])
-
-        parts = rows.mapInArrow(run, "start long, part binary")
-        summed = parts.groupBy("start").applyInPandas(add, "start long, part binary").collect()
+            for strip, total in _summed(batches, width):
+                made = total.reshape(STRIP, width).astype(np.float32) @ held.value
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([strip * STRIP], pa.int64()), pa.array([made.tobytes()], pa.binary())], ["start", "part"]
+                )
+
         y = np.zeros((width, size), np.float32)
-        for r in summed:
-            part = np.frombuffer(r["part"], np.float32).reshape(-1, size)
-            y[r["start"] : r["start"] + len(part)] = part
+        for r in sums.mapInArrow(run, "start long, part binary").collect():
+            some = y[r["start"] : r["start"] + STRIP]
+            some[:] = np.frombuffer(r["part"], np.float32).reshape(STRIP, size)[: len(some)]
         y += extra.T @ (extra @ q)
         before, q = q, np.linalg.qr(y)[0].astype(np.float32)
     # Rayleigh-Ritz in the last subspace orders the directions by their singular values.
@@ -308,7 +438,7 @@ def randomised_svd(rows: DataFrame, extra: np.ndarray, width: int, rank: int, ro
 
 
 def build_index(docs: DataFrame, passages: list[Passage], text_col: str) -> LatentIndex:
-    """The space of a block of passages, fitted on windows of ``docs`` and the passages."""
+    """The space of a block of passages, fitted on all windows of ``docs`` and the passages."""
     vocabulary: dict[bytes, int] = {}
     for p in passages:
         for w in p.words:
@@ -323,43 +453,13 @@ def build_index(docs: DataFrame, passages: list[Passage], text_col: str) -> Late
     norms = np.linalg.norm(dense, axis=1, keepdims=True)
     dense /= np.maximum(norms, 1e-9)
 
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((vocabulary, weights))
-    share = min(1.0, FIT_WINDOWS / max(1, n_windows))
-    draw = F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(share * (1 << 30))
-
-    def run(batches):
-        vocabulary, weights = held.value
-        get = vocabulary.get
-        for batch in batches:
-            ids, values = [], []
-            for t in batch.column(0):
-                found = np.array([get(w, -1) for w in words_of(t.as_py())], np.int64)
-                for at in range(0, max(1, len(found) - HALF), HALF):
-                    part = found[at : at + 2 * HALF]
-                    part, n = np.unique(part[part >= 0], return_counts=True)
-                    x = n * weights[part]
-                    part, x = part[x > 0], x[x > 0]
-                    if len(part):
-                        ids.append(part.astype(np.int32))
-                        values.append((x / np.linalg.norm(x)).astype(np.float32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["ids", "values"]
-            )
-
-    sample = (
-        docs.filter(draw)
-        .select(F.col(text_col).alias("text"))
-        .mapInArrow(run, "ids array<int>, values array<float>")
-        .repartition(8)
-        .persist()
-    )
+    sums = pair_sums(docs, vocabulary, weights, text_col).persist()
     try:
-        # The passages outweigh all windows of the sample together, so their directions come first.
-        heavy = np.float32(np.sqrt(10.0 * FIT_WINDOWS))
-        basis = randomised_svd(sample, heavy * dense, width, min(RANK + len(passages), width))
+        # The passages outweigh all windows together, so their directions come first.
+        heavy = np.float32(np.sqrt(max(HEAVY, 10.0 * n_windows)))
+        basis = randomised_svd(sums, heavy * dense, width, min(RANK + len(passages), width))
     finally:
-        sample.unpersist()
+        sums.unpersist()
     vectors = (dense @ basis) * norms
     lengths = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
     vectors /= lengths[:, None]

@@ -245,6 +245,50 @@ def test_long_items_and_blocks(spark):
     assert whole == blocks and [i for i, _ in whole[20]] == [1] and [i for i, _ in whole[21]] == [2]
 
 
+def test_basis_is_fitted_on_every_window(spark):
+    """Two words that stand together in one short text alone span a direction, however many other windows there are."""
+    bench = [" ".join(f"{a}{k}x{i}" for i in range(20) for a in "pq") for k in range(3)]
+    passages = [p for k, t in enumerate(bench) for p in decontam.passages_of(k, t)]
+    pairs = [(f"p{k}x{i}", f"q{(k + 1) % 3}x{i}") for k in range(3) for i in range(20)]
+    rows = [(k, " ".join(pair * 20)) for k, pair in enumerate(pairs)]
+    rows += [(100 + k, f"filler{k} " * 33_000) for k in range(100)] + [(None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    index = decontam.build_index(docs, passages, "text")
+    weight = np.log((1 + len(rows)) / 2) + 0.05
+    assert index.basis.shape == (120, 67)
+    for pair in pairs:
+        ids = np.array([index.vocabulary[w.encode()] for w in pair])
+        assert np.linalg.norm(index.region(ids)) > 0.99 * weight * 2**0.5
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_pair_sums_equal_the_matrix_of_all_windows(spark, monkeypatch, small):
+    """Null, empty, repeated and long texts; tables and pieces that hold everything, or next to nothing."""
+    if small:
+        for name, size in [("HEAD", 10), ("PAIRS", 300), ("CELLS", 50), ("STRIP", 7), ("SLICE", 3), ("FIT_WORDS", 100), ("FIT_TASKS", 2)]:
+            monkeypatch.setattr(decontam, name, size)
+    texts = [prose(n, n) for n in (1, 31, 32, 33, 63, 64, 65, 96, 97, 500, 500, 9000)] + [None, "", "of no item", prose(200, 5) + " of no item"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    vocabulary = {w.encode(): k for k, w in enumerate(sorted({w for t in texts[:12] for w in t.split()}))}
+    weights = np.random.default_rng(3).uniform(0.5, 5, len(vocabulary)).astype(np.float32)
+    weights[::9] = 0
+    want = np.zeros((len(weights), len(weights)))
+    for t in texts:
+        words = decontam.words_of(t)
+        for at in range(0, max(1, len(words) - decontam.HALF), decontam.HALF):
+            x = np.zeros(len(weights))
+            for w in words[at : at + 2 * decontam.HALF]:
+                x[vocabulary.get(w, 0)] += weights[vocabulary[w]] if w in vocabulary else 0
+            want += np.outer(x, x) / max(x @ x, 1e-9)
+    got = np.zeros((-(-len(weights) // decontam.STRIP) * decontam.STRIP, len(weights)))
+    rows = decontam.pair_sums(docs, vocabulary, weights, "text").collect()
+    for r in rows:
+        cells = np.frombuffer(r.cells, np.uint32) + r.strip * decontam.STRIP * len(weights)
+        got.reshape(-1)[cells] += np.frombuffer(r.sums, np.float32)
+    np.testing.assert_allclose(got[: len(weights)], want, rtol=1e-5, atol=1e-5)
+    assert not got[len(weights) :].any() and (not small or max(len(r.cells) for r in rows) <= 4 * 50)
+
+
 @pytest.mark.parametrize("stage", ["toxicity", "decontamination", "pii"])
 def test_columns_of_the_input_keep_their_values(spark, stage):
     docs = awkward(spark, [(30, "Call 555-123-4567 now.", "en", "s", 1)])
